@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, substring_dedup
+from . import exact_dedup, line_dedup, simhash, substring_dedup
 from .common import OWN, table
 
 
@@ -35,10 +35,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classify(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", hex_of("node").alias("fingerprint"), "component_id")
+
+
+def hex_of(node: str):
+    """The hexadecimal digits of a little-endian number of eight bytes."""
+    return F.lower(F.concat(*[F.hex(F.substring(node, i, 1)) for i in range(8, 0, -1)]))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op9_line_dedup": op9_line_dedup,
     }
 
