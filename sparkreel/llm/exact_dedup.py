@@ -26,6 +26,8 @@ SETTINGS = {
     # one bound for the native memory of all state partitions of an executor
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # no space set aside in advance: state partitions are many and may be small
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
