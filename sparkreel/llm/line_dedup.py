@@ -19,15 +19,10 @@ from .common import OWN, text_of
 
 
 def covered_lines(docs: DataFrame, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    windows = docs.select(F.col(doc_id).alias("doc_id"), F.inline(spans.runs(spans.lines_of(text_of(text)), width)))
-    return spans.repeated(windows)
+    lines = spans.once(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), lines=spans.lines_of(text_of("text")))
+    return spans.repeated(lines.select("doc_id", F.inline(spans.runs("lines", width))))
 
 
 def dedup(docs: DataFrame, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with __llm_lines (lines before), __llm_covered (removed positions or null), __llm_kept_in and __llm_clean (the text that is left)."""
-    gone = covered_lines(docs, width, text, doc_id).select(F.col("doc_id").alias(f"{OWN}id"), F.col("covered").alias(f"{OWN}covered"), F.col("kept_in").alias(f"{OWN}kept_in"))
-    lines = spans.lines_of(text_of(text))
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone[f"{OWN}id"]), "left").drop(f"{OWN}id").withColumns({
-        f"{OWN}lines": F.size(lines),
-        f"{OWN}clean": F.when(F.col(f"{OWN}covered").isNull(), text_of(text)).otherwise(F.array_join(spans.kept_units(lines, F.col(f"{OWN}covered")), "\n")),
-    })
+    """docs with __llm_units (lines before), __llm_covered (removed positions or null), __llm_kept_in and __llm_clean (the text that is left)."""
+    return spans.report(docs, covered_lines(docs, width, text, doc_id), spans.lines_of(F.col(f"{OWN}text")), text_of(text), doc_id, "\n", OWN)

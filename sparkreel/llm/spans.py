@@ -20,8 +20,13 @@ def sentences_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([^.!?\n]+[.!?\n]*|[.!?\n]+)"), 1)
 
 
-def runs(units: Column, width: int) -> Column:
-    """Every run of width units as struct(pos, size, text); none where there are fewer units."""
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns worked out once a row. Without the generator between, Catalyst would write an expression into every lambda that reads it, to be worked out again for each element."""
+    return df.withColumn("once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(*df.columns, *[F.col(f"once.{n}").alias(n) for n in columns])
+
+
+def runs(units: str, width: int) -> Column:
+    """Every run of width units of the array column as struct(pos, size, text); none where there are fewer units."""
     starts = F.when(F.size(units) >= width, F.sequence(F.lit(0), F.size(units) - width)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("size"), F.array_join(F.slice(units, i + 1, width), "\n").alias("text")))
 
@@ -35,7 +40,12 @@ def repeated(windows: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("covered"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in"))
 
 
-def kept_units(units: Column, covered: Column) -> Column:
-    """units without the covered positions. Flags are looked up in one pass: a long document costs no quadratic search."""
-    flags = F.map_from_arrays(covered, covered)
-    return F.when(covered.isNull(), units).otherwise(F.filter(units, lambda x, i: ~F.map_contains_key(flags, i)))
+def report(docs: DataFrame, gone: DataFrame, units: Column, text: Column, doc_id: str, separator: str, own: str) -> DataFrame:
+    """docs with the columns own + units (how many before), covered (removed positions or null), kept_in, clean (the text that is left)."""
+    gone = gone.select(F.col("doc_id").alias(f"{own}id"), F.col("covered").alias(f"{own}covered"), F.col("kept_in").alias(f"{own}kept_in"))
+    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone[f"{own}id"]), "left").drop(f"{own}id").withColumn(f"{own}text", text)
+    n = F.size(units)
+    left = F.when(F.col(f"{own}covered").isNull(), F.lit(None)).otherwise(F.array_except(F.sequence(F.lit(0), n - 1), F.col(f"{own}covered")))
+    cut = once(joined, **{f"{own}all": units, f"{own}left": left})
+    clean = F.array_join(F.transform(f"{own}left", lambda i: F.get(F.col(f"{own}all"), i)), separator)
+    return cut.withColumns({f"{own}units": F.size(f"{own}all"), f"{own}clean": F.when(F.col(f"{own}covered").isNull(), F.col(f"{own}text")).otherwise(clean)}).drop(f"{own}all", f"{own}left", f"{own}text")

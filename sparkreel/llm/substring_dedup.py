@@ -20,29 +20,24 @@ from .common import OWN, text_of
 SHORT_SPAN, LEAST = 120, 60
 
 
-def sentence_runs(sentences: Column) -> Column:
-    """Every span as struct(pos, size, text)."""
-    bare = F.transform(sentences, lambda s: F.btrim(s, F.lit(" \n")))
-    starts = F.when(F.size(sentences) >= 2, F.sequence(F.lit(0), F.size(sentences) - 2)).otherwise(F.array().cast("array<int>"))
+def sentence_runs(bare: str) -> Column:
+    """Every span of the array column of trimmed sentences as struct(pos, size, text)."""
+    starts = F.when(F.size(bare) >= 2, F.sequence(F.lit(0), F.size(bare) - 2)).otherwise(F.array().cast("array<int>"))
 
     def span(i: Column) -> Column:
         two = F.length(F.get(bare, i)) + F.length(F.get(bare, i + 1)) >= SHORT_SPAN
         size = F.when(two, 2).otherwise(3)
         return F.struct(i.alias("pos"), size.alias("size"), F.array_join(F.slice(bare, i + 1, size), "\n").alias("text"))
 
-    return F.filter(F.transform(starts, span), lambda x: (x["pos"] + x["size"] <= F.size(sentences)) & (F.length(x["text"]) >= LEAST))
+    return F.filter(F.transform(starts, span), lambda x: (x["pos"] + x["size"] <= F.size(bare)) & (F.length(x["text"]) >= LEAST))
 
 
 def covered_sentences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    windows = docs.select(F.col(doc_id).alias("doc_id"), spans.sentences_of(text_of(text)).alias("s")).select("doc_id", F.inline(sentence_runs(F.col("s"))))
-    return spans.repeated(windows)
+    sentences = F.transform(spans.sentences_of(text_of("text")), lambda s: F.btrim(s, F.lit(" \n")))
+    rows = spans.once(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), bare=sentences)
+    return spans.repeated(rows.select("doc_id", F.inline(sentence_runs("bare"))))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with __llm_sentences (before), __llm_covered (removed positions or null), __llm_kept_in and __llm_clean (the text that is left)."""
-    gone = covered_sentences(docs, text, doc_id).select(F.col("doc_id").alias(f"{OWN}id"), F.col("covered").alias(f"{OWN}covered"), F.col("kept_in").alias(f"{OWN}kept_in"))
-    sentences = spans.sentences_of(text_of(text))
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone[f"{OWN}id"]), "left").drop(f"{OWN}id").withColumns({
-        f"{OWN}sentences": F.size(sentences),
-        f"{OWN}clean": F.when(F.col(f"{OWN}covered").isNull(), text_of(text)).otherwise(F.array_join(spans.kept_units(sentences, F.col(f"{OWN}covered")), "")),
-    })
+    """docs with __llm_units (sentences before), __llm_covered (removed positions or null), __llm_kept_in and __llm_clean (the text that is left)."""
+    return spans.report(docs, covered_sentences(docs, text, doc_id), spans.sentences_of(F.col(f"{OWN}text")), text_of(text), doc_id, "", OWN)
