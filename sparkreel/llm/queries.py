@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, simhash, substring_dedup
+from . import exact_dedup, line_dedup, simhash, substring_dedup, token_counts
 from .common import OWN, table
 
 
@@ -40,6 +40,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_of("node").alias("fingerprint"), "component_id")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(table(spark, sf_dir, "documents"))
+
+
 def hex_of(node: str):
     """The hexadecimal digits of a little-endian number of eight bytes."""
     return F.lower(F.concat(*[F.hex(F.substring(node, i, 1)) for i in range(8, 0, -1)]))
@@ -51,6 +55,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op9_line_dedup": op9_line_dedup,
+        "op10_token_counts": op10_token_counts,
     }
 
 
