@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, simhash, substring_dedup, token_counts
-from .common import OWN, table
+from . import exact_dedup, line_dedup, simhash, sp_codec, substring_dedup, token_counts
+from .common import OWN, table, text_of
 
 
 def digest_of(name: str):
@@ -30,6 +30,14 @@ def removal_report(out: DataFrame, name: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, decoded again: how many, the digest of the ids, and whether the text came back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(text_of()).alias("before"), "text")
+    ids = sp_codec.encode(docs).select("doc_id", "before", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5"), "ids")
+    back = sp_codec.decode(ids)
+    return back.select("doc_id", "n_tokens", "ids_md5", (F.xxhash64("text") == F.col("before")).alias("round_trip"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.classify(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -52,6 +60,7 @@ def hex_of(node: str):
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_sentencepiece_codec": op2_sentencepiece_codec,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op9_line_dedup": op9_line_dedup,
