@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, simhash, sp_codec, substring_dedup, token_counts
+from . import exact_dedup, langid, line_dedup, simhash, sp_codec, substring_dedup, token_counts, toxicity
 from .common import OWN, table, text_of
 
 
@@ -38,6 +38,14 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_md5", (F.xxhash64("text") == F.col("before")).alias("round_trip"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.classify(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.classify(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -61,8 +69,10 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_sentencepiece_codec": op2_sentencepiece_codec,
+        "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op7_toxicity": op7_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_counts": op10_token_counts,
     }
