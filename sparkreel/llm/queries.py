@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, simhash, sp_codec, substring_dedup, token_counts, toxicity
+from . import decontam, exact_dedup, langid, line_dedup, simhash, sp_codec, substring_dedup, token_counts, toxicity
 from .common import OWN, table, text_of
 
 
@@ -46,6 +46,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each pair of a contaminated document and the item that it holds."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.classify(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -73,6 +78,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_toxicity": op7_toxicity,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_counts": op10_token_counts,
     }
@@ -86,6 +92,34 @@ later AS (SELECT k.doc_id, k.pos, k.size, f.f.d AS kept FROM keyed k JOIN firsts
 gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + size)))) AS covered, array_to_string(list_sort(list_distinct(list(kept))), ',') AS kept_in FROM later GROUP BY doc_id)
 """
 
+
+def words_sql(name: str, key: str) -> str:
+    """The words (v) and the template (t) of a table's texts."""
+    units = ", ".join(f"'{u}'" for u in decontam.UNITS)
+    mark = r"regexp_replace({}, '([\p{{L}}\p{{N}},;:]) (\p{{Lu}}\p{{Ll}}+)', '\1 ' || chr(1) || '\2', 'g')"
+    marked = mark.format(mark.format("replace(coalesce(text, ''), chr(1), ' ')"))
+    return rf"""
+{name}_p AS (SELECT {key}, trim(regexp_replace(regexp_replace(lower({marked}), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')) AS p FROM {name}),
+{name}_v AS (SELECT {key}, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS v FROM {name}_p),
+{name}_t AS (SELECT {key}, v, list_transform(v, lambda x: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN regexp_full_match(x, '[0-9]+') THEN '<number>' WHEN x IN ({units}) THEN '<unit>' ELSE x END) AS t FROM {name}_v)"""
+
+
+#: Windows are compared as strings; sizes under 8 are those of shorter items.
+DECONTAMINATION = "WITH " + words_sql("documents", "doc_id") + "," + words_sql("benchmark", "item_id") + r""",
+b0 AS (SELECT item_id, t, v, least(len(t), 8) AS size, unnest(range(len(t) - least(len(t), 8) + 1)) AS beg FROM benchmark_t WHERE len(t) >= 3),
+b1 AS (SELECT item_id, size, beg, t[beg + 1 : beg + size] AS words, v[beg + 1 : beg + size] AS vals FROM b0),
+b2 AS (SELECT * FROM b1 WHERE 2 * len(list_filter(words, lambda x: x NOT IN ('<name>', '<number>', '<unit>'))) >= size),
+b AS (SELECT item_id, words, min(beg) AS beg, arg_min(vals, beg) AS vals, any_value(size) AS size FROM b2 GROUP BY item_id, words),
+d0 AS (SELECT doc_id, t, v, s.size, unnest(range(len(t) - s.size + 1)) AS pos FROM documents_t, (SELECT DISTINCT size FROM b) s WHERE len(t) >= s.size),
+d AS (SELECT doc_id, pos, t[pos + 1 : pos + size] AS words, v[pos + 1 : pos + size] AS own FROM d0),
+m AS (SELECT doc_id, item_id, pos, pos - beg AS shift, words, vals, own FROM d JOIN b USING (words)),
+slots AS (SELECT doc_id, item_id, shift, words[i] AS kind, vals[i] AS theirs, own[i] AS ours FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM m) WHERE words[i] IN ('<name>', '<number>', '<unit>')),
+checked AS (SELECT doc_id, item_id, shift, count(DISTINCT (kind, theirs, ours)) = count(DISTINCT (kind, theirs)) AND count(DISTINCT (kind, theirs, ours)) = count(DISTINCT (kind, ours)) AS ok, bool_or(theirs <> ours) AS differ FROM slots GROUP BY ALL),
+per AS (SELECT doc_id, item_id, shift, count(DISTINCT pos) AS n FROM m GROUP BY ALL)
+SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_windows, bool_or(coalesce(differ, false)) AS reparameterised
+FROM per LEFT JOIN checked USING (doc_id, item_id, shift) WHERE coalesce(ok, true) GROUP BY doc_id, item_id
+"""
+
 SQL = {
     "op1_substring_dedup": r"""
 WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS u FROM documents),
@@ -104,6 +138,7 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
        row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """,
+    "op8_benchmark_decontamination": DECONTAMINATION,
     "op9_line_dedup": """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), E'\\n') AS u FROM documents),
 starts AS (SELECT doc_id, u, unnest(range(len(u) - 2)) AS pos FROM s WHERE len(u) >= 3),
