@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, line_dedup, simhash, sp_codec, substring_dedup, token_counts, toxicity
+from . import decontam, exact_dedup, langid, line_dedup, quality, simhash, sp_codec, substring_dedup, token_counts, toxicity
 from .common import OWN, table, text_of
 
 
@@ -42,6 +42,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "perplexity", "threshold", "kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,6 +82,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_toxicity": op7_toxicity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_line_dedup": op9_line_dedup,
