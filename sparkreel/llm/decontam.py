@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation: DataFrame operations only.
 
-Texts become lower-case words. Numbers, units and names (capitalised words inside a sentence) are replaced by typed
-placeholders, their values kept beside them. Windows of WIDTH template words are hashed; the documents' windows meet the
+Texts become lower-case words. Numbers, units after numbers and names (capitalised words inside a sentence) are replaced
+by typed placeholders; the texts of documents that matched are cut again with the values beside them. Windows of WIDTH template words are hashed; the documents' windows meet the
 benchmark's by equality join, so a question asked again with other numbers or names is found like a plain copy. Matched
 windows are compared word by word, and the slots of each alignment of an item with a document must be consistent: equal
 benchmark values stand for equal document values, and the other way round.
@@ -37,40 +37,49 @@ MARK = "\x01"
 NAME, NUMBER, UNIT = "<name>", "<number>", "<unit>"
 
 
-def values_of(text: Column) -> Column:
-    """The words of a text in lower case; a name begins with MARK."""
-    marked = F.translate(text, MARK, " ")
-    for _ in range(2):  # a name right after another one is found the second time
-        marked = F.regexp_replace(marked, r"([\p{L}\p{N},;:]) (\p{Lu}\p{Ll}+)", f"$1 {MARK}$2")
+def values_text(text: Column) -> Column:
+    """The words of a text in lower case, a space between them; a name begins with MARK."""
+    marked = F.regexp_replace(F.translate(text, MARK, " "), r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", MARK)
     plain = F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
-    plain = F.trim(F.regexp_replace(plain, r"(\p{N})(\p{L})", "$1 $2"))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.trim(F.regexp_replace(plain, r"(?<=\p{N})(?=\p{L})", " "))
 
 
-def template_of(word: Column) -> Column:
-    return F.when(word.startswith(MARK), NAME).when(word.rlike("^[0-9]+$"), NUMBER).when(word.isin(*UNITS), UNIT).otherwise(word)
+def template_text(values: Column) -> Column:
+    """Its names, numbers and units as placeholders, word by word."""
+    named = F.regexp_replace(values, rf"{MARK}[\p{{L}}\p{{N}}]+", NAME)
+    numbered = F.regexp_replace(named, r"(?<![^ ])[0-9]+(?![^ ])", NUMBER)
+    return F.regexp_replace(numbered, rf"{NUMBER} (?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
+
+
+def words(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
+def windows(hashes: str, size: int) -> Column:
+    """Every window of size words, from the column of the words' hashes: struct(pos, size, h)."""
+    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice(F.col(hashes), i + 1, size)).alias("h")))
+
+
+def hashes_of(template: Column) -> Column:
+    return F.transform(words(template), lambda w: F.xxhash64(w))
 
 
 def worded(df: DataFrame, text: str) -> DataFrame:
     """df with its text replaced by v (values) and t (template), arrays of the same length."""
     rest = [c for c in df.columns if c != text]
-    valued = spans.once(df, v=values_of(text_of(text))).select(*rest, "v")
-    return spans.once(valued, t=F.transform("v", template_of))
-
-
-def windows(size: int) -> Column:
-    """Every window of size words of column t: struct(pos, size, h)."""
-    starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice(F.col("t"), i + 1, size)).alias("h")))
+    valued = spans.once(df, p=values_text(text_of(text))).select(*rest, "p")
+    return spans.once(valued, v=words(F.col("p")), t=words(template_text(F.col("p")))).select(*rest, "v", "t")
 
 
 def item_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
     """item_id, at, h, size, words, values of every different window of an item; the sizes there are (width at most)."""
     items = worded(benchmark.select("item_id", F.col("text").alias("text")), "text").filter(F.size("t") >= SHORTEST)
+    items = spans.once(items, hashes=F.transform("t", lambda w: F.xxhash64(w)))
     sizes = [r.n for r in items.select(F.least(F.size("t"), F.lit(width)).alias("n")).distinct().collect()]
     found = None
     for n in sorted(sizes):
-        own = items.filter(F.least(F.size("t"), F.lit(width)) == n).select("item_id", "t", "v", F.inline(windows(n)))
+        own = items.filter(F.least(F.size("t"), F.lit(width)) == n).select("item_id", "t", "v", F.inline(windows("hashes", n)))
         found = own if found is None else found.unionByName(own)
     if found is None:
         return benchmark.sparkSession.createDataFrame([], "item_id long, h long, at int, size int, words array<string>, values array<string>"), []
@@ -84,13 +93,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str
     """doc_id, item_id, n_windows (matched in consistent alignments), reparameterised (whether any slot's value differs)."""
     bench, sizes = item_windows(benchmark, width)
     side = F.broadcast if bench.limit(most + 1).count() <= most else lambda x: x
-    base = worded(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
-    each = F.concat(*[windows(n) for n in sizes]) if sizes else F.array().cast("array<struct<pos:int,size:int,h:bigint>>")
-    hits = base.select("doc_id", F.inline(each)).join(side(bench.select("h", "item_id", "size")), ["h", "size"]).select("doc_id", "pos", "size", "h", "item_id")
-    # the words of the matched windows: back to the texts, a row a document
-    spots = hits.select("doc_id", "pos", "size", "h").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size", "h")).alias("spots")).withColumnRenamed("doc_id", "of")
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    each = F.concat(*[windows("hashes", n) for n in sizes]) if sizes else F.array().cast("array<struct<pos:int,size:int,h:bigint>>")
+    cut_up = spans.once(base, hashes=hashes_of(template_text(values_text(text_of("text")))))
+    hits = cut_up.select("doc_id", F.inline(each)).join(side(bench.select("h", "size").distinct()), ["h", "size"])
+    # back to the texts, a row a document: only those that matched are cut into words with their values
+    spots = hits.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size", "h")).alias("spots")).withColumnRenamed("doc_id", "of")
+    hit = worded(base.join(spots, base["doc_id"].eqNullSafe(spots["of"])).drop("of"), "text")
     cut = lambda s, c: F.slice(F.col(c), s["pos"] + 1, s["size"])
-    met = base.join(spots, base["doc_id"].eqNullSafe(spots["of"])).select("doc_id", F.inline(F.transform("spots", lambda s: F.struct(s["pos"].alias("pos"), s["h"].alias("h"), cut(s, "t").alias("t"), cut(s, "v").alias("v")))))
+    met = hit.select("doc_id", F.inline(F.transform("spots", lambda s: F.struct(s["pos"].alias("pos"), s["h"].alias("h"), cut(s, "t").alias("t"), cut(s, "v").alias("v")))))
     same = met.distinct().join(side(bench), "h").filter(F.col("t") == F.col("words"))
     slot = F.filter(F.arrays_zip("words", "values", "v"), lambda s: s["words"].isin(NAME, NUMBER, UNIT))
     aligned = same.select("doc_id", "item_id", "pos", (F.col("pos") - F.col("at")).alias("shift"), slot.alias("slots"))

@@ -107,7 +107,7 @@ def words_sql(name: str, key: str) -> str:
     return rf"""
 {name}_p AS (SELECT {key}, trim(regexp_replace(regexp_replace(lower({marked}), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')) AS p FROM {name}),
 {name}_v AS (SELECT {key}, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS v FROM {name}_p),
-{name}_t AS (SELECT {key}, v, list_transform(v, lambda x: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN regexp_full_match(x, '[0-9]+') THEN '<number>' WHEN x IN ({units}) THEN '<unit>' ELSE x END) AS t FROM {name}_v)"""
+{name}_t AS (SELECT {key}, v, list_transform(v, lambda x, i: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN regexp_full_match(x, '[0-9]+') THEN '<number>' WHEN i > 1 AND x IN ({units}) AND regexp_full_match(v[i - 1], '[0-9]+') THEN '<unit>' ELSE x END) AS t FROM {name}_v)"""
 
 
 #: Windows are compared as strings; sizes under 8 are those of shorter items.
