@@ -1,4 +1,404 @@
-"""Named queries and their SQL."""
+"""Named queries over the driver's tables, each with the SQL that says the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkreel.functions import arrays, timebase
+from sparkreel.operators import audio, index, lookup, metadata, samplers, stats
+from sparkreel.plans import media
+from sparkreel.sources import mappings
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+PACKETS = """packets AS (SELECT user_id AS stream_index, event_id AS seq, epoch_us(ts) - 1704067200000000 AS pts, event_id AS dts,
+  CAST(round(value * 1e9) AS BIGINT) AS duration, event_type = 'signup' AS is_key, event_type = 'error' AS is_discard FROM events)"""
+FRAMES = PACKETS + """, fi AS (SELECT *, row_number() OVER w - 1 AS frame_index, coalesce(lead(pts) OVER w, 9223372036854775807) AS next_pts,
+  CAST(sum(CAST(is_key AS INT)) OVER (PARTITION BY stream_index ORDER BY pts, seq ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS gop_id
+  FROM packets WHERE NOT is_discard WINDOW w AS (PARTITION BY stream_index ORDER BY pts, seq))"""
+ASKED = """, bounds AS (SELECT stream_index, min(pts) AS b, max(pts) AS e FROM packets WHERE NOT is_discard GROUP BY 1),
+  asked AS (SELECT stream_index, request_id, b + ((e - b) * request_id) // 7 + {beyond} AS t FROM bounds, range(7) r(request_id))"""
+IDX = """, sizes AS (SELECT stream_index, count(*) AS n FROM fi GROUP BY 1),
+  wanted AS (SELECT stream_index, pos, CASE WHEN idx < 0 THEN idx + n ELSE idx END AS frame_index FROM sizes, (VALUES (0, 5), (1, 2), (2, -1), (3, 2), (4, 0), (5, -2)) v(pos, idx))"""
+LENGTHS = """, len AS (SELECT stream_index, count(*) AS n, min(pts) / 1e6 AS b, max(pts + duration) / 1e6 AS e FROM packets WHERE NOT is_discard GROUP BY 1)"""
+STREAMS = """streams AS (SELECT l_orderkey AS source, l_linenumber AS stream_index, CASE l_linenumber % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'video' ELSE 'other' END AS media_type,
+  CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS dur, CASE WHEN l_partkey % 5 <> 0 THEN l_tax END AS b, CASE WHEN l_partkey % 6 <> 0 THEN l_quantity + l_tax END AS e,
+  CASE WHEN l_partkey % 7 <> 0 THEN CAST(trunc(l_quantity * 30) AS BIGINT) END AS nh, CASE WHEN l_partkey % 8 <> 0 THEN CAST(trunc(l_quantity * 29) AS BIGINT) END AS nc,
+  CASE WHEN l_partkey % 9 <> 0 THEN 24.0::DOUBLE + l_discount END AS fps, CASE WHEN l_linenumber % 3 = 1 THEN l_partkey % 640 END AS width, CASE WHEN l_linenumber % 3 = 1 THEN l_partkey % 360 END AS height,
+  CASE WHEN l_linenumber % 3 = 0 THEN l_partkey % 8 + 1 END AS num_channels FROM lineitem),
+  dur AS (SELECT *, coalesce(e - b, dur, nh / fps) AS duration FROM streams),
+  derived AS (SELECT *, coalesce(nc, nh, CAST(trunc(fps * duration) AS BIGINT)) AS frames FROM dur)"""
+AUDIO = """audio AS (SELECT vec_id // 10 AS stream_index, vec_id % 10 * 32000 AS pts, 32000 AS duration, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS l, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS r FROM embeddings)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Scan and index
+
+
+@query(f"WITH {PACKETS} SELECT stream_index, seq, pts, duration, is_key FROM packets WHERE NOT is_discard")
+def scan_packets(spark: SparkSession, sf: str) -> DataFrame:
+    return index.scan(media.packets(spark, sf)).select("stream_index", "seq", "pts", "duration", "is_key")
+
+
+@query(f"WITH {PACKETS} SELECT stream_index, seq, pts FROM packets WHERE NOT is_discard AND stream_index = 7")
+def scan_one_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return index.of_stream(index.scan(media.packets(spark, sf)), 7).select("stream_index", "seq", "pts")
+
+
+@query(f"WITH {PACKETS} SELECT stream_index, min(pts) AS begin_pts, max(pts + duration) AS end_pts, count(*) AS num_frames FROM packets WHERE NOT is_discard GROUP BY 1")
+def scan_stream_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return index.stream_bounds(media.packets(spark, sf))
+
+
+@query(f"WITH {FRAMES} SELECT stream_index, frame_index, pts, next_pts, duration, is_key FROM fi")
+def frame_index(spark: SparkSession, sf: str) -> DataFrame:
+    return media.frames(spark, sf).select("stream_index", "frame_index", "pts", "next_pts", "duration", "is_key")
+
+
+@query(f"WITH {FRAMES} SELECT stream_index, frame_index, pts, next_pts, gop_id FROM fi")
+def frame_index_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    return index.frame_index_by_bucket(media.packets(spark, sf), 7 * 86_400_000_000).select("stream_index", "frame_index", "pts", "next_pts", "gop_id")
+
+
+@query(f"WITH {FRAMES} SELECT stream_index, frame_index FROM fi WHERE is_key")
+def key_frame_indices(spark: SparkSession, sf: str) -> DataFrame:
+    return index.key_frames(media.frames(spark, sf)).select("stream_index", "frame_index")
+
+
+@query(f"WITH {FRAMES} SELECT stream_index, frame_index, gop_id FROM fi")
+def gop_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return media.frames(spark, sf).select("stream_index", "frame_index", "gop_id")
+
+
+@query(f"WITH {FRAMES}, k AS (SELECT stream_index, gop_id, pts AS key_pts FROM fi WHERE is_key), f AS (SELECT stream_index, min(key_pts) AS first_key FROM k GROUP BY 1) SELECT stream_index, frame_index, coalesce(key_pts, first_key) AS target_pts FROM fi LEFT JOIN k USING (stream_index, gop_id) LEFT JOIN f USING (stream_index)")
+def seek_target(spark: SparkSession, sf: str) -> DataFrame:
+    return index.seek_targets(media.frames(spark, sf)).select("stream_index", "frame_index", "target_pts")
+
+
+@query(f"WITH {FRAMES}{IDX}, a AS (SELECT w.stream_index, pos, fi.frame_index, gop_id FROM wanted w JOIN fi USING (stream_index, frame_index)) SELECT stream_index, pos, coalesce(lag(gop_id) OVER w = gop_id AND lag(frame_index) OVER w <= frame_index, false) AS avoidable FROM a WINDOW w AS (PARTITION BY stream_index ORDER BY pos)")
+def seek_avoidable(spark: SparkSession, sf: str) -> DataFrame:
+    found = lookup.at_indices(media.frames(spark, sf), media.index_requests(spark, sf))
+    return index.seek_avoidable(found, "pos").select("stream_index", "pos", "avoidable")
+
+
+@query(f"WITH {FRAMES}{IDX}, a AS (SELECT DISTINCT stream_index, frame_index, gop_id FROM wanted JOIN fi USING (stream_index, frame_index)), g AS (SELECT stream_index, gop_id, min(frame_index) AS f FROM fi GROUP BY 1, 2) SELECT stream_index, gop_id, count(*) AS frames_asked, max(frame_index) - any_value(f) + 1 AS frames_decoded FROM a JOIN g USING (stream_index, gop_id) GROUP BY 1, 2")
+def gop_decode_plan(spark: SparkSession, sf: str) -> DataFrame:
+    frames = media.frames(spark, sf)
+    asked = lookup.at_indices(frames, media.index_requests(spark, sf)).select("stream_index", "frame_index")
+    return stats.decode_plan(frames, asked).select("stream_index", "gop_id", "frames_asked", "frames_decoded")
+
+
+@query(f"WITH {FRAMES} SELECT stream_index, frame_index, pts::DOUBLE * 1 / 1000000 AS pts_seconds, duration::DOUBLE * 1 / 1000000 AS duration_seconds FROM fi")
+def pts_to_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    return index.timed(media.frames(spark, sf)).select("stream_index", "frame_index", "pts_seconds", "duration_seconds")
+
+
+@query("SELECT event_id, CAST(round(value * 30000 / 1001) AS BIGINT) AS pts FROM events")
+def seconds_to_pts(spark: SparkSession, sf: str) -> DataFrame:
+    return media.table(spark, sf, "events").select("event_id", timebase.closest_pts(F.col("value"), 1001, 30000).alias("pts"))
+
+
+@query(f"WITH {PACKETS} SELECT stream_index, seq, CASE WHEN seq % 5 = 0 THEN dts ELSE pts END AS pts FROM packets")
+def pts_or_dts(spark: SparkSession, sf: str) -> DataFrame:
+    from sparkreel.schema import NO_PTS
+
+    gaps = media.packets(spark, sf).withColumn("pts", F.when(F.col("seq") % 5 == 0, F.lit(NO_PTS)).otherwise(F.col("pts")))
+    return gaps.select("stream_index", "seq", timebase.pts_or_dts(F.col("pts"), F.col("dts")).alias("pts"))
+
+
+@query(f"WITH {PACKETS} SELECT stream_index, frame_index, pts, next_pts FROM (SELECT stream_index, pts, row_number() OVER w - 1 AS frame_index, coalesce(lead(pts) OVER w, 9223372036854775807) AS next_pts FROM packets WHERE NOT is_discard WINDOW w AS (PARTITION BY stream_index ORDER BY pts, duration, is_key))")
+def custom_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    json = mappings.built(index.scan(media.packets(spark, sf)), ("stream_index",))
+    return index.from_mappings(mappings.exploded(json)).select("stream_index", "frame_index", "pts", "next_pts")
+
+
+# Metadata
+
+
+@query(f"WITH {STREAMS} SELECT source, CAST(sum((media_type = 'video')::INT) AS BIGINT) AS num_video_streams, CAST(sum((media_type = 'audio')::INT) AS BIGINT) AS num_audio_streams, CAST(sum((media_type = 'other')::INT) AS BIGINT) AS num_other_streams, count(*) AS num_streams FROM streams GROUP BY 1")
+def streams_per_media_type(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.containers(media.streams(spark, sf)).select("source", "num_video_streams", "num_audio_streams", "num_other_streams", "num_streams")
+
+
+@query()
+def stream_metadata_json(spark: SparkSession, sf: str) -> DataFrame:
+    return media.streams(spark, sf).select("source", "stream_index", metadata.stream_json().alias("json"))
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, dur AS duration_seconds, nc AS num_frames, b AS begin_seconds FROM streams")
+def stream_metadata_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = metadata.parse_json(stream_metadata_json(spark, sf))
+    return parsed.select("source", "stream_index", F.col("durationSecondsFromHeader").alias("duration_seconds"), F.col("numFramesFromContent").alias("num_frames"), F.col("beginStreamSecondsFromContent").alias("begin_seconds"))
+
+
+@query()
+def legacy_metadata_json(spark: SparkSession, sf: str) -> DataFrame:
+    return media.streams(spark, sf).withColumn("container_duration_seconds", F.lit(None).cast("double")).select("source", "stream_index", metadata.legacy_json().alias("json"))
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, round(duration, 9) AS duration_seconds FROM derived")
+def metadata_duration(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.derived(media.streams(spark, sf)).select("source", "stream_index", F.round("duration_seconds", 9).alias("duration_seconds"))
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, coalesce(b, 0) AS begin_stream_seconds, coalesce(e, duration) AS end_stream_seconds FROM derived")
+def metadata_begin_end(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.derived(media.streams(spark, sf)).select("source", "stream_index", "begin_stream_seconds", "end_stream_seconds")
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, frames AS num_frames FROM derived")
+def metadata_num_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.derived(media.streams(spark, sf)).select("source", "stream_index", "num_frames")
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, round(CASE WHEN e - b <> 0 AND frames IS NOT NULL THEN frames / (e - b) ELSE fps END, 6) AS average_fps FROM derived")
+def metadata_average_fps(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.derived(media.streams(spark, sf)).select("source", "stream_index", F.round("average_fps", 6).alias("average_fps"))
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index FROM derived WHERE coalesce(e, duration) IS NOT NULL AND frames IS NOT NULL")
+def metadata_checked(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.checked(media.streams(spark, sf)).select("source", "stream_index")
+
+
+@query(f"WITH {STREAMS} SELECT source, media_type, stream_index FROM (SELECT *, row_number() OVER (PARTITION BY source, media_type ORDER BY coalesce(width * height, num_channels, 0) DESC, stream_index) AS k FROM streams) WHERE k = 1")
+def best_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.best_streams(media.streams(spark, sf)).select("source", "media_type", "stream_index")
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, CAST(width // gcd(width, height) AS INTEGER) AS num, CAST(height // gcd(width, height) AS INTEGER) AS den FROM streams WHERE width > 0 AND height > 0")
+def pixel_aspect_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    s = media.streams(spark, sf).filter("width > 0 and height > 0")
+    return s.select("source", "stream_index", metadata.pixel_aspect_ratio(F.col("width"), F.col("height")).alias("r")).select("source", "stream_index", "r.num", "r.den")
+
+
+# Lookups
+
+
+@query(f"WITH {FRAMES}, sizes AS (SELECT stream_index, count(*) AS n FROM fi GROUP BY 1) SELECT stream_index, frame_index, pts FROM fi JOIN sizes USING (stream_index) WHERE frame_index = n - 3")
+def frame_at_index(spark: SparkSession, sf: str) -> DataFrame:
+    frames = media.frames(spark, sf)
+    asked = frames.select("stream_index").distinct().select("stream_index", F.lit(0).alias("pos"), F.lit(-3).cast("long").alias("idx"))
+    return lookup.at_indices(frames, asked).select("stream_index", "frame_index", "pts")
+
+
+@query(f"WITH {FRAMES}{IDX} SELECT stream_index, pos, frame_index, pts FROM wanted JOIN fi USING (stream_index, frame_index)")
+def frames_at_indices(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.at_indices(media.frames(spark, sf), media.index_requests(spark, sf)).select("stream_index", "pos", "frame_index", "pts")
+
+
+@query(f"WITH {FRAMES}{IDX} SELECT stream_index, pos, frame_index, pts FROM wanted JOIN fi USING (stream_index, frame_index)")
+def frames_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.distinct_first(media.frames(spark, sf), media.index_requests(spark, sf)).select("stream_index", "pos", "frame_index", "pts")
+
+
+@query(f"WITH {FRAMES} SELECT stream_index, frame_index, pts FROM fi WHERE frame_index >= 4 AND frame_index < 30 AND (frame_index - 4) % 5 = 0")
+def frames_in_range_step(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.in_range(media.frames(spark, sf), 4, 30, 5).select("stream_index", "frame_index", "pts")
+
+
+@query(f"WITH {FRAMES}, s AS (SELECT *, max(frame_index) OVER (PARTITION BY stream_index) + 1 AS n FROM fi) SELECT stream_index, frame_index, pts FROM s WHERE frame_index >= least(greatest(n - 9, 0), n) AND frame_index < least(greatest(n - 1, 0), n) AND (frame_index - least(greatest(n - 9, 0), n)) % 3 = 0")
+def frames_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.sliced(media.frames(spark, sf), -9, -1, 3).select("stream_index", "frame_index", "pts")
+
+
+@query(f"WITH {FRAMES}{ASKED.format(beyond=1000)}, k AS (SELECT a.*, coalesce((SELECT max(pts) FROM fi WHERE fi.stream_index = a.stream_index AND is_key AND pts <= t), (SELECT min(pts) FROM fi WHERE fi.stream_index = a.stream_index AND is_key)) AS key_pts FROM asked a) SELECT k.stream_index, request_id, t, arg_min(frame_index, (pts, seq)) AS frame_index, min(pts) AS pts FROM k JOIN fi ON fi.stream_index = k.stream_index AND pts >= coalesce(key_pts, pts) AND (pts > t OR (pts <= t AND t < pts + duration)) GROUP BY 1, 2, 3")
+def frame_played_at(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.played_at_by_duration(media.frames(spark, sf), media.requests(spark, sf, beyond=1000)).select("stream_index", "request_id", "t", "frame_index", "pts")
+
+
+ASOF = "SELECT a.stream_index, request_id, t, frame_index, pts FROM asked a ASOF JOIN fi ON a.stream_index = fi.stream_index AND t >= pts"
+
+
+@query(f"WITH {FRAMES}{ASKED.format(beyond=1000)} {ASOF}")
+def frames_played_at(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.played_at(media.frames(spark, sf), media.requests(spark, sf, beyond=1000)).select("stream_index", "request_id", "t", "frame_index", "pts")
+
+
+@query(f"WITH {FRAMES}{ASKED.format(beyond=1000)} {ASOF}")
+def frames_played_at_join(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.played_at_join(media.frames(spark, sf), media.requests(spark, sf, beyond=1000)).select("stream_index", "request_id", "t", "frame_index", "pts")
+
+
+@query("SELECT event_id, CAST(floor(value * 29.97) AS BIGINT) AS frame_index, CAST(round(floor(value * 29.97) / 29.97 * 1000000) AS BIGINT) AS pts FROM events")
+def frames_played_at_approx(spark: SparkSession, sf: str) -> DataFrame:
+    e = media.table(spark, sf, "events").select("event_id", lookup.index_at_approximate(F.col("value"), F.lit(29.97)).alias("frame_index"))
+    return e.select("event_id", "frame_index", lookup.pts_approximate(F.col("frame_index"), F.lit(29.97)).alias("pts"))
+
+
+RANGES = ", ranges AS (SELECT stream_index, request_id, t AS start, t + 86400000000 * request_id AS stop FROM asked)"
+
+
+@query(f"WITH {FRAMES}{ASKED.format(beyond=0)}{RANGES} SELECT r.stream_index, request_id, frame_index, pts FROM ranges r JOIN fi ON fi.stream_index = r.stream_index AND start < stop AND next_pts > start AND pts < stop")
+def frames_played_in_range(spark: SparkSession, sf: str) -> DataFrame:
+    ranges = media.requests(spark, sf).select("stream_index", "request_id", F.col("t").alias("start"), (F.col("t") + F.lit(86_400_000_000) * F.col("request_id")).alias("stop"))
+    return lookup.played_in_range(media.frames(spark, sf), ranges).select("stream_index", "request_id", "frame_index", "pts")
+
+
+@query("SELECT event_id, CAST(floor(value * 25.0::DOUBLE) AS BIGINT) AS first_frame, CAST(ceil((value + 0.5::DOUBLE) * 25.0::DOUBLE) AS BIGINT) AS end_frame FROM events")
+def frames_played_in_range_approx(spark: SparkSession, sf: str) -> DataFrame:
+    return media.table(spark, sf, "events").select("event_id", lookup.index_at_approximate(F.col("value"), F.lit(25.0)).alias("first_frame"), lookup.index_bound_approximate(F.col("value") + 0.5, F.lit(25.0)).alias("end_frame"))
+
+
+@query(f"WITH {FRAMES}{ASKED.format(beyond=5)} SELECT a.stream_index, request_id, t AS cursor, arg_min(frame_index, (pts, seq)) AS frame_index, min(pts) AS pts FROM asked a JOIN fi ON fi.stream_index = a.stream_index AND pts >= t GROUP BY 1, 2, 3")
+def next_frame_after(spark: SparkSession, sf: str) -> DataFrame:
+    cursors = media.requests(spark, sf, beyond=5).withColumnRenamed("t", "cursor")
+    return lookup.next_frame(media.frames(spark, sf), cursors).select("stream_index", "request_id", "cursor", "frame_index", "pts")
+
+
+# Audio
+
+
+@query(f"WITH {PACKETS} SELECT stream_index, seq, pts FROM packets WHERE NOT is_discard AND 1000000000000 < pts + duration AND 1500000000000 > pts")
+def audio_overlap_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return audio.overlapping(index.scan(media.packets(spark, sf)), 1_000_000.0, 1_500_000.0).select("stream_index", "seq", "pts")
+
+
+@query(f"WITH {AUDIO} SELECT stream_index, list_aggregate(flatten(list(l ORDER BY pts)), 'count') AS num_samples, flatten(list(r ORDER BY pts))[33] AS probe FROM audio GROUP BY 1")
+def audio_concat(spark: SparkSession, sf: str) -> DataFrame:
+    out = audio.concatenated(media.audio(spark, sf))
+    return out.select("stream_index", F.size(F.get("data", F.lit(0))).cast("long").alias("num_samples"), F.get(F.get("data", F.lit(1)), F.lit(32)).alias("probe"))
+
+
+@query(f"WITH {AUDIO}, o AS (SELECT stream_index, min(pts) AS first, flatten(list(l ORDER BY pts)) AS l FROM audio WHERE 45500 < pts + duration AND 150250 > pts GROUP BY 1), c AS (SELECT *, CASE WHEN first / 1e6 < 0.0455 THEN CAST(round_even((0.0455 - first / 1e6) * 1000, 0) AS BIGINT) ELSE 0 END AS b, CASE WHEN 0.15025 < first / 1e6 + len(l) / 1000.0 THEN len(l) - CAST(round_even((first / 1e6 + len(l) / 1000.0 - 0.15025) * 1000, 0) AS BIGINT) ELSE len(l) END AS e FROM o) SELECT stream_index, e - b AS num_samples, l[b + 1] AS first_sample, l[e] AS last_sample FROM c")
+def audio_trim(spark: SparkSession, sf: str) -> DataFrame:
+    out = audio.samples_played_in_range(media.audio(spark, sf), 0.0455, 0.15025, rate=1000).withColumn("l", F.get("data", F.lit(0)))
+    return out.select("stream_index", F.size("l").cast("long").alias("num_samples"), F.get("l", F.lit(0)).alias("first_sample"), F.element_at("l", -1).alias("last_sample"))
+
+
+@query(f"WITH {AUDIO} SELECT stream_index, pts, list_transform(list_zip(l, r), lambda p: (p[1] + p[2]) / 2) AS mono FROM audio")
+def audio_remix_mono(spark: SparkSession, sf: str) -> DataFrame:
+    return media.audio(spark, sf).select("stream_index", "pts", arrays.mix_down(F.get("data", F.lit(0)), F.get("data", F.lit(1))).alias("mono"))
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 256 AS frame, (row_number() OVER (ORDER BY event_id) - 1) % 256 AS \"offset\" FROM events")
+def encoder_fifo_rechunk(spark: SparkSession, sf: str) -> DataFrame:
+    events = media.table(spark, sf, "events").select("event_id")
+    numbered = _numbered(events, "event_id", 10_000)
+    return audio.rechunked(numbered, 256).select("event_id", "frame", "offset")
+
+
+def _numbered(rows: DataFrame, by: str, width: int) -> DataFrame:
+    """rows with pos, their number in order of by: numbered inside ranges of width, then moved on by the earlier ranges' counts."""
+    from pyspark.sql import Window
+
+    cut = rows.withColumn("_range", F.floor(F.col(by) / width))
+    counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(by)
+    return cut.join(before, "_range").withColumn("pos", (F.row_number().over(inside) - 1 + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
+# Samplers
+
+REGULAR = ", c AS (SELECT stream_index, n, clip_id, CAST(trunc(0 + clip_id * ((greatest(n - {span} + 1, 1) - 1 - 0) / 4.0::DOUBLE)) AS BIGINT) AS s FROM len, range(5) r(clip_id))"
+
+
+@query(f"WITH {PACKETS}{LENGTHS}{REGULAR.format(span=9)} SELECT stream_index, clip_id, pos, least(s + 2 * pos, s + 2 * ((n - 1 - s) // 2)) AS frame_index FROM c, range(5) p(pos)")
+def clips_regular_indices(spark: SparkSession, sf: str) -> DataFrame:
+    return samplers.clips_at_regular_indices(media.lengths(spark, sf), num_clips=5, num_frames_per_clip=5, num_indices_between_frames=2)
+
+
+WHOLE = ", c AS (SELECT stream_index, n, clip_id, CAST(trunc(0 + clip_id * ((n - 1 - 0) / 4.0::DOUBLE)) AS BIGINT) AS s FROM len, range(5) r(clip_id))"
+
+
+@query(f"WITH {PACKETS}{LENGTHS}{WHOLE} SELECT stream_index, clip_id, pos, least(s + 3 * pos, s + 3 * ((n - 1 - s) // 3)) AS frame_index FROM c, range(4) p(pos)")
+def clips_policy_repeat_last(spark: SparkSession, sf: str) -> DataFrame:
+    return samplers.clips_at_regular_indices(media.lengths(spark, sf), num_clips=5, num_frames_per_clip=4, num_indices_between_frames=3, sampling_range_end=1_000_000)
+
+
+@query(f"WITH {PACKETS}{LENGTHS}{WHOLE} SELECT stream_index, clip_id, pos, s + 3 * (pos % least(4, (n - 1 - s) // 3 + 1)) AS frame_index FROM c, range(4) p(pos)")
+def clips_policy_wrap(spark: SparkSession, sf: str) -> DataFrame:
+    return samplers.clips_at_regular_indices(media.lengths(spark, sf), num_clips=5, num_frames_per_clip=4, num_indices_between_frames=3, sampling_range_end=1_000_000, policy="wrap")
+
+
+TIMES = """, c AS (SELECT stream_index, b, e, clip_id, b + clip_id * 200000.0::DOUBLE AS s FROM len, range(200) r(clip_id) WHERE b + clip_id * 200000.0::DOUBLE < least(e - 2 * 50000.0::DOUBLE, e)),
+  times AS (SELECT stream_index, clip_id, pos, s + pos * 50000.0::DOUBLE AS seconds FROM c, range(3) p(pos))"""
+
+
+@query(f"WITH {FRAMES}{LENGTHS}{TIMES} SELECT t.stream_index, clip_id, pos, frame_index FROM times t ASOF JOIN fi ON t.stream_index = fi.stream_index AND CAST(round(seconds * 1000000) AS BIGINT) >= pts")
+def clips_regular_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    clips = samplers.clips_at_regular_timestamps(media.lengths(spark, sf), seconds_between_clip_starts=200_000.0, num_frames_per_clip=3, seconds_between_frames=50_000.0)
+    asked = clips.select("stream_index", (F.col("clip_id") * 3 + F.col("pos")).cast("long").alias("request_id"), timebase.closest_pts(F.col("seconds")).alias("t"))
+    found = lookup.played_at(media.frames(spark, sf), asked)
+    return found.select("stream_index", F.expr("request_id div 3").alias("clip_id"), F.expr("request_id % 3").alias("pos"), "frame_index")
+
+
+@query()
+def clips_random_indices(spark: SparkSession, sf: str) -> DataFrame:
+    return samplers.clips_at_random_indices(media.lengths(spark, sf), num_clips=4, num_frames_per_clip=5, seed=11)
+
+
+@query()
+def clips_random_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    return samplers.clips_at_random_timestamps(media.lengths(spark, sf), num_clips=4, num_frames_per_clip=3, seconds_between_frames=1000.0, seed=11)
+
+
+@query(f"WITH {PACKETS}{LENGTHS} SELECT stream_index, clip_id, CAST(trunc(0 + clip_id * ((n - 2 * 3 - 0) / 3.0::DOUBLE)) AS BIGINT) AS start FROM len, range(4) r(clip_id)")
+def legacy_uniform_starts(spark: SparkSession, sf: str) -> DataFrame:
+    starts = samplers.uniform_index_starts(F.col("num_frames"), 4, 3, 2)
+    return media.lengths(spark, sf).select("stream_index", F.posexplode(starts).alias("clip_id", "start"))
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, CASE WHEN width > height THEN CAST(trunc(width::DOUBLE / height * 224) AS INTEGER) ELSE 224 END AS target_width, CASE WHEN width > height THEN 224 ELSE CAST(trunc(height::DOUBLE / width * 224) AS INTEGER) END AS target_height FROM streams WHERE width > 0 AND height > 0")
+def target_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    s = media.streams(spark, sf).filter("width > 0 and height > 0")
+    size = samplers.target_size(F.col("width"), F.col("height"), desired_min_dimension=224)
+    return s.select("source", "stream_index", size["w"].alias("target_width"), size["h"].alias("target_height"))
+
+
+# Payload and work
+
+
+@query("SELECT vec_id, list_transform(range(64), lambda i: embedding[CAST((i % 16) * 4 + i // 16 + 1 AS BIGINT)]::DOUBLE) AS chw FROM embeddings")
+def permute_hwc_chw(spark: SparkSession, sf: str) -> DataFrame:
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    return media.table(spark, sf, "embeddings").select("vec_id", wide.alias("e")).select("vec_id", arrays.permute_hwc(F.col("e"), 4, 4, 4).alias("chw"))
+
+
+@query("SELECT event_id, event_id // 12 AS clip_id, event_id % 12 AS pos FROM events")
+def reshape_clips(spark: SparkSession, sf: str) -> DataFrame:
+    return media.table(spark, sf, "events").select("event_id", F.expr("event_id div 12").alias("clip_id"), (F.col("event_id") % 12).alias("pos"))
+
+
+@query("SELECT vec_id, round(20 * log10(255 / sqrt(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) / 32)), 6) AS psnr FROM embeddings")
+def psnr(spark: SparkSession, sf: str) -> DataFrame:
+    halves = media.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return halves.select("vec_id", F.round(arrays.psnr(F.col("a"), F.col("b")), 6).alias("psnr"))
+
+
+@query("SELECT vec_id, 100.0::DOUBLE * len(list_filter(list_zip(embedding[1:32], embedding[33:64]), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE) <= 0.1)) / 32 AS per_cent FROM embeddings")
+def within_tolerance(spark: SparkSession, sf: str) -> DataFrame:
+    halves = media.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return halves.select("vec_id", arrays.within(F.col("a"), F.col("b"), 0.1).alias("per_cent"))
+
+
+@query(f"WITH {FRAMES}, n AS (SELECT stream_index, count(*) AS n FROM fi GROUP BY 1) SELECT stream_index, frame_index, least(frame_index // greatest(n // 4, 1), 3) AS chunk FROM fi JOIN n USING (stream_index)")
+def parallel_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    frames = media.frames(spark, sf)
+    sizes = frames.groupBy("stream_index").agg(F.count(F.lit(1)).alias("n"))
+    return frames.join(sizes, "stream_index").select("stream_index", "frame_index", stats.chunk_of(F.col("frame_index"), F.col("n"), 4).alias("chunk"))
+
+
+@query("SELECT page_id, k AS chunk, k * 4096 AS first_byte, least((k + 1) * 4096, strlen(html)) AS end_byte FROM (SELECT page_id, html, unnest(range((strlen(html) + 4095) // 4096)) AS k FROM pages)")
+def range_read_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    sized = media.table(spark, sf, "pages").select("page_id", F.octet_length("html").cast("long").alias("n")).filter("n > 0")
+    each = sized.select("page_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n + 4095) div 4096 - 1"))).alias("chunk"))
+    return each.select("page_id", "chunk", (F.col("chunk") * 4096).alias("first_byte"), F.least((F.col("chunk") + 1) * 4096, F.col("n")).alias("end_byte"))
+
+
+@query("SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max, round(100 / median(value), 6) AS fps FROM events GROUP BY 1")
+def bench_stats(spark: SparkSession, sf: str) -> DataFrame:
+    out = stats.run_stats(media.table(spark, sf, "events"), "event_type", "value", frames=100)
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "p25", "p75", "iqr", "mean", "std")], "min", "max", F.round("fps", 6).alias("fps"))
