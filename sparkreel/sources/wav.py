@@ -84,7 +84,7 @@ def build(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
     if bits == 8:
         body = (whole + 128).astype(np.uint8).tobytes()
     elif bits == 24:
-        body = whole.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        body = np.ascontiguousarray(whole).astype("<i4", order="C").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
     else:
         body = whole.astype({16: "<i2", 32: "<i4"}[bits]).tobytes()
     out = io.BytesIO()
