@@ -305,7 +305,7 @@ def _numbered(rows: DataFrame, by: str, width: int) -> DataFrame:
 REGULAR = ", c AS (SELECT stream_index, n, clip_id, CAST(trunc(0 + clip_id * ((greatest(n - {span} + 1, 1) - 1 - 0) / 4.0::DOUBLE)) AS BIGINT) AS s FROM len, range(5) r(clip_id))"
 
 
-@query(f"WITH {PACKETS}{LENGTHS}{REGULAR.format(span=9)} SELECT stream_index, clip_id, pos, least(s + 2 * pos, s + 2 * ((n - 1 - s) // 2)) AS frame_index FROM c, range(5) p(pos)")
+@query(f"WITH {PACKETS}{LENGTHS}{REGULAR.format(span=9)} SELECT stream_index, CAST(clip_id AS INTEGER) AS clip_id, CAST(pos AS INTEGER) AS pos, least(s + 2 * pos, s + 2 * ((n - 1 - s) // 2)) AS frame_index FROM c, range(5) p(pos)")
 def clips_regular_indices(spark: SparkSession, sf: str) -> DataFrame:
     return samplers.clips_at_regular_indices(media.lengths(spark, sf), num_clips=5, num_frames_per_clip=5, num_indices_between_frames=2)
 
@@ -313,12 +313,12 @@ def clips_regular_indices(spark: SparkSession, sf: str) -> DataFrame:
 WHOLE = ", c AS (SELECT stream_index, n, clip_id, CAST(trunc(0 + clip_id * ((n - 1 - 0) / 4.0::DOUBLE)) AS BIGINT) AS s FROM len, range(5) r(clip_id))"
 
 
-@query(f"WITH {PACKETS}{LENGTHS}{WHOLE} SELECT stream_index, clip_id, pos, least(s + 3 * pos, s + 3 * ((n - 1 - s) // 3)) AS frame_index FROM c, range(4) p(pos)")
+@query(f"WITH {PACKETS}{LENGTHS}{WHOLE} SELECT stream_index, CAST(clip_id AS INTEGER) AS clip_id, CAST(pos AS INTEGER) AS pos, least(s + 3 * pos, s + 3 * ((n - 1 - s) // 3)) AS frame_index FROM c, range(4) p(pos)")
 def clips_policy_repeat_last(spark: SparkSession, sf: str) -> DataFrame:
     return samplers.clips_at_regular_indices(media.lengths(spark, sf), num_clips=5, num_frames_per_clip=4, num_indices_between_frames=3, sampling_range_end=1_000_000)
 
 
-@query(f"WITH {PACKETS}{LENGTHS}{WHOLE} SELECT stream_index, clip_id, pos, s + 3 * (pos % least(4, (n - 1 - s) // 3 + 1)) AS frame_index FROM c, range(4) p(pos)")
+@query(f"WITH {PACKETS}{LENGTHS}{WHOLE} SELECT stream_index, CAST(clip_id AS INTEGER) AS clip_id, CAST(pos AS INTEGER) AS pos, s + 3 * (pos % least(4, (n - 1 - s) // 3 + 1)) AS frame_index FROM c, range(4) p(pos)")
 def clips_policy_wrap(spark: SparkSession, sf: str) -> DataFrame:
     return samplers.clips_at_regular_indices(media.lengths(spark, sf), num_clips=5, num_frames_per_clip=4, num_indices_between_frames=3, sampling_range_end=1_000_000, policy="wrap")
 
@@ -345,7 +345,7 @@ def clips_random_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     return samplers.clips_at_random_timestamps(media.lengths(spark, sf), num_clips=4, num_frames_per_clip=3, seconds_between_frames=1000.0, seed=11)
 
 
-@query(f"WITH {PACKETS}{LENGTHS} SELECT stream_index, clip_id, CAST(trunc(0 + clip_id * ((n - 2 * 3 - 0) / 3.0::DOUBLE)) AS BIGINT) AS start FROM len, range(4) r(clip_id)")
+@query(f"WITH {PACKETS}{LENGTHS} SELECT stream_index, CAST(clip_id AS INTEGER) AS clip_id, CAST(trunc(0 + clip_id * ((n - 2 * 3 - 0) / 3.0::DOUBLE)) AS BIGINT) AS start FROM len, range(4) r(clip_id)")
 def legacy_uniform_starts(spark: SparkSession, sf: str) -> DataFrame:
     starts = samplers.uniform_index_starts(F.col("num_frames"), 4, 3, 2)
     return media.lengths(spark, sf).select("stream_index", F.posexplode(starts).alias("clip_id", "start"))
