@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from sparkreel.workers import importable
+
 SCALARS = {
     "pts_to_seconds": ("pts BIGINT, num INT, den INT", "DOUBLE", "CAST(pts AS DOUBLE) * num / den"),
     "seconds_to_pts": ("seconds DOUBLE, num INT, den INT", "BIGINT", "CAST(round(seconds * den / num) AS BIGINT)"),
@@ -17,6 +19,7 @@ SCALARS = {
 
 def register(spark: SparkSession) -> None:
     """Makes the functions known to a session."""
+    importable(spark)
     for name, (arguments, kind, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     spark.udtf.register("clip_indices", ClipIndices)

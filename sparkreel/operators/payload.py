@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkreel.workers import mapped
+
 #: How red, green and blue follow from luma and chroma: kr, kb of each standard.
 COLOUR = {"bt601": (0.299, 0.114), "bt709": (0.2126, 0.0722), "bt2020": (0.2627, 0.0593)}
 
@@ -121,7 +123,7 @@ def map_frames(frames: DataFrame, change: Callable[[np.ndarray], np.ndarray], da
             new = {data: pa.array([None if x is None else x.tobytes() for x in images], pa.binary()), shape: pa.array([None if x is None else dict(zip("hwc", x.shape, strict=True)) for x in images], batch.column(names.index(shape)).type)}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(names)], names)
 
-    return frames.mapInArrow(run, frames.schema)
+    return mapped(frames, run, frames.schema)
 
 
 def resized(frames: DataFrame, height: int, width: int) -> DataFrame:
@@ -139,7 +141,7 @@ def converted(frames: DataFrame, standard: str = "bt601", full_range: bool = Fal
             new = {"data": pa.array([x.tobytes() for x in images], pa.binary()), "shape": pa.array([dict(zip("hwc", x.shape, strict=True)) for x in images], batch.column(names.index("shape")).type)}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(names)], names)
 
-    return frames.mapInArrow(run, frames.schema)
+    return mapped(frames, run, frames.schema)
 
 
 def channels_first(image: np.ndarray) -> np.ndarray:

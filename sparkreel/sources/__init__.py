@@ -1 +1,15 @@
+"""Data sources and backends."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the formats 'wav' and 'rawframes' known to a session."""
+    from sparkreel.sources import raw, wav
+    from sparkreel.workers import importable
+
+    importable(spark)
+    for source in (wav.WavSource, raw.RawFramesSource):
+        spark.dataSource.register(source)

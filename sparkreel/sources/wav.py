@@ -1,6 +1,6 @@
 """PCM WAV files: parsing, building, and a Python data source that reads and writes them.
 
-    spark.dataSource.register(WavSource)
+    sources.register(spark)
     spark.read.format("wav").option("frame_samples", 1024).load("/dir")     # schema AUDIO_FRAMES
     frames.write.format("wav").mode("append").save("/dir")                  # a file for each (source, stream)
 """

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sparkreel.workers import importable
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 INDEXED = "stream_index long, frame_index long, pts long, is_key boolean, gop_id long"
 
@@ -44,6 +46,7 @@ class FrameNumbering(StatefulProcessor):
 
 def frame_index_stream(packets: DataFrame) -> DataFrame:
     """packets: a streaming frame of stream_index, seq, pts, is_key, is_discard. Each frame once, numbered."""
+    importable(packets.sparkSession)
     live = packets.filter(~F.col("is_discard")).select(F.col("stream_index").cast("long").alias("stream_index"), "seq", "pts", "is_key")
     return live.groupBy("stream_index").transformWithStateInPandas(statefulProcessor=FrameNumbering(), outputStructType=INDEXED, outputMode="Append", timeMode="None")
 
@@ -71,6 +74,7 @@ class Reading(StatefulProcessor):
 
 def read_on(packets: DataFrame, cursors: dict[int, int] | None = None) -> DataFrame:
     """Frames from each stream's cursor on (from its start where none is given), none of them twice: stream_index, pts. cursors: the streams someone has sought in, few."""
+    importable(packets.sparkSession)
     live = packets.filter(~F.col("is_discard")).select(F.col("stream_index").cast("long").alias("stream_index"), "seq", "pts")
     return live.groupBy("stream_index").transformWithStateInPandas(statefulProcessor=Reading(cursors or {}), outputStructType="stream_index long, pts long", outputMode="Append", timeMode="None")
 

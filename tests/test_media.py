@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkreel import api
+from sparkreel import api, sources
 from sparkreel.frames import AudioSamples, Frame, FrameBatch
 from sparkreel.functions import sql
 from sparkreel.operators import payload
@@ -24,8 +24,7 @@ def test_wav_round_trip(bits, near):
 
 
 def test_wav_source_and_sink(spark, tmp_path):
-    for s in (wav.WavSource, raw.RawFramesSource):
-        spark.dataSource.register(s)
+    sources.register(spark)
     for k in range(2):
         (tmp_path / f"in{k}.wav").write_bytes(wav.build(tone(4000 + k), 8000))
     rows = spark.read.format("wav").option("frame_samples", 512).load(str(tmp_path))
@@ -37,7 +36,7 @@ def test_wav_source_and_sink(spark, tmp_path):
 
 
 def test_raw_frames(spark, tmp_path):
-    spark.dataSource.register(raw.RawFramesSource)
+    sources.register(spark)
     images = np.random.default_rng(0).integers(0, 256, (70, 4, 6, 3), np.uint8)
     (tmp_path / "v.rgb").write_bytes(images.tobytes())
     frames = spark.read.format("rawframes").options(width=6, height=4, pixel="rgb24", fps=10).load(str(tmp_path / "v.rgb"))
