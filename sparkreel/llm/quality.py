@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkreel.workers import mapped
+
 from .common import OWN, located, saved, text_of
 
 ORDER, BITS = 5, 12
@@ -97,7 +99,7 @@ def counted(rows: DataFrame) -> DataFrame:
                         size = 0
         yield from out()
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    return mapped(rows.select("lang", "text"), run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
 def low(column: str, order: int) -> Column:
@@ -246,7 +248,7 @@ def sums(docs: DataFrame, whole: DataFrame, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*taken, pa.array(models, pa.string()), flat(totals, pa.float64()), flat(sizes, pa.int64())], [*rest, "model", "total", "n"])
 
         rows_ = docs.select(*rest, "lang", "text")
-        one = rows_.mapInArrow(run, rows_.drop("lang", "text").schema.add("model", "string").add("total", "double").add("n", "long"))
+        one = mapped(rows_, run, rows_.drop("lang", "text").schema.add("model", "string").add("total", "double").add("n", "long"))
         found = one if found is None else found.unionByName(one)
     if shards > 1:
         found = found.groupBy(*rest, "model").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
@@ -262,7 +264,8 @@ def scored(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, lang: str
     place = [f"{OWN}file", f"{OWN}row"]
     base = rows.select(*place, F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.trim(F.regexp_replace(text_of(text), r"\s+", " ")).alias("text"))
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    trusted = base.join(good, "doc_id").filter(F.length("text") >= 1)
+    # one plan at every size: ids of labelled rows grow with the input, so they are never broadcast
+    trusted = base.filter("text != ''").join(good.hint("merge"), "doc_id")
     whole = model(trusted.filter(fold(F.col("doc_id")) != 0).select("lang", "text"))
     size = whole.count()
     if not size:
