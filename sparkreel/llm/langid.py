@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkreel.workers import mapped
+
 from .common import text_of
 
 SAMPLE, EXCERPT, KILOBYTES, SHARDS, LANGUAGES = 600, 4000, 64, 4, 256
@@ -122,7 +124,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, list[bytes]], text: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())], [*rest, "lang_pred", "score", "accepted"])
 
     rows = docs.select(*rest, text_of(text).alias(text))
-    return rows.mapInArrow(run, rows.drop(text).schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean"))
+    return mapped(rows, run, rows.drop(text).schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean"))
 
 
 def classify(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkreel.workers import mapped
+
 from . import bpe
 from .common import text_of
 
@@ -49,7 +51,7 @@ def count(docs: DataFrame, model: bytes | None = None, text: str = "text", to: s
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(counts, pa.int64())], [*rest, to])
 
     rows = docs.select(*rest, text_of(text).alias(text))
-    return rows.mapInArrow(run, rows.drop(text).schema.add(to, "long"))
+    return mapped(rows, run, rows.drop(text).schema.add(to, "long"))
 
 
 def report(docs: DataFrame, limit: int = 4096, **options) -> DataFrame:

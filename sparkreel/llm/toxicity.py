@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkreel.workers import mapped
+
 from .common import text_of
 
 #: Bounds of the training sample.
@@ -334,7 +336,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "scor
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(rest)]), pa.array(own.score(texts[a:b]), pa.float64())], [*rest, to])
 
     rows = docs.select(*rest, text_of(text).alias(text))
-    return rows.mapInArrow(run, rows.drop(text).schema.add(to, "double"))
+    return mapped(rows, run, rows.drop(text).schema.add(to, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
