@@ -83,6 +83,27 @@ def played_at(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEY
     return carried.select(*keys, "request_id", F.col("at").alias("t"), "frame.*")
 
 
+def played_at_by_bucket(index: DataFrame, requests: DataFrame, ticks: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The same for streams of any length: the time line is cut into buckets of ticks, and each bucket knows the last frame before it.
+
+    Only buckets, not frames or requests, come together by stream.
+    """
+    columns = [c for c in index.columns if c not in keys]
+    frame = F.struct(*columns)
+    cut = lambda c: F.floor(F.col(c) / F.lit(ticks))
+    own = index.select(*keys, cut("pts").alias("bucket"), F.col("pts").alias("at"), F.lit(0).alias("kind"), F.col("frame_index").alias("tie"), frame.alias("frame"), F.lit(None).cast("long").alias("request_id"))
+    kind = own.schema["frame"].dataType
+    asked = requests.select(*keys, cut("t").alias("bucket"), F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast(kind).alias("frame"), F.col("request_id").cast("long").alias("request_id"))
+    inside = Window.partitionBy(*keys, "bucket").orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    carried = own.unionByName(asked).withColumn("frame", F.last("frame", ignorenulls=True).over(inside)).filter("kind = 1")
+    lasts = own.groupBy(*keys, "bucket").agg(F.max_by("frame", F.struct("at", "tie")).alias("last"))
+    buckets = lasts.unionByName(asked.select(*keys, "bucket").distinct().withColumn("last", F.lit(None).cast(kind))).groupBy(*keys, "bucket").agg(F.first("last", ignorenulls=True).alias("last"))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = buckets.select(*keys, "bucket", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    found = carried.join(before, [*keys, "bucket"]).withColumn("frame", F.coalesce("frame", "before")).filter("frame is not null")
+    return found.select(*keys, "request_id", F.col("at").alias("t"), "frame.*")
+
+
 def played_at_join(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS, most: int = MOST_BROADCAST) -> DataFrame:
     """The same by an equality join with a range residual; the better plan for few requests, which are broadcast."""
     asked = _side(requests, most)

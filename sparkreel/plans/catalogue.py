@@ -226,6 +226,12 @@ def frames_played_at(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.played_at(media.frames(spark, sf), media.requests(spark, sf, beyond=1000)).select("stream_index", "request_id", "t", "frame_index", "pts")
 
 
+@query(f"WITH {FRAMES}{ASKED.format(beyond=1000)} {ASOF}")
+def frames_played_at_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    found = lookup.played_at_by_bucket(media.frames(spark, sf), media.requests(spark, sf, beyond=1000), 86_400_000_000)
+    return found.select("stream_index", "request_id", "t", "frame_index", "pts")
+
+
 @query(f"WITH {FRAMES}{ASKED.format(beyond=1000)} {ASOF}")
 def frames_played_at_join(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.played_at_join(media.frames(spark, sf), media.requests(spark, sf, beyond=1000)).select("stream_index", "request_id", "t", "frame_index", "pts")

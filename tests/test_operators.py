@@ -44,7 +44,7 @@ def test_played_at_golden_instants(spark, frames):
     asked = [6.006, 6.02, 6.039366, 0.84, 1.17, 0.85, 0.0]
     rows = spark.createDataFrame([(0, k, t) for k, t in enumerate(asked)], "stream_index int, request_id long, t double")
     line = index.timed(frames, NUM, DEN).select("stream_index", F.col("pts_seconds").alias("pts"), F.col("next_pts_seconds").alias("next_pts"), "frame_index")
-    for find in (lookup.played_at, lookup.played_at_join):
+    for find in (lookup.played_at, lookup.played_at_join, lambda a, b: lookup.played_at_by_bucket(a, b, 1), lambda a, b: lookup.played_at_by_bucket(a, b, 100)):
         got = {r.request_id: r.frame_index for r in find(line, rows).collect()}
         assert [got[k] for k in range(len(asked))] == [180, 180, 180, 25, 35, 25, 0]
 
