@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, exact_dedup, langid, line_dedup, quality, simhash, sp_codec, substring_dedup, token_counts, toxicity
-from .common import OWN, table, text_of
+from .common import OWN, table
 
 
 def digest_of(name: str):
@@ -32,10 +32,8 @@ def removal_report(out: DataFrame, name: str) -> DataFrame:
 
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, decoded again: how many, the digest of the ids, and whether the text came back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(text_of()).alias("before"), "text")
-    ids = sp_codec.encode(docs).select("doc_id", "before", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5"), "ids")
-    back = sp_codec.decode(ids)
-    return back.select("doc_id", "n_tokens", "ids_md5", (F.xxhash64("text") == F.col("before")).alias("round_trip"))
+    ids = sp_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip="round_trip")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",").cast("binary")).alias("ids_md5"), "round_trip")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

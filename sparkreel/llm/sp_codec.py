@@ -20,16 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from sparkreel.workers import mapped
+
 from .bpe import SPACE, WORD, Model
 from .common import text_of
 from .token_counts import model_bytes
 
 #: Characters of text taken at once.
-BATCH = 4 << 20
+BATCH = 2 << 20
 _encoders: dict[int, Encoder] = {}
+_decoders: dict[int, Decoder] = {}
 
 
 class PairTable:
@@ -67,10 +71,12 @@ class PairTable:
             if len(fresh) > self.SLOTS // 2:  # more pairs than the table is made for: no table
                 known = np.fromiter((self.model.stable(*divmod(int(k), self.model.size)) for k in fresh), bool, len(fresh))
                 return known[np.searchsorted(fresh, keys)]
-            for k in fresh.tolist():
-                slot = self.slots(np.array([k]))[0]
-                self.keys[slot], self.kept[slot] = k, self.model.stable(*divmod(k, self.model.size))
+            good = np.fromiter((self.model.stable(*divmod(k, self.model.size)) for k in fresh.tolist()), bool, len(fresh))
             self.used += len(fresh)
+            while len(fresh):  # of keys that belong in one place, one takes it and the rest look on
+                slot, one = np.unique(self.slots(fresh), return_index=True)
+                self.keys[slot], self.kept[slot] = fresh[one], good[one]
+                fresh, good = np.delete(fresh, one), np.delete(good, one)
             at = self.slots(keys)
         return self.kept[at]
 
@@ -86,6 +92,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.order = sorted(model.ids)
         self.letters = {ord(c) for p in self.order for c in p}
+        self.code_points = np.array(sorted(self.letters), np.int32)
 
     def packed(self, codes: np.ndarray, bits: int, depth: int) -> np.ndarray:
         """From every place, the next depth codes as one number; past the end there are zeros."""
@@ -100,17 +107,18 @@ class Encoder:
         alphabet = np.array(sorted(self.letters & set(np.unique(text).tolist())), np.int64)
         bits = 8 if len(alphabet) < 255 else 16
         depth = 64 // bits
-        place = np.searchsorted(alphabet, text)
-        inside = (place < len(alphabet)) & (alphabet[np.minimum(place, len(alphabet) - 1)] == text) if len(alphabet) else np.zeros(len(text), bool)
-        codes = np.where(inside, place + 1, 0).astype(np.uint16)
+        lookup = np.zeros(int(text.max(initial=0)) + 1, np.uint16)
+        lookup[alphabet] = np.arange(1, len(alphabet) + 1)
+        codes = lookup[text]
         code = {int(c): i + 1 for i, c in enumerate(alphabet)}
         pieces = [(p, i) for p, i in self.model.ids.items() if all(ord(c) in code for c in p)]
         if not pieces:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int32),) * 3
         # the suffix array, as deep as one number; ranges that longer pieces need are sorted deeper below
         keys = self.packed(codes, bits, depth)
-        array = np.argsort(keys, kind="stable")
+        array = np.argsort(keys).astype(np.int32)
         ranked = keys[array]
+        del keys
         size = np.fromiter((len(p) for p, _ in pieces), np.int64, len(pieces))
         low = np.fromiter((sum(code[ord(c)] << bits * (depth - 1 - k) for k, c in enumerate(p[:depth])) for p, _ in pieces), np.uint64, len(pieces))
         free = np.maximum(0, depth - size) * bits
@@ -129,30 +137,29 @@ class Encoder:
             starts.append(suffixes)
             which.append(np.full(len(suffixes), k, np.int32))
         if not starts:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int32),) * 3
         start, k = np.concatenate(starts), np.concatenate(which)
-        ids = np.fromiter((i for _, i in pieces), np.int64, len(pieces))
-        return start, size[k], ids[k]
+        ids = np.fromiter((i for _, i in pieces), np.int32, len(pieces))
+        return start, size.astype(np.int32)[k], ids[k]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word (no empty ones), as int32 bytes."""
-        text = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        text = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        sizes = np.fromiter(map(len, words), np.int32, len(words))
+        begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int32)
         start, length, piece = self.edges(text)
-        of = np.repeat(np.arange(len(words)), sizes + 1)
-        offset = start - begin[of[start]]
+        base = np.repeat(begin, sizes + 1)
         # places whose character is in no piece: one edge that is always taken
-        known = np.isin(text, np.fromiter(self.letters, np.int64, len(self.letters)))
-        inside = np.ones(len(text), bool)
-        inside[begin + sizes] = False
-        strange = np.nonzero(inside & ~known)[0]
-        start, length, piece = np.concatenate([start, strange]), np.concatenate([length, np.ones(len(strange), np.int64)]), np.concatenate([piece, np.full(len(strange), self.UNKNOWN)])
-        offset = np.concatenate([offset, strange - begin[of[strange]]])
-        by = np.argsort(offset, kind="stable")
+        strange = np.ones(len(text), bool)
+        strange[begin + sizes] = False
+        strange = np.nonzero(strange & ~np.isin(text, self.code_points))[0].astype(np.int32)
+        if len(strange):
+            start, length, piece = np.concatenate([start, strange]), np.concatenate([length, np.ones(len(strange), np.int32)]), np.concatenate([piece, np.full(len(strange), self.UNKNOWN, np.int32)])
+        offset = start - base[start]
+        by = np.argsort(offset.astype(np.uint16) if offset.max(initial=0) < 1 << 16 else offset, kind="stable")
         start, length, piece, offset = start[by], length[by], piece[by], offset[by]
         # last[p]: the piece that ends at place p, as seen from the next one; back[p]: where it begins
-        last, back = np.full(len(text) + 1, self.FREE, np.int64), np.full(len(text) + 1, -1, np.int64)
+        last, back = np.full(len(text) + 1, self.FREE, np.int32), np.full(len(text) + 1, -1, np.int32)
         cuts = np.searchsorted(offset, np.arange(int(offset[-1]) + 2)) if len(offset) else np.zeros(1, np.int64)
         for d in range(len(cuts) - 1):
             s, n, p = start[cuts[d] : cuts[d + 1]], length[cuts[d] : cuts[d + 1]], piece[cuts[d] : cuts[d + 1]]
@@ -160,29 +167,31 @@ class Encoder:
             good = (before < 0) | (p < 0)
             ask = np.nonzero(~good)[0]
             if len(ask):
-                good[ask] = self.pairs.stable(before[ask], p[ask])
+                good[ask] = self.pairs.stable(before[ask].astype(np.int64), p[ask].astype(np.int64))
             s, e, p = s[good], (s + n)[good], p[good]
             last[e], back[e] = p, s
         return self.read_back(words, text, begin, sizes, last, back)
 
     def read_back(self, words: list[str], text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[bytes]:
         at, who = begin + sizes, np.arange(len(words))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found, tokens = [], np.zeros(len(words), np.int64)
         while len(who):
             found.append((who, at, last[at]))
+            tokens[who] += 1
             at = back[at]
             more = at > begin[who]
             at, who = at[more], who[more]
-        who, at, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        by = np.lexsort((at, who))
-        who, at, ids = who[by], at[by], ids[by]
+        ends = np.cumsum(tokens)
+        ids, places = np.zeros(int(ends[-1]), np.int32), np.zeros(int(ends[-1]), np.int32)
+        for step, (who, at, own) in enumerate(found):  # the step-th token from a word's end
+            spot = ends[who] - 1 - step
+            ids[spot], places[spot] = own, at
         if (ids == self.UNKNOWN).any():
-            spelled = [[self.model.byte[b] for b in chr(int(text[a - 1])).encode("utf-8", "surrogatepass")] if i == self.UNKNOWN else [i] for a, i in zip(at.tolist(), ids.tolist(), strict=True)]
-            who = np.repeat(who, [len(x) for x in spelled])
-            ids = np.fromiter((i for x in spelled for i in x), np.int64, len(who))
-        cuts = np.searchsorted(who, np.arange(len(words) + 1)) * 4
-        flat = ids.astype("<i4").tobytes()
-        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            spelled = [[self.model.byte[b] for b in chr(int(text[a - 1])).encode("utf-8", "surrogatepass")] if i == self.UNKNOWN else [i] for a, i in zip(places.tolist(), ids.tolist(), strict=True)]
+            tokens = np.add.reduceat(np.fromiter(map(len, spelled), np.int64, len(spelled)), np.concatenate(([0], ends[:-1])))
+            ids, ends = np.fromiter((i for x in spelled for i in x), np.int32), np.cumsum(tokens)
+        flat, cuts = ids.astype("<i4").tobytes(), (np.concatenate(([0], ends)) * 4).tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -218,16 +227,16 @@ class Decoder:
         return b"".join([self.parts[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
 
 
-def batches_of(texts: list[str], most: int = BATCH) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about most characters in all, one text at least."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
+def batches_of(sizes: list[int], most: int = BATCH) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about most characters (or bytes) in all, one text at least."""
+    at = total = 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
             yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+            at, total = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def encoder_of(model: bytes) -> Encoder:
@@ -238,22 +247,39 @@ def encoder_of(model: bytes) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model: bytes | None = None, text: str = "text", to: str = "ids") -> DataFrame:
-    """docs with its text replaced by the ids of its pieces, an array<int> column named to."""
+def decoder_of(model: bytes) -> Decoder:
+    key = hash(model)
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(Model(model))
+    return _decoders[key]
+
+
+def encode(docs: DataFrame, model: bytes | None = None, text: str = "text", to: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """docs with its text replaced by the ids of its pieces, an array<int> column named to.
+
+    round_trip: name of a column more, whether decoding the ids gave the text again.
+    """
     rest, file = [c for c in docs.columns if c != text], model or model_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder_of(file)
+        back = Decoder(machine.model)
         for batch in batches:
-            texts = batch.column(len(rest)).to_pylist()
-            for a, b in batches_of(texts):
-                ids = machine.encode(texts[a:b])
+            column = batch.column(len(rest))
+            for a, b in batches_of(pc.binary_length(column).to_pylist()):
+                texts = column.slice(a, b - a).to_pylist()
+                ids = machine.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(rest)]), lists], [*rest, to])
+                found = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))]
+                if round_trip:
+                    found.append(pa.array([back.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(rest)]), *found], names)
 
+    names = [*rest, to, *([round_trip] if round_trip else [])]
     rows = docs.select(*rest, text_of(text).alias(text))
-    return rows.mapInArrow(run, rows.drop(text).schema.add(to, ArrayType(IntegerType())))
+    schema = rows.drop(text).schema.add(to, ArrayType(IntegerType()))
+    return mapped(rows, run, schema.add(round_trip, "boolean") if round_trip else schema)
 
 
 def decode(tokens: DataFrame, model: bytes | None = None, ids: str = "ids", to: str = "text") -> DataFrame:
@@ -261,11 +287,11 @@ def decode(tokens: DataFrame, model: bytes | None = None, ids: str = "ids", to:
     rest, file = [c for c in tokens.columns if c != ids], model or model_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Decoder(encoder_of(file).model)
+        machine = decoder_of(file)
         for batch in batches:
             column = batch.column(len(rest))
             texts = [machine.decode(column[i].values.to_numpy(zero_copy_only=False).tolist()) if column[i].is_valid else "" for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string())], [*rest, to])
 
     rows = tokens.select(*rest, ids)
-    return rows.mapInArrow(run, rows.drop(ids).schema.add(to, "string"))
+    return mapped(rows, run, rows.drop(ids).schema.add(to, "string"))

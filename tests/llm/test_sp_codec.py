@@ -35,7 +35,7 @@ def test_round_trip(encoder):
 
 def test_pair_table_is_bounded(encoder):
     small = sp_codec.PairTable(encoder.model)
-    small.SLOTS = 1 << 21
+    
     a, b = np.array(sorted(encoder.model.pieces))[300:420], np.array(sorted(encoder.model.pieces))[500:620]
     want = [encoder.model.stable(int(p), int(q)) for p, q in zip(a, b, strict=True)]
     assert small.stable(a, b).tolist() == want == small.stable(a, b).tolist()
@@ -50,3 +50,10 @@ def test_frames(spark):
     assert [len(r.ids) for r in ids.collect()][:3] == [3, 0, 0]
     assert [r.text for r in sp_codec.decode(ids).collect()] == ["Hello  world", "", "", "z " * 9000]
     assert sp_codec.encode(rows.limit(0)).collect() == []
+
+
+def test_round_trip_column(spark):
+    rows = spark.createDataFrame([(1, "Hello  world"), (2, None), (3, "a▁b"), (4, "é😀")], "doc_id long, text string").coalesce(1)
+    out = sp_codec.encode(rows, to="t", round_trip="back")
+    assert out.columns == ["doc_id", "t", "back"]
+    assert [r.back for r in out.collect()] == [True, True, False, True]
