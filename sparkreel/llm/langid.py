@@ -41,7 +41,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def bare(text: str) -> bytes:
     """The words of a text, in lower case, with a space on either side."""
     words = [w for w, _ in groupby(_LETTERS.findall(text.lower()))]
-    return f" {' '.join(words)} ".encode("utf-8", "surrogatepass") if words else b""
+    if not any(c.isalpha() for w in words for c in w):
+        return b""
+    return f" {' '.join(words)} ".encode("utf-8", "surrogatepass")
 
 
 class Classifier:

@@ -46,4 +46,4 @@ def test_narrow_margins_are_rejected():
     same = b" the same words in both of them again and again "
     machine = langid.Classifier({"a": [same], "b": [same]})
     assert machine.predict("the same words")[0] == "a" and not machine.predict("the same words")[2]
-    assert langid.bare("A  a, B!") == b" a b "
+    assert langid.bare("A  a, B!") == b" a b " and langid.bare("12² _ ½") == b""
