@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkreel.workers import mapped
+
 from .common import OWN, located, saved
 from .components import connected_components
 
@@ -80,7 +82,7 @@ def with_node(docs: DataFrame, parts: list[tuple[int, int]], text: str = "text")
 
     rows = docs.select(*rest, F.col(text).cast("string").alias(text))
     schema = rows.drop(text).schema.add("node", "binary")
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def forest(stack: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,16 +119,16 @@ def bucket_links(groups: DataFrame, skip: int, distance: int) -> DataFrame:
                     b += [picked[i] for i in (g * m + label[g, k]).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return groups.select("members").mapInArrow(run, "a binary, b binary")
+    return mapped(groups.select("members"), run, "a binary, b binary")
 
 
 def variants(nodes: DataFrame, index_bits: int) -> DataFrame:
-    """key, node for every segment and every bit of it left out: the key packs segment, bit and the rest of the segment's value."""
+    """key, id for every segment and every bit of it left out: the key packs segment, bit and the rest of the segment's value."""
     numbers = F.array(*[F.conv(F.hex(F.substring("node", 4 * s + 1, 4)), 16, 10).cast("long") for s in range(index_bits // SEGMENT)])
-    each = nodes.select("node", numbers.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(index_bits - 1))).alias("k"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("k", F.lit(SEGMENT)))
-    rest = F.element_at("n", (F.floor(F.col("k") / SEGMENT) + 1).cast("int")).bitwiseAND(F.bitwise_not(bit))
-    return each.select((F.shiftleft(F.col("k").cast("long"), 32) + rest).alias("key"), "node")
+    segments = nodes.select("id", F.posexplode(numbers).alias("s", "v"))
+    each = segments.select("id", "s", "v", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("p"))
+    rest = F.col("v").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p"))))
+    return each.select((F.shiftleft((F.col("s") * SEGMENT + F.col("p")).cast("long"), 32) + rest).alias("key"), "id")
 
 
 def narrower(big: DataFrame, index_bits: int) -> DataFrame:
@@ -156,20 +158,27 @@ def narrower(big: DataFrame, index_bits: int) -> DataFrame:
                         frees.append(rest)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nodes, pa.binary()), pa.array(frees, pa.list_(pa.int32()))], ["key", "node", "free"])
 
-    return big.select(F.col("key").cast("string").alias("key"), "node", "free").mapInArrow(run, "key string, node binary, free array<int>")
+    return mapped(big.select(F.col("key").cast("string").alias("key"), "node", "free"), run, "key string, node binary, free array<int>")
 
 
 def links(nodes: DataFrame, index_bits: int, distance: int, skip: int, block: int = BLOCK) -> DataFrame:
-    """nodes: node, all different. Links a, b that join what the index brings together within distance over the bytes after skip."""
-    at, found = variants(nodes, index_bits).withColumn("free", F.lit(None).cast("array<int>")), None
+    """nodes: node, all different. Links a, b that join what the index brings together within distance over the bytes after skip.
+
+    What is indexed is a hash of the node, to move little; nodes that share one are met as if both were there.
+    """
+    named = nodes.select(F.xxhash64("node").alias("id"), "node")
+    # nodes are few bytes and many variants: dealt out evenly before they multiply
+    spread = named.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    dealt = variants(spread, index_bits).repartition("key")
+    # least, which holds for every row, keeps id in what is counted, so that counting and joining share one exchange
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
+    met = dealt.join(sizes, "key").filter(F.col("id") >= F.col("least")).join(named, "id").select("key", "node", "n", F.lit(None).cast("array<int>").alias("free"))
+    shared, found = saved(met, "shared"), None
     while True:
-        dealt = at.repartition("key")
-        sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = dealt.join(sizes, "key")
         groups = shared.filter(F.col("n") <= block).groupBy("key").agg(F.collect_list("node").alias("members"))
         new = bucket_links(groups, skip, distance)
         found = new if found is None else found.unionByName(new)
-        large = saved(shared.filter(F.col("n") > block).select("key", "node", "free"), "large")
+        large = shared.filter(F.col("n") > block)
         if large.isEmpty():
             return found
         spent = F.coalesce(F.size("free") == 0, F.lit(False))
@@ -179,7 +188,9 @@ def links(nodes: DataFrame, index_bits: int, distance: int, skip: int, block: in
         blocks = tail.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("part")).agg(F.collect_list("node").alias("members"))
         joined = blocks.join(firsts, "key").select(F.array_distinct(F.concat(F.array("first"), F.col("members"))).alias("members"))
         found = found.unionByName(bucket_links(joined, skip, distance))
-        at = narrower(large.filter(~spent), index_bits)
+        at = narrower(large.filter(~spent), index_bits).repartition("key")
+        again = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = saved(at.join(again, "key").select("key", "node", "n", "free"), "shared")
 
 
 def components(fingerprints: DataFrame, index_bits: int, distance: int, skip: int, block: int = BLOCK) -> DataFrame:
