@@ -28,11 +28,11 @@ class VideoDecoder:
 
     def __init__(self, frames: DataFrame, *, seek_mode: str = "exact", dimension_order: str = "NCHW", average_fps: float | None = None, num_frames: int | None = None, custom_frame_mappings: str | None = None, tb: tuple[int, int] = (1, 1_000_000)):
         if seek_mode not in SEEK_MODES[:2]:
-            raise ValueError(f"Invalid seek mode ({seek_mode}). Supported values are {', '.join(SEEK_MODES[:2])}.")
+            raise ValueError(f"{seek_mode!r} is no seek mode; there are {', '.join(SEEK_MODES[:2])}")
         if custom_frame_mappings is not None and seek_mode == "approximate":
-            raise ValueError("custom_frame_mappings and seek_mode='approximate' are incompatible. Use seek_mode='exact' or leave it unspecified")
+            raise ValueError("custom frame mappings are an exact index: they exclude the approximate mode")
         if dimension_order not in DIMENSION_ORDERS:
-            raise ValueError(f"Invalid dimension order ({dimension_order}). Supported values are {', '.join(DIMENSION_ORDERS)}.")
+            raise ValueError(f"{dimension_order!r} is no dimension order; there are {', '.join(DIMENSION_ORDERS)}")
         if seek_mode == "approximate" and (average_fps is None or num_frames is None):
             raise RuntimeError("approximate mode needs the header's average_fps and num_frames")
         self.order, self.mode, self.fps = dimension_order, seek_mode, average_fps
@@ -67,7 +67,7 @@ class VideoDecoder:
         if isinstance(key, slice):
             a, b, step = key.indices(self.count)
             return self.get_frames_in_range(a, max(a, b), step).data
-        raise TypeError(f"Unsupported key type: {type(key)}. Supported types are int and slice.")
+        raise TypeError(f"frames are taken by int or slice, not by {type(key).__name__}")
 
     def _batch(self, rows: list) -> FrameBatch:
         images = [self._picture(r) for r in rows]
@@ -86,7 +86,7 @@ class VideoDecoder:
         wrapped = [i + self.count if i < 0 else i for i in indices]
         for asked, i in zip(indices, wrapped, strict=True):
             if not 0 <= i < self.count:
-                raise IndexError(f"Invalid frame index={asked}; must be between {-self.count} and {self.count - 1}")
+                raise IndexError(f"no frame has the index {asked}: there are {self.count}")
         found = {r.frame_index: r for r in self.frames.filter(F.col("frame_index").isin(sorted(set(wrapped)))).collect()}
         return [found[i] for i in wrapped]
 
@@ -115,22 +115,22 @@ class VideoDecoder:
 
     def get_frame_played_at(self, seconds: float) -> Frame:
         if not self.begin <= seconds < self.end:
-            raise IndexError(f"Invalid pts in seconds: {seconds}. It must be greater than or equal to {self.begin} and less than {self.end}.")
+            raise IndexError(f"nothing is shown at {seconds} s: the stream lasts from {self.begin} to before {self.end}")
         return self.get_frame_at(self._index_at([seconds])[0])
 
     def get_frames_played_at(self, seconds: list[float]) -> FrameBatch:
         for t in seconds:
             if not self.begin <= t < self.end:
-                raise RuntimeError(f"frame pts is {t}; must be in range [{self.begin}, {self.end}).")
+                raise RuntimeError(f"nothing is shown at {t} s: the stream lasts from {self.begin} to before {self.end}")
         return self._batch(self._requested(self._index_at(list(seconds)))) if len(seconds) else self._batch([])
 
     def get_frames_played_in_range(self, start_seconds: float, stop_seconds: float) -> FrameBatch:
         if not start_seconds <= stop_seconds:
-            raise ValueError(f"Invalid start seconds: {start_seconds}. It must be less than or equal to stop seconds ({stop_seconds}).")
+            raise ValueError(f"the range starts at {start_seconds} s, after its stop at {stop_seconds} s")
         if not self.begin <= start_seconds < self.end:
-            raise ValueError(f"Invalid start seconds: {start_seconds}. It must be greater than or equal to {self.begin} and less than {self.end}.")
+            raise ValueError(f"the range starts at {start_seconds} s, outside the stream ({self.begin} to before {self.end})")
         if not stop_seconds <= self.end:
-            raise ValueError(f"Invalid stop seconds: {stop_seconds}. It must be less than or equal to {self.end}.")
+            raise ValueError(f"the range stops at {stop_seconds} s, after the stream's end at {self.end}")
         if start_seconds == stop_seconds:
             return self._batch([])
         if self.mode == "approximate":
@@ -157,10 +157,10 @@ class AudioDecoder:
 
     def get_samples_played_in_range(self, start_seconds: float = 0.0, stop_seconds: float | None = None) -> AudioSamples:
         if stop_seconds is not None and start_seconds > stop_seconds:
-            raise ValueError(f"Invalid start seconds: {start_seconds}. It must be less than or equal to stop seconds ({stop_seconds}).")
+            raise ValueError(f"the range starts at {start_seconds} s, after its stop at {stop_seconds} s")
         n = self.samples.shape[1]
         if start_seconds * self.rate >= n and start_seconds != stop_seconds:
-            raise RuntimeError(f"No audio frames were decoded. start_seconds={start_seconds} lies past the end.")
+            raise RuntimeError(f"there are no samples from {start_seconds} s on")
         a = max(0, round(start_seconds * self.rate))
         b = n if stop_seconds is None or stop_seconds >= n / self.rate else n - round((n / self.rate - stop_seconds) * self.rate)
         data = self.samples[:, a : max(a, b)]
@@ -173,18 +173,18 @@ class AudioEncoder:
     def __init__(self, samples: np.ndarray, *, sample_rate: int):
         samples = np.asarray(samples)
         if samples.ndim not in (1, 2):
-            raise ValueError(f"Expected 1D or 2D samples, got samples.shape = {samples.shape}.")
+            raise ValueError(f"samples are one channel or channels x samples, not of shape {samples.shape}")
         if samples.dtype != np.float32:
-            raise ValueError(f"Expected float32 samples, got {samples.dtype}.")
+            raise ValueError(f"samples must be float32, not {samples.dtype}")
         if sample_rate <= 0:
-            raise ValueError(f"sample_rate = {sample_rate} must be > 0.")
+            raise ValueError(f"a sample rate of {sample_rate} is none")
         self.samples, self.rate = np.atleast_2d(samples), sample_rate
 
     def to_bytes(self, format: str = "wav", *, bit_rate: int | None = None, num_channels: int | None = None, sample_rate: int | None = None, bits: int = 16) -> bytes:
         if format != "wav":
             raise backends.NoBackend(f"only wav can be encoded here, not {format}; compressed codecs need a backend of their own")
         if bit_rate is not None and bit_rate < 0:
-            raise ValueError(f"bit_rate={bit_rate} must be >= 0.")
+            raise ValueError(f"a bit rate of {bit_rate} is none")
         x = payload.resample(self.samples, self.rate, sample_rate or self.rate)
         return wav.build(payload.remix(x, num_channels) if num_channels is not None else x, sample_rate or self.rate, bits)
 
@@ -195,7 +195,7 @@ class AudioEncoder:
 
     def to_file_like(self, dest, format: str = "wav", **options) -> None:
         if not (hasattr(dest, "write") and hasattr(dest, "seek")):
-            raise RuntimeError("File like object must implement a write method and a seek method.")
+            raise RuntimeError("the destination needs write and seek")
         dest.write(self.to_bytes(format, **options))
 
 

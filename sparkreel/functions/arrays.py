@@ -22,7 +22,7 @@ def wrap(values: Column, size: int) -> Column:
 
 def error(values: Column, size: int) -> Column:
     """values, or a failure of the query where they are too few."""
-    return F.when(F.size(values) >= size, values).otherwise(F.raise_error(F.lit("You set the 'error' policy, and the sampler tried to decode a frame that is beyond the number of frames in the video. Try to leave sampling_range_end to its default value?")).cast("array<double>"))
+    return F.when(F.size(values) >= size, values).otherwise(F.raise_error(F.lit("a clip reaches past the end of its stream, which the 'error' policy forbids; the default sampling_range_end leaves room")).cast("array<double>"))
 
 
 POLICIES: dict[str, Callable[[Column, int], Column]] = {"repeat_last": repeat_last, "wrap": wrap, "error": error}

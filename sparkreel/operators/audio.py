@@ -13,7 +13,7 @@ KEYS = ("stream_index",)
 def overlapping(frames: DataFrame, start_seconds: float, stop_seconds: float | None, num: int = 1, den: int = 1_000_000) -> DataFrame:
     """Frames that share time with [start, stop), on ticks rounded to the nearest; none if the two are equal."""
     if stop_seconds is not None and start_seconds > stop_seconds:
-        raise ValueError(f"Invalid start seconds: {start_seconds}. It must be less than or equal to stop seconds ({stop_seconds}).")
+        raise ValueError(f"the range starts at {start_seconds} s, after its stop at {stop_seconds} s")
     start = closest_pts(F.lit(float(start_seconds)), num, den)
     met = frames.filter(start < F.col("pts") + F.col("duration"))
     if stop_seconds is None:

@@ -33,7 +33,7 @@ def checked_indices(index: DataFrame, requests: DataFrame, keys: tuple[str, ...]
     at = wrapped_index(F.col("idx"), F.col("n"))
     wrong = requests.join(sizes, list(keys), "left").filter(F.col("n").isNull() | (at < 0) | (at >= F.col("n"))).select("idx").head()
     if wrong:
-        raise FrameIndexError(f"Invalid frame index={wrong.idx}")
+        raise FrameIndexError(f"no frame has the index {wrong.idx}")
     return at_indices(index, requests, keys)
 
 

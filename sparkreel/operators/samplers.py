@@ -17,11 +17,11 @@ KEYS = ("stream_index",)
 
 def _common(num_frames_per_clip: int, policy: str, num_clips: int = 1) -> None:
     if num_frames_per_clip <= 0:
-        raise ValueError(f"num_frames_per_clip ({num_frames_per_clip}) must be strictly positive")
+        raise ValueError(f"a clip needs a frame at least, not num_frames_per_clip={num_frames_per_clip}")
     if num_clips <= 0:
-        raise ValueError(f"num_clips ({num_clips}) must be strictly positive")
+        raise ValueError(f"num_clips={num_clips} asks for no clip")
     if policy not in POLICIES:
-        raise ValueError(f"Invalid policy ({policy}). Supported values are {sorted(POLICIES)}.")
+        raise ValueError(f"{policy!r} is no policy; there are {sorted(POLICIES)}")
 
 
 def index_range(n: Column, start: int, end: int | None, span: int) -> tuple[Column, Column]:
@@ -54,7 +54,7 @@ def _exploded(streams: DataFrame, clips: Column, name: str, keys: tuple[str, ...
 def _index_sampler(streams: DataFrame, starts, num_frames_per_clip: int, step: int, start: int, end: int | None, policy: str, keys: tuple[str, ...]) -> DataFrame:
     _common(num_frames_per_clip, policy)
     if step <= 0:
-        raise ValueError(f"num_indices_between_frames ({step}) must be strictly positive")
+        raise ValueError(f"num_indices_between_frames={step} does not move on")
     n = F.col("num_frames").cast("long")
     a, b = index_range(n, start, end, clip_span(num_frames_per_clip, step))
     fits = streams.filter(n > 0).withColumns({"_a": a, "_b": b}).filter((F.col("_a") >= 0) & (F.col("_a") < n) & (F.col("_a") < F.col("_b")))
@@ -77,7 +77,7 @@ def clips_at_random_indices(streams: DataFrame, *, num_clips: int = 1, num_frame
 def _time_sampler(streams: DataFrame, starts, num_frames_per_clip: int, seconds: float | None, start: float | None, end: float | None, policy: str, keys: tuple[str, ...]) -> DataFrame:
     _common(num_frames_per_clip, policy)
     if seconds is not None and seconds <= 0:
-        raise ValueError(f"seconds_between_frames ({seconds}) must be strictly positive")
+        raise ValueError(f"seconds_between_frames={seconds} does not move on")
     begin, finish = F.col("begin_stream_seconds"), F.col("end_stream_seconds")
     dt = F.lit(float(seconds)) if seconds is not None else 1.0 / F.col("average_fps")
     a = begin if start is None else F.lit(float(start))
@@ -90,7 +90,7 @@ def _time_sampler(streams: DataFrame, starts, num_frames_per_clip: int, seconds:
 def clips_at_regular_timestamps(streams: DataFrame, *, seconds_between_clip_starts: float, num_frames_per_clip: int = 1, seconds_between_frames: float | None = None, sampling_range_start: float | None = None, sampling_range_end: float | None = None, policy: str = "repeat_last", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """streams: keys, begin_stream_seconds, end_stream_seconds, average_fps. keys, clip_id, pos, seconds of clips that start at even intervals."""
     if seconds_between_clip_starts <= 0:
-        raise ValueError(f"seconds_between_clip_starts ({seconds_between_clip_starts}) must be strictly positive")
+        raise ValueError(f"seconds_between_clip_starts={seconds_between_clip_starts} does not move on")
     return _time_sampler(streams, lambda a, b: arange(a, b, seconds_between_clip_starts), num_frames_per_clip, seconds_between_frames, sampling_range_start, sampling_range_end, policy, keys)
 
 

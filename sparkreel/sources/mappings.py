@@ -16,9 +16,9 @@ def check(text: str | bytes) -> None:
         frames = json.loads(text)["frames"]
         first = frames[0]
     except (ValueError, TypeError, KeyError, IndexError) as e:
-        raise ValueError("Invalid custom frame mappings: expected JSON with a list of frames that isn't empty") from e
+        raise ValueError("frame mappings are JSON with a list of frames, one at least") from e
     if not ({"pts", "pkt_pts"} & first.keys() and {"duration", "pkt_duration"} & first.keys() and "key_frame" in first):
-        raise ValueError("Invalid custom frame mappings. Each frame needs pts or pkt_pts, duration or pkt_duration, and key_frame")
+        raise ValueError("in frame mappings each frame has pts or pkt_pts, duration or pkt_duration, and key_frame")
 
 
 def exploded(rows: DataFrame, column: str = "mapping") -> DataFrame:

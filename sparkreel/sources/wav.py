@@ -70,13 +70,13 @@ def build(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
     """A WAV file of samples (channels x samples, or one channel) in [-1, 1]."""
     samples = np.atleast_2d(np.asarray(samples))
     if samples.ndim != 2:
-        raise ValueError(f"Expected 1D or 2D samples, got {samples.ndim}D.")
+        raise ValueError(f"samples are one channel or channels x samples, not {samples.ndim}-dimensional")
     if samples.dtype != np.float32:
-        raise ValueError(f"samples must have float32 dtype, got {samples.dtype}")
+        raise ValueError(f"samples must be float32, not {samples.dtype}")
     if rate <= 0:
-        raise ValueError(f"sample_rate = {rate} must be > 0.")
+        raise ValueError(f"a sample rate of {rate} is none")
     if not 1 <= samples.shape[0] <= MOST_CHANNELS:
-        raise ValueError(f"Trying to encode {samples.shape[0]} channels, but 1 to {MOST_CHANNELS} are supported.")
+        raise ValueError(f"{samples.shape[0]} channels are not 1 to {MOST_CHANNELS}")
     top = 2 ** (bits - 1)
     whole = np.clip(np.rint(samples.T.astype(np.float64) * top), -top, top - 1).astype(np.int64)
     if whole.size * bits // 8 > MOST_BYTES:
@@ -102,7 +102,7 @@ def read_exactly(file, size: int) -> bytes:
     while left > 0:
         part = file.read(left)
         if len(part) > left:
-            raise ValueError(f"asked for {left} bytes, got {len(part)}: does the file return what it was asked for?")
+            raise ValueError(f"the file gave {len(part)} bytes where {left} were asked for")
         if not part:
             break
         parts.append(part)
@@ -127,7 +127,7 @@ def open_any(source) -> bytes:
         size = source.seek(0, io.SEEK_END)
         source.seek(0)
         return read_exactly(source, size)
-    raise TypeError(f"Unknown source type: {type(source)}. Supported: path, bytes, uint8 array, or an object with read and seek.")
+    raise TypeError(f"{type(source).__name__} is no source; a path, bytes, a uint8 array or an object with read and seek is")
 
 
 def _local(path: str) -> str:

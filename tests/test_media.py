@@ -88,13 +88,13 @@ def test_sources_are_told_apart(tmp_path):
         assert api.AudioDecoder(source).get_all_samples().data.shape == (2, 4000)
     with pytest.raises(TypeError, match="binary"):
         wav.open_any(io.StringIO("x"))
-    with pytest.raises(TypeError, match="Unknown source"):
+    with pytest.raises(TypeError, match="is no source"):
         wav.open_any(123)
     with pytest.raises(ValueError):
         wav.open_any(np.zeros(3, np.float32))
     with pytest.raises(backends.NoBackend):
         api.AudioDecoder(b"\x00\x01")
-    with pytest.raises(ValueError, match="asked for"):
+    with pytest.raises(ValueError, match="were asked for"):
         wav.read_exactly(type("F", (), {"read": lambda self, n: b"x" * (n + 1)})(), 3)
 
 

@@ -62,7 +62,7 @@ def test_indices_order_repeats_and_errors(spark, frames):
     rows = spark.createDataFrame([(0, k, i) for k, i in enumerate([35, 25, -1, -2, 25])], "stream_index int, pos int, idx long")
     for find in (lookup.at_indices, lookup.distinct_first, lookup.checked_indices):
         assert [r.frame_index for r in find(frames, rows).orderBy("pos").collect()] == [35, 25, 389, 388, 25]
-    with pytest.raises(IndexError, match="Invalid frame index"):
+    with pytest.raises(IndexError, match="no frame has the index"):
         lookup.checked_indices(frames, rows.withColumn("idx", F.lit(-391).cast("long")))
 
 
