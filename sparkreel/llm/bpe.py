@@ -69,6 +69,10 @@ class Model:
             known = self._stable[a, b] = self.merge(list(x + y)) == [x, y]
         return known
 
+    def forget(self) -> None:
+        """Lets go of remembered pairs."""
+        self._stable.clear()
+
     def ids_of(self, parts: list[str]) -> list[int]:
         """Ids of merged parts; a character that is no piece is spelled in bytes."""
         out: list[int] = []

@@ -35,7 +35,7 @@ QUANTILE, SLACK, SPREAD = 0.98, 0.10, 2.0
 #: Classes of characters: most are their own, the rest share the last ones; 1 stands before a text's first character.
 CLASSES, START = 1 << BITS, 1
 #: n-grams that a task holds before it hands them on, and characters taken at once.
-HELD, BATCH = 400_000, 1 << 20
+HELD, BATCH = 400_000, 1 << 18
 #: Discounts where counts of counts are too few.
 PLAIN = (0.5, 1.0, 1.5)
 

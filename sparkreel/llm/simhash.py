@@ -36,7 +36,7 @@ SEGMENT = 32
 #: Shingles hashed at once.
 PART = 1 << 16
 #: Nodes of buckets compared at once.
-HELD = 50_000
+HELD = 20_000
 BIT = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
@@ -113,7 +113,7 @@ def bucket_links(groups: DataFrame, skip: int, distance: int) -> DataFrame:
         a, b = [], []
         for m in np.unique(sizes).tolist():
             of = np.nonzero(sizes == m)[0]
-            step = max(1, (1 << 20) // (m * m))
+            step = max(1, (1 << 18) // (m * m))
             for at in range(0, len(of), step):
                 rows = first[of[at : at + step], None] + np.arange(m)
                 picked = [values[i] for i in rows.ravel()]

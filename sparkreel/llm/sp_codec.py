@@ -72,6 +72,7 @@ class PairTable:
                 known = np.fromiter((self.model.stable(*divmod(int(k), self.model.size)) for k in fresh), bool, len(fresh))
                 return known[np.searchsorted(fresh, keys)]
             good = np.fromiter((self.model.stable(*divmod(k, self.model.size)) for k in fresh.tolist()), bool, len(fresh))
+            self.model.forget()  # the table knows them now
             self.used += len(fresh)
             while len(fresh):  # of keys that belong in one place, one takes it and the rest look on
                 slot, one = np.unique(self.slots(fresh), return_index=True)
