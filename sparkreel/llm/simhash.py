@@ -3,8 +3,12 @@
 A fingerprint's index bits are cut into 32-bit segments, few enough that near fingerprints agree in one of them but for
 a bit at most. Each segment is indexed once for every bit left out (a wildcard); fingerprints that share such a variant
 meet by equality join and are verified on their whole distance. With 64 bits, two segments and distance 2 this finds
-every pair (of two differing bits one half holds one at most); with the wide fingerprints of near_dedup() it finds a
-pair of similarity 0.8 with a chance of about 0.97 or more.
+every pair (of two differing bits one half holds one at most).
+
+At similarity 0.8 of five-word shingles fingerprints lie too far apart for segments. near_dedup() indexes the sets of
+shingles by bands of minima, whose chance to meet depends on the similarity alone, wherever the words differ: 0.9993 at
+0.8, more above. What meets is compared exactly, by its sets: first every node of a bucket with the bucket's first, then,
+where that leaves a bucket in several components, all that aren't joined yet.
 
 Only different fingerprints are indexed, so a group of copies counts once. A bucket hands on a spanning forest of its
 links, never its pairs: the rows made are bounded by the rows indexed. A bucket of over BLOCK fingerprints is indexed
@@ -25,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from sparkreel.workers import mapped
+from sparkreel.workers import importable, mapped
 
 from .common import OWN, located, saved
 from .components import connected_components
@@ -227,26 +232,137 @@ def classify(docs: DataFrame, shingle: int = 3, distance: int = 2, block: int =
     return prints.join(least.join(root, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 
 
-#: Of near_dedup(): different words give an index of 12 segments, five-word shingles the 256 bits that are verified.
-WIDE = ((1, 384, True), (5, 256, False))
-
-
 def hamming_for(similarity: float, bits: int) -> int:
     """The differing bits to expect at a Jaccard similarity of shingles: their vectors' cosine is 2 s / (1 + s)."""
     return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
 
 
+#: Of near_dedup(): words of a shingle; bands and the minima in each. A pair at 0.8 meets with a chance of 1 - (1 - 0.8 ** 6) ** 24 = 0.9993.
+SHINGLE, BANDS, MINIMA = 5, 24, 6
+MIXED = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * MINIMA), np.uint64)
+#: Shingles mixed at once.
+MIX = 1 << 10
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different hashes of the text's shingles, in order."""
+    parts = list(shingle_hashes(words_of(text), SHINGLE, 64))
+    return np.unique(np.concatenate(parts).view(np.uint64)) if parts else np.zeros(0, np.uint64)
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A number for each band: what BANDS times MINIMA mixed orders of all hashes have as the set's smallest."""
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), MIX):
+        np.minimum(least, (shingles[at : at + MIX, None] * (MIXED[0] | np.uint64(1)) + MIXED[1]).min(0), out=least)
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, MINIMA))], np.uint64).view(np.int64)
+
+
+def with_bands(docs: DataFrame, text: str) -> DataFrame:
+    """docs' other columns, node (the digest of the text's set of shingles), k (how many there are) and bands."""
+    rest = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py()) for x in batch.column(len(rest))]
+            nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            bands = pa.array([bands_of(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], nodes, pa.array([len(x) for x in sets], pa.int64()), bands], [*rest, "node", "k", "bands"])
+
+    rows = docs.select(*rest, F.col(text).cast("string").alias(text))
+    return mapped(rows, run, rows.drop(text).schema.add("node", "binary").add("k", "long").add("bands", ArrayType(LongType())))
+
+
+def with_shingles(docs: DataFrame, text: str) -> DataFrame:
+    """node, shingles: the set itself, eight bytes a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["node", "shingles"])
+
+    return mapped(docs.select("node", F.col(text).cast("string").alias(text)), run, "node binary, shingles binary")
+
+
+def close(shared: np.ndarray | int, m: np.ndarray | int, n: int, similarity: float) -> np.ndarray | bool:
+    """Whether sets of m and n that share so many have this Jaccard similarity; two empty ones are alike."""
+    return shared >= similarity * (m + n - shared) - 1e-9
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets of shingles have this Jaccard similarity."""
+    ends = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                keep.append(bool(close(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return mapped(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "sb"), run, "a binary, b binary")
+
+
+def joining(nodes: list, roots: list, minor: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Places of pairs of this similarity, at least one end minor, that join components not joined yet. Every such pair is compared unless it is joined already."""
+    names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    root = np.array([names[r] for r in roots])
+    sizes = np.array([len(x) for x in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends, owner, found = np.cumsum(sizes), np.repeat(np.arange(len(sets)), sizes), []
+    for u in np.nonzero(minor)[0].tolist():
+        if (root == root[u]).all():
+            break
+        mark = np.zeros(len(values), bool)
+        mark[flat[ends[u] - sizes[u] : ends[u]]] = True
+        shared = np.bincount(owner, mark[flat], len(sets))
+        near = close(shared, sizes, int(sizes[u]), similarity)
+        while (left := np.nonzero(near & (root != root[u]))[0]).size:
+            found.append((u, int(left[0])))
+            root[root == root[left[0]]] = root[u]
+    return found
+
+
+def other_links(shared: DataFrame, first: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between members of a bucket that its first node's links (components in first: node, root) haven't brought together."""
+    rooted = shared.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = rooted.filter("node = first").select("key", F.col("root").alias("main"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2")
+    # bands often bring the same nodes together: each such bucket once
+    once = split.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")
+    members = saved(rooted.join(once, "key").join(main, "key").select("key", "node", "k", "root", (F.col("root") != F.col("main")).alias("minor")), "members")
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        found = joining(nodes, group.column("root").to_pylist(), group.column("minor").to_numpy(), sets, similarity)
+        return pa.table({x: pa.array([nodes[p[i]] for p in found], pa.binary()) for i, x in enumerate("ab")})
+
+    importable(shared.sparkSession)
+    return members.join(sets, "node").groupBy("key").applyInArrow(run, "a binary, b binary")
+
+
 def near_dedup(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of each group of texts with an estimated similarity of five-word shingles of 0.8 or more, the smallest doc_id.
+    """The rows of docs that stay: of each group of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the smallest doc_id.
 
     A text of fewer than five words is compared by its whole word sequence. Rows that repeat a doc_id are told apart by place.
     """
     rows = located(docs)
     place = [f"{OWN}file", f"{OWN}row"]
-    prints = saved(with_node(rows.select(*place, F.col(doc_id).alias(f"{OWN}id"), F.col(text).alias(f"{OWN}text")), list(WIDE), f"{OWN}text"), "prints")
-    of = components(prints, WIDE[0][1], hamming_for(similarity, WIDE[1][1]), WIDE[0][1] // 8, block)
+    prints = saved(with_bands(rows.select(*place, F.col(doc_id).alias(f"{OWN}id"), F.col(text).alias(f"{OWN}text")), f"{OWN}text"), "prints")
     rank = F.struct(F.col(f"{OWN}id").isNull(), F.col(f"{OWN}id"), *place)
-    least = prints.groupBy("node").agg(F.min(rank).alias("least")).join(of, "node")
-    root = least.groupBy("root").agg(F.min("least").alias("best"))
+    nodes = saved(prints.groupBy("node").agg(F.min(rank).alias("least"), F.first("k").alias("k"), F.first("bands").alias("bands")), "nodes")
+    keyed = nodes.select("node", "k", F.posexplode("bands").alias("band", "v")).select("node", "k", F.xxhash64("band", "v").alias("key")).repartition("key")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    # as in links(): first, which is the least node, keeps counting and joining on one exchange
+    shared = saved(keyed.join(sizes, "key").filter(F.col("node") >= F.col("first")), "shared")
+    met = shared.select("node").distinct().join(nodes, "node").select("node", *(F.col("least")[c].alias(c) for c in place))
+    sets = saved(with_shingles(rows.select(*place, F.col(text).alias(f"{OWN}text")).join(met, place), f"{OWN}text"), "sets")
+    stars = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = saved(verified(stars, sets, similarity), "links")
+    first = connected_components(links)
+    more = other_links(shared, first, sets, similarity)
+    of = connected_components(saved(links.unionByName(more), "links"))
+    root = nodes.join(of, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("best"))
     stays = root.select(*(F.col("best")[c].alias(c) for c in place))
     return rows.join(stays, place, "left_semi").select(*docs.columns)

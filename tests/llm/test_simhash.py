@@ -99,3 +99,33 @@ def test_near_dedup_keeps_one_of_each_group(spark):
 
 def test_hamming_for():
     assert simhash.hamming_for(1.0, 256) == 0 and simhash.hamming_for(0.8, 256) == 39
+
+
+def shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def block_edits(rnd, n):
+    """Pairs of texts of similarity 0.8 to 0.9: a passage added, cut or replaced in one block."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    out = []
+    while len(out) < n:
+        a = [word() for _ in range(rnd.randrange(60, 300))]
+        at, m = rnd.randrange(len(a)), rnd.randrange(1, len(a) // 5)
+        new = [word() for _ in range(m)]
+        b = [a + new, a[:at] + a[at + m :], a[:at] + new + a[at + m :]][len(out) % 3]
+        x, y = shingles(a), shingles(b)
+        if 5 * len(x & y) >= 4 * len(x | y) and 10 * len(x & y) < 9 * len(x | y):
+            out.append((a, b))
+    return out
+
+
+def test_near_dedup_meets_block_edits(spark):
+    pairs = block_edits(random.Random(3), 150)
+    far = [(a, a[: len(a) * 7 // 10]) for a, _ in block_edits(random.Random(4), 50)]
+    rows = [(2 * i + j, " ".join(p[j])) for i, p in enumerate(pairs + far) for j in (0, 1)]
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [i for i in range(len(pairs)) if 2 * i + 1 in kept]
+    assert len(missed) <= 2, len(missed)
+    # similarity 0.7: compared exactly, so never taken for near
+    assert all(2 * i + j in kept for i in range(len(pairs), len(pairs) + len(far)) for j in (0, 1))
