@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -240,8 +240,8 @@ def hamming_for(similarity: float, bits: int) -> int:
 #: Of near_dedup(): words of a shingle; bands and the minima in each. A pair at 0.8 meets with a chance of 1 - (1 - 0.8 ** 6) ** 24 = 0.9993.
 SHINGLE, BANDS, MINIMA = 5, 24, 6
 MIXED = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * MINIMA), np.uint64)
-#: Shingles mixed at once.
-MIX = 1 << 10
+#: Shingles mixed at once; hashes of sets in a chunk of a bucket.
+MIX, HASHES = 1 << 10, 1 << 20
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -303,7 +303,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return mapped(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "sb"), run, "a binary, b binary")
 
 
-def joining(nodes: list, roots: list, minor: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def joining(roots: list, minor: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Places of pairs of this similarity, at least one end minor, that join components not joined yet. Every such pair is compared unless it is joined already."""
     names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
     root = np.array([names[r] for r in roots])
@@ -323,8 +323,12 @@ def joining(nodes: list, roots: list, minor: np.ndarray, sets: list[np.ndarray],
     return found
 
 
-def other_links(shared: DataFrame, first: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b between members of a bucket that its first node's links (components in first: node, root) haven't brought together."""
+def other_links(shared: DataFrame, first: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links a, b between members of a bucket that its first node's links (components in first: node, root) haven't brought together.
+
+    Minor nodes, those that aren't joined to the bucket's first, are compared with all its members. Both are dealt out in
+    chunks of about block nodes and HASHES hashes, each pair of chunks a group of its own: block moves work, not results.
+    """
     rooted = shared.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = rooted.filter("node = first").select("key", F.col("root").alias("main"))
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2")
@@ -332,14 +336,25 @@ def other_links(shared: DataFrame, first: DataFrame, sets: DataFrame, similarity
     once = split.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")
     members = saved(rooted.join(once, "key").join(main, "key").select("key", "node", "k", "root", (F.col("root") != F.col("main")).alias("minor")), "members")
 
+    def chunks(where: Column) -> Column:
+        return F.greatest(F.ceil(F.sum(where.cast("long")) / block), F.ceil(F.sum(F.when(where, F.col("k")).otherwise(0)) / HASHES), F.lit(1)).cast("int")
+
+    counts = members.groupBy("key").agg(chunks(F.col("minor")).alias("rows"), chunks(F.lit(True)).alias("columns"))
+    counted = members.join(counts, "key")
+    # the side that repeats draws its place from one hash, the other side from another
+    place = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    minors = counted.filter("minor").select("key", "node", "root", F.lit(True).alias("minor"), place(2, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
+    others = counted.select("key", "node", "root", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), place(3, "columns").alias("j"))
+    dealt = minors.unionByName(others).groupBy("key", "i", "j", "node", "root").agg(F.max("minor").alias("minor"))
+
     def run(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_pylist()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
-        found = joining(nodes, group.column("root").to_pylist(), group.column("minor").to_numpy(), sets, similarity)
+        found = joining(group.column("root").to_pylist(), group.column("minor").to_numpy(), sets, similarity)
         return pa.table({x: pa.array([nodes[p[i]] for p in found], pa.binary()) for i, x in enumerate("ab")})
 
     importable(shared.sparkSession)
-    return members.join(sets, "node").groupBy("key").applyInArrow(run, "a binary, b binary")
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -361,7 +376,7 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, tex
     stars = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = saved(verified(stars, sets, similarity), "links")
     first = connected_components(links)
-    more = other_links(shared, first, sets, similarity)
+    more = other_links(shared, first, sets, similarity, block)
     of = connected_components(saved(links.unionByName(more), "links"))
     root = nodes.join(of, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("best"))
     stays = root.select(*(F.col("best")[c].alias(c) for c in place))

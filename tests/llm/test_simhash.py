@@ -129,3 +129,20 @@ def test_near_dedup_meets_block_edits(spark):
     assert len(missed) <= 2, len(missed)
     # similarity 0.7: compared exactly, so never taken for near
     assert all(2 * i + j in kept for i in range(len(pairs), len(pairs) + len(far)) for j in (0, 1))
+
+
+def test_near_dedup_is_the_same_at_any_block(spark):
+    """Chains of windows that move on: neighbours are near, the ends and the bucket's first aren't; buckets are hot at block=4."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    chains = [[word() for _ in range(400)] for _ in range(3)]
+    texts = [w[at : at + 120] for w in chains for at in range(0, 280, 9)]
+    rnd.shuffle(texts)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    sets, root = [shingles(w) for w in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    for block in (4, simhash.BLOCK):
+        assert {r.doc_id for r in simhash.near_dedup(frame, block=block).collect()} == set(root)
