@@ -6,8 +6,8 @@ benchmark's by equality join, so a question asked again with other numbers or na
 windows are compared word by word, and the slots of each alignment of an item with a document must be consistent: equal
 benchmark values stand for equal document values, and the other way round.
 
-Items of fewer than WIDTH words are one window of their own length, of SHORTEST words at least; a window needs half of its words to
-be no placeholders. The benchmark's windows are broadcast only where their counted number is within MOST_BROADCAST, else
+Items of fewer than WIDTH words are one window of their own length, of SHORTEST words at least. A window of which over half are
+placeholders is literal: it is found with its own values only. The benchmark's windows are broadcast only where their counted number is within MOST_BROADCAST, else
 the join shuffles.
 
 Defined results: null texts count as empty and never match; rows with equal doc_id count as one document (a null doc_id
@@ -73,7 +73,7 @@ def worded(df: DataFrame, text: str) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
-    """item_id, at, h, size, words, values of every different window of an item; the sizes there are (width at most)."""
+    """item_id, literal, at, h, size, words, values of every different window of an item; the sizes there are (width at most)."""
     items = worded(benchmark.select("item_id", F.col("text").alias("text")), "text").filter(F.size("t") >= SHORTEST)
     items = spans.once(items, hashes=F.transform("t", lambda w: F.xxhash64(w)))
     sizes = [r.n for r in items.select(F.least(F.size("t"), F.lit(width)).alias("n")).distinct().collect()]
@@ -82,11 +82,13 @@ def item_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]
         own = items.filter(F.least(F.size("t"), F.lit(width)) == n).select("item_id", "t", "v", F.inline(windows("hashes", n)))
         found = own if found is None else found.unionByName(own)
     if found is None:
-        return benchmark.sparkSession.createDataFrame([], "item_id long, h long, at int, size int, words array<string>, values array<string>"), []
+        return benchmark.sparkSession.createDataFrame([], "item_id long, h long, literal boolean, at int, size int, words array<string>, values array<string>"), []
     cut = found.select("item_id", "h", F.col("pos").alias("at"), "size", F.expr("slice(t, pos + 1, size)").alias("words"), F.expr("slice(v, pos + 1, size)").alias("values"))
     plain = F.size(F.filter("words", lambda w: ~w.isin(NAME, NUMBER, UNIT)))
-    kept = cut.filter(2 * plain >= F.col("size"))
-    return kept.groupBy("item_id", "h").agg(F.min(F.struct("at", "size", "words", "values")).alias("w")).select("item_id", "h", "w.*"), sorted(sizes)
+    kept = cut.withColumn("literal", 2 * plain < F.col("size"))
+    # a literal window stands for its own values only, so each of its values counts
+    own = kept.groupBy("item_id", "h", "literal", F.when(F.col("literal"), F.col("values")).alias("as"))
+    return own.agg(F.min(F.struct("at", "size", "words", "values")).alias("w")).select("item_id", "h", "literal", "w.*"), sorted(sizes)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", most: int = MOST_BROADCAST) -> DataFrame:
@@ -102,7 +104,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str
     hit = worded(base.join(spots, base["doc_id"].eqNullSafe(spots["of"])).drop("of"), "text")
     cut = lambda s, c: F.slice(F.col(c), s["pos"] + 1, s["size"])
     met = hit.select("doc_id", F.inline(F.transform("spots", lambda s: F.struct(s["pos"].alias("pos"), s["h"].alias("h"), cut(s, "t").alias("t"), cut(s, "v").alias("v")))))
-    same = met.distinct().join(side(bench), "h").filter(F.col("t") == F.col("words"))
+    spotted = met.distinct()
+    free = spotted.join(side(bench.filter(~F.col("literal"))), "h").filter(F.col("t") == F.col("words"))
+    # joined on the values too: a window of numbers meets those with its own numbers, not every one
+    literal = spotted.join(side(bench.filter("literal").withColumnRenamed("values", "v")), ["h", "v"]).filter(F.col("t") == F.col("words"))
+    same = free.unionByName(literal.withColumn("values", F.col("v")))
     slot = F.filter(F.arrays_zip("words", "values", "v"), lambda s: s["words"].isin(NAME, NUMBER, UNIT))
     aligned = same.select("doc_id", "item_id", "pos", (F.col("pos") - F.col("at")).alias("shift"), slot.alias("slots"))
     byshift = aligned.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("pos").alias("n"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))

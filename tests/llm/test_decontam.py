@@ -39,3 +39,10 @@ def test_decontaminate_and_empty_tables(spark):
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [2]
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 2
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_windows_of_mostly_numbers_match_their_own_values_only(spark, most):
+    item = "12 + 7 = 19, 8 x 4 = 32, 90 / 3 = 30, 15 - 6 = 9"
+    docs = [(1, f"Some words. {item} More words.", ""), (2, "13 + 7 = 20, 8 x 5 = 40, 90 / 2 = 45, 15 - 7 = 8", "")]
+    assert found(spark, docs, [(1, item)], most=most) == {(1, 1): False}
