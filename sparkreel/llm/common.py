@@ -43,6 +43,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(docs: DataFrame, text: str, *results: str) -> list[str]:
+    """docs' columns but for the text and those that bear the name of a result, which give way to it. Spark's names know no case."""
+    taken = {c.lower() for c in (text, *results)}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
+#: joined_by() splits keys of over one in PIECES of all rows: so many keys at most. Below LEAST_PIECE rows nothing is split.
+PIECES, LEAST_PIECE = 10_000, 100
+
+
+def joined_by(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined to groups, a stored table with one row a key and n, its rows on the left side.
+
+    A key that holds many of the rows is split: its rows are dealt out by a hash of themselves over as many salts as it
+    fills pieces, and its group stands once for each. Keys that are split are few whatever the size (sum of n over the
+    size of a piece, PIECES at most), so they alone are broadcast.
+    """
+    total = groups.agg(F.sum(n).alias("total")).head().total or 0
+    salts = F.ceil(F.col(n) / max(total // PIECES, LEAST_PIECE)).cast("int")
+    hot = groups.withColumn(f"{OWN}salts", salts).filter(f"{OWN}salts > 1").select(key, f"{OWN}salts")
+    place = F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col(f"{OWN}salts"), F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn(f"{OWN}salt", place).drop(f"{OWN}salts")
+    right = groups.withColumn(f"{OWN}salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right, [key, f"{OWN}salt"]).drop(f"{OWN}salt")
+
+
 def is_plain_scan(df: DataFrame) -> bool:
     """Whether df is a file relation itself, so that (file, row index) names a row."""
     return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and bool(df.inputFiles()) and "_metadata" not in df.columns

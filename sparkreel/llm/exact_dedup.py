@@ -3,9 +3,10 @@
 Documents are equal when their texts agree after the characters of ``[\\x20\\x09-\\x0D]`` are deleted; a null text
 counts as empty. A slim table (digest, identifier, length, content locator) is read as a stream. RocksDB state, keyed
 by digest, without watermark or expiry, retains for each digest how many rows were seen, the identifier of the row
-that stays and the locator (file, row index) of its content. The full bytes behind equal digests are then compared:
-rows are grouped by (digest, normalised bytes), where map-side combining folds a group of copies, however large, to a
-row per task. A digest with two different byte strings is regrouped by its bytes.
+that stays and the locator (file, row index) of its content. Where a digest was hit more than once, the full bytes
+behind it are compared: those rows are grouped by (digest, normalised bytes), where map-side combining folds a group of
+copies, however large, to a row per task. A digest with two different byte strings is regrouped by its bytes. Rows meet
+the state by a join that splits digests of very many rows.
 
 Defined results: an empty table gives an empty result; empty texts are one group; rows that repeat an identifier are
 rows of their own, told apart by locator; a null identifier sorts last; extra columns are carried along untouched.
@@ -15,10 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import OWN, located, saved, shared_dir, text_of
+from .common import OWN, joined_by, located, saved, shared_dir, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTINGS = {
@@ -29,6 +31,8 @@ SETTINGS = {
     # no space set aside in advance: state partitions are many and may be small
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Digests with more than one row are broadcast up to so many (32 bytes each), counted before; beyond that their texts are shuffled.
+MOST_BROADCAST = 2_000_000
 
 
 def normalised(text: str = "text") -> Column:
@@ -44,16 +48,14 @@ def rank_of(length: Column, doc_id: Column, *place: Column) -> Column:
     return F.struct((-length).alias("n"), doc_id.isNull().alias("no_id"), doc_id.alias("id"), *(p.alias(k) for p, k in zip(place, ("file", "row"), strict=True)))
 
 
-def run_state(slim: DataFrame, files_per_trigger: int = 1000) -> DataFrame:
-    """The state after the stream of slim has ended: digest, n, best."""
-    spark = slim.sparkSession
-    source, out = shared_dir(spark, "digests"), shared_dir(spark, "state")
-    slim.write.parquet(source)
+def run_state(spark: SparkSession, source: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
+    """The state after the stream of the table at source (digest, best) has ended: digest, n, best."""
+    out = shared_dir(spark, "state")
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     try:
         for k, v in SETTINGS.items():
             spark.conf.set(k, v)
-        keyed = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+        keyed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
         state = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best"))
 
         def upsert(batch: DataFrame, number: int) -> None:
@@ -67,7 +69,7 @@ def run_state(slim: DataFrame, files_per_trigger: int = 1000) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if query.lastProgress is None:
         return spark.createDataFrame([], state.schema)
-    changes = spark.read.parquet(out)
+    changes = spark.read.schema(state.schema).parquet(f"{out}/*")
     return changes.groupBy("digest").agg(F.max("n").alias("n"), F.max_by("best", "n").alias("best"))
 
 
@@ -76,20 +78,26 @@ def classify(docs: DataFrame, **options) -> DataFrame:
     return classify_located(located(docs), **options)
 
 
-def classify_located(rows: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int = 1000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def classify_located(rows: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int = 1000, text: str = "text", doc_id: str = "doc_id", most: int = MOST_BROADCAST) -> DataFrame:
     file, row = F.col(f"{OWN}file"), F.col(f"{OWN}row")
     own = rank_of(F.length(text_of(text)), F.col(doc_id), file, row)
-    slim = rows.select(digest(normalised(text)).alias("digest"), own.alias("best"))
-    state = run_state(slim, files_per_trigger)
-    found = slim.withColumnRenamed("best", "own").join(state, "digest")
-
-    whole = rows.select(digest(normalised(text)).alias("digest"), normalised(text).alias("whole"))
+    spark, source = rows.sparkSession, shared_dir(rows.sparkSession, "digests")
+    digests = rows.select(digest(normalised(text)).alias("digest"), own.alias("best"))
+    digests.write.parquet(source)
+    slim = spark.read.schema(digests.schema).parquet(source)
+    state = saved(run_state(spark, source, slim.schema, files_per_trigger), "state")
+    found = joined_by(slim.withColumnRenamed("best", "own"), state, "digest")
+
+    hits = state.filter("n > 1").select("digest")
+    if hits.limit(most + 1).count() <= most:
+        hits = F.broadcast(hits)
+    whole = rows.select(digest(normalised(text)).alias("digest"), normalised(text).alias("whole")).join(hits, "digest", "left_semi")
     texts = whole.groupBy("digest", "whole").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
     clashes = saved(texts.filter("texts > 1").select("digest"), "clashes")
     if not clashes.isEmpty():
         exact = rows.select(digest(normalised(text)).alias("digest"), normalised(text).alias("whole"), own.alias("own")).join(clashes, "digest", "left_semi")
-        groups = exact.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("best"))
-        again = exact.join(groups, "whole").select("digest", "own", "n", "best")
+        groups = saved(exact.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("best")), "clashing")
+        again = joined_by(exact, groups, "whole").select("digest", "own", "n", "best")
         found = found.join(clashes, "digest", "left_anti").select("digest", "own", "n", "best").unionByName(again)
     stays = (F.col("own.file") == F.col("best.file")) & (F.col("own.row") == F.col("best.row"))
     return found.select(

@@ -126,11 +126,19 @@ FROM per LEFT JOIN checked USING (doc_id, item_id, shift) WHERE coalesce(ok, tru
 
 SQL = {
     "op1_substring_dedup": r"""
-WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS u FROM documents),
-b AS (SELECT doc_id, u, list_transform(u, lambda x: trim(x, E' \n')) AS v FROM s),
-starts AS (SELECT doc_id, v, unnest(range(len(v) - 1)) AS pos FROM b WHERE len(v) >= 2),
-sized AS (SELECT *, CASE WHEN length(v[pos + 1]) + length(v[pos + 2]) >= 120 THEN 2 ELSE 3 END AS size FROM starts),
-windows AS (SELECT doc_id, pos, size, array_to_string(v[pos + 1 : pos + size], E'\n') AS run FROM sized WHERE pos + size <= len(v) AND length(array_to_string(v[pos + 1 : pos + size], E'\n')) >= 60),
+WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?。！？…؟۔।\n]+[.!?。！？…؟۔।\n]*|[.!?。！？…؟۔।\n]+') AS u FROM documents),
+b AS (SELECT doc_id, list_transform(u, lambda x: trim(x, E' \n')) AS v FROM s),
+-- bytes from sentence a to the one before z, a line end between: c[z] - c[a] - 1, since c counts one for each sentence
+flat AS (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM b),
+sums AS (SELECT doc_id, i, CAST(sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS c FROM flat),
+lists AS (SELECT doc_id, [0] || list(c ORDER BY i) AS c FROM sums GROUP BY doc_id),
+sized AS (SELECT doc_id, v, c FROM b JOIN lists USING (doc_id) WHERE len(v) >= 2),
+places AS (SELECT doc_id, v, c, unnest(range(len(v))) AS i FROM sized),
+runs AS (
+SELECT doc_id, v, i AS pos, list_filter(range(i + 2, least(len(v), i + 102) + 1), lambda z: c[z + 1] - c[i + 1] - 1 >= 100)[1] AS z FROM places
+UNION
+SELECT doc_id, v, list_filter(range(greatest(i - 101, 0), i), lambda a: c[i + 2] - c[a + 1] - 1 >= 100)[-1] AS pos, i + 1 AS z FROM places),
+windows AS (SELECT doc_id, pos, z - pos AS size, array_to_string(v[pos + 1 : z], E'\n') AS run FROM runs WHERE pos IS NOT NULL AND z IS NOT NULL),
 """ + REMOVAL + """
 SELECT s.doc_id, CAST(len(u) AS INTEGER) AS n_sentences, CAST(len(covered) AS INTEGER) AS n_removed, kept_in,
        sha256(coalesce(array_to_string(list_filter(u, lambda x, i: NOT list_contains(covered, i - 1)), ''), '')) AS clean_sha256

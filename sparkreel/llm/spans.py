@@ -1,8 +1,9 @@
-"""Global removal of repeated runs of units (sentences, lines) inside documents: DataFrame operations only.
+"""Global removal of repeated runs of units (sentences, lines) inside documents by DataFrame operations.
 
 Each document becomes an array of units. Every run of consecutive units is hashed (128 bits), runs are grouped by hash
-with map-side combining, and each occurrence but the first, by (doc_id, position), marks its units as covered. Covered
-positions are merged per document, so overlapping runs remove a unit once.
+with map-side combining, and each occurrence but the first, by (doc_id, position), marks its units as covered; the
+occurrences of a run that is very frequent are dealt out over many tasks. Covered positions are merged per document, so
+overlapping runs remove a unit once.
 """
 
 from __future__ import annotations
@@ -10,32 +11,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import OWN, joined_by, saved
+
+#: What ends a sentence, in the scripts that mark it.
+ENDS = ".!?。！？…؟۔।"
+
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
 def sentences_of(text: Column) -> Column:
-    """Pieces that joined give the text again: up to and with its closing . ! ? or line ends."""
-    return F.regexp_extract_all(text, F.lit(r"([^.!?\n]+[.!?\n]*|[.!?\n]+)"), 1)
+    """Pieces that joined give the text again: up to and with the closing ENDS or line ends."""
+    return F.regexp_extract_all(text, F.lit(rf"([^{ENDS}\n]+[{ENDS}\n]*|[{ENDS}\n]+)"), 1)
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns worked out once a row. Without the generator between, Catalyst would write an expression into every lambda that reads it, to be worked out again for each element."""
-    return df.withColumn("once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(*df.columns, *[F.col(f"once.{n}").alias(n) for n in columns])
+    own = f"{OWN}once"
+    return df.withColumn(own, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(*df.columns, *[F.col(f"{own}.{n}").alias(n) for n in columns])
 
 
 def runs(units: str, width: int) -> Column:
-    """Every run of width units of the array column as struct(pos, size, text); none where there are fewer units."""
+    """Every run of width units of the array column as struct(pos, size, key); none where there are fewer units."""
     starts = F.when(F.size(units) >= width, F.sequence(F.lit(0), F.size(units) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("size"), F.array_join(F.slice(units, i + 1, width), "\n").alias("text")))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("size"), F.unhex(F.md5(F.array_join(F.slice(units, i + 1, width), "\n").cast("binary"))).alias("key")))
 
 
 def repeated(windows: DataFrame) -> DataFrame:
-    """windows: doc_id, pos, size, text. Per document that loses units: covered (sorted positions), kept_in (documents of the first occurrences)."""
-    keyed = windows.select("doc_id", "pos", "size", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
-    first = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1").select("key", "first")
-    later = keyed.join(first, "key").filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
+    """windows: doc_id, pos, size, key (what runs of equal units share). Per document that loses units: covered (sorted positions), kept_in (documents of the first occurrences)."""
+    first = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1")
+    met = joined_by(windows, saved(first, "repeats"), "key")
+    later = met.filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
     spans = F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1))
     return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("covered"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in"))
 

@@ -1,43 +1,80 @@
 """Substring dedup: sliding spans of consecutive sentences, joined globally.
 
-A span starts at every sentence: two sentences where they hold SHORT_SPAN characters or more, else three, which must
-hold LEAST characters, so that stock phrases of a few words never count as repeats. Spans are hashed over the trimmed
-sentences; every occurrence but the first by (doc_id, position) is removed, sentence by sentence.
+From every sentence on, the shortest run of two sentences or more that holds LEAST bytes is a span, and so is the
+shortest such run that ends with it: short sentences make long runs, so a repeated passage of LEAST bytes is found and
+covered whole, from its first sentence to its last, however its sentences are cut. Less than that (two stock phrases of
+a few words) isn't taken for a repeat. Spans are hashed over the trimmed sentences; every occurrence but the first by
+(doc_id, position) is removed, sentence by sentence.
 
-Defined results: a null text counts as empty; a text of fewer sentences than a span stays; rows with equal doc_id count
-as one document (a null doc_id is a value of its own, and first); a span repeated inside one document stays once; an
-empty table gives an empty result; extra columns are carried along untouched.
+Defined results: a null text counts as empty; a text of one sentence, or of fewer than LEAST bytes, stays; rows with
+equal doc_id count as one document (a null doc_id is a value of its own, and first); a span repeated inside one document
+stays once; an empty table gives an empty result; extra columns are carried along untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkreel.workers import mapped
+
 from . import spans
 from .common import OWN, text_of
 
-SHORT_SPAN, LEAST = 120, 60
+#: UTF-8 bytes of a run, of its trimmed sentences with a line end between.
+LEAST = 100
+#: Runs handed on at once.
+HELD = 1 << 16
+
+
+def sentence_runs(sentences: list[bytes], least: int) -> list[tuple[int, int]]:
+    """(first, end) of the shortest runs of two or more that hold least bytes, from every sentence on and up to every one."""
+    n = len(sentences)
+    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, sentences), np.int64, n) + 1)))
+    place = np.arange(n)
+    ends = np.maximum(np.searchsorted(at, at[:-1] + least + 1), place + 2)
+    firsts = np.minimum(np.searchsorted(at, at[1:] - least - 1, "right") - 1, place - 1)
+    forward, back = ends <= n, firsts >= 0
+    return sorted({*zip(place[forward].tolist(), ends[forward].tolist(), strict=True), *zip(firsts[back].tolist(), (place[back] + 1).tolist(), strict=True)})
+
+
+def windows(rows: DataFrame, least: int) -> DataFrame:
+    """rows: doc_id, sentences (trimmed). doc_id, pos, size, key of every span."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, pos, size, keys = [], [], [], []
 
-def sentence_runs(bare: str) -> Column:
-    """Every span of the array column of trimmed sentences as struct(pos, size, text)."""
-    starts = F.when(F.size(bare) >= 2, F.sequence(F.lit(0), F.size(bare) - 2)).otherwise(F.array().cast("array<int>"))
+            def out() -> pa.RecordBatch:
+                made = [batch.column(0).take(pa.array(owner, pa.int32())), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.binary())]
+                for x in (owner, pos, size, keys):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(made, ["doc_id", "pos", "size", "key"])
 
-    def span(i: Column) -> Column:
-        two = F.length(F.get(bare, i)) + F.length(F.get(bare, i + 1)) >= SHORT_SPAN
-        size = F.when(two, 2).otherwise(3)
-        return F.struct(i.alias("pos"), size.alias("size"), F.array_join(F.slice(bare, i + 1, size), "\n").alias("text"))
+            for i, column in enumerate(batch.column(1)):
+                sentences = [x.encode("utf-8", "surrogatepass") for x in column.as_py()]
+                for a, b in sentence_runs(sentences, least):
+                    owner.append(i)
+                    pos.append(a)
+                    size.append(b - a)
+                    keys.append(xxhash.xxh3_128_digest(b"\n".join(sentences[a:b])))
+                    if len(keys) == HELD:
+                        yield out()
+            yield out()
 
-    return F.filter(F.transform(starts, span), lambda x: (x["pos"] + x["size"] <= F.size(bare)) & (F.length(x["text"]) >= LEAST))
+    return mapped(rows, run, rows.drop("sentences").schema.add("pos", "integer").add("size", "integer").add("key", "binary"))
 
 
-def covered_sentences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    sentences = F.transform(spans.sentences_of(text_of("text")), lambda s: F.btrim(s, F.lit(" \n")))
-    rows = spans.once(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), bare=sentences)
-    return spans.repeated(rows.select("doc_id", F.inline(sentence_runs("bare"))))
+def covered_sentences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
+    sentences = F.transform(spans.sentences_of(text_of(text)), lambda s: F.btrim(s, F.lit(" \n")))
+    return spans.repeated(windows(docs.select(F.col(doc_id).alias("doc_id"), sentences.alias("sentences")), least))
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """docs with __llm_units (sentences before), __llm_covered (removed positions or null), __llm_kept_in and __llm_clean (the text that is left)."""
-    return spans.report(docs, covered_sentences(docs, text, doc_id), spans.sentences_of(F.col(f"{OWN}text")), text_of(text), doc_id, "", OWN)
+    return spans.report(docs, covered_sentences(docs, text, doc_id, least), spans.sentences_of(F.col(f"{OWN}text")), text_of(text), doc_id, "", OWN)

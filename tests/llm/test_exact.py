@@ -73,19 +73,67 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup(frame.limit(0)).count() == 0
 
 
-def test_substring_dedup_against_brute_force(spark):
+def sentence_units(t):
+    return re.findall(r"[^.!?。！？…؟۔।\n]+[.!?。！？…؟۔।\n]*|[.!?。！？…؟۔।\n]+", t)
+
+
+def brute_sentences(docs, least):
+    """docs: doc_id to text. Sentences removed of each: shortest runs of two or more that hold least bytes, from each sentence on and up to each."""
+    seen, gone = {}, {d: set() for d in docs}
+    for d in sorted(docs, key=lambda d: (d is not None, d)):
+        bare = [x.strip(" \n") for x in sentence_units(docs[d] or "")]
+        n, runs = len(bare), set()
+        holds = lambda a, b: len("\n".join(bare[a:b]).encode()) >= least
+        for i in range(n):
+            runs |= set([(i, z) for z in range(i + 2, n + 1) if holds(i, z)][:1])
+            runs |= set([(a, i + 1) for a in range(i) if holds(a, i + 1)][-1:])
+        for a, b in sorted(runs):
+            key = "\n".join(bare[a:b])
+            first = seen.setdefault(key, (d, a))
+            if first != (d, a):
+                gone[d] |= set(range(a, b))
+    return {d: "".join(x for i, x in enumerate(sentence_units(t or "")) if i not in gone[d]) for d, t in docs.items()}
+
+
+@pytest.mark.parametrize("least", [0, 30, substring_dedup.LEAST])
+def test_substring_dedup_against_brute_force(spark, least):
     s = [f"This is sentence number {i} of the passage that goes round and round." for i in range(9)]
-    docs = {1: " ".join(s), 2: "Own start here. " + " ".join(s[2:6]) + " Own end.", 3: "A. B. C. D.", 4: "A. B. C. D.", 5: None, 6: "", 7: s[0] + "\n" + s[1], 8: " ".join([s[0]] * 5), None: "Else. " + s[7] + " " + s[8]}
-
-    def run_of(u, i):
-        bare = [x.strip(" \n") for x in u]
-        if i + 2 > len(u):
-            return None
-        n = 2 if len(bare[i]) + len(bare[i + 1]) >= substring_dedup.SHORT_SPAN else 3
-        text = "\n".join(bare[i : i + n])
-        return (text, n) if i + n <= len(u) and len(text) >= substring_dedup.LEAST else None
-
-    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumn("text2", F.lit(1))
-    got = {r.doc_id: r["__llm_clean"] for r in substring_dedup.dedup(frame).collect()}
-    assert got == brute_spans(docs, lambda t: re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", t), run_of, "")
-    assert got[3] == got[4] == docs[3] and got[2] == "Own start here. Own end."
+    short = ["He said no.", "She left him.", "They were sad.", "It rained.", "So what?", "Nobody knew.", "Then it was over.", "All went home.", "The end came.", "Yes."]
+    chinese = "他说不行。她离开了他。大家都很难过。天下着雨。那又怎样？没有人知道。后来一切都结束了。大家都回家了！"
+    docs = {
+        1: " ".join(s), 2: "Own start here. " + " ".join(s[2:6]) + " Own end.", 3: "A. B. C. D.", 4: "A. B. C. D.", 5: None, 6: "", 7: s[0] + "\n" + s[1], 8: " ".join([s[0]] * 5),
+        9: "Before it. " + " ".join(short), 10: "Something else stood here. " + " ".join(short) + " And after it.", 11: "前面的话。" + chinese, 12: "别的。" + chinese + "完。",
+        13: "\n\n..." + " ".join(short[2:5]), 14: "x " * 100_000 + ". " + "Word. " * 150 + s[3] + " " + s[4], None: "Else. " + s[7] + " " + s[8],
+    }
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumns({"once": F.lit(1), "key": F.lit("k"), "__llm_x": F.lit(2)})
+    out = substring_dedup.dedup(frame, least=least)
+    got = {r.doc_id: r["__llm_clean"] for r in out.collect()}
+    assert got == brute_sentences(docs, least)
+    assert {(r.once, r.key) for r in out.collect()} == {(1, "k")}
+    if least == substring_dedup.LEAST:  # a passage goes whole, and nothing else
+        assert got[3] == got[4] == docs[3] and got[2] == "Own start here. Own end."
+        assert got[10] == "Something else stood here. And after it." and got[12] == "别的。完。"
+        assert substring_dedup.dedup(frame.limit(0)).count() == 0
+
+
+def test_runs_of_very_frequent_keys_are_split(spark, monkeypatch):
+    """A line triple in most documents: its rows are dealt out, the result is the same."""
+    stock = ["license", "of the", "stock kind"]
+    docs = {i: "\n".join([f"own {i}", *stock, f"end {i}"]) for i in range(700)} | {1000 + i: "\n".join([f"pair {i // 2}", "x", "y"]) for i in range(40)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id string, text string").withColumn("once", F.lit("mine"))
+    out = line_dedup.dedup(frame).collect()
+    got = {r.doc_id: r["__llm_clean"] for r in out}
+    assert got == brute_spans({str(k): v for k, v in docs.items()}, lambda t: t.split("\n"), lambda u, i: (tuple(u[i : i + 3]), 3) if i + 3 <= len(u) else None, "\n")
+    assert {r.once for r in out} == {"mine"}
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_exact_dedup_of_a_hot_text(spark, most):
+    rows = [(i, "the same  text" if i % 3 else f"text {i // 6}") for i in range(1500)]
+    frame = spark.createDataFrame([(str(d), t, 1) for d, t in rows], "doc_id string, text string, best int")
+    got = exact_dedup.classify(frame, most=most).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.group_size, []).append(r)
+    assert len(sizes[1000]) == 1000 and {r.keep_id for r in sizes[1000]} == {"1"} and sum(r.kept for r in sizes[1000]) == 1
+    assert len(sizes[2]) == 500 and sum(r.kept for r in got) == 251
