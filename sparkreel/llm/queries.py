@@ -98,30 +98,37 @@ gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + size)))) AS
 
 
 def words_sql(name: str, key: str) -> str:
-    """The words (v) and the template (t) of a table's texts."""
+    """The values (v) and the two templates (t0, t1) of a table's texts."""
     units = ", ".join(f"'{u}'" for u in decontam.UNITS)
-    mark = r"regexp_replace({}, '([\p{{L}}\p{{N}},;:]) (\p{{Lu}}\p{{Ll}}+)', '\1 ' || chr(1) || '\2', 'g')"
-    marked = mark.format(mark.format("replace(coalesce(text, ''), chr(1), ' ')"))
+    marked = r"regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2), '  '), '(^|[^\p{L}\p{N}])(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g')"
+    # matches don't overlap, so what stands between two digits is looked for twice
+    twice = lambda x, sign, to: f"regexp_replace(regexp_replace({x}, '([0-9]){sign}([0-9])', '\\1' || {to} || '\\2', 'g'), '([0-9]){sign}([0-9])', '\\1' || {to} || '\\2', 'g')"
+    numbers = twice(twice(f"lower({marked})", ",", "''"), "\\.", "chr(2)")
+    number = r"regexp_full_match({}, '[0-9]+(\x02[0-9]+)*')"
     return rf"""
-{name}_p AS (SELECT {key}, trim(regexp_replace(regexp_replace(lower({marked}), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')) AS p FROM {name}),
-{name}_v AS (SELECT {key}, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS v FROM {name}_p),
-{name}_t AS (SELECT {key}, v, list_transform(v, lambda x, i: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN regexp_full_match(x, '[0-9]+') THEN '<number>' WHEN i > 1 AND x IN ({units}) AND regexp_full_match(v[i - 1], '[0-9]+') THEN '<unit>' ELSE x END) AS t FROM {name}_v)"""
+{name}_p AS (SELECT {key}, trim(regexp_replace(regexp_replace({numbers}, '[^\p{{L}}\p{{N}}\x01\x02]+', ' ', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g')) AS p FROM {name}),
+{name}_w AS (SELECT {key}, list_filter(string_split(p, ' '), lambda x: x <> '') AS w, list_filter(string_split(replace(p, chr(1), ''), ' '), lambda x: x <> '') AS v FROM {name}_p),
+{name}_n AS (SELECT {key}, w, v, list_transform(w, lambda x, i: CASE WHEN {number.format('x')} THEN '<number>' WHEN i > 1 AND v[i] IN ({units}) AND {number.format('w[i - 1]')} THEN '<unit>' ELSE x END) AS n FROM {name}_w),
+{name}_t AS (SELECT {key}, v, list_transform(n, lambda x: replace(x, chr(1), '')) AS t0, list_transform(n, lambda x: CASE WHEN starts_with(x, chr(1)) THEN '<name>' ELSE x END) AS t1 FROM {name}_n)"""
 
 
 #: Windows are compared as strings; sizes under 8 are those of shorter items.
 DECONTAMINATION = "WITH " + words_sql("documents", "doc_id") + "," + words_sql("benchmark", "item_id") + r""",
-b0 AS (SELECT item_id, t, v, least(len(t), 8) AS size, unnest(range(len(t) - least(len(t), 8) + 1)) AS beg FROM benchmark_t WHERE len(t) >= 3),
-b1 AS (SELECT item_id, size, beg, t[beg + 1 : beg + size] AS words, v[beg + 1 : beg + size] AS vals FROM b0),
-b2 AS (SELECT * FROM b1 WHERE 2 * len(list_filter(words, lambda x: x NOT IN ('<name>', '<number>', '<unit>'))) >= size),
-b AS (SELECT item_id, words, min(beg) AS beg, arg_min(vals, beg) AS vals, any_value(size) AS size FROM b2 GROUP BY item_id, words),
-d0 AS (SELECT doc_id, t, v, s.size, unnest(range(len(t) - s.size + 1)) AS pos FROM documents_t, (SELECT DISTINCT size FROM b) s WHERE len(t) >= s.size),
-d AS (SELECT doc_id, pos, t[pos + 1 : pos + size] AS words, v[pos + 1 : pos + size] AS own FROM d0),
-m AS (SELECT doc_id, item_id, pos, pos - beg AS shift, words, vals, own FROM d JOIN b USING (words)),
+b0 AS (SELECT item_id, t0, t1, v, least(len(v), 8) AS size, unnest(range(len(v) - least(len(v), 8) + 1)) AS beg FROM benchmark_t WHERE len(v) > 0),
+b1 AS (SELECT item_id, size, beg, least(len(v) - size + 1, 2) AS need, t0[beg + 1 : beg + size] AS words, v[beg + 1 : beg + size] AS vals FROM b0
+       UNION SELECT item_id, size, beg, least(len(v) - size + 1, 2), t1[beg + 1 : beg + size], v[beg + 1 : beg + size] FROM b0),
+b2 AS (SELECT *, size < 8 OR 2 * len(list_filter(words, lambda x: x NOT IN ('<name>', '<number>', '<unit>'))) < size AS literal FROM b1),
+b AS (SELECT item_id, words, need, literal, min(beg) AS beg, arg_min(vals, beg) AS vals, any_value(size) AS size FROM b2 GROUP BY item_id, words, need, literal, CASE WHEN literal THEN vals END),
+d0 AS (SELECT doc_id, t0, t1, v, s.size, unnest(range(len(v) - s.size + 1)) AS pos FROM documents_t, (SELECT DISTINCT size FROM b) s WHERE len(v) >= s.size),
+d AS (SELECT doc_id, pos, t0[pos + 1 : pos + size] AS words, v[pos + 1 : pos + size] AS own FROM d0
+      UNION SELECT doc_id, pos, t1[pos + 1 : pos + size], v[pos + 1 : pos + size] FROM d0),
+m AS (SELECT doc_id, item_id, pos, pos - beg AS shift, need, words, vals, own FROM d JOIN b USING (words) WHERE NOT literal OR vals = own),
 slots AS (SELECT doc_id, item_id, shift, words[i] AS kind, vals[i] AS theirs, own[i] AS ours FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM m) WHERE words[i] IN ('<name>', '<number>', '<unit>')),
 checked AS (SELECT doc_id, item_id, shift, count(DISTINCT (kind, theirs, ours)) = count(DISTINCT (kind, theirs)) AND count(DISTINCT (kind, theirs, ours)) = count(DISTINCT (kind, ours)) AS ok, bool_or(theirs <> ours) AS differ FROM slots GROUP BY ALL),
-per AS (SELECT doc_id, item_id, shift, count(DISTINCT pos) AS n FROM m GROUP BY ALL)
-SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_windows, bool_or(coalesce(differ, false)) AS reparameterised
-FROM per LEFT JOIN checked USING (doc_id, item_id, shift) WHERE coalesce(ok, true) GROUP BY doc_id, item_id
+per AS (SELECT doc_id, item_id, shift, need, count(DISTINCT pos) AS n, count(DISTINCT CASE WHEN vals = own THEN pos END) AS exact FROM m GROUP BY ALL),
+judged AS (SELECT doc_id, item_id, n, exact, coalesce(ok, true) AND n >= need AS good, coalesce(differ, false) AS differ FROM per LEFT JOIN checked USING (doc_id, item_id, shift))
+SELECT doc_id, item_id, CAST(sum(CASE WHEN good THEN n ELSE exact END) AS BIGINT) AS n_windows, bool_or(good AND differ) AS reparameterised
+FROM judged WHERE good OR exact > 0 GROUP BY doc_id, item_id
 """
 
 SQL = {
