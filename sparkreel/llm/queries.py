@@ -61,18 +61,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.classify(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", hex_of("node").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"))
 
 
-def hex_of(node: str):
-    """The hexadecimal digits of a little-endian number of eight bytes."""
-    return F.lower(F.concat(*[F.hex(F.substring(node, i, 1)) for i in range(8, 0, -1)]))
-
-
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,

@@ -1,20 +1,21 @@
 """SimHash near-dedup with deletion-variant signatures.
 
-A fingerprint's index bits are cut into 32-bit segments, few enough that near fingerprints agree in one of them but for
-a bit at most. Each segment is indexed once for every bit left out (a wildcard); fingerprints that share such a variant
-meet by equality join and are verified on their whole distance. With 64 bits, two segments and distance 2 this finds
-every pair (of two differing bits one half holds one at most).
+A 64-bit fingerprint is cut into two segments of 32 bits, few enough that fingerprints of up to three differing bits
+agree in one of them but for a bit at most. Each segment is indexed once for every bit left out (a wildcard);
+fingerprints that share such a variant meet by equality join and are verified on their whole distance. So every pair is
+found.
+
+Only different fingerprints are indexed, so a group of copies counts once. A bucket hands on a spanning forest of its
+links, never its pairs. The fingerprints of buckets that hold over BLOCK of them are indexed on the whole instead, once
+for every choice of `distance` bits left out: what shares such a variant differs in those bits alone, so it is within
+distance without being compared, and a bucket holds 2 ** distance fingerprints at most. That makes C(64, distance) rows of
+a fingerprint (2,016 at 2), however many there are. Components are joined in `components`.
 
 At similarity 0.8 of five-word shingles fingerprints lie too far apart for segments. near_dedup() indexes the sets of
 shingles by bands of minima, whose chance to meet depends on the similarity alone, wherever the words differ: 0.9993 at
 0.8, more above. What meets is compared exactly, by its sets: first every node of a bucket with the bucket's first, then,
 where that leaves a bucket in several components, all that aren't joined yet.
 
-Only different fingerprints are indexed, so a group of copies counts once. A bucket hands on a spanning forest of its
-links, never its pairs: the rows made are bounded by the rows indexed. A bucket of over BLOCK fingerprints is indexed
-again by what its key leaves free, in the same way, until it is small enough: where the key fixes everything but w
-wildcards there are 2**w fingerprints at most. Components are joined in `components`.
-
 Defined results: a null or blank text has the fingerprint zero and is linked like any other; a text of fewer words than
 a shingle hashes its whole word sequence; a null identifier never names a component unless all its rows have none; an
 empty table gives an empty result; extra columns are carried along untouched.
@@ -23,6 +24,7 @@ empty table gives an empty result; extra columns are carried along untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from sparkreel.workers import importable, mapped
 
-from .common import OWN, located, saved
+from .common import OWN, joined_by, located, saved
 from .components import connected_components
 
 BLOCK = 1024
@@ -45,32 +47,27 @@ HELD = 20_000
 BIT = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def shingle_hashes(words: list[bytes], size: int, bits: int) -> Iterator[np.ndarray]:
-    """The hashes of all shingles, repeats included, as rows of bytes: XXH64 with seed 42 for 64 bits, else XXH3-128 with seeds 0, 1, ..."""
+def shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """XXH64 with seed 42 of all shingles, repeats included."""
     if not words:
         return
     size = min(size, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
+    h = xxhash.xxh64_intdigest
     for at in range(0, len(words) - size + 1, PART):
         to = min(at + PART, len(words) - size + 1)
-        cuts = [joined[a:b] for a, b in zip(starts[at:to].tolist(), ends[at + size - 1 : to + size - 1].tolist(), strict=True)]
-        if bits == 64:
-            h = xxhash.xxh64_intdigest
-            yield np.fromiter((h(x, 42) for x in cuts), np.uint64, len(cuts)).view(np.uint8).reshape(-1, 8)
-        else:
-            d = xxhash.xxh3_128_digest
-            yield np.hstack([np.frombuffer(b"".join([d(x, seed) for x in cuts]), np.uint8).reshape(-1, 16) for seed in range(bits // 128)])
-
-
-def fingerprint(words: list[bytes], size: int, bits: int) -> bytes:
-    """Little-endian bytes; a bit is 1 if it is set in over half the hashes."""
-    ones, n = np.zeros(bits, np.int64), 0
-    for part in shingle_hashes(words, size, bits):
+        yield np.fromiter((h(joined[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + size - 1 : to + size - 1].tolist(), strict=True)), np.uint64, to - at)
+
+
+def fingerprint(words: list[bytes], size: int) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for part in shingle_hashes(words, size):
         n += len(part)
-        ones += np.concatenate([np.bincount(part[:, i], minlength=256) @ BIT for i in range(bits // 8)])
-    return np.packbits(2 * ones > n, bitorder="little").tobytes() if n else bytes(bits // 8)
+        ones += np.concatenate([np.bincount(x, minlength=256) @ BIT for x in part.view(np.uint8).reshape(-1, 8).T])
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True) if n else 0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -78,56 +75,49 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def part_of(words: list[bytes], size: int, bits: int, once: bool) -> bytes:
-    """once: every different word counts once. Else words that all texts share would make unlike texts look alike."""
-    return fingerprint(list(dict.fromkeys(words)) if once else words, size, bits)
-
-
-def with_node(docs: DataFrame, parts: list[tuple[int, int, bool]], text: str = "text") -> DataFrame:
-    """docs' other columns and node: the fingerprints of all (shingle size, bits, once) in parts, one after the other."""
+def with_print(docs: DataFrame, size: int, text: str) -> DataFrame:
+    """docs' other columns and node, the 64 bits of the fingerprint as a number with a sign."""
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [b"".join(part_of(words_of(x.as_py()), *p) for p in parts) for x in batch.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(nodes, pa.binary())], [*rest, "node"])
+            nodes = pa.array([fingerprint(words_of(x.as_py()), size) for x in batch.column(len(rest))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], nodes], [*rest, "node"])
 
     rows = docs.select(*rest, F.col(text).cast("string").alias(text))
-    schema = rows.drop(text).schema.add("node", "binary")
-    return mapped(rows, run, schema)
+    return mapped(rows, run, rows.drop(text).schema.add("node", "long"))
 
 
-def forest(stack: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """stack: buckets x members x 64-bit words. For every member the smallest member of its bucket that links reach."""
-    near = np.bitwise_count(stack[:, :, None, :] ^ stack[:, None, :, :]).sum(-1, dtype=np.int64) <= distance
+def forest(stack: np.ndarray, distance: int) -> np.ndarray:
+    """stack: buckets x members. For every member the place of the smallest member of its bucket that links reach."""
+    bare = stack.view(np.uint64)  # of a number with a sign, the bits of its absolute value would be counted
+    near = np.bitwise_count(bare[:, :, None] ^ bare[:, None, :]) <= distance
     m = stack.shape[1]
-    label = np.broadcast_to(np.arange(m), stack.shape[:2]).copy()
+    label = np.broadcast_to(np.arange(m), stack.shape).copy()
     while True:
         new = np.where(near, label[:, None, :], m).min(-1)
         if (new == label).all():
-            return np.nonzero(label != np.arange(m))[0], label
+            return label
         label = new
 
 
-def bucket_links(groups: DataFrame, skip: int, distance: int) -> DataFrame:
-    """groups: members (arrays of nodes, BLOCK at most). Links a, b of a spanning forest. skip: bytes before those that are verified."""
+def bucket_links(groups: DataFrame, distance: int) -> DataFrame:
+    """groups: members (arrays of nodes, BLOCK at most). Links a, b of a spanning forest."""
 
     def linked(column: pa.ListArray) -> pa.RecordBatch:
-        values, sizes = column.flatten().to_pylist(), np.diff(column.offsets.to_numpy())
+        values, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
         first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for m in np.unique(sizes).tolist():
             of = np.nonzero(sizes == m)[0]
             step = max(1, (1 << 18) // (m * m))
             for at in range(0, len(of), step):
-                rows = first[of[at : at + step], None] + np.arange(m)
-                picked = [values[i] for i in rows.ravel()]
-                stack = np.frombuffer(b"".join(x[skip:] for x in picked), np.uint64).reshape(*rows.shape, -1)
-                _, label = forest(stack, distance)
+                stack = values[first[of[at : at + step], None] + np.arange(m)]
+                label = forest(stack, distance)
                 g, k = np.nonzero(label != np.arange(m))
-                a += [picked[i] for i in (g * m + k).tolist()]
-                b += [picked[i] for i in (g * m + label[g, k]).tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                a.append(stack[g, k])
+                b.append(stack[g, label[g, k]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,100 +131,61 @@ def bucket_links(groups: DataFrame, skip: int, distance: int) -> DataFrame:
                 at = to
 
     # in order, so that buckets with much the same members hang them on the same one, and links repeat
-    return mapped(groups.select(F.sort_array("members").alias("members")), run, "a binary, b binary")
+    return mapped(groups.select(F.sort_array("members").alias("members")), run, "a long, b long")
 
 
-def variants(nodes: DataFrame, index_bits: int) -> DataFrame:
-    """key, id for every segment and every bit of it left out: the key packs segment, bit and the rest of the segment's value."""
-    numbers = F.array(*[F.conv(F.hex(F.substring("node", 4 * s + 1, 4)), 16, 10).cast("long") for s in range(index_bits // SEGMENT)])
-    segments = nodes.select("id", F.posexplode(numbers).alias("s", "v"))
-    each = segments.select("id", "s", "v", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("p"))
-    rest = F.col("v").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p"))))
-    return each.select((F.shiftleft((F.col("s") * SEGMENT + F.col("p")).cast("long"), 32) + rest).alias("key"), "id")
+def bits(choices: list[int]) -> int:
+    """Their bits, as a number with a sign."""
+    return int.from_bytes(sum(1 << i for i in choices).to_bytes(8, "little"), "little", signed=True)
 
 
-def narrower(big: DataFrame, index_bits: int) -> DataFrame:
-    """Members of large buckets (key, node, free) indexed again by what their key leaves free: key, node, free.
+def segment_variants(nodes: DataFrame) -> DataFrame:
+    """key (a segment without one of its bits), node, for both segments and every bit."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(bits([x for x in range(i // SEGMENT * SEGMENT, i // SEGMENT * SEGMENT + SEGMENT) if x != i])).cast("long").alias("mask")) for i in range(64)])
+    return nodes.select("node", F.explode(each).alias("e")).select(F.col("e.i").alias("i"), F.col("node").bitwiseAND(F.col("e.mask")).alias("value"), "node")
 
-    free lists (offset, width) of whole segments; the last one is halved. None: the bits that the first key left free.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, nodes, frees = [], [], []
-            for key, node, free in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if free is None:
-                    own = int(key) >> 32 >> 5
-                    free = [x for s in range(index_bits // SEGMENT) if s != own for x in (s * SEGMENT, SEGMENT)]
-                left = list(zip(free[::2], free[1::2], strict=True))
-                if len(left) == 1 and left[0][1] > 1:
-                    (at, width), half = left[0], left[0][1] // 2
-                    left = [(at, half), (at + half, width - half)]
-                bits = int.from_bytes(node[: index_bits // 8], "little")
-                for i, (at, width) in enumerate(left):
-                    value = bits >> at & (1 << width) - 1
-                    rest = [x for j, pair in enumerate(left) if j != i for x in pair]
-                    for p in range(width):
-                        keys.append(f"{key}/{at}.{p}.{value & ~(1 << p):x}")
-                        nodes.append(node)
-                        frees.append(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(nodes, pa.binary()), pa.array(frees, pa.list_(pa.int32()))], ["key", "node", "free"])
-
-    return mapped(big.select(F.col("key").cast("string").alias("key"), "node", "free"), run, "key string, node binary, free array<int>")
-
-
-def links(nodes: DataFrame, index_bits: int, distance: int, skip: int, block: int = BLOCK) -> DataFrame:
-    """nodes: node, all different. Links a, b that join what the index brings together within distance over the bytes after skip.
-
-    What is indexed is a hash of the node, to move little; nodes that share one are met as if both were there.
-    """
-    named = nodes.select(F.xxhash64("node").alias("id"), "node")
+def dense_links(nodes: DataFrame, distance: int) -> DataFrame:
+    """Links a, b between all nodes within distance: they are the same once some `distance` bits are left out, whatever their number."""
+    masks = F.array(*[F.lit(~bits(list(c))).cast("long") for c in combinations(range(64), distance)])
+    each = nodes.select("node", F.posexplode(masks).alias("i", "mask")).select("i", F.col("node").bitwiseAND(F.col("mask")).alias("value"), "node")
+    # 2 ** distance members at most
+    met = each.groupBy("i", "value").agg(F.min("node").alias("b"), F.collect_list("node").alias("members")).filter(F.size("members") > 1)
+    return met.select(F.explode("members").alias("a"), "b").filter("a != b")
+
+
+def links(nodes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """nodes: node, all different. Links a, b that join all that are within distance (3 at most: one of two segments then holds a single differing bit at most)."""
+    if not 1 <= distance <= 3:
+        raise ValueError(f"two segments with a wildcard each find distances of 1 to 3, not {distance}")
     # nodes are few bytes and many variants: dealt out evenly before they multiply
-    spread = named.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    dealt = variants(spread, index_bits).repartition("key")
-    # least, which holds for every row, keeps id in what is counted, so that counting and joining share one exchange
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
-    met = dealt.join(sizes, "key").filter(F.col("id") >= F.col("least")).join(named, "id").select("key", "node", "n", F.lit(None).cast("array<int>").alias("free"))
-    shared, found = saved(met, "shared"), None
-    while True:
-        groups = shared.filter(F.col("n") <= block).groupBy("key").agg(F.collect_list("node").alias("members"))
-        new = bucket_links(groups, skip, distance)
-        found = new if found is None else found.unionByName(new)
-        large = shared.filter(F.col("n") > block)
-        if large.isEmpty():
-            return found
-        spent = F.coalesce(F.size("free") == 0, F.lit(False))
-        # what agrees in all index bits but wildcards: few with one fingerprint a node; else each block with the bucket's first
-        tail = large.filter(spent)
-        firsts = tail.groupBy("key").agg(F.min("node").alias("first"))
-        blocks = tail.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("part")).agg(F.collect_list("node").alias("members"))
-        joined = blocks.join(firsts, "key").select(F.array_distinct(F.concat(F.array("first"), F.col("members"))).alias("members"))
-        found = found.unionByName(bucket_links(joined, skip, distance))
-        at = narrower(large.filter(~spent), index_bits).repartition("key")
-        again = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = saved(at.join(again, "key").select("key", "node", "n", "free"), "shared")
-
-
-def components(fingerprints: DataFrame, index_bits: int, distance: int, skip: int, block: int = BLOCK) -> DataFrame:
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    dealt = segment_variants(spread).repartition("i", "value")
+    # least, which holds for every row, keeps node in what is counted, so that counting and joining share one exchange
+    sizes = dealt.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
+    shared = saved(dealt.join(sizes, ["i", "value"]).filter(F.col("node") >= F.col("least")).select("i", "value", "node", "n"), "shared")
+    groups = shared.filter(F.col("n") <= block).groupBy("i", "value").agg(F.collect_list("node").alias("members"))
+    found = bucket_links(groups, distance)
+    dense = shared.filter(F.col("n") > block).select("node").distinct()
+    return found if dense.isEmpty() else found.unionByName(dense_links(saved(dense, "dense"), distance))
+
+
+def components(fingerprints: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """fingerprints: rows with node. Gives node, root for every different node."""
     nodes = saved(fingerprints.select("node").distinct(), "nodes")
-    edges = saved(links(nodes, index_bits, distance, skip, block).distinct(), "links")
+    edges = saved(links(nodes, distance, block).distinct(), "links")
     found = connected_components(edges)
     return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def classify(docs: DataFrame, shingle: int = 3, distance: int = 2, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, node (its 64-bit fingerprint, little-endian), component_id (the smallest doc_id its links reach)."""
-    prints = saved(with_node(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), [(shingle, 64, False)]), "prints")
-    of = components(prints, 64, distance, 0, block)
-    least = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(of, "node")
+    """One row per document: doc_id, node (its 64-bit fingerprint, as a number with a sign), component_id (the smallest doc_id its links reach)."""
+    prints = saved(with_print(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias(f"{OWN}text")), shingle, f"{OWN}text"), "prints")
+    of = components(prints, distance, block)
+    least = prints.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).join(of, "node")
     root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(least.join(root, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
-
-
-def hamming_for(similarity: float, bits: int) -> int:
-    """The differing bits to expect at a Jaccard similarity of shingles: their vectors' cosine is 2 s / (1 + s)."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    named = saved(least.join(root, "root").select("node", "n", "component_id"), "named")
+    return joined_by(prints, named, "node").select("doc_id", "node", "component_id")
 
 
 #: Of near_dedup(): words of a shingle; bands and the minima in each. A pair at 0.8 meets with a chance of 1 - (1 - 0.8 ** 6) ** 24 = 0.9993.
@@ -246,8 +197,8 @@ MIX, HASHES = 1 << 10, 1 << 20
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The different hashes of the text's shingles, in order."""
-    parts = list(shingle_hashes(words_of(text), SHINGLE, 64))
-    return np.unique(np.concatenate(parts).view(np.uint64)) if parts else np.zeros(0, np.uint64)
+    parts = list(shingle_hashes(words_of(text), SHINGLE))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def bands_of(shingles: np.ndarray) -> np.ndarray:

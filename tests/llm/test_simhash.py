@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 import xxhash
@@ -47,11 +48,52 @@ def corpus():
 def test_query_against_brute_force(spark):
     texts = corpus()
     rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, component_id long").repartition(5)
-    got = {r.doc_id: (int.from_bytes(r.node, "little"), r.component_id) for r in simhash.classify(rows).collect()}
+    got = {r.doc_id: (r.node % (1 << 64), r.component_id) for r in simhash.classify(rows).collect()}
     prints = [brute_print(t) for t in texts]
     assert got == {i: (p, c) for i, (p, c) in enumerate(zip(prints, brute_components(prints), strict=True))}
 
 
+def found_components(spark, nodes, distance, block=simhash.BLOCK):
+    """nodes: numbers without a sign."""
+    frame = spark.createDataFrame([(n - (n >> 63 << 64),) for n in nodes], "node long")
+    return {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(frame, distance, block).collect()}
+
+
+def test_thousands_of_fingerprints_that_share_all_segments(spark):
+    """5,000 near copies of one text: their fingerprints crowd round one, in islands of which some touch."""
+    rnd = random.Random(9)
+    nodes = sorted({sum(1 << x for x in rnd.sample(range(64), rnd.choice([1, 2, 3, 3, 4, 4, 4, 5]))) for _ in range(5000)})
+    masks = [sum(1 << x for x in c) for n in (1, 2) for c in combinations(range(64), n)]
+    known, root = set(nodes), {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for n in nodes:
+        for m in masks:
+            if n ^ m in known:
+                a, b = find(n), find(n ^ m)
+                root[max(a, b)] = min(a, b)
+    got = found_components(spark, nodes, 2, 64)
+    groups = lambda of: {frozenset(v) for v in by(of).values()}
+    assert groups(got) == groups({n: find(n) for n in nodes})
+
+
+def by(of):
+    out = {}
+    for k, v in of.items():
+        out.setdefault(v, []).append(k)
+    return out
+
+
+def test_distances_that_segments_do_not_cover(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "node long"), 4)
+
+
 @pytest.mark.parametrize("block", [3, 1024])
 def test_links_find_every_pair_at_any_block(spark, block):
     rnd = random.Random(1)
@@ -61,8 +103,7 @@ def test_links_find_every_pair_at_any_block(spark, block):
         for _ in range(25):
             nodes.add(b ^ sum(1 << x for x in rnd.sample(range(64), rnd.choice([1, 2, 2, 3, 4]))))
     nodes = sorted(nodes)
-    frame = spark.createDataFrame([(bytearray(n.to_bytes(8, "little")),) for n in nodes], "node binary")
-    got = {int.from_bytes(r.node, "little"): int.from_bytes(r.root, "little") for r in simhash.components(frame, 64, 2, 0, block).collect()}
+    got = found_components(spark, nodes, 2, block)
     want = brute_components(nodes)
     groups = lambda of: {frozenset(k for k in of if of[k] == v) for v in of.values()}
     assert groups(got) == groups({n: nodes[w] for n, w in zip(nodes, want, strict=True)})
@@ -97,10 +138,6 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert simhash.near_dedup(frame.limit(0)).collect() == []
 
 
-def test_hamming_for():
-    assert simhash.hamming_for(1.0, 256) == 0 and simhash.hamming_for(0.8, 256) == 39
-
-
 def shingles(words):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
