@@ -3,16 +3,22 @@
 Trusted are documents labelled quality 1. Four of five of them, by a hash of doc_id, are counted, every one whole: the
 counts of 5-grams by language are combined before and after one shuffle, and each lower order counts the different
 characters before an n-gram. Probabilities come from count tables joined by (language, context) and (language, suffix).
+A character beyond the first OWN_CLASSES code points is two symbols, a lead and a trail, so that characters of every
+script are told apart.
+
 The rest of the trusted documents set the thresholds: a document is rejected if its log perplexity lies above its
-language's QUANTILE there by more than SLACK, widened for short texts by their standard error.
+language's QUANTILE there by more than SLACK, widened for short texts by their standard error. As much is taken off the
+costs that the quantile is of, but it is never below what all their characters cost on average, so that long texts are
+measured fairly by short ones. A language with fewer than LEAST_HELD of them goes by the quantile over all languages.
 
 Scoring looks the model up in shards of SHARD_ROWS rows about, each broadcast by itself: a shard holds all n-grams of
 the same character before the last one, so each place in a text belongs to one shard, and the shards' sums of log
 probabilities add up to the document's. The number of shards grows with the model; results don't depend on it.
 
 Defined results: a null, empty or blank text has no perplexity and is rejected; a document whose language has no trusted
-text is scored with the model that likes it best; with no trusted text at all nothing but blank texts is rejected; rows
-that repeat stay rows of their own; an empty table gives an empty result; other columns come back as they were.
+text is scored with the model that likes it best; with no trusted text at all, or none among the rest, nothing but blank
+texts is rejected; rows that repeat stay rows of their own; an empty table gives an empty result; other columns come back
+as they were.
 """
 
 from __future__ import annotations
@@ -31,9 +37,9 @@ from .common import OWN, located, saved, text_of
 
 ORDER, BITS = 5, 12
 SHARD_ROWS = 3_000_000
-QUANTILE, SLACK, SPREAD = 0.98, 0.10, 2.0
-#: Classes of characters: most are their own, the rest share the last ones; 1 stands before a text's first character.
-CLASSES, START = 1 << BITS, 1
+QUANTILE, SLACK, SPREAD, LEAST_HELD = 0.98, 0.10, 2.0, 20
+#: Symbols: code points below OWN_CLASSES are their own, above them are the leads of the others; 1 stands before a text's first character.
+CLASSES, OWN_CLASSES, START = 1 << BITS, (1 << BITS) - 512, 1
 #: n-grams that a task holds before it hands them on, and characters taken at once.
 HELD, BATCH = 400_000, 1 << 18
 #: Discounts where counts of counts are too few.
@@ -41,13 +47,18 @@ PLAIN = (0.5, 1.0, 1.5)
 
 
 def classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes of all texts, ORDER - 1 starts before each; where each text begins (and the end)."""
+    """Symbols of all texts, ORDER - 1 starts before each; where each text begins (and the end)."""
     pad = chr(START) * (ORDER - 1)
     cp = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     begin = np.cumsum([0, *(len(t) + ORDER - 1 for t in texts)])
-    out = np.where(cp < CLASSES - 96, cp, CLASSES - 96 + cp % 96)
-    out[(cp >= 48) & (cp <= 57)] = 48  # digits are alike
-    return out, begin
+    far = cp >= OWN_CLASSES
+    if not far.any():
+        return cp, begin
+    at = np.concatenate(([0], np.cumsum(1 + far)))
+    out = np.empty(at[-1], np.int64)
+    out[at[:-1]] = np.where(far, OWN_CLASSES + cp // OWN_CLASSES - 1, cp)
+    out[at[1:][far] - 1] = cp[far] % OWN_CLASSES
+    return out, at[begin]
 
 
 def grams(cls: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,15 +225,15 @@ def sums(docs: DataFrame, whole: DataFrame, rows: int) -> DataFrame:
     # unigrams and the weight of the empty context are in every shard
     dealt = whole.withColumn("shard", F.when(F.col("level").isin(0, 1), F.lit(-1)).otherwise(place_of(F.col("lang"), after, shards)))
     known = {r.lang for r in whole.select("lang").distinct().collect()}
+    places = {}
+    if shards > 1:  # a row for each symbol
+        of = spark.range(CLASSES).select("id", *[place_of(F.lit(lang), F.col("id"), shards) for lang in sorted(known)]).orderBy("id").collect()
+        places = {lang: np.array([r[i + 1] for r in of]) for i, lang in enumerate(sorted(known))}
     found = None
     for s in range(shards):
         part = dealt.filter(F.col("shard").isin(-1, s)).select("lang", "level", "key", "value").toArrow()
         langs, level, key, value = (part.column(c).to_numpy() for c in ("lang", "level", "key", "value"))
-        pick = {}
-        if shards > 1:
-            ends = spark.range(CLASSES).select(F.col("id"))
-            for lang in known:
-                pick[lang] = np.array([r.s == s for r in ends.select("id", place_of(F.lit(lang), F.col("id"), shards).alias("s")).orderBy("id").collect()])
+        pick = {lang: of == s for lang, of in places.items()}
         shared = spark.sparkContext.broadcast((langs.astype(str), level, key, value, pick, sorted(known)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +289,12 @@ def scored(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, lang: str
     each = best.select(*place, "doc_id", F.col("b.model").alias("model"), F.col("b.n").alias("n"), cost.alias("cost"))
     wide = F.lit(SPREAD) / F.sqrt(F.greatest("n", F.lit(1)))
     held = each.join(good, "doc_id").filter((fold(F.col("doc_id")) == 0) & F.col("cost").isNotNull())
-    limits = {r.model: r.q for r in held.groupBy("model").agg(F.percentile_approx(F.col("cost") - wide, QUANTILE, 10000).alias("q")).collect()}
-    pairs = [x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v) + SLACK))]
-    limit = F.try_element_at(F.create_map(*pairs), F.col("model")) if pairs else F.lit(None).cast("double")
+    quantile = F.greatest(F.percentile_approx(F.col("cost") - wide, QUANTILE, 10000), F.sum(F.col("cost") * F.col("n")) / F.sum("n")).alias("q")
+    limits = held.rollup("model").agg(quantile, F.count(F.lit(1)).alias("held"), F.grouping("model").alias("all")).collect()
+    everywhere = next((r.q for r in limits if r["all"] == 1 and r.q is not None), None)
+    pairs = [x for r in limits if r["all"] == 0 and r.held >= LEAST_HELD for x in (F.lit(r.model), F.lit(float(r.q) + SLACK))]
+    pooled = F.lit(None if everywhere is None else float(everywhere) + SLACK).cast("double")
+    limit = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("model")), pooled) if pairs else pooled
     return each.select(*place, "doc_id", "model", F.exp("cost").alias("perplexity"), "n", F.exp(limit + wide).alias("threshold"), F.coalesce(F.col("cost") <= limit + wide, F.col("n") > 0).alias("kept"))
 
 

@@ -11,7 +11,7 @@ ids in turn. Characters in no piece are spelled in bytes. Whole texts are encode
 
 Defined results: a null text counts as empty and has no ids; decoding gives the text back, but that a literal U+2581
 comes back as a space, as with the library; rows that repeat stay rows of their own; an empty table gives an empty
-result; all other columns, whatever they are called, come back as they were.
+result; other columns come back as they were, but those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from sparkreel.workers import mapped
 
 from .bpe import SPACE, WORD, Model
-from .common import text_of
+from .common import OWN, others, text_of
 from .token_counts import model_bytes
 
 #: Characters of text taken at once.
@@ -261,7 +262,7 @@ def encode(docs: DataFrame, model: bytes | None = None, text: str = "text", to:
 
     round_trip: name of a column more, whether decoding the ids gave the text again.
     """
-    rest, file = [c for c in docs.columns if c != text], model or model_bytes()
+    rest, file = others(docs, text, to, *([round_trip] if round_trip else [])), model or model_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder_of(file)
@@ -278,14 +279,14 @@ def encode(docs: DataFrame, model: bytes | None = None, text: str = "text", to:
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(rest)]), *found], names)
 
     names = [*rest, to, *([round_trip] if round_trip else [])]
-    rows = docs.select(*rest, text_of(text).alias(text))
-    schema = rows.drop(text).schema.add(to, ArrayType(IntegerType()))
+    rows = docs.select(*rest, text_of(text).alias(f"{OWN}text"))
+    schema = rows.drop(f"{OWN}text").schema.add(to, ArrayType(IntegerType()))
     return mapped(rows, run, schema.add(round_trip, "boolean") if round_trip else schema)
 
 
 def decode(tokens: DataFrame, model: bytes | None = None, ids: str = "ids", to: str = "text") -> DataFrame:
     """tokens with its ids replaced by the text they stand for; null ids count as none."""
-    rest, file = [c for c in tokens.columns if c != ids], model or model_bytes()
+    rest, file = others(tokens, ids, to), model or model_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = decoder_of(file)
@@ -294,5 +295,5 @@ def decode(tokens: DataFrame, model: bytes | None = None, ids: str = "ids", to:
             texts = [machine.decode(column[i].values.to_numpy(zero_copy_only=False).tolist()) if column[i].is_valid else "" for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string())], [*rest, to])
 
-    rows = tokens.select(*rest, ids)
-    return mapped(rows, run, rows.drop(ids).schema.add(to, "string"))
+    rows = tokens.select(*rest, F.col(ids).alias(f"{OWN}ids"))
+    return mapped(rows, run, rows.drop(f"{OWN}ids").schema.add(to, "string"))

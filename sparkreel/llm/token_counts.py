@@ -4,7 +4,7 @@ Counts are those of the SentencePiece library for whole texts, without begin or
 with the tasks; each Python worker compiles the machine once and keeps it, within fixed bounds.
 
 Defined results: a null text counts as empty and has no tokens; rows that repeat stay rows of their own; an empty table
-gives an empty result; all other columns, whatever they are called, come back as they were.
+gives an empty result; other columns come back as they were, but one named like the result gives way to it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkreel.workers import mapped
 
 from . import bpe
-from .common import text_of
+from .common import OWN, others, text_of
 
 MODEL = "piece_bpe_32k.model"
 _compiled: dict[int, bpe.Counter] = {}
@@ -42,7 +42,7 @@ def counter_of(model: bytes) -> bpe.Counter:
 
 def count(docs: DataFrame, model: bytes | None = None, text: str = "text", to: str = "n_tokens", chunk: int = 1 << 16) -> DataFrame:
     """docs with its text replaced by the number of the text's tokens, in a column named to."""
-    rest, file = [c for c in docs.columns if c != text], model or model_bytes()
+    rest, file = others(docs, text, to), model or model_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = counter_of(file)
@@ -50,8 +50,8 @@ def count(docs: DataFrame, model: bytes | None = None, text: str = "text", to: s
             counts = [bpe.count_tokens(x.as_py(), machine, chunk) for x in batch.column(len(rest))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(counts, pa.int64())], [*rest, to])
 
-    rows = docs.select(*rest, text_of(text).alias(text))
-    return mapped(rows, run, rows.drop(text).schema.add(to, "long"))
+    rows = docs.select(*rest, text_of(text).alias(f"{OWN}text"))
+    return mapped(rows, run, rows.drop(f"{OWN}text").schema.add(to, "long"))
 
 
 def report(docs: DataFrame, limit: int = 4096, **options) -> DataFrame:

@@ -6,14 +6,15 @@ most, so it needs no word pairs. Case, accents and anything inserted between let
 letters written apart are read as one word, so gapped and spelled-out insults keep most of their subsequences.
 
 Training takes a bounded sample of labelled documents (SAMPLE rows a class, texts of LONGEST characters at most, chosen
-by a hash of doc_id). A sentence has its document's label, and a toxic sentence is represented by its most toxic words:
-witnesses are chosen and the machine is trained in turns. The machine is linear in the Nyström features of LANDMARKS
+by a hash of doc_id). Labels are of documents, and most sentences of a toxic one are clean, so the machine isn't trained
+on whole sentences: a toxic document is represented by the words in it that are most toxic. These witnesses are chosen
+and the machine is trained on words in turns. The machine is linear in the Nyström features of LANDMARKS
 words, hence linear in the subsequences themselves: its weights fold into one table of subsequences, and whole texts
 are scored by array look-ups. A document's score comes from its highest and third highest word by logistic regression.
 
 Defined results: a null, empty or letterless text has the score of no evidence; rows that repeat stay rows of their own;
-without training rows of both classes every score is 0; an empty table gives an empty result; all other columns,
-whatever they are called, come back as they were.
+without training rows of both classes every score is 0; an empty table gives an empty result; other columns come back as
+they were, but one named like the result gives way to it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.workers import mapped
 
-from .common import text_of
+from .common import OWN, others, text_of
 
 #: Bounds of the training sample.
 SAMPLE, LONGEST = 1500, 20_000
@@ -318,14 +319,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, l
     ids = [r for k in (0, 1) for r in short.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     if not ids:
         return [], (totals.get(0, 0), totals.get(1, 0))
-    picked = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int").distinct())  # 2 * per_class rows at most
+    picked = F.broadcast(spark.createDataFrame(ids, own.schema).distinct())  # 2 * per_class rows at most
     rows = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(picked, "doc_id").select("text", "toxic").limit(4 * per_class).collect()
     return sorted((r.text, r.toxic) for r in rows), (totals.get(0, 0), totals.get(1, 0))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "score") -> DataFrame:
     """docs with its text replaced by the score, a column named to."""
-    rest = [c for c in docs.columns if c != text]
+    rest = others(docs, text, to)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # SYMBOLS**4 floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +336,8 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "scor
             for a, b in parts(texts):
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(rest)]), pa.array(own.score(texts[a:b]), pa.float64())], [*rest, to])
 
-    rows = docs.select(*rest, text_of(text).alias(text))
-    return mapped(rows, run, rows.drop(text).schema.add(to, "double"))
+    rows = docs.select(*rest, text_of(text).alias(f"{OWN}text"))
+    return mapped(rows, run, rows.drop(f"{OWN}text").schema.add(to, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

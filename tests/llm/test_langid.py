@@ -1,6 +1,11 @@
+import math
 import random
 import zlib
 
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
 from sparkreel.llm import langid
 
 SYLLABLES = {"aa": ["tion", "the", "er", "ing", "and"], "bb": ["keit", "sch", "und", "ei", "ver"], "cc": ["ción", "que", "los", "ado", "ez"]}
@@ -44,6 +49,54 @@ def test_nothing_to_learn_and_empty_table(spark):
 
 def test_narrow_margins_are_rejected():
     same = b" the same words in both of them again and again "
-    machine = langid.Classifier({"a": [same], "b": [same]})
-    assert machine.predict("the same words")[0] == "a" and not machine.predict("the same words")[2]
+    ((name, score, sure),) = langid.Classifier({"a": same, "b": same}).predict(["the same words"])
+    assert name == "a" and score == 0.5 and not sure
     assert langid.bare("A  a, B!") == b" a b " and langid.bare("12² _ ½") == b""
+
+
+def test_query_against_brute_force(spark):
+    """Every text with every dictionary, block by block."""
+    rows = [*corpus(150), (900, "tion the er " * 4000, "aa", "x"), (901, "ción! " * 9, None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    dictionaries = langid.learn(frame)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.classify(frame).collect()}
+    for i, text, _, _ in rows:
+        plain, sizes = langid.bare(text), {}
+        for lang, content in dictionaries.items():
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=langid.LEVEL)
+            c = zstandard.ZstdCompressor(dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(plain[a : a + langid.BLOCK])) for a in range(0, len(plain), langid.BLOCK))
+        best = min(sizes, key=sizes.get)
+        assert got[i] == (best, pytest.approx(1 / sum(math.exp((sizes[best] - n) / 2) for n in sizes.values()))), i
+
+
+def test_hundreds_of_languages_are_learned_and_prepared_by_turns(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    vocabulary = {f"l{k:03}": [word() for _ in range(12)] for k in range(300)}
+    rows = [(i, " ".join(rnd.choice(own) for _ in range(30)), lang) for lang, own in vocabulary.items() for i in rnd.sample(range(10**6), 4)]
+    got = langid.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert len({r.lang_pred for r in got}) > 280
+    assert sum(r.lang_pred == want[r.doc_id] for r in got if not r.held_out) == sum(not r.held_out for r in got)
+
+
+def test_the_whole_of_a_long_text_is_learned_from(spark):
+    long = "aber " * 3000 + "zwischenzeitlich unterdessen " * 300
+    rows = [(i, x, lang) for i, (x, lang) in enumerate([(long, "de"), ("the one and only " * 20, "en"), ("the other one " * 20, "en")]) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert b"zwischenzeitlich" in langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["de"]
+
+
+def test_copies_of_one_row_count_once_and_names_that_clash(spark):
+    rows = [(1, "immer dasselbe", "de")] * 3000 + corpus_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("Score", F.lit("mine")).withColumn("accepted", F.lit(1))
+    assert langid.learn(frame)["de"].count(b"dasselbe") == 1
+    out = langid.predict(frame, langid.learn(frame))
+    assert out.columns == ["doc_id", "lang", "lang_pred", "score", "accepted"] and out.count() == len(rows)
+    texts = frame.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert langid.classify(texts).schema["doc_id"].dataType.simpleString() == "string"
+
+
+def corpus_rows():
+    return [(100 + i, t, lang) for i, (_, t, lang, _) in enumerate(corpus(20))]

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkreel.llm import toxicity
 
@@ -84,3 +85,16 @@ def test_one_class_and_empty_table(spark):
     frame, some = frames(spark, docs, [(i, q, 0) for i, q, _ in labels])
     assert {r.score for r in toxicity.classify(frame, some).collect()} == {0.0}
     assert toxicity.classify(frame.limit(0), some.limit(0)).collect() == []
+
+
+def test_string_ids_and_a_column_named_score(spark):
+    docs, labels = corpus(120)
+    frame = spark.createDataFrame([(f"d{i}", t) for i, t, *_ in docs], "doc_id string, text string").withColumn("Score", F.lit("mine"))
+    some = spark.createDataFrame([(f"d{i}", q, y) for i, q, y in labels], "doc_id string, quality int, toxic int")
+    got = toxicity.classify(frame, some)
+    assert got.schema["doc_id"].dataType.simpleString() == "string" and got.count() == len(docs)
+    machine = toxicity.train(*toxicity.training_rows(frame, some))
+    assert toxicity.score(frame, machine).columns == ["doc_id", "score"]
+    # the query against the machine by hand, text by text
+    by_hand = {f"d{i}": machine.score([t or ""])[0] for i, t, *_ in docs}
+    assert all(abs(r.score - by_hand[r.doc_id]) < 1e-6 and r.predicted == (r.score >= 0.5) for r in got.collect())
