@@ -5,8 +5,11 @@ For many streams at once use the modules in `operators`; this is the same, made
 
 from __future__ import annotations
 
+import json
 import numbers
 import os
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.frames import AudioSamples, Frame, FrameBatch
 from sparkreel.operators import index as index_ops
-from sparkreel.operators import lookup, payload, samplers
+from sparkreel.operators import lookup, metadata, payload, samplers
 from sparkreel.schema import DIMENSION_ORDERS, SEEK_MODES
 from sparkreel.sources import backends, mappings, wav
 
@@ -24,9 +27,10 @@ class VideoDecoder:
 
     frames: a DataFrame of frame_index, pts_seconds, duration_seconds and, where pictures are wanted, shape and data
     (packed rows x columns x channels), of one stream; or packets (pts, seq, duration, is_key in ticks of tb) alone.
+    stream_index picks one where frames holds several; width and height scale pictures.
     """
 
-    def __init__(self, frames: DataFrame, *, seek_mode: str = "exact", dimension_order: str = "NCHW", average_fps: float | None = None, num_frames: int | None = None, custom_frame_mappings: str | None = None, tb: tuple[int, int] = (1, 1_000_000)):
+    def __init__(self, frames: DataFrame, *, seek_mode: str = "exact", dimension_order: str = "NCHW", average_fps: float | None = None, num_frames: int | None = None, custom_frame_mappings: str | None = None, tb: tuple[int, int] = (1, 1_000_000), stream_index: int | None = None, width: int | None = None, height: int | None = None, num_threads: int = 1, device: str = "cpu"):
         if seek_mode not in SEEK_MODES[:2]:
             raise ValueError(f"{seek_mode!r} is no seek mode; there are {', '.join(SEEK_MODES[:2])}")
         if custom_frame_mappings is not None and seek_mode == "approximate":
@@ -35,8 +39,14 @@ class VideoDecoder:
             raise ValueError(f"{dimension_order!r} is no dimension order; there are {', '.join(DIMENSION_ORDERS)}")
         if seek_mode == "approximate" and (average_fps is None or num_frames is None):
             raise RuntimeError("approximate mode needs the header's average_fps and num_frames")
-        self.order, self.mode, self.fps = dimension_order, seek_mode, average_fps
+        if num_threads is None:
+            raise ValueError("num_threads needs a number")
+        if device != "cpu":
+            raise backends.NoBackend(f"nothing here decodes on {device!r}; only 'cpu' is known")
+        self.order, self.mode, self.fps, self.size = dimension_order, seek_mode, average_fps, (width, height)
         spark = frames.sparkSession
+        if stream_index is not None:
+            frames = frames.filter(F.col("stream_index") == stream_index)
         if custom_frame_mappings is not None:
             mappings.check(custom_frame_mappings)
             parsed = mappings.exploded(spark.createDataFrame([(0, custom_frame_mappings)], "stream_index int, mapping string"))
@@ -58,7 +68,13 @@ class VideoDecoder:
     def __len__(self) -> int:
         return self.count
 
+    def __iter__(self) -> Iterator[np.ndarray]:
+        """Pictures in order, read on partition by partition."""
+        return (self._picture(r) for r in self.frames.orderBy("frame_index").toLocalIterator())
+
     def key_frame_indices(self) -> list[int]:
+        if self.mode == "approximate":
+            raise RuntimeError("key frames are known after a scan only, which the approximate mode leaves out")
         return [r.frame_index for r in self.frames.filter("is_key").select("frame_index").orderBy("frame_index").collect()]
 
     def __getitem__(self, key):
@@ -78,7 +94,9 @@ class VideoDecoder:
         if "data" not in row:
             image = np.zeros((0, 0, 3), np.uint8)
         else:
-            image = np.frombuffer(row.data, np.uint8).reshape(row["shape"]["h"], row["shape"]["w"], row["shape"]["c"])
+            h, w = row["shape"]["h"], row["shape"]["w"]
+            image = np.frombuffer(row.data, np.uint8).reshape(h, w, row["shape"]["c"])
+            image = payload.resize_bilinear(image, self.size[1] or h, self.size[0] or w)
         return payload.channels_first(image) if self.order == "NCHW" else image
 
     def _requested(self, indices: list[int]) -> list:
@@ -116,7 +134,14 @@ class VideoDecoder:
     def get_frame_played_at(self, seconds: float) -> Frame:
         if not self.begin <= seconds < self.end:
             raise IndexError(f"nothing is shown at {seconds} s: the stream lasts from {self.begin} to before {self.end}")
-        return self.get_frame_at(self._index_at([seconds])[0])
+        if self.mode == "approximate":
+            return self.get_frame_at(self._index_at([seconds])[0])
+        # one frame alone goes by durations: in a gap between frames it is the next one
+        flag = F.col("is_key") if "is_key" in self.frames.columns else F.lit(False)
+        line = self.frames.select("stream_index", F.col("pts_seconds").alias("pts"), F.col("frame_index").alias("seq"), F.col("duration_seconds").alias("duration"), flag.alias("is_key"), "frame_index")
+        asked = self.frames.sparkSession.createDataFrame([(0, 0, float(seconds))], "stream_index int, request_id long, t double")
+        found = lookup.played_at_by_duration(line, asked).head()
+        return self.get_frame_at(found.frame_index if found else self.count - 1)
 
     def get_frames_played_at(self, seconds: list[float]) -> FrameBatch:
         for t in seconds:
@@ -141,6 +166,102 @@ class VideoDecoder:
         return self.get_frames_in_range(a, b)
 
 
+class MediaReader:
+    """One container at the level of its streams: scan, add the one stream to read, seek, read on.
+
+    packets: of one source (schema PACKETS), with shape and data where pictures are wanted. streams: schema STREAMS.
+    """
+
+    def __init__(self, packets: DataFrame, streams: DataFrame, seek_mode: str = "exact"):
+        if seek_mode not in SEEK_MODES:
+            raise ValueError(f"{seek_mode!r} is no seek mode; there are {', '.join(SEEK_MODES)}")
+        self.packets, self.mode = packets, seek_mode
+        self.streams = {r.stream_index: r for r in streams.withColumn("json", metadata.stream_json()).collect()}  # a container has few
+        self.best = {r.media_type: r.stream_index for r in metadata.best_streams(streams).collect()}
+        self.scanned, self.active, self.cursor, self.decoder = seek_mode == "exact", None, None, None
+        self.counters = {"frames": 0, "seeks": 0}
+
+    def scan(self) -> None:
+        """Makes the index of frames known; once is enough."""
+        self.scanned = True
+
+    def stream_json(self, index: int) -> str:
+        if index not in self.streams:
+            raise IndexError(f"there is no stream {index}, only {sorted(self.streams)}")
+        return self.streams[index].json
+
+    def _add(self, kind: str, index: int | None) -> int:
+        if self.active is not None:
+            raise RuntimeError(f"stream {self.active[1]} is being read already, and a reader reads one")
+        index = self.best.get(kind) if index is None else index
+        if index is None or index not in self.streams or self.streams[index].media_type != kind:
+            raise ValueError(f"stream {index} is no {kind} stream of this container")
+        self.active = kind, index
+        return index
+
+    def _reading(self, kind: str) -> None:
+        if self.active is None:
+            raise RuntimeError("add a stream first")
+        if self.active[0] != kind:
+            raise RuntimeError(f"this reads {kind}, and stream {self.active[1]} is {self.active[0]}")
+
+    def add_video_stream(self, *, color_conversion_library: str = "filtergraph", custom_frame_mappings: str | None = None, **options) -> None:
+        """options: those of VideoDecoder that don't name the stream, and stream_index. Both colour libraries come down to one conversion here."""
+        if color_conversion_library not in ("filtergraph", "swscale"):
+            raise ValueError(f"{color_conversion_library!r} converts no colours; filtergraph and swscale do")
+        if (custom_frame_mappings is None) == (self.mode == SEEK_MODES[2]):
+            raise ValueError(f"frame mappings go with the mode {SEEK_MODES[2]!r}, and only with it")
+        index = self._add("video", options.pop("stream_index", None))
+        stream = self.streams[index]
+        own = self.packets.filter((F.col("stream_index") == index) & ~F.col("is_discard"))
+        if self.mode == "approximate":
+            options |= {"seek_mode": "approximate", "average_fps": stream.average_fps_from_header, "num_frames": stream.num_frames_from_header}
+        first = own.select("tb_num", "tb_den").head() if "tb_num" in own.columns else None
+        self.decoder = VideoDecoder(own, custom_frame_mappings=custom_frame_mappings, tb=(first.tb_num, first.tb_den) if first else (1, 1_000_000), **options)
+        self.scanned = self.scanned or custom_frame_mappings is not None
+
+    def add_audio_stream(self, *, stream_index: int | None = None, sample_rate: int | None = None, num_channels: int | None = None) -> None:
+        if self.mode != "approximate":
+            raise RuntimeError("audio is read in the approximate mode only")
+        if num_channels is not None and not 1 <= num_channels <= wav.MOST_CHANNELS:
+            raise RuntimeError(f"1 to {wav.MOST_CHANNELS} channels can be had, not {num_channels}")
+        self._add("audio", stream_index)
+        self.wanted = sample_rate, num_channels
+
+    def key_frame_indices(self) -> list[int]:
+        self._reading("video")
+        if not self.scanned:
+            raise RuntimeError("key frames are known after a scan only")
+        return [r.frame_index for r in self.decoder.frames.filter("is_key").select("frame_index").orderBy("frame_index").collect()]
+
+    def seek(self, seconds: float) -> None:
+        self.cursor = float(seconds)
+        self.counters["seeks"] += 1
+
+    def next_frame(self) -> Frame:
+        """The first frame at or after the cursor, which moves on past it."""
+        self._reading("video")
+        at = F.col("pts_seconds")
+        found = self.decoder.frames.filter(at >= self.cursor if self.cursor is not None else F.lit(True)).orderBy("pts_seconds", "frame_index").head()
+        if found is None:
+            raise IndexError("there are no more frames")
+        self.cursor = float(np.nextafter(found.pts_seconds, np.inf))
+        self.counters["frames"] += 1
+        return Frame(self.decoder._picture(found), found.pts_seconds, found.duration_seconds)
+
+    def frame_at(self, index: int) -> Frame:
+        self._reading("video")
+        return self.decoder.get_frame_at(index)
+
+    def pts_equal(self, index: int, seconds: float) -> bool:
+        """Whether the frame's time is exactly this number."""
+        return self.frame_at(index).pts_seconds == seconds
+
+    def report(self) -> str:
+        """What has been read, as JSON."""
+        return json.dumps({**self.counters, "stream": self.active and self.active[1]})
+
+
 class AudioDecoder:
     """A WAV file's samples (or those of any registered backend) by time."""
 
@@ -229,3 +350,76 @@ def clips_at_regular_timestamps(decoder: VideoDecoder, **options) -> FrameBatch:
 
 def clips_at_random_timestamps(decoder: VideoDecoder, **options) -> FrameBatch:
     return _sampled(decoder, samplers.clips_at_random_timestamps(_streams(decoder), **options), "seconds", options.get("num_frames_per_clip", 1))
+
+
+@dataclass
+class VideoSize:
+    """Of a clip's pictures; 0 where it isn't given. See samplers.target_size."""
+
+    desired_width: int = 0
+    desired_height: int = 0
+    desired_min_dimension: int = 0
+    desired_max_dimension: int = 0
+
+
+@dataclass
+class ClipPlan:
+    """How a VideoClipSampler takes clips: by 'index' or by 'time', starts 'random' or 'uniform'."""
+
+    by: str = "index"
+    starts: str = "random"
+    clips: int = 1
+    frames_per_clip: int = 1
+    dilation: int = 1
+    end_index: int | None = None
+
+
+class VideoClipSampler:
+    """The older sampler: clips of a video's frames at one size. Calling it with a decoder gives a FrameBatch for each clip."""
+
+    def __init__(self, size: VideoSize | None = None, plan: ClipPlan | None = None, seed: int = 0):
+        self.size, self.plan, self.seed = size or VideoSize(), plan or ClipPlan(), seed
+        if self.plan.starts not in ("random", "uniform") or self.plan.by not in ("index", "time"):
+            raise NotImplementedError(f"clips start 'random' or 'uniform', by 'index' or 'time', not {self.plan.starts!r} by {self.plan.by!r}")
+
+    def __call__(self, decoder: VideoDecoder) -> list[FrameBatch]:
+        p = self.plan
+        firsts = self._starts(decoder)
+        if p.by == "time":
+            starts = decoder.frames.sparkSession.createDataFrame([(0, k, t) for k, t in enumerate(firsts)], "stream_index int, clip_id long, t double")
+            line = decoder.frames.select("stream_index", "frame_index", F.col("pts_seconds").alias("pts"), F.col("frame_index").alias("seq"))
+            rows = samplers.clip_from(line, starts, p.frames_per_clip, p.dilation).select("clip_id", "pos", "frame_index").collect()
+            clips = [[r.frame_index for r in sorted(rows, key=lambda r: r.pos) if r.clip_id == k] for k in range(len(firsts))]
+        else:
+            clips = [list(range(a, a + (p.frames_per_clip - 1) * p.dilation + 1, p.dilation)) for a in firsts]
+        flat = decoder.get_frames_at([i for c in clips for i in c])
+        cuts = np.cumsum([0, *map(len, clips)])
+        return [self._scaled(flat[a:b], decoder.order) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _starts(self, decoder: VideoDecoder) -> list:
+        p, lit = self.plan, F.lit
+        spark = decoder.frames.sparkSession
+        if p.by == "index":
+            span = p.dilation * p.frames_per_clip
+            last = (decoder.count if p.end_index is None else min(p.end_index + 1, decoder.count)) - span
+            if last < 0:
+                raise samplers.VideoTooShort(f"a clip of {span} frames doesn't fit into {decoder.count}")
+            if p.starts == "uniform":
+                return spark.range(1).select(samplers.uniform_index_starts(lit(decoder.count).cast("long"), p.clips, p.frames_per_clip, p.dilation, p.end_index)).head()[0]
+            return np.random.default_rng(self.seed).integers(0, last, p.clips, endpoint=True).tolist()
+        fps = decoder.fps or decoder.count / (decoder.end - decoder.begin)
+        ends = lit(decoder.begin), lit(decoder.end), lit(fps), p.clips, p.frames_per_clip, p.dilation
+        made = samplers.uniform_time_starts(*ends) if p.starts == "uniform" else samplers.sorted_random_time_starts(*ends, self.seed)
+        found = spark.range(1).select(made).head()[0]
+        if found is None:
+            raise samplers.VideoTooShort(f"a clip of {p.frames_per_clip} frames doesn't fit into {decoder.end - decoder.begin} s")
+        return found
+
+    def _scaled(self, clip: FrameBatch, order: str) -> FrameBatch:
+        images = clip.data.transpose(0, 2, 3, 1) if order == "NCHW" else clip.data
+        h, w = images.shape[1:3]
+        if not len(images) or not h or not w:
+            return clip
+        size = SparkSession.active().range(1).select(samplers.target_size(F.lit(w), F.lit(h), **vars(self.size))).head()[0]
+        scaled = np.stack([payload.resize_bilinear(x, size["h"], size["w"]) for x in images])
+        return FrameBatch(scaled.transpose(0, 3, 1, 2) if order == "NCHW" else scaled, clip.pts_seconds, clip.duration_seconds)

@@ -65,8 +65,9 @@ def arange(start: Column, stop: Column, step: float) -> Column:
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that depends on seed and keys alone, not on how rows are dealt out."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    """A number in [0, 1) that depends on seed and keys alone, not on how rows are dealt out: ten hexadecimal digits of an MD5, which any SQL engine has."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary")), 1, 10)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 40)
 
 
 def _c(x: Column | int) -> Column:

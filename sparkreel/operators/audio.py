@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from sparkreel.functions.timebase import closest_pts, sample_offset, seconds_of
+from sparkreel.operators import payload
+from sparkreel.workers import importable
 
 KEYS = ("stream_index",)
 
@@ -60,3 +65,50 @@ def all_samples(frames: DataFrame, **options) -> DataFrame:
 def rechunked(samples: DataFrame, frame_size: int, position: str = "pos") -> DataFrame:
     """samples numbered from 0: the frame of frame_size each falls into; only the last frame may be short."""
     return samples.withColumns({"frame": F.floor(F.col(position) / frame_size).cast("long"), "offset": F.col(position) % frame_size})
+
+
+def resampled(frames: DataFrame, rate: int, wanted: int, position: str = "pts", keys: tuple[str, ...] = KEYS, chunk: int = 1 << 16) -> DataFrame:
+    """frames: keys, position (of the first sample), data (channels of samples). The stream at another rate: keys, position, data in frames of chunk samples.
+
+    A sample depends on few around it, so chunks are made each by itself, from the frames that reach into it: a stream
+    of any length is spread out, and the result is that of resampling it whole.
+    """
+    reach, ratio = payload.reach_of(rate, wanted), rate / wanted
+    n = F.size(F.get("data", F.lit(0)))
+    ends = frames.groupBy(*keys).agg(F.max(F.col(position) + n).alias("_n"))
+    last = F.ceil(F.col("_n") * wanted / rate).cast("long")
+    lowest = F.greatest(F.floor((F.col(position) - reach) / ratio / chunk), F.lit(0)).cast("long")
+    highest = F.least(F.floor((F.col(position) + n + reach) / ratio / chunk), F.floor((last - 1) / chunk)).cast("long")
+    dealt = frames.join(ends, list(keys)).filter(n > 0).select(*keys, F.col(position).cast("long").alias("_at"), "data", last.alias("_last"), F.explode(F.sequence(lowest, F.greatest(lowest, highest))).alias("_chunk"))
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("_at").to_pylist(), group.column("data").to_pylist(), strict=True), key=lambda r: r[0])
+        first, end = rows[0][0], max(a + len(d[0]) for a, d in rows)
+        part = np.zeros((max(len(d) for _, d in rows), end - first))
+        for a, d in rows:
+            part[: len(d), a - first : a - first + len(d[0])] = d
+        k, size = group.column("_chunk")[0].as_py(), group.column("_last")[0].as_py()
+        out = payload.resample_span(part, first, rate, wanted, k * chunk, max(k * chunk, min(size, (k + 1) * chunk)))
+        return pa.table({**{c: group.column(c).slice(0, 1) for c in keys}, position: pa.array([k * chunk]), "data": pa.array([out.tolist()], pa.list_(pa.list_(pa.float32())))})
+
+    importable(frames.sparkSession)
+    schema = dealt.select(*keys).schema.add(position, "long").add("data", ArrayType(ArrayType(FloatType())))
+    return dealt.groupBy(*keys, "_chunk").applyInArrow(run, schema)
+
+
+def remixed(frames: DataFrame, wanted: int, data: str = "data") -> DataFrame:
+    """frames with as many channels as wanted: one is the mean, one is copied to many, else the first are kept and missing ones are silent."""
+    if not 1 <= wanted <= 8:
+        raise ValueError(f"1 to 8 channels can be made, not {wanted}")
+    have, first = F.size(data), F.get(data, F.lit(0))
+    silent = F.transform(first, lambda x: x * 0)
+    mean = F.transform(F.sequence(F.lit(0), F.size(first) - 1), lambda i: F.aggregate(data, F.lit(0.0), lambda s, c: s + F.get(c, i).cast("double")) / have)
+    mean = F.when(F.size(first) > 0, F.array(mean)).otherwise(F.array(F.array().cast("array<double>")))
+    kept = F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda k: F.coalesce(F.get(data, k), silent))
+    made = F.when(have == wanted, F.col(data)).when(have == 1, F.array_repeat(first, wanted)).otherwise(mean if wanted == 1 else kept)
+    return frames.withColumn(data, made)
+
+
+def joined_chunks(frames: DataFrame, position: str = "pts", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Channels of each stream joined in order: keys, data."""
+    return concatenated(frames.withColumnRenamed(position, "pts") if position != "pts" else frames, keys).drop("first_pts")

@@ -102,3 +102,13 @@ def limits(mode: str, begin_content: Column, end_content: Column, n_content: Col
     if mode == "approximate":
         return F.lit(0.0), duration_header, n_header
     return begin_content, end_content, n_content
+
+
+def pts_differences(index: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """index with step: ticks since the frame before, null for the first."""
+    return index.withColumn("step", F.col("pts") - F.lag("pts").over(Window.partitionBy(*keys).orderBy("frame_index")))
+
+
+def mapping_bounds(parsed: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Of custom mappings as they were given: begin (first row's pts), end (last row's pts + duration), number of frames."""
+    return parsed.groupBy(*keys).agg(F.min_by("pts", "pos").alias("begin_pts"), F.max_by(F.col("pts") + F.col("duration"), "pos").alias("end_pts"), F.count(F.lit(1)).alias("num_frames"))

@@ -1,4 +1,9 @@
-"""Frame lookups: by index, by range, by instant (as-of) and by time range, for many streams at once."""
+"""Frame lookups: by index, by range, by instant (as-of) and by time range, for many streams at once.
+
+No lookup makes more rows than there are frames, requests and answers: instants and ranges are found on a time line of
+frames and requests, sorted once by stream, and answers by equality join. Which side of a join is broadcast is left to
+Spark, which knows the sizes when it gets there.
+"""
 
 from __future__ import annotations
 
@@ -8,23 +13,17 @@ from pyspark.sql import functions as F
 from sparkreel.functions.timebase import slice_bounds, wrapped_index
 
 KEYS = ("stream_index",)
-#: Requests are broadcast up to this many rows, counted before.
-MOST_BROADCAST = 100_000
 
 
 class FrameIndexError(IndexError):
     """No such frame."""
 
 
-def _side(requests: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(requests) if requests.limit(most + 1).count() <= most else requests
-
-
-def at_indices(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS, most: int = MOST_BROADCAST) -> DataFrame:
+def at_indices(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """requests: keys, pos, idx (negative from the end). A row for each request, repeats too, in no order but with pos; requests out of range give none."""
     sizes = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     asked = requests.join(sizes, list(keys)).select(*keys, "pos", wrapped_index(F.col("idx"), F.col("n")).alias("frame_index"))
-    return index.join(_side(asked, most), [*keys, "frame_index"])
+    return index.join(asked, [*keys, "frame_index"])
 
 
 def checked_indices(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -37,11 +36,11 @@ def checked_indices(index: DataFrame, requests: DataFrame, keys: tuple[str, ...]
     return at_indices(index, requests, keys)
 
 
-def distinct_first(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS, most: int = MOST_BROADCAST) -> DataFrame:
+def distinct_first(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """As at_indices, but each frame is looked up once, however often it is asked for, then handed to all who asked."""
     sizes = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     asked = requests.join(sizes, list(keys)).select(*keys, "pos", wrapped_index(F.col("idx"), F.col("n")).alias("frame_index"))
-    found = index.join(_side(asked.select(*keys, "frame_index").distinct(), most), [*keys, "frame_index"])
+    found = index.join(asked.select(*keys, "frame_index").distinct(), [*keys, "frame_index"])
     return asked.join(found, [*keys, "frame_index"])
 
 
@@ -104,24 +103,48 @@ def played_at_by_bucket(index: DataFrame, requests: DataFrame, ticks: int, keys:
     return found.select(*keys, "request_id", F.col("at").alias("t"), "frame.*")
 
 
-def played_at_join(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS, most: int = MOST_BROADCAST) -> DataFrame:
-    """The same by an equality join with a range residual; the better plan for few requests, which are broadcast."""
-    asked = _side(requests, most)
-    return index.join(asked, list(keys)).filter((F.col("pts") <= F.col("t")) & (F.col("t") < F.col("next_pts")))
+def played_at_join(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The same by an equality join with a range residual; the better plan for a few requests a stream."""
+    return index.join(requests, list(keys)).filter((F.col("pts") <= F.col("t")) & (F.col("t") < F.col("next_pts")))
 
 
-def played_at_by_duration(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS, most: int = MOST_BROADCAST) -> DataFrame:
+def played_at_by_duration(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The single-frame lookup of a decoder that has just sought the key frame for t.
 
     By pts from that key frame (the first one where t lies before), the first frame that has begun and not ended at t,
     by its own duration, or that begins after t.
+
+    From a key frame on, the first frame that ends after t is one that ends later than all before it. Such a frame
+    answers for the instants from their latest end to its own, so it is found as of t; where it begins after t, or there
+    is none, the answer is the stream's first frame after t.
     """
-    line = key_pts_at(index, requests, keys)
-    asked = _side(line.select(*keys, "request_id", "t", "key_pts"), most)
-    p, t = F.col("pts"), F.col("t")
-    reach = (p >= F.coalesce("key_pts", p)) & ((p > t) | ((p <= t) & (t < p + F.col("duration"))))
-    met = index.join(asked, list(keys)).filter(reach)
-    return met.groupBy(*keys, "request_id", "t").agg(F.min(F.struct("pts", "seq", "frame_index")).alias("f")).select(*keys, "request_id", "t", "f.frame_index", "f.pts")
+    end = F.col("pts") + F.col("duration")
+    key = F.when(F.col("is_key"), F.col("pts"))
+    so_far = Window.partitionBy(*keys).orderBy("pts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = index.withColumns({"key_pts": F.max(key).over(so_far), "any_key": F.max(key).over(Window.partitionBy(*keys))}).filter("any_key is null or key_pts is not null")
+    before = Window.partitionBy(*keys, "key_pts").orderBy("pts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    frame = F.struct("pts", "seq", "frame_index").alias("frame")
+    latest = known.select(*keys, "key_pts", frame, end.alias("end"), F.max(end).over(before).alias("at")).filter("at is null or end > at")
+    asked = key_pts_at(index, requests, keys)
+    line = latest.select(*keys, "key_pts", "at", F.lit(0).alias("kind"), F.struct("frame", "end").alias("held"), F.lit(None).cast("long").alias("request_id"))
+    line = line.unionByName(asked.select(*keys, "key_pts", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(line.schema["held"].dataType).alias("held"), F.col("request_id").cast("long").alias("request_id")))
+    w = Window.partitionBy(*keys, "key_pts").orderBy(F.asc_nulls_first("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    here = line.withColumn("held", F.last("held", ignorenulls=True).over(w)).filter("kind = 1")
+    shown = F.when((F.col("held.frame.pts") <= F.col("at")) & (F.col("at") < F.col("held.end")), F.col("held.frame"))
+    after = _first_from(known, here.select(*keys, "request_id", F.col("at").alias("t"), shown.alias("shown")), "t", keys, strict=True)
+    found = after.withColumn("frame", F.coalesce("shown", "frame")).filter("frame is not null")
+    return found.select(*keys, "request_id", "t", "frame.frame_index", "frame.pts")
+
+
+def _first_from(index: DataFrame, requests: DataFrame, at: str, keys: tuple[str, ...], strict: bool) -> DataFrame:
+    """requests with frame, struct(pts, seq, frame_index): the first frame at or after the column at (strict: after it), or null. One time line read backwards."""
+    frame, asked = F.struct("pts", "seq", "frame_index"), F.struct(*[c for c in requests.columns if c not in keys])
+    frames = index.select(*keys, F.col("pts").alias("_at"), F.lit(0).alias("_kind"), F.col("seq").alias("_tie"), frame.alias("frame"))
+    line = requests.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(index.schema["seq"].dataType).alias("_tie"), asked.alias("_asked"))
+    line = frames.unionByName(line, allowMissingColumns=True)
+    kind = F.desc("_kind") if strict else F.asc("_kind")
+    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), kind, F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("frame", F.last("frame", ignorenulls=True).over(w)).filter("_kind = 1").select(*keys, "_asked.*", "frame")
 
 
 def key_pts_at(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -150,13 +173,29 @@ def pts_approximate(i: Column, fps: Column, num: int = 1, den: int = 1_000_000)
     return F.round(i / fps * den / num).cast("long")
 
 
-def played_in_range(index: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = KEYS, most: int = MOST_BROADCAST) -> DataFrame:
-    """ranges: keys, request_id, start, stop (ticks). Frames on screen at any time in [start, stop); none if they are equal."""
-    asked = _side(ranges.filter("start < stop"), most)
-    return index.join(asked, list(keys)).filter((F.col("next_pts") > F.col("start")) & (F.col("pts") < F.col("stop")))
+def played_in_range(index: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """ranges: keys, request_id, start, stop (ticks). Frames on screen at any time in [start, stop); none if they are equal.
 
-
-def next_frame(index: DataFrame, cursors: DataFrame, keys: tuple[str, ...] = KEYS, most: int = MOST_BROADCAST) -> DataFrame:
+    Both ends are found on the time line, as numbers of frames; the frames between are fetched by number.
+    """
+    some = ranges.filter("start < stop")
+    mark = lambda at, kind: some.select(*keys, F.col(at).alias("at"), F.lit(kind).alias("kind"), F.col("request_id").cast("long").alias("request_id"), "start", "stop")
+    frames = index.select(*keys, F.col("pts").alias("at"), F.lit(1).alias("kind"), "frame_index")
+    # at one instant: the stop, which doesn't reach a frame that begins there; the frame; the start, which does
+    line = frames.unionByName(mark("stop", 0).unionByName(mark("start", 2)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("at", "kind", "frame_index").rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.withColumn("frame_index", F.max("frame_index").over(w)).filter("kind != 1")
+    ends = seen.groupBy(*keys, "request_id", "start", "stop").agg(F.coalesce(F.max(F.when(F.col("kind") == 2, F.col("frame_index"))), F.lit(0)).alias("first"), F.max(F.when(F.col("kind") == 0, F.col("frame_index"))).alias("last"))
+    asked = ends.filter("first <= last").select(*keys, "request_id", "start", "stop", F.explode(F.sequence("first", "last")).alias("frame_index"))
+    return index.join(asked, [*keys, "frame_index"])
+
+
+def next_frame(index: DataFrame, cursors: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """cursors: keys, request_id, cursor. The first frame at or after the cursor; none past the last."""
-    met = index.join(_side(cursors, most), list(keys)).filter(F.col("pts") >= F.col("cursor"))
-    return met.groupBy(*keys, "request_id", "cursor").agg(F.min(F.struct("pts", "seq", "frame_index")).alias("f")).select(*keys, "request_id", "cursor", "f.frame_index", "f.pts")
+    met = _first_from(index, cursors, "cursor", keys, strict=False).filter("frame is not null")
+    return met.select(*keys, "request_id", "cursor", "frame.frame_index", "frame.pts")
+
+
+def pts_equal(index: DataFrame, claims: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """claims: keys, frame_index, seconds. Whether that frame's pts_seconds is exactly this number."""
+    return index.join(claims, [*keys, "frame_index"]).select(*keys, "frame_index", "seconds", (F.col("pts_seconds") == F.col("seconds")).alias("equal"))

@@ -73,38 +73,83 @@ def containers(streams: DataFrame, container: str = "source") -> DataFrame:
     return counts.join(best, container)
 
 
+def _json(names: dict[str, str | Column]) -> Column:
+    """An object of these members, in order of their names; null ones are left out."""
+    members = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in sorted(names.items())]
+    return F.to_json(F.struct(*members), {"ignoreNullFields": "true"})
+
+
 def stream_json() -> Column:
     """A stream's fields as JSON; unknown ones are left out."""
-    names = {
+    return _json({
         "durationSecondsFromHeader": "duration_seconds_from_header", "bitRate": "bit_rate", "numFramesFromContent": "num_frames_from_content",
         "numFramesFromHeader": "num_frames_from_header", "beginStreamSecondsFromHeader": "begin_stream_seconds_from_header",
         "beginStreamSecondsFromContent": "begin_stream_seconds_from_content", "endStreamSecondsFromContent": "end_stream_seconds_from_content",
         "codec": "codec", "width": "width", "height": "height", "averageFpsFromHeader": "average_fps_from_header",
+        "sampleAspectRatioNum": "pixel_aspect_ratio.num", "sampleAspectRatioDen": "pixel_aspect_ratio.den",
         "sampleRate": "sample_rate", "numChannels": "num_channels", "sampleFormat": "sample_format", "mediaType": "media_type",
-    }
-    return F.to_json(F.struct(*[F.col(c).alias(n) for n, c in names.items()]), {"ignoreNullFields": "true"})
+    })
+
+
+def stream_json_at(streams: DataFrame, requests: DataFrame, container: str = "source") -> DataFrame:
+    """requests: container, stream_index. json of each; a stream that isn't there fails the query."""
+    met = requests.join(streams.withColumn("_json", stream_json()), [container, "stream_index"], "left")
+    missing = F.raise_error(F.concat(F.lit("no stream has the index "), F.col("stream_index").cast("string")))
+    return met.select(container, "stream_index", F.when(F.col("_json").isNotNull(), F.col("_json")).otherwise(missing.cast("string")).alias("json"))
 
 
 def container_json() -> Column:
-    names = {"durationSecondsFromHeader": "duration_seconds_from_header", "bitRate": "bit_rate_from_header", "bestVideoStreamIndex": "best_video_stream_index", "bestAudioStreamIndex": "best_audio_stream_index", "numStreams": "num_streams"}
-    return F.to_json(F.struct(*[F.col(c).alias(n) for n, c in names.items()]), {"ignoreNullFields": "true"})
+    """A container's fields as JSON."""
+    return _json({"durationSecondsFromHeader": "duration_seconds_from_header", "bitRate": "bit_rate_from_header", "bestVideoStreamIndex": "best_video_stream_index", "bestAudioStreamIndex": "best_audio_stream_index", "numStreams": "num_streams"})
+
 
+def legacy_json(containers: DataFrame, streams: DataFrame, container: str = "source") -> DataFrame:
+    """container, json: the flat form of old, of a container and its best video stream.
 
-def legacy_json() -> Column:
-    """The flat form of old: the duration falls back to the container's, then 0, and content's count bears the header's name."""
+    containers: schema CONTAINERS. The duration is the stream's, else the container's, else 0; the bit rate is the
+    container's; content's count of frames bears the header's name.
+    """
     c = F.col
-    return F.to_json(F.struct(
-        F.coalesce(c("duration_seconds_from_header"), c("container_duration_seconds"), F.lit(0.0)).alias("durationSeconds"),
-        c("bit_rate").alias("bitRate"), F.coalesce(c("num_frames_from_content"), c("num_frames_from_header")).alias("numFramesFromHeader"),
-        c("begin_stream_seconds_from_content").alias("minPtsSecondsFromScan"), c("end_stream_seconds_from_content").alias("maxPtsSecondsFromScan"),
-        c("codec").alias("codec"), c("width").alias("width"), c("height").alias("height"), c("average_fps_from_header").alias("averageFps"),
-    ), {"ignoreNullFields": "true"})
+    of = ("duration_seconds_from_header", "num_frames_from_content", "num_frames_from_header", "begin_stream_seconds_from_content", "end_stream_seconds_from_content", "codec", "width", "height", "average_fps_from_header")
+    best = streams.select(F.col(container), F.col("stream_index").alias("best_video_stream_index"), F.struct(*of).alias("v"))
+    joined = containers.join(best, [container, "best_video_stream_index"], "left")
+    return joined.select(container, _json({
+        "durationSecondsFromHeader": F.coalesce(c("v.duration_seconds_from_header"), c("duration_seconds_from_header"), F.lit(0.0)), "bitRate": "bit_rate_from_header",
+        "numFramesFromHeader": F.coalesce(c("v.num_frames_from_content"), c("v.num_frames_from_header")), "beginStreamSecondsFromContent": "v.begin_stream_seconds_from_content",
+        "endStreamSecondsFromContent": "v.end_stream_seconds_from_content", "codec": "v.codec", "width": "v.width", "height": "v.height", "averageFpsFromHeader": "v.average_fps_from_header",
+        "bestVideoStreamIndex": "best_video_stream_index", "bestAudioStreamIndex": "best_audio_stream_index",
+    }).alias("json"))
+
+
+PARSED = (
+    "durationSecondsFromHeader double, bitRate double, numFramesFromContent long, numFramesFromHeader long, beginStreamSecondsFromHeader double, beginStreamSecondsFromContent double, "
+    "endStreamSecondsFromContent double, codec string, width int, height int, averageFpsFromHeader double, sampleAspectRatioNum int, sampleAspectRatioDen int, sampleRate int, numChannels int, "
+    "sampleFormat string, mediaType string"
+)
 
 
 def parse_json(frame: DataFrame, column: str = "json") -> DataFrame:
     """Typed metadata from stream_json()."""
-    schema = "durationSecondsFromHeader double, bitRate double, numFramesFromContent long, numFramesFromHeader long, beginStreamSecondsFromHeader double, beginStreamSecondsFromContent double, endStreamSecondsFromContent double, codec string, width int, height int, averageFpsFromHeader double, sampleRate int, numChannels int, sampleFormat string, mediaType string"
-    return frame.withColumn("parsed", F.from_json(column, schema)).select(*frame.columns, "parsed.*")
+    return frame.withColumn("parsed", F.from_json(column, PARSED)).select(*frame.columns, "parsed.*")
+
+
+def parse_containers(frame: DataFrame, streams: DataFrame, container: str = "source") -> DataFrame:
+    """A container's typed metadata with its streams: frame has container, json of container_json(); streams container, stream_index, json of stream_json()."""
+    own = "durationSecondsFromHeader double, bitRate double, bestVideoStreamIndex int, bestAudioStreamIndex int, numStreams long"
+    each = parse_json(streams).withColumn("entry", F.struct("stream_index", *[x.split()[0] for x in PARSED.split(", ")]))
+    lists = each.groupBy(container).agg(F.array_sort(F.collect_list("entry")).alias("streams"))  # a container has few
+    return frame.withColumn("parsed", F.from_json("json", own)).select(container, "parsed.*").join(lists, container, "left")
+
+
+def checked_int(value: Column, name: str) -> Column:
+    """A long as an int; one that is out of an int's range fails the query."""
+    wide = F.raise_error(F.concat(F.lit(f"{name} is out of an int's range: "), value.cast("string")))
+    return F.when(value.isNull() | value.between(-(2**31), 2**31 - 1), value).otherwise(wide.cast("long")).cast("int")
+
+
+def frame_size(wanted_width: Column, wanted_height: Column, width: Column, height: Column) -> Column:
+    """struct(w, h): the size asked for, else the stream's, side by side."""
+    return F.struct(F.coalesce(wanted_width, width).alias("w"), F.coalesce(wanted_height, height).alias("h"))
 
 
 def versions() -> dict[str, str]:

@@ -79,24 +79,38 @@ def to_float(samples: np.ndarray) -> np.ndarray:
     return samples.astype(np.float32)
 
 
-def resample(channels: np.ndarray, rate: int, wanted: int, taps: int = 32) -> np.ndarray:
-    """channels x samples at another rate, by a windowed sinc; needs a stream's samples together."""
-    if rate == wanted or channels.shape[1] == 0:
-        return channels
-    n = -(-channels.shape[1] * wanted // rate)
-    ratio, cut = rate / wanted, min(1.0, wanted / rate)
-    reach = int(np.ceil(taps / cut))
-    out = np.zeros((channels.shape[0], n), np.float64)
-    padded = np.pad(channels.astype(np.float64), ((0, 0), (reach, reach)))
-    for a in range(0, n, 1 << 14):
-        t = np.arange(a, min(n, a + (1 << 14))) * ratio
+def reach_of(rate: int, wanted: int, taps: int = 32) -> int:
+    """Samples on either side that a resampled one is made of."""
+    return int(np.ceil(taps / min(1.0, wanted / rate)))
+
+
+def resampled_size(n: int, rate: int, wanted: int) -> int:
+    return -(-n * wanted // rate)
+
+
+def resample_span(part: np.ndarray, first: int, rate: int, wanted: int, begin: int, end: int, taps: int = 32) -> np.ndarray:
+    """Samples begin to end at the wanted rate, by a windowed sinc. part: channels x samples of the stream from first on; what it doesn't hold is silent."""
+    ratio, cut, reach = rate / wanted, min(1.0, wanted / rate), reach_of(rate, wanted, taps)
+    out = np.zeros((part.shape[0], end - begin), np.float64)
+    for a in range(begin, end, 1 << 14):
+        t = np.arange(a, min(end, a + (1 << 14))) * ratio
         k = np.floor(t).astype(int)[:, None] + np.arange(-reach + 1, reach + 1)
         x = t[:, None] - k
         weight = cut * np.sinc(cut * x) * np.where(np.abs(x) <= reach, 0.5 + 0.5 * np.cos(np.pi * x / reach), 0)
-        out[:, a : a + len(t)] = np.einsum("cij,ij->ci", padded[:, k + reach], weight / weight.sum(1, keepdims=True))
+        at = k - first
+        there = (at >= 0) & (at < part.shape[1])
+        held = part[:, np.where(there, at, 0)] * there
+        out[:, a - begin : a - begin + len(t)] = np.einsum("cij,ij->ci", held, weight / weight.sum(1, keepdims=True))
     return out.astype(np.float32)
 
 
+def resample(channels: np.ndarray, rate: int, wanted: int, taps: int = 32) -> np.ndarray:
+    """channels x samples of a whole stream at another rate."""
+    if rate == wanted or channels.shape[1] == 0:
+        return channels
+    return resample_span(channels.astype(np.float64), 0, rate, wanted, 0, resampled_size(channels.shape[1], rate, wanted), taps)
+
+
 def remix(channels: np.ndarray, wanted: int) -> np.ndarray:
     """As many channels as wanted: one is the mean, one is copied to many, else the first are kept and missing ones are silent."""
     have = channels.shape[0]

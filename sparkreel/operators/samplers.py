@@ -1,7 +1,8 @@
 """Clip samplers: where clips start, which frames they hold, and what fills them up.
 
-Each works on every stream of a table at once. Arguments that are wrong whatever the data fail at the call; what only a
-stream's length can show leaves that stream out, or fails the query with the 'error' policy.
+Each works on every stream of a table at once. Arguments that are wrong whatever the data fail at the call. What only a
+stream's length can show (a range outside it, an unknown length or rate) leaves that stream out, or, with strict, fails the
+query; clips that reach past a stream's end fail it with the 'error' policy.
 """
 
 from __future__ import annotations
@@ -51,30 +52,37 @@ def _exploded(streams: DataFrame, clips: Column, name: str, keys: tuple[str, ...
     return each.select(*keys, "clip_id", F.posexplode("clip").alias("pos", name))
 
 
-def _index_sampler(streams: DataFrame, starts, num_frames_per_clip: int, step: int, start: int, end: int | None, policy: str, keys: tuple[str, ...]) -> DataFrame:
+def _fitting(streams: DataFrame, fits: Column, strict: bool, message: str) -> DataFrame:
+    """The streams that fit; with strict, any other one fails the query."""
+    fits = F.coalesce(fits, F.lit(False))
+    return streams.filter(F.when(fits, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")) if strict else fits)
+
+
+def _index_sampler(streams: DataFrame, starts, num_frames_per_clip: int, step: int, start: int, end: int | None, policy: str, strict: bool, keys: tuple[str, ...]) -> DataFrame:
     _common(num_frames_per_clip, policy)
     if step <= 0:
         raise ValueError(f"num_indices_between_frames={step} does not move on")
     n = F.col("num_frames").cast("long")
     a, b = index_range(n, start, end, clip_span(num_frames_per_clip, step))
-    fits = streams.filter(n > 0).withColumns({"_a": a, "_b": b}).filter((F.col("_a") >= 0) & (F.col("_a") < n) & (F.col("_a") < F.col("_b")))
+    bounded = streams.withColumns({"_a": a, "_b": b})
+    fits = _fitting(bounded, (n > 0) & (F.col("_a") >= 0) & (F.col("_a") < n) & (F.col("_a") < F.col("_b")), strict, f"the sampling range from {start} to {end} holds no frame of a stream")
     return _exploded(fits, index_clips(starts(F.col("_a"), F.col("_b")), n, num_frames_per_clip, step, policy), "frame_index", keys)
 
 
-def clips_at_regular_indices(streams: DataFrame, *, num_clips: int = 1, num_frames_per_clip: int = 1, num_indices_between_frames: int = 1, sampling_range_start: int = 0, sampling_range_end: int | None = None, policy: str = "repeat_last", keys: tuple[str, ...] = KEYS) -> DataFrame:
+def clips_at_regular_indices(streams: DataFrame, *, num_clips: int = 1, num_frames_per_clip: int = 1, num_indices_between_frames: int = 1, sampling_range_start: int = 0, sampling_range_end: int | None = None, policy: str = "repeat_last", strict: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """streams: keys, num_frames. keys, clip_id, pos, frame_index of clips evenly spread over the range."""
     _common(num_frames_per_clip, policy, num_clips)
-    return _index_sampler(streams, lambda a, b: linspace_int(a, b - 1, num_clips), num_frames_per_clip, num_indices_between_frames, sampling_range_start, sampling_range_end, policy, keys)
+    return _index_sampler(streams, lambda a, b: linspace_int(a, b - 1, num_clips), num_frames_per_clip, num_indices_between_frames, sampling_range_start, sampling_range_end, policy, strict, keys)
 
 
-def clips_at_random_indices(streams: DataFrame, *, num_clips: int = 1, num_frames_per_clip: int = 1, num_indices_between_frames: int = 1, sampling_range_start: int = 0, sampling_range_end: int | None = None, policy: str = "repeat_last", seed: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def clips_at_random_indices(streams: DataFrame, *, num_clips: int = 1, num_frames_per_clip: int = 1, num_indices_between_frames: int = 1, sampling_range_start: int = 0, sampling_range_end: int | None = None, policy: str = "repeat_last", seed: int = 0, strict: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The same at starts drawn evenly from the range: the same for a seed, however rows are dealt out."""
     _common(num_frames_per_clip, policy, num_clips)
     draw = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(num_clips - 1)), lambda c: a + F.floor(uniform(seed, *[F.col(k) for k in keys], c) * (b - a)).cast("long"))
-    return _index_sampler(streams, draw, num_frames_per_clip, num_indices_between_frames, sampling_range_start, sampling_range_end, policy, keys)
+    return _index_sampler(streams, draw, num_frames_per_clip, num_indices_between_frames, sampling_range_start, sampling_range_end, policy, strict, keys)
 
 
-def _time_sampler(streams: DataFrame, starts, num_frames_per_clip: int, seconds: float | None, start: float | None, end: float | None, policy: str, keys: tuple[str, ...]) -> DataFrame:
+def _time_sampler(streams: DataFrame, starts, num_frames_per_clip: int, seconds: float | None, start: float | None, end: float | None, policy: str, strict: bool, keys: tuple[str, ...]) -> DataFrame:
     _common(num_frames_per_clip, policy)
     if seconds is not None and seconds <= 0:
         raise ValueError(f"seconds_between_frames={seconds} does not move on")
@@ -82,23 +90,24 @@ def _time_sampler(streams: DataFrame, starts, num_frames_per_clip: int, seconds:
     dt = F.lit(float(seconds)) if seconds is not None else 1.0 / F.col("average_fps")
     a = begin if start is None else F.lit(float(start))
     b = F.least(finish - (num_frames_per_clip - 1) * dt if end is None else F.lit(float(end)), finish)
-    known = streams.filter(finish.isNotNull() & (F.lit(seconds is not None) | F.col("average_fps").isNotNull())) if seconds is None else streams.filter(finish.isNotNull())
-    fits = known.withColumns({"_a": a, "_b": b, "_dt": dt}).filter((F.col("_a") >= begin) & (F.col("_a") < finish) & (F.col("_a") < F.col("_b")))
+    bounded = streams.withColumns({"_a": a, "_b": b, "_dt": dt})
+    inside = (F.col("_a") >= begin) & (F.col("_a") < finish) & (F.col("_a") < F.col("_b"))
+    fits = _fitting(bounded, finish.isNotNull() & F.col("_dt").isNotNull() & inside, strict, f"the sampling range from {start} to {end} s holds no instant of a stream, or its end or rate is unknown")
     return _exploded(fits, time_clips(starts(F.col("_a"), F.col("_b")), finish, num_frames_per_clip, F.col("_dt"), policy), "seconds", keys)
 
 
-def clips_at_regular_timestamps(streams: DataFrame, *, seconds_between_clip_starts: float, num_frames_per_clip: int = 1, seconds_between_frames: float | None = None, sampling_range_start: float | None = None, sampling_range_end: float | None = None, policy: str = "repeat_last", keys: tuple[str, ...] = KEYS) -> DataFrame:
+def clips_at_regular_timestamps(streams: DataFrame, *, seconds_between_clip_starts: float, num_frames_per_clip: int = 1, seconds_between_frames: float | None = None, sampling_range_start: float | None = None, sampling_range_end: float | None = None, policy: str = "repeat_last", strict: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """streams: keys, begin_stream_seconds, end_stream_seconds, average_fps. keys, clip_id, pos, seconds of clips that start at even intervals."""
     if seconds_between_clip_starts <= 0:
         raise ValueError(f"seconds_between_clip_starts={seconds_between_clip_starts} does not move on")
-    return _time_sampler(streams, lambda a, b: arange(a, b, seconds_between_clip_starts), num_frames_per_clip, seconds_between_frames, sampling_range_start, sampling_range_end, policy, keys)
+    return _time_sampler(streams, lambda a, b: arange(a, b, seconds_between_clip_starts), num_frames_per_clip, seconds_between_frames, sampling_range_start, sampling_range_end, policy, strict, keys)
 
 
-def clips_at_random_timestamps(streams: DataFrame, *, num_clips: int = 1, num_frames_per_clip: int = 1, seconds_between_frames: float | None = None, sampling_range_start: float | None = None, sampling_range_end: float | None = None, policy: str = "repeat_last", seed: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def clips_at_random_timestamps(streams: DataFrame, *, num_clips: int = 1, num_frames_per_clip: int = 1, seconds_between_frames: float | None = None, sampling_range_start: float | None = None, sampling_range_end: float | None = None, policy: str = "repeat_last", seed: int = 0, strict: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The same at instants drawn evenly from the range."""
     _common(num_frames_per_clip, policy, num_clips)
     draw = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(num_clips - 1)), lambda c: a + uniform(seed, *[F.col(k) for k in keys], c) * (b - a))
-    return _time_sampler(streams, draw, num_frames_per_clip, seconds_between_frames, sampling_range_start, sampling_range_end, policy, keys)
+    return _time_sampler(streams, draw, num_frames_per_clip, seconds_between_frames, sampling_range_start, sampling_range_end, policy, strict, keys)
 
 
 # The older sampler.

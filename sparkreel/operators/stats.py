@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +27,25 @@ def decode_plan(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = (
     first = index.groupBy(*keys, "gop_id").agg(F.min("frame_index").alias("first_frame"))
     needed = asked.groupBy(*keys, "gop_id").agg(F.count(F.lit(1)).alias("frames_asked"), F.max("frame_index").alias("last_frame"))
     return needed.join(first, [*keys, "gop_id"]).withColumn("frames_decoded", F.col("last_frame") - F.col("first_frame") + 1)
+
+
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """The rows of parts of the same columns, one after the other."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stacked(frames: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """A row for each group (a clip: few frames): its values in order, and n, how many there are."""
+    held = frames.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("held"))
+    return held.select(*by, F.col(f"held.{value}").alias("values"), F.size("held").cast("long").alias("n"))
+
+
+def seek_counters(frames: DataFrame, keys: tuple[str, ...] = ("stream_index",)) -> DataFrame:
+    """frames with avoidable (index.seek_avoidable): by stream, how many frames were asked for, and how often that takes a seek or none."""
+    once = lambda c: F.sum(c.cast("long"))
+    return frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames_asked"), once(~F.col("avoidable")).alias("seeks"), once(F.col("avoidable")).alias("seeks_avoided"))
+
+
+def placed(table: DataFrame, by: list[str]) -> DataFrame:
+    """A printed table's rows (few) in order, with their place from 1."""
+    return table.withColumn("place", F.row_number().over(Window.orderBy(*by)).cast("long")).orderBy(*by)

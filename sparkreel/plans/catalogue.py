@@ -27,9 +27,32 @@ STREAMS = """streams AS (SELECT l_orderkey AS source, l_linenumber AS stream_ind
   CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS dur, CASE WHEN l_partkey % 5 <> 0 THEN l_tax END AS b, CASE WHEN l_partkey % 6 <> 0 THEN l_quantity + l_tax END AS e,
   CASE WHEN l_partkey % 7 <> 0 THEN CAST(trunc(l_quantity * 30) AS BIGINT) END AS nh, CASE WHEN l_partkey % 8 <> 0 THEN CAST(trunc(l_quantity * 29) AS BIGINT) END AS nc,
   CASE WHEN l_partkey % 9 <> 0 THEN 24.0::DOUBLE + l_discount END AS fps, CASE WHEN l_linenumber % 3 = 1 THEN l_partkey % 640 END AS width, CASE WHEN l_linenumber % 3 = 1 THEN l_partkey % 360 END AS height,
-  CASE WHEN l_linenumber % 3 = 0 THEN l_partkey % 8 + 1 END AS num_channels FROM lineitem),
+  CASE WHEN l_linenumber % 3 = 0 THEN l_partkey % 8 + 1 END AS num_channels, l_returnflag AS codec, CASE WHEN l_partkey % 7 <> 0 THEN l_quantity * 100 END AS bit_rate, CASE WHEN l_partkey % 4 <> 0 THEN l_tax END AS bh,
+  CASE WHEN l_linenumber % 3 = 1 AND l_partkey % 10 <> 0 THEN l_partkey % 4 + 1 END AS par_num, CASE WHEN l_linenumber % 3 = 1 AND l_partkey % 10 <> 0 THEN l_partkey % 3 + 1 END AS par_den FROM lineitem),
   dur AS (SELECT *, coalesce(e - b, dur, nh / fps) AS duration FROM streams),
   derived AS (SELECT *, coalesce(nc, nh, CAST(trunc(fps * duration) AS BIGINT)) AS frames FROM dur)"""
+BEST = """, best AS (SELECT source, media_type, stream_index FROM (SELECT *, row_number() OVER (PARTITION BY source, media_type ORDER BY coalesce(width * height, num_channels, 0) DESC, stream_index) AS k FROM streams) WHERE k = 1),
+  containers AS (SELECT o_orderkey AS source, CASE WHEN o_custkey % 3 <> 0 THEN o_orderkey % 100 + 0.5::DOUBLE END AS duration, CASE WHEN o_custkey % 5 <> 0 THEN floor(o_totalprice)::DOUBLE END AS bit_rate,
+  (SELECT any_value(stream_index) FROM best WHERE best.source = o_orderkey AND media_type = 'video') AS video, (SELECT any_value(stream_index) FROM best WHERE best.source = o_orderkey AND media_type = 'audio') AS audio,
+  n FROM orders JOIN (SELECT source, count(*) AS n FROM streams GROUP BY 1) c ON c.source = o_orderkey)"""
+
+
+def json_sql(members: dict[str, str], text: tuple[str, ...] = ()) -> str:
+    """SQL that writes an object of these members by name; null ones are left out."""
+    parts = [f"""'"{n}":' || """ + (f"""'"' || {x} || '"'""" if n in text else f"CAST({x} AS VARCHAR)") for n, x in sorted(members.items())]
+    return "'{' || array_to_string(list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL), ',') || '}'"
+
+
+STREAM_JSON = json_sql({
+    "durationSecondsFromHeader": "dur", "bitRate": "bit_rate", "numFramesFromContent": "nc", "numFramesFromHeader": "nh", "beginStreamSecondsFromHeader": "bh", "beginStreamSecondsFromContent": "b", "endStreamSecondsFromContent": "e",
+    "codec": "codec", "width": "width", "height": "height", "averageFpsFromHeader": "fps", "sampleAspectRatioNum": "par_num", "sampleAspectRatioDen": "par_den", "sampleRate": "CASE WHEN media_type = 'audio' THEN 16000 END",
+    "numChannels": "num_channels", "sampleFormat": "CASE WHEN media_type = 'audio' THEN 's16' END", "mediaType": "media_type",
+}, ("codec", "sampleFormat", "mediaType"))
+CONTAINER_JSON = json_sql({"durationSecondsFromHeader": "duration", "bitRate": "bit_rate", "bestVideoStreamIndex": "video", "bestAudioStreamIndex": "audio", "numStreams": "n"})
+LEGACY_JSON = json_sql({
+    "durationSecondsFromHeader": "coalesce(s.dur, c.duration, 0.0::DOUBLE)", "bitRate": "c.bit_rate", "numFramesFromHeader": "coalesce(s.nc, s.nh)", "beginStreamSecondsFromContent": "s.b", "endStreamSecondsFromContent": "s.e", "codec": "s.codec",
+    "width": "s.width", "height": "s.height", "averageFpsFromHeader": "s.fps", "bestVideoStreamIndex": "c.video", "bestAudioStreamIndex": "c.audio",
+}, ("codec",))
 AUDIO = """audio AS (SELECT vec_id // 10 AS stream_index, vec_id % 10 * 32000 AS pts, 32000 AS duration, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS l, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS r FROM embeddings)"""
 
 
@@ -131,7 +154,7 @@ def streams_per_media_type(spark: SparkSession, sf: str) -> DataFrame:
     return metadata.containers(media.streams(spark, sf)).select("source", "num_video_streams", "num_audio_streams", "num_other_streams", "num_streams")
 
 
-@query()
+@query(f"WITH {STREAMS} SELECT source, stream_index, {STREAM_JSON} AS json FROM streams")
 def stream_metadata_json(spark: SparkSession, sf: str) -> DataFrame:
     return media.streams(spark, sf).select("source", "stream_index", metadata.stream_json().alias("json"))
 
@@ -142,9 +165,58 @@ def stream_metadata_parsed(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("source", "stream_index", F.col("durationSecondsFromHeader").alias("duration_seconds"), F.col("numFramesFromContent").alias("num_frames"), F.col("beginStreamSecondsFromContent").alias("begin_seconds"))
 
 
-@query()
+@query(f"WITH {STREAMS}{BEST} SELECT c.source, {LEGACY_JSON} AS json FROM containers c LEFT JOIN streams s ON s.source = c.source AND s.stream_index = c.video")
 def legacy_metadata_json(spark: SparkSession, sf: str) -> DataFrame:
-    return media.streams(spark, sf).withColumn("container_duration_seconds", F.lit(None).cast("double")).select("source", "stream_index", metadata.legacy_json().alias("json"))
+    return metadata.legacy_json(media.containers(spark, sf), media.streams(spark, sf))
+
+
+@query(f"WITH {STREAMS}{BEST} SELECT source, {CONTAINER_JSON} AS json FROM containers")
+def container_metadata_json(spark: SparkSession, sf: str) -> DataFrame:
+    return media.containers(spark, sf).select("source", metadata.container_json().alias("json"))
+
+
+@query(f"WITH {STREAMS}{BEST} SELECT c.source, duration AS duration_seconds, bit_rate, CAST(video AS INTEGER) AS best_video_stream_index, CAST(audio AS INTEGER) AS best_audio_stream_index, n AS num_streams, (SELECT list(media_type ORDER BY stream_index) FROM streams s WHERE s.source = c.source) AS media_types FROM containers c")
+def container_metadata_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = metadata.parse_containers(container_metadata_json(spark, sf), stream_metadata_json(spark, sf))
+    return parsed.select("source", F.col("durationSecondsFromHeader").alias("duration_seconds"), F.col("bitRate").alias("bit_rate"), F.col("bestVideoStreamIndex").alias("best_video_stream_index"), F.col("bestAudioStreamIndex").alias("best_audio_stream_index"), F.col("numStreams").alias("num_streams"), F.col("streams.mediaType").alias("media_types"))
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, {STREAM_JSON} AS json FROM streams WHERE stream_index = 1")
+def stream_metadata_json_at(spark: SparkSession, sf: str) -> DataFrame:
+    streams = media.streams(spark, sf)
+    return metadata.stream_json_at(streams, streams.filter("stream_index = 1").select("source", "stream_index").distinct())
+
+
+def _limits(mode: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        c = F.col
+        a, b, n = index.limits(mode, c("begin_stream_seconds_from_content"), c("end_stream_seconds_from_content"), c("num_frames_from_content"), c("duration_seconds_from_header"), c("num_frames_from_header"))
+        return media.streams(spark, sf).select("source", "stream_index", a.alias("min_seconds"), b.alias("max_seconds"), n.alias("num_frames"))
+
+    return run
+
+
+#: Begin, end and number of frames that each seek mode goes by.
+QUERIES |= {f"limits_{mode}": _limits(mode) for mode in ("exact", "approximate", "custom_frame_mappings")}
+SQL |= {f"limits_{mode}": f"WITH {STREAMS} SELECT source, stream_index, b AS min_seconds, e AS max_seconds, nc AS num_frames FROM streams" for mode in ("exact", "custom_frame_mappings")}
+SQL["limits_approximate"] = f"WITH {STREAMS} SELECT source, stream_index, 0.0::DOUBLE AS min_seconds, dur AS max_seconds, nh AS num_frames FROM streams"
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, CAST(coalesce(CASE WHEN source % 2 = 0 THEN 64 END, width) AS INTEGER) AS w, CAST(coalesce(CASE WHEN source % 3 = 0 THEN 48 END, height) AS INTEGER) AS h FROM streams WHERE media_type = 'video'")
+def output_frame_size(spark: SparkSession, sf: str) -> DataFrame:
+    s = media.streams(spark, sf).filter("media_type = 'video'")
+    size = metadata.frame_size(F.when(F.col("source") % 2 == 0, F.lit(64)), F.when(F.col("source") % 3 == 0, F.lit(48)), F.col("width"), F.col("height"))
+    return s.select("source", "stream_index", size["w"].alias("w"), size["h"].alias("h"))
+
+
+@query(f"WITH {STREAMS} SELECT source, stream_index, CAST(frames AS INTEGER) AS num_frames FROM derived")
+def frames_as_int(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.derived(media.streams(spark, sf)).select("source", "stream_index", metadata.checked_int(F.col("num_frames"), "num_frames").alias("num_frames"))
+
+
+@query(f"WITH {PACKETS}, given AS (SELECT stream_index, arg_min(pts, seq) AS begin_pts, arg_max(pts + duration, seq) AS end_pts, count(*) AS num_frames FROM packets WHERE NOT is_discard GROUP BY 1) SELECT * FROM given")
+def custom_mapping_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return index.mapping_bounds(index.scan(media.packets(spark, sf)).withColumn("pos", F.col("seq")))
 
 
 @query(f"WITH {STREAMS} SELECT source, stream_index, round(duration, 9) AS duration_seconds FROM derived")
@@ -341,12 +413,16 @@ def clips_regular_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("stream_index", F.expr("request_id div 3").alias("clip_id"), F.expr("request_id % 3").alias("pos"), "frame_index")
 
 
-@query()
+def draw(clip: str) -> str:
+    return f"CAST(('0x' || substr(md5('11:' || stream_index || ':' || {clip}), 1, 10)) AS BIGINT) / 1099511627776.0::DOUBLE"
+
+
+@query(f"WITH {PACKETS}{LENGTHS}, c AS (SELECT stream_index, n, clip_id, CAST(floor({draw('clip_id')} * greatest(n - 4, 1)) AS BIGINT) AS s FROM len, range(4) r(clip_id)) SELECT stream_index, CAST(clip_id AS INTEGER) AS clip_id, CAST(pos AS INTEGER) AS pos, least(s + pos, n - 1) AS frame_index FROM c, range(5) p(pos)")
 def clips_random_indices(spark: SparkSession, sf: str) -> DataFrame:
     return samplers.clips_at_random_indices(media.lengths(spark, sf), num_clips=4, num_frames_per_clip=5, seed=11)
 
 
-@query()
+@query(f"WITH {PACKETS}{LENGTHS}, c AS (SELECT stream_index, e, clip_id, b + {draw('clip_id')} * (least(e - 2 * 1000.0::DOUBLE, e) - b) AS s FROM len, range(4) r(clip_id) WHERE b < least(e - 2 * 1000.0::DOUBLE, e)) SELECT stream_index, CAST(clip_id AS INTEGER) AS clip_id, CAST(pos AS INTEGER) AS pos, s + pos * 1000.0::DOUBLE AS seconds FROM c, range(3) p(pos)")
 def clips_random_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     return samplers.clips_at_random_timestamps(media.lengths(spark, sf), num_clips=4, num_frames_per_clip=3, seconds_between_frames=1000.0, seed=11)
 
@@ -364,6 +440,48 @@ def target_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("source", "stream_index", size["w"].alias("target_width"), size["h"].alias("target_height"))
 
 
+@query(f"WITH {PACKETS}{LENGTHS}, f AS (SELECT *, n / (e - b) AS fps FROM len), l AS (SELECT *, e - 7 / fps AS last FROM f) SELECT stream_index, clip_id, seconds FROM (SELECT stream_index, CAST(row_number() OVER (PARTITION BY stream_index ORDER BY b + {draw('k')} * (last - b)) - 1 AS INTEGER) AS clip_id, round(b + {draw('k')} * (last - b), 6) AS seconds FROM l, range(4) r(k) WHERE last >= b)")
+def legacy_random_time_starts(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    starts = samplers.sorted_random_time_starts(c("begin_stream_seconds"), c("end_stream_seconds"), c("average_fps"), 4, 3, 2, 11, c("stream_index"))
+    return media.lengths(spark, sf).select("stream_index", F.posexplode(starts).alias("clip_id", "s")).select("stream_index", "clip_id", F.round("s", 6).alias("seconds"))
+
+
+@query(f"WITH {PACKETS}{LENGTHS}, l AS (SELECT *, e - 7 / (n / (e - b)) AS last FROM len) SELECT stream_index, CAST(k AS INTEGER) AS clip_id, round(b + k * ((last - b) / 3), 6) AS seconds FROM l, range(4) r(k) WHERE last >= b")
+def legacy_uniform_time_starts(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    starts = samplers.uniform_time_starts(c("begin_stream_seconds"), c("end_stream_seconds"), c("average_fps"), 4, 3, 2)
+    return media.lengths(spark, sf).select("stream_index", F.posexplode(starts).alias("clip_id", "s")).select("stream_index", "clip_id", F.round("s", 6).alias("seconds"))
+
+
+@query(f"WITH {FRAMES}{ASKED.format(beyond=5)}, f AS (SELECT a.stream_index, request_id AS clip_id, min(frame_index) AS first FROM asked a JOIN fi ON fi.stream_index = a.stream_index AND pts >= t GROUP BY 1, 2) SELECT f.stream_index, clip_id, CAST(pos AS INTEGER) AS pos, frame_index, pts FROM f, range(3) p(pos) JOIN fi ON fi.stream_index = f.stream_index AND frame_index = first + 2 * pos")
+def legacy_clip_read_on(spark: SparkSession, sf: str) -> DataFrame:
+    starts = media.requests(spark, sf, beyond=5).select("stream_index", F.col("request_id").alias("clip_id"), "t")
+    return samplers.clip_from(media.frames(spark, sf), starts, 3, 2).select("stream_index", "clip_id", "pos", "frame_index", "pts")
+
+
+SIZES = {"both": "desired_width=96, desired_height=48", "width": "desired_width=96", "height": "desired_height=48", "max": "desired_max_dimension=224", "min_max": "desired_min_dimension=128, desired_max_dimension=224", "none": ""}
+W_OF, H_OF = "CAST(trunc(width::DOUBLE / height * {0}) AS INTEGER)", "CAST(trunc(height::DOUBLE / width * {0}) AS INTEGER)"
+SIZED = {
+    "both": ("96", "48"), "width": ("96", H_OF.format(96)), "height": (W_OF.format(48), "48"), "none": ("CAST(width AS INTEGER)", "CAST(height AS INTEGER)"),
+    "max": (f"CASE WHEN width > height THEN 224 ELSE {W_OF.format(224)} END", f"CASE WHEN width > height THEN {H_OF.format(224)} ELSE 224 END"),
+    "min_max": ("CASE WHEN width > height THEN 224 ELSE 128 END", "CASE WHEN width > height THEN 128 ELSE 224 END"),
+}
+
+
+def _sized(options: dict):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        s = media.streams(spark, sf).filter("width > 0 and height > 0")
+        size = samplers.target_size(F.col("width"), F.col("height"), **options)
+        return s.select("source", "stream_index", size["w"].alias("target_width"), size["h"].alias("target_height"))
+
+    return run
+
+
+QUERIES |= {f"target_dimensions_{k}": _sized({x.split("=")[0]: int(x.split("=")[1]) for x in v.split(", ") if x}) for k, v in SIZES.items()}
+SQL |= {f"target_dimensions_{k}": f"WITH {STREAMS} SELECT source, stream_index, {w} AS target_width, {h} AS target_height FROM streams WHERE width > 0 AND height > 0" for k, (w, h) in SIZED.items()}
+
+
 # Payload and work
 
 
@@ -397,6 +515,57 @@ def parallel_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return frames.join(sizes, "stream_index").select("stream_index", "frame_index", stats.chunk_of(F.col("frame_index"), F.col("n"), 4).alias("chunk"))
 
 
+@query(f"WITH {FRAMES} SELECT stream_index, frame_index, pts FROM fi")
+def chunks_concatenated(spark: SparkSession, sf: str) -> DataFrame:
+    """Four chunks worked on by themselves and put together again."""
+    frames = media.frames(spark, sf)
+    sizes = frames.groupBy("stream_index").agg(F.count(F.lit(1)).alias("n"))
+    cut = frames.join(sizes, "stream_index").withColumn("chunk", stats.chunk_of(F.col("frame_index"), F.col("n"), 4))
+    return stats.concatenated([cut.filter(F.col("chunk") == k).select("stream_index", "frame_index", "pts") for k in range(4)])
+
+
+@query(f"WITH {FRAMES} SELECT stream_index, frame_index, pts - lag(pts) OVER (PARTITION BY stream_index ORDER BY frame_index) AS step FROM fi")
+def pts_differences(spark: SparkSession, sf: str) -> DataFrame:
+    return index.pts_differences(media.frames(spark, sf)).select("stream_index", "frame_index", "step")
+
+
+@query(f"WITH {FRAMES}, s AS (SELECT *, pts::DOUBLE * 1 / 1000000 AS x FROM fi) SELECT stream_index, frame_index, CASE WHEN frame_index % 2 = 0 THEN x ELSE x + 0.000001::DOUBLE END AS seconds, frame_index % 2 = 0 AS equal FROM s")
+def pts_equality(spark: SparkSession, sf: str) -> DataFrame:
+    frames = index.timed(media.frames(spark, sf))
+    claims = frames.select("stream_index", "frame_index", F.when(F.col("frame_index") % 2 == 0, F.col("pts_seconds")).otherwise(F.col("pts_seconds") + 1e-6).alias("seconds"))
+    return lookup.pts_equal(frames, claims)
+
+
+@query(f"WITH {FRAMES}, c AS (SELECT stream_index, frame_index // 6 AS clip_id, list(pts ORDER BY frame_index) AS pts, count(*) AS n FROM fi GROUP BY 1, 2) SELECT * FROM c")
+def frames_stacked(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames stacked to clips of six, in order."""
+    clips = media.frames(spark, sf).withColumn("clip_id", F.expr("frame_index div 6"))
+    return stats.stacked(clips, ["stream_index", "clip_id"], "frame_index", "pts").select("stream_index", "clip_id", F.col("values").alias("pts"), "n")
+
+
+@query(f"WITH {FRAMES}, n AS (SELECT stream_index, count(*) AS n FROM fi GROUP BY 1) SELECT stream_index, CAST(ceil((n - 2) / 3.0) AS BIGINT) AS size, (SELECT count(*) FROM fi WHERE fi.stream_index = n.stream_index AND frame_index >= 2 AND (frame_index - 2) % 3 = 0) AS frames FROM n WHERE n > 2")
+def range_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many frames 2, 5, 8, ... there are: worked out beforehand, and counted."""
+    frames = media.frames(spark, sf)
+    n = frames.groupBy("stream_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    counted = lookup.in_range(frames, 2, 2**62, 3).groupBy("stream_index").agg(F.count(F.lit(1)).alias("frames"))
+    return n.join(counted, "stream_index").select("stream_index", timebase.range_size(F.lit(2), F.col("n"), F.lit(3)).alias("size"), "frames")
+
+
+@query(f"WITH {FRAMES}{IDX}, a AS (SELECT w.stream_index, pos, fi.frame_index, gop_id FROM wanted w JOIN fi USING (stream_index, frame_index)), s AS (SELECT *, coalesce(lag(gop_id) OVER w = gop_id AND lag(frame_index) OVER w <= frame_index, false) AS avoidable FROM a WINDOW w AS (PARTITION BY stream_index ORDER BY pos)) SELECT stream_index, count(*) AS frames_asked, CAST(sum(CASE WHEN avoidable THEN 0 ELSE 1 END) AS BIGINT) AS seeks, CAST(sum(CASE WHEN avoidable THEN 1 ELSE 0 END) AS BIGINT) AS seeks_avoided FROM s GROUP BY 1")
+def decode_counters(spark: SparkSession, sf: str) -> DataFrame:
+    found = lookup.at_indices(media.frames(spark, sf), media.index_requests(spark, sf))
+    return stats.seek_counters(index.seek_avoidable(found, "pos"))
+
+
+@query("SELECT event_type, user_id, count(*) AS runs, round(median(value), 6) AS median, CAST(row_number() OVER (ORDER BY event_type, user_id) AS BIGINT) AS place FROM events WHERE user_id < 20 GROUP BY 1, 2")
+def bench_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs by type and stream, in the order of a printed table."""
+    runs = media.table(spark, sf, "events").filter("user_id < 20")
+    out = runs.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("runs"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"))
+    return stats.placed(out, ["event_type", "user_id"])
+
+
 @query("SELECT page_id, k AS chunk, k * 4096 AS first_byte, least((k + 1) * 4096, strlen(html)) AS end_byte FROM (SELECT page_id, html, unnest(range((strlen(html) + 4095) // 4096)) AS k FROM pages)")
 def range_read_chunks(spark: SparkSession, sf: str) -> DataFrame:
     sized = media.table(spark, sf, "pages").select("page_id", F.octet_length("html").cast("long").alias("n")).filter("n > 0")

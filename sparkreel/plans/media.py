@@ -52,10 +52,26 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
         gap(F.col("l_quantity"), 3).alias("duration_seconds_from_header"), gap(F.col("l_tax"), 4).alias("begin_stream_seconds_from_header"), gap(F.col("l_tax"), 5).alias("begin_stream_seconds_from_content"),
         gap(F.col("l_quantity") + F.col("l_tax"), 6).alias("end_stream_seconds_from_content"), gap((F.col("l_quantity") * 30).cast("long"), 7).alias("num_frames_from_header"), gap((F.col("l_quantity") * 29).cast("long"), 8).alias("num_frames_from_content"),
         gap(F.lit(24.0) + F.col("l_discount"), 9).alias("average_fps_from_header"), F.when(n % 3 == 1, (k % 640).cast("int")).alias("width"), F.when(n % 3 == 1, (k % 360).cast("int")).alias("height"),
+        F.when((n % 3 == 1) & (k % 10 != 0), F.struct((k % 4 + 1).cast("int").alias("num"), (k % 3 + 1).cast("int").alias("den"))).alias("pixel_aspect_ratio"),
         F.when(n % 3 == 0, F.lit(16000)).alias("sample_rate"), F.when(n % 3 == 0, (k % 8 + 1).cast("int")).alias("num_channels"), F.when(n % 3 == 0, F.lit("s16")).alias("sample_format"),
     )
 
 
+def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as containers: source, duration and bit rate from the header, missing now and then."""
+    k = F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("source"), F.when(k % 3 != 0, F.col("o_orderkey") % 100 + 0.5).alias("duration_seconds_from_header"), F.when(k % 5 != 0, F.floor("o_totalprice").cast("double")).alias("bit_rate_from_header")
+    )
+
+
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers with their headers, best streams and number of streams."""
+    from sparkreel.operators import metadata
+
+    return container_headers(spark, sf_dir).join(metadata.containers(streams(spark, sf_dir)), "source")
+
+
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """num_frames, begin and end in seconds and the average rate of each stream of events."""
     bounds = index.stream_bounds(packets(spark, sf_dir))

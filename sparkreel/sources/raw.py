@@ -9,10 +9,10 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sparkreel.schema import FRAMES
-from sparkreel.sources.wav import _local, _Written, read_exactly
+from sparkreel.sources.wav import FileWriter, _local, _Written, part_path, read_exactly
 
 FRAMES_PER_TASK = 64
 
@@ -54,7 +54,7 @@ class RawReader(DataSourceReader):
                 yield os.path.basename(span.path), 0, i, i / self.fps, 1 / self.fps, shape, read_exactly(f, self.size)
 
 
-class RawWriter(DataSourceWriter):
+class RawWriter(FileWriter):
     """Each (source, stream) a task is dealt becomes one file, its frames in order."""
 
     def __init__(self, options: dict):
@@ -65,24 +65,14 @@ class RawWriter(DataSourceWriter):
         for row in iterator:
             streams.setdefault((row.source, row.stream_index), []).append((row.frame_index, bytes(row.data)))
         os.makedirs(self.path, exist_ok=True)
-        paths = []
+        made = []
         for (source, stream), frames in streams.items():
-            paths.append(os.path.join(self.path, f"{os.path.splitext(source)[0]}.{stream}.raw"))
-            with open(f"{paths[-1]}.part", "wb") as f:
+            path = os.path.join(self.path, f"{os.path.splitext(source)[0]}.{stream}.raw")
+            made.append((part_path(path), path))
+            with open(made[-1][0], "wb") as f:
                 for _, data in sorted(frames):
                     f.write(data)
-        return _Written(paths)
-
-    def commit(self, messages):
-        for m in messages:
-            for p in m.paths if m else ():
-                os.replace(f"{p}.part", p)
-
-    def abort(self, messages):
-        for m in messages:
-            for p in m.paths if m else ():
-                if os.path.exists(f"{p}.part"):
-                    os.remove(f"{p}.part")
+        return _Written(made)
 
 
 class RawFramesSource(DataSource):

@@ -11,7 +11,9 @@ import glob
 import io
 import os
 import struct
+import uuid
 import wave
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -26,44 +28,65 @@ from sparkreel.sources import backends
 PCM, IEEE_FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 MOST_CHANNELS = 8
 MOST_BYTES = 320 << 20
+FRAMES_PER_TASK = 4096
 
 
-def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """The RIFF chunks of a WAV file."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+def header(file) -> dict:
+    """Rate, channels, sample format and place of the samples of a WAV file open for reading, none of which is read."""
+    if (start := read_exactly(file, 12))[:4] != b"RIFF" or start[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at = 12
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        yield name, data[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
-
-
-def parse(data: bytes) -> dict:
-    """Rate, sample format and samples (channels x samples, float32) of a WAV file."""
-    fmt = samples = None
-    for name, body in chunks(data):
+    fmt, at = None, 12
+    while len(head := read_exactly(file, 8)) == 8:
+        name, size = head[:4], struct.unpack("<I", head[4:])[0]
+        at += 8
         if name == b"fmt ":
+            body = read_exactly(file, size)
             fmt = struct.unpack_from("<HHIIHH", body)
             tag = struct.unpack_from("<H", body, 24)[0] if fmt[0] == EXTENSIBLE and len(body) >= 26 else fmt[0]
         elif name == b"data":
-            samples = body
-    if fmt is None or samples is None:
+            break
+        at += size + size % 2
+        file.seek(at)
+    if fmt is None or len(head) < 8:
         raise ValueError("a WAV file needs a format and data")
     _, channels, rate, _, align, bits = fmt
     if not 1 <= channels <= MOST_CHANNELS:
         raise ValueError(f"1 to {MOST_CHANNELS} channels are supported, not {channels}")
-    samples = samples[: len(samples) // align * align]
-    if tag == IEEE_FLOAT:
-        x = np.frombuffer(samples, {32: "<f4", 64: "<f8"}[bits]).astype(np.float32)
+    n = min(size, max(0, file.seek(0, io.SEEK_END) - at)) // align
+    return {
+        "media_type": "audio", "codec": f"pcm_{'f' if tag == IEEE_FLOAT else 's' if bits > 8 else 'u'}{bits}", "sample_rate": rate, "num_channels": channels,
+        "num_samples": n, "duration_seconds": n / rate, "bit_rate": float(rate * align * 8), "offset": at, "align": align, "bits": bits, "float": tag == IEEE_FLOAT,
+    }
+
+
+def samples_of(raw: bytes, head: dict) -> np.ndarray:
+    """Bytes of whole samples as channels x samples, float32."""
+    bits = head["bits"]
+    if head["float"]:
+        x = np.frombuffer(raw, {32: "<f4", 64: "<f8"}[bits]).astype(np.float32)
     elif bits == 24:
-        raw = np.frombuffer(samples, np.uint8).reshape(-1, 3)
-        wide = np.zeros((len(raw), 4), np.uint8)
-        wide[:, 1:] = raw
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
         x = to_float(wide.view("<i4").ravel())
     else:
-        x = to_float(np.frombuffer(samples, {8: np.uint8, 16: "<i2", 32: "<i4"}[bits]))
-    return {"media_type": "audio", "codec": f"pcm_{'f' if tag == IEEE_FLOAT else 's' if bits > 8 else 'u'}{bits}", "sample_rate": rate, "num_channels": channels, "samples": x.reshape(-1, channels).T}
+        x = to_float(np.frombuffer(raw, {8: np.uint8, 16: "<i2", 32: "<i4"}[bits]))
+    return x.reshape(-1, head["num_channels"]).T
+
+
+def parse(data: bytes) -> dict:
+    """What header() tells of a WAV file, and its samples (channels x samples, float32)."""
+    file = io.BytesIO(data)
+    head = header(file)
+    file.seek(head["offset"])
+    return head | {"samples": samples_of(file.read(head["num_samples"] * head["align"]), head)}
+
+
+def metadata_of(source) -> dict:
+    """Header-only metadata of a path, bytes or object with read and seek."""
+    if isinstance(source, (str, os.PathLike)):
+        with open(source, "rb") as f:
+            return header(f)
+    return header(source if hasattr(source, "seek") else io.BytesIO(open_any(source)))
 
 
 def build(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
@@ -135,33 +158,66 @@ def _local(path: str) -> str:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, first: int, end: int):
+        self.path, self.first, self.end = path, first, end
 
 
 class WavReader(DataSourceReader):
+    """A task reads the header and the samples of its own frames, by range."""
+
     def __init__(self, options: dict):
-        self.path, self.frame = _local(options["path"]), int(options.get("frame_samples", 1024))
+        self.path, self.frame, self.task = _local(options["path"]), int(options.get("frame_samples", 1024)), int(options.get("frames_per_task", FRAMES_PER_TASK))
 
     def partitions(self):
         found = sorted(glob.glob(os.path.join(self.path, "*.wav"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_Part(p) for p in found]
+        parts = []
+        for p in found:
+            n = metadata_of(p)["num_samples"]
+            parts += [_Part(p, a, min(n, a + self.task * self.frame)) for a in range(0, n, self.task * self.frame)]
+        return parts
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            got = parse(f.read())
-        x, rate = got["samples"], got["sample_rate"]
-        for at in range(0, x.shape[1], self.frame):
-            part = x[:, at : at + self.frame]
-            yield os.path.basename(partition.path), 0, at, part.shape[1], rate, [c.tolist() for c in part]
+            head = header(f)
+            f.seek(head["offset"] + partition.first * head["align"])
+            for at in range(partition.first, partition.end, self.frame):
+                n = min(self.frame, partition.end - at)
+                x = samples_of(read_exactly(f, n * head["align"]), head)
+                yield os.path.basename(partition.path), 0, at, n, head["sample_rate"], [c.tolist() for c in x]
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """parts: (file of this attempt, the path it is for)."""
+
+    def __init__(self, parts: list[tuple[str, str]]):
+        self.parts = parts
 
 
-class WavWriter(DataSourceWriter):
+def part_path(path: str) -> str:
+    """A name that no other attempt of any task writes."""
+    return f"{path}.{uuid.uuid4().hex}.part"
+
+
+class FileWriter(DataSourceWriter):
+    """Whole files by name. Tasks write files of their own attempt, which commit moves to their names; a stream that two tasks hold parts of is refused."""
+
+    def commit(self, messages):
+        parts = [p for m in messages if m for p in m.parts]
+        wanted = Counter(path for _, path in parts)
+        split = sorted(path for path, n in wanted.items() if n > 1)
+        if split:
+            self.abort(messages)
+            raise ValueError(f"tasks hold parts of one stream each, of {split[0]} among others: repartition by source and stream_index before writing")
+        for own, path in parts:
+            os.replace(own, path)
+
+    def abort(self, messages):
+        for own, _ in (p for m in messages if m for p in m.parts):
+            if os.path.exists(own):
+                os.remove(own)
+
+
+class WavWriter(FileWriter):
     """Each task writes the streams it is dealt: repartition by (source, stream_index) so that a stream has one file."""
 
     def __init__(self, options: dict):
@@ -172,25 +228,15 @@ class WavWriter(DataSourceWriter):
         for row in iterator:
             streams.setdefault((row.source, row.stream_index), []).append((row.pts, row.sample_rate, row.data))
         os.makedirs(self.path, exist_ok=True)
-        paths = []
+        made = []
         for (source, stream), parts in streams.items():
             parts.sort(key=lambda p: p[0])
             whole = np.concatenate([np.array(d, np.float32) for _, _, d in parts], 1)
-            paths.append(os.path.join(self.path, f"{os.path.splitext(source)[0]}.{stream}.wav"))
-            with open(f"{paths[-1]}.part", "wb") as f:
+            path = os.path.join(self.path, f"{os.path.splitext(source)[0]}.{stream}.wav")
+            made.append((part_path(path), path))
+            with open(made[-1][0], "wb") as f:
                 f.write(build(whole, parts[0][1], self.bits))
-        return _Written(paths)
-
-    def commit(self, messages):
-        for m in messages:
-            for p in m.paths if m else ():
-                os.replace(f"{p}.part", p)
-
-    def abort(self, messages):
-        for m in messages:
-            for p in m.paths if m else ():
-                if os.path.exists(f"{p}.part"):
-                    os.remove(f"{p}.part")
+        return _Written(made)
 
 
 class WavSource(DataSource):

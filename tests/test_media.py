@@ -5,10 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkreel import api, sources
+from sparkreel import api, schema, sources
 from sparkreel.frames import AudioSamples, Frame, FrameBatch
 from sparkreel.functions import sql
-from sparkreel.operators import payload
+from sparkreel.operators import audio, metadata, payload, samplers
 from sparkreel.sources import backends, mappings, raw, wav
 
 
@@ -195,3 +195,125 @@ def test_sql_functions(spark):
     assert [x.frame_index for x in got] == [1, 3, 1, 3, 1, 2, 4, 2, 4, 2]
     times = spark.sql("SELECT seconds FROM clip_timestamps(2D, 5D, 5, 1.5D, 'repeat_last')").collect()
     assert [x.seconds for x in times] == [2, 3.5, 3.5, 3.5, 3.5]
+
+
+def test_a_frame_alone_goes_by_durations(spark):
+    """Frames at 0, 0.5 and 1 s that last 0.1 s: in a gap, one frame alone is the next, frames of a list are the ones before."""
+    gaps = api.VideoDecoder(spark.createDataFrame([(0, 100_000, True), (500_000, 100_000, False), (1_000_000, 100_000, False)], "pts long, duration long, is_key boolean"))
+    assert gaps.get_frame_played_at(0.3).pts_seconds == 0.5 and gaps.get_frame_played_at(0.55).pts_seconds == 0.5 and gaps.get_frame_played_at(0.05).pts_seconds == 0.0
+    assert gaps.get_frames_played_at([0.3]).pts_seconds.tolist() == [0.0]
+
+
+def test_decoder_options_and_iteration(spark):
+    images = np.random.default_rng(1).integers(0, 256, (6, 4, 6, 3), np.uint8)
+    rows = [(k, 1, i, i * 40_000, 40_000, (4, 6, 3), bytearray(images[i].tobytes())) for k in (0, 1) for i in range(3 * (k + 1))]
+    frames = spark.createDataFrame(rows, "stream_index int, source int, seq int, pts long, duration long, shape struct<h:int,w:int,c:int>, data binary")
+    decoder = api.VideoDecoder(frames, stream_index=1, width=3, height=2, dimension_order="NHWC")
+    assert len(decoder) == 6 and decoder[2].shape == (2, 3, 3) and [x.shape for x in decoder] == [(2, 3, 3)] * 6
+    clips = api.VideoClipSampler(api.VideoSize(desired_min_dimension=2), api.ClipPlan(starts="uniform", clips=2, frames_per_clip=2))(decoder)
+    assert [c.data.shape for c in clips] == [(2, 2, 3, 3)] * 2 and clips[1].pts_seconds.tolist() == [0.16, 0.2]
+    timed = api.VideoClipSampler(plan=api.ClipPlan("time", "random", clips=3, frames_per_clip=2), seed=4)(decoder)
+    assert [len(c) for c in timed] == [2, 2, 2] and all(b.pts_seconds[0] >= a.pts_seconds[0] for a, b in zip(timed, timed[1:], strict=False))
+    assert len(api.VideoClipSampler(plan=api.ClipPlan(clips=4), seed=1)(decoder)) == 4
+    with pytest.raises(NotImplementedError):
+        api.VideoClipSampler(plan=api.ClipPlan(starts="periodic"))
+    for plan in (api.ClipPlan(frames_per_clip=9), api.ClipPlan("time", frames_per_clip=99)):
+        with pytest.raises(ValueError):
+            api.VideoClipSampler(plan=plan)(decoder)
+    with pytest.raises(ValueError):
+        api.VideoDecoder(frames, num_threads=None)
+    with pytest.raises(RuntimeError):
+        api.VideoDecoder(frames, device="cuda")
+
+
+def test_reader_of_a_container(spark):
+    packets = spark.createDataFrame([("a", s, t, i, i * 40, i * 40, 40, i % 3 == 0, i == 9, 1, 1000) for s, t in ((0, "video"), (1, "audio"), (2, "video")) for i in range(10)], schema.PACKETS)
+    blank = dict.fromkeys(spark.createDataFrame([], schema.STREAMS).columns)
+    rows = [tuple({**blank, "source": "a", "stream_index": s, "media_type": t, "width": w, "height": w, "average_fps_from_header": 25.0, "num_frames_from_header": 10}.values()) for s, t, w in ((0, "video", 10), (1, "audio", None), (2, "video", 20))]
+    streams = spark.createDataFrame(rows, schema.STREAMS)
+    reader = api.MediaReader(packets, streams)
+    with pytest.raises(RuntimeError):
+        reader.next_frame()
+    reader.add_video_stream(width=8, height=8)
+    assert reader.active == ("video", 2) and reader.key_frame_indices() == [0, 3, 6]
+    assert reader.next_frame().pts_seconds == 0 and reader.next_frame().pts_seconds == 0.04
+    reader.seek(0.3)
+    assert reader.next_frame().pts_seconds == 0.32 and reader.pts_equal(8, 0.32) and not reader.pts_equal(8, 0.32 + 1e-12)
+    with pytest.raises(IndexError):
+        reader.next_frame()
+    assert json.loads(reader.report()) == {"frames": 3, "seeks": 1, "stream": 2}
+    assert json.loads(reader.stream_json(1))["mediaType"] == "audio"
+    approximate = api.MediaReader(packets, streams, "approximate")
+    approximate.add_video_stream()
+    sound = api.MediaReader(packets, streams, "approximate")
+    sound.add_audio_stream()
+    for bad, error in (
+        (lambda: reader.stream_json(3), IndexError), (lambda: reader.add_video_stream(), RuntimeError), (lambda: sound.next_frame(), RuntimeError), (lambda: approximate.key_frame_indices(), RuntimeError),
+        (lambda: api.MediaReader(packets, streams).add_video_stream(stream_index=1), ValueError), (lambda: api.MediaReader(packets, streams).add_audio_stream(), RuntimeError), (lambda: api.MediaReader(packets, streams, "x"), ValueError),
+        (lambda: api.MediaReader(packets, streams, "approximate").add_audio_stream(num_channels=9), RuntimeError), (lambda: api.MediaReader(packets, streams).add_video_stream(color_conversion_library="x"), ValueError),
+        (lambda: api.MediaReader(packets, streams, "custom_frame_mappings").add_video_stream(), ValueError),
+    ):
+        with pytest.raises(error):
+            bad()
+
+
+def test_streams_that_tasks_share_are_not_written(spark, tmp_path):
+    sources.register(spark)
+    (tmp_path / "a.wav").write_bytes(wav.build(tone(4000), 8000))
+    rows = spark.read.format("wav").option("frame_samples", 100).option("frames_per_task", 7).load(str(tmp_path / "a.wav"))
+    assert rows.rdd.getNumPartitions() == 6 and rows.count() == 40
+    out = tmp_path / "out"
+    with pytest.raises(Exception, match="repartition by source"):
+        rows.write.format("wav").mode("append").save(str(out))
+    assert not list(out.iterdir())
+    rows.repartition("source", "stream_index").write.format("wav").mode("append").save(str(out))
+    assert [p.name for p in out.iterdir()] == ["a.0.wav"] and np.abs(wav.parse((out / "a.0.wav").read_bytes())["samples"] - tone(4000)).max() < 1e-4
+
+
+def test_header_without_samples(tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav.build(tone(4000), 8000, 24))
+    head = wav.metadata_of(tmp_path / "a.wav")
+    assert (head["sample_rate"], head["num_channels"], head["num_samples"], head["duration_seconds"], head["codec"]) == (8000, 2, 4000, 0.5, "pcm_s24")
+    assert "samples" not in head
+    with pytest.raises(ValueError):
+        wav.metadata_of(b"RIFF")
+
+
+@pytest.mark.parametrize("rate, wanted", [(8000, 16000), (44100, 16000), (8000, 8001)])
+def test_resampling_in_chunks_equals_the_whole(spark, rate, wanted):
+    x = np.random.default_rng(3).standard_normal((2, 5000)).astype(np.float32)
+    rows = [(k, at, [c[at : at + 300].tolist() for c in x * (k + 1)]) for k in (0, 1) for at in range(0, 5000, 300)]
+    frames = spark.createDataFrame(rows, "stream_index int, pts long, data array<array<double>>").repartition(3)
+    out = audio.joined_chunks(audio.resampled(frames, rate, wanted, chunk=700)).orderBy("stream_index").collect()
+    for k in (0, 1):
+        assert np.allclose(np.array(out[k].data), payload.resample(x * (k + 1), rate, wanted), atol=1e-4)
+
+
+def test_remixing_columns_equals_arrays(spark):
+    x = np.arange(12, dtype=np.float64).reshape(3, 4)
+    for have in (1, 2, 3):
+        frame = spark.createDataFrame([(0, x[:have].tolist()), (1, [[] for _ in range(have)])], "k int, data array<array<double>>")
+        for wanted in (1, 2, 3, 5):
+            got = audio.remixed(frame, wanted).orderBy("k").collect()
+            assert np.allclose(got[0].data, payload.remix(x[:have], wanted)) and [len(c) for c in got[1].data] == [0] * wanted
+    with pytest.raises(ValueError):
+        audio.remixed(frame, 9)
+
+
+def test_strict_samplers_fail(spark):
+    streams = spark.createDataFrame([(0, 390, 0.0, 13.0, 30.0), (1, 5, 0.0, 0.2, None)], "stream_index int, num_frames long, begin_stream_seconds double, end_stream_seconds double, average_fps double")
+    by_index = lambda **k: samplers.clips_at_regular_indices(streams, sampling_range_start=10, **k)
+    by_time = lambda **k: samplers.clips_at_random_timestamps(streams, num_frames_per_clip=2, **k)
+    for sample, message in ((by_index, "holds no frame"), (by_time, "rate is unknown")):
+        assert {r.stream_index for r in sample().collect()} == {0}
+        with pytest.raises(Exception, match=message):
+            sample(strict=True).collect()
+
+
+def test_int_range_and_missing_streams(spark):
+    assert spark.range(1).select(metadata.checked_int(F.lit(5).cast("long"), "n"), metadata.checked_int(F.lit(None).cast("long"), "n")).head()[:] == (5, None)
+    with pytest.raises(Exception, match="out of an int's range"):
+        spark.range(1).select(metadata.checked_int(F.col("id") + (1 << 31), "n")).collect()
+    streams = spark.createDataFrame([], schema.STREAMS)
+    with pytest.raises(Exception, match="no stream has the index 4"):
+        metadata.stream_json_at(streams, spark.createDataFrame([("a", 4)], "source string, stream_index int")).collect()

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,32 @@ def test_metrics_and_rounding(spark):
     assert value(spark, arrays.within(a, b, 3)) == 50.0
     assert value(spark, timebase.closest_pts(F.lit(2.5), 1, 1)) == 3 and value(spark, timebase.closest_pts(F.lit(-2.5), 1, 1)) == -3
     assert value(spark, timebase.sample_offset(F.lit(2.5), 1)) == 2
+
+
+def test_single_lookups_against_brute_force(spark):
+    """Frames of any length, overlapping and with gaps, with key frames anywhere or nowhere; instants on, between and outside of them."""
+    rnd = random.Random(2)
+    frames, asked, want, first, ranges, between = [], [], {}, {}, [], set()
+    for s in range(6):
+        pts = sorted(rnd.sample(range(200), 25)) if s else [5, 5, 9, 9, 9, 20]
+        own = [(s, i, p, i, rnd.randrange(1, 40), s != 3 and rnd.random() < 0.2, (pts[i + 1] if i + 1 < len(pts) else 2**62)) for i, p in enumerate(pts)]
+        frames += own
+        for k, t in enumerate(range(-3, 260, 4)):
+            asked.append((s, k, t))
+            keys = [f[2] for f in own if f[5]]
+            key = max([x for x in keys if x <= t], default=min(keys, default=None))
+            met = [f for f in own if (key is None or f[2] >= key) and (f[2] > t or f[2] <= t < f[2] + f[4])]
+            if met:
+                want[s, k] = min(met)[1]
+            later = [f[1] for f in own if f[2] >= t]
+            if later:
+                first[s, k] = later[0]
+            ranges.append((s, k, t, t + k % 9))
+            between |= {(s, k, f[1]) for f in own if t < t + k % 9 and f[6] > t and f[2] < t + k % 9}
+    index_ = spark.createDataFrame(frames, "stream_index int, frame_index long, pts long, seq long, duration long, is_key boolean, next_pts long").repartition(3)
+    at = spark.createDataFrame(asked, "stream_index int, request_id long, t long")
+    key = lambda r: (r.stream_index, r.request_id)
+    assert {key(r): r.frame_index for r in lookup.played_at_by_duration(index_, at).collect()} == want
+    assert {key(r): r.frame_index for r in lookup.next_frame(index_, at.withColumnRenamed("t", "cursor")).collect()} == first
+    found = lookup.played_in_range(index_, spark.createDataFrame(ranges, "stream_index int, request_id long, start long, stop long")).collect()
+    assert sorted((*key(r), r.frame_index) for r in found) == sorted(between)
