@@ -19,7 +19,7 @@ from sparkreel.frames import AudioSamples, Frame, FrameBatch
 from sparkreel.operators import index as index_ops
 from sparkreel.operators import lookup, metadata, payload, samplers
 from sparkreel.schema import DIMENSION_ORDERS, SEEK_MODES
-from sparkreel.sources import backends, mappings, wav
+from sparkreel.sources import backends, mappings, wav, y4m
 
 
 class VideoDecoder:
@@ -302,8 +302,7 @@ class AudioEncoder:
         self.samples, self.rate = np.atleast_2d(samples), sample_rate
 
     def to_bytes(self, format: str = "wav", *, bit_rate: int | None = None, num_channels: int | None = None, sample_rate: int | None = None, bits: int = 16) -> bytes:
-        if format != "wav":
-            raise backends.NoBackend(f"only wav can be encoded here, not {format}; compressed codecs need a backend of their own")
+        backends.check_audio(format, num_channels or self.samples.shape[0], sample_rate or self.rate, bits)
         if bit_rate is not None and bit_rate < 0:
             raise ValueError(f"a bit rate of {bit_rate} is none")
         x = payload.resample(self.samples, self.rate, sample_rate or self.rate)
@@ -320,6 +319,22 @@ class AudioEncoder:
         dest.write(self.to_bytes(format, **options))
 
 
+class VideoEncoder:
+    """Frames (N x 3 x height x width, uint8) as an uncompressed video file."""
+
+    def __init__(self, frames: np.ndarray, *, frame_rate: float):
+        self.data = y4m.build(frames, frame_rate)
+
+    def to_bytes(self) -> bytes:
+        return self.data
+
+    def to_file(self, dest) -> None:
+        if not str(dest).endswith(".y4m"):
+            raise backends.NoBackend(f"only .y4m can be written here, not {dest}; compressed codecs need a backend of their own")
+        with open(dest, "wb") as f:
+            f.write(self.data)
+
+
 def _sampled(decoder: VideoDecoder, clips: DataFrame, name: str, per_clip: int) -> FrameBatch:
     rows = clips.orderBy("clip_id", "pos").select(name).collect()
     if not rows:

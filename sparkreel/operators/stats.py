@@ -49,3 +49,8 @@ def seek_counters(frames: DataFrame, keys: tuple[str, ...] = ("stream_index",))
 def placed(table: DataFrame, by: list[str]) -> DataFrame:
     """A printed table's rows (few) in order, with their place from 1."""
     return table.withColumn("place", F.row_number().over(Window.orderBy(*by)).cast("long")).orderBy(*by)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Figures of runs as JSON lines, a file for each task, for charts made elsewhere."""
+    results.write.mode("overwrite").json(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkreel import api, schema, sources
 from sparkreel.frames import AudioSamples, Frame, FrameBatch
 from sparkreel.functions import sql
-from sparkreel.operators import audio, metadata, payload, samplers
+from sparkreel.operators import audio, metadata, payload, samplers, stats
 from sparkreel.sources import backends, mappings, raw, wav
 
 
@@ -317,3 +317,34 @@ def test_int_range_and_missing_streams(spark):
     streams = spark.createDataFrame([], schema.STREAMS)
     with pytest.raises(Exception, match="no stream has the index 4"):
         metadata.stream_json_at(streams, spark.createDataFrame([("a", 4)], "source string, stream_index int")).collect()
+
+
+def test_video_files(spark, tmp_path):
+    sources.register(spark)
+    flat = np.stack([np.tile(np.array([40 + k, 90, 200 - k], np.uint8)[:, None, None], (1, 5, 7)) for k in range(70)])
+    api.VideoEncoder(flat, frame_rate=30000 / 1001).to_file(tmp_path / "v.y4m")
+    head = backends.open_bytes((tmp_path / "v.y4m").read_bytes())
+    assert (head["width"], head["height"], head["num_frames"], str(head["fps"])) == (7, 5, 70, "30000/1001")
+    frames = spark.read.format("y4m").load(str(tmp_path / "v.y4m"))
+    got = frames.orderBy("frame_index").collect()
+    assert len(got) == 70 and got[30].pts_seconds == pytest.approx(30 * 1001 / 30000)
+    for k in (0, 69):
+        assert np.abs(np.frombuffer(got[k].data, np.uint8).reshape(5, 7, 3).astype(int) - flat[k].transpose(1, 2, 0)).max() <= 3
+    decoder = api.VideoDecoder(frames)
+    assert len(decoder) == 70 and decoder[3].shape == (3, 5, 7)
+    frames.repartition("source", "stream_index").write.format("y4m").option("fps", "30000/1001").mode("append").save(str(tmp_path / "o"))
+    again = backends.open_bytes((tmp_path / "o" / "v.0.y4m").read_bytes())
+    assert (again["num_frames"], again["fps"]) == (head["num_frames"], head["fps"])
+    for bad in (lambda: api.VideoEncoder(flat.astype(np.float32), frame_rate=1), lambda: api.VideoEncoder(flat[0], frame_rate=1), lambda: api.VideoEncoder(flat, frame_rate=0)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(backends.NoBackend):
+        api.VideoEncoder(flat, frame_rate=1).to_file(tmp_path / "v.mp4")
+
+
+def test_what_formats_hold(spark, tmp_path):
+    for bad, error in ((("mp3", 1, 8000), backends.NoBackend), (("wav", 9, 8000), ValueError), (("wav", 1, 0), ValueError), (("wav", 1, 8000, 12), ValueError)):
+        with pytest.raises(error):
+            backends.check_audio(*bad)
+    stats.write_results(spark.createDataFrame([("q", 1.5)], "name string, seconds double"), str(tmp_path / "r"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "r")).select("name", "seconds").collect()] == [("q", 1.5)]
