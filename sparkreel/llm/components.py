@@ -4,6 +4,9 @@ A round takes each node's smallest neighbour (a grouped minimum, combined before
 parents by pointer jumping, moves the edges to the parents and keeps the different ones. Edges shrink fast, a node with
 very many neighbours costs no more than its edges, and no neighbour list is ever gathered. Each round's tables stand in
 the shared folder.
+
+Defined results: edges that repeat, or are given both ways round, count once; an edge of a node with itself, or with a
+null end, joins nothing, and a node that has no other isn't in the result; no edges give an empty result.
 """
 
 from __future__ import annotations

@@ -1,9 +1,11 @@
 """The pipeline's stages against brute-force versions on a small corpus."""
 
+import os
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkreel.llm import sp_codec, token_counts
@@ -50,3 +52,29 @@ def test_stages_keep_the_columns_of_documents(spark, sf):
     for _name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, root).columns == docs.columns
     assert re.fullmatch(r"\w+", corpus_pipeline.STAGES[0][0]) and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_nothing_is_left_but_the_result(spark, sf):
+    root, _ = sf
+    before = set(os.listdir(shared(spark)))
+    out = corpus_pipeline.run(spark, root)
+    left = set(os.listdir(shared(spark))) - before
+    assert len(left) == 1 and next(iter(left)).startswith(corpus_pipeline.STAGES[-1][0]) and out.count() > 0
+
+
+def shared(spark):
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:")
+
+
+def test_empty_documents_and_columns_that_clash(spark, tmp_path, sf):
+    root, _ = sf
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(f"{root}/documents.parquet").withColumns({"n": F.lit(1), "node": F.lit("x"), "kept": F.lit(2), "h": F.lit(3), "once": F.lit(4), "bands": F.lit(5)}).limit(0)
+    for _name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).columns == ["doc_id", "lang", "source", "token_ids", "round_trip"]
+    full = spark.read.parquet(f"{root}/documents.parquet").withColumns({"n": F.lit(1), "node": F.lit("x"), "kept": F.lit(2), "h": F.lit(3), "once": F.lit(4), "bands": F.lit(5)})
+    for _name, stage in corpus_pipeline.STAGES[:-1]:
+        assert {(r.n, r.node, r.kept, r.h, r.once, r.bands) for r in stage(spark, full, root).select("n", "node", "kept", "h", "once", "bands").collect()} == {(1, "x", 2, 3, 4, 5)}
