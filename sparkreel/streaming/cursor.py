@@ -1,4 +1,4 @@
-"""Streams of packets that arrive over time: the index as it grows, and cursors that read on frame by frame.
+"""Streams of packets that arrive over time: the index as it grows, cursors that read on frame by frame, samples cut to frames.
 
 State is kept by stream in RocksDB, so it may outgrow memory. Packets of a stream must arrive in order of pts up to
 `allowed` ticks; what is older than that is an error of the source and is counted, not guessed at.
@@ -79,6 +79,39 @@ def read_on(packets: DataFrame, cursors: dict[int, int] | None = None) -> DataFr
     return live.groupBy("stream_index").transformWithStateInPandas(statefulProcessor=Reading(cursors or {}), outputStructType="stream_index long, pts long", outputMode="Append", timeMode="None")
 
 
+class Rechunking(StatefulProcessor):
+    """Frames of one size from samples that come as they come; what is left over waits for more, and goes out short when its stream ends."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "frames long, samples array<double>, ended boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        frames, samples, ended = self.held.get() if self.held.exists() else (0, [], False)
+        if ended:
+            raise ValueError(f"stream {key[0]}: samples came after its end")
+        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        left = [*samples, *(x for part in batch.samples for x in part)]
+        ended = bool(batch.is_last.any())
+        whole = len(left) // self.size * self.size
+        cuts = [left[at : at + self.size] for at in range(0, len(left) if ended else whole, self.size)]
+        self.held.update((frames + len(cuts), [] if ended else left[whole:], ended))
+        if cuts:
+            yield pd.DataFrame({"stream_index": key[0], "frame": range(frames, frames + len(cuts)), "samples": cuts})
+
+    def close(self) -> None:
+        pass
+
+
+def rechunk_stream(parts: DataFrame, size: int) -> DataFrame:
+    """parts: a streaming frame of stream_index, pos, samples (array<double>), is_last. Frames of size samples; the last one of a stream may be short."""
+    importable(parts.sparkSession)
+    own = parts.select(F.col("stream_index").cast("long").alias("stream_index"), "pos", "samples", "is_last")
+    return own.groupBy("stream_index").transformWithStateInPandas(statefulProcessor=Rechunking(size), outputStructType="stream_index long, frame long, samples array<double>", outputMode="Append", timeMode="None")
+
+
 def stream_bounds_stream(packets: DataFrame) -> DataFrame:
     """Begin, end and number of frames of each stream so far: built-in state, update mode."""
     from sparkreel.operators.index import stream_bounds

@@ -40,3 +40,19 @@ def test_bounds_grow(spark, stored, tmp_path):
     live = spark.readStream.schema(SCHEMA).parquet(stored)
     got = run(spark, cursor.stream_bounds_stream(live), tmp_path, "complete")
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in index.stream_bounds(spark.read.parquet(stored)).select("stream_index", "begin_pts", "end_pts", "num_frames").collect())
+
+
+def test_samples_are_cut_to_frames_and_the_rest_goes_out_at_the_end(spark, tmp_path):
+    cursor.use_rocksdb(spark)
+    kind = "stream_index int, pos long, samples array<double>, is_last boolean"
+    for k in range(4):
+        rows = [(s, k, [float(10 * k + i) for i in range(7 + s)], k == 3 and s == 1) for s in (1, 2)]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    live = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p"))
+    got = {}
+    for r in sorted(run(spark, cursor.rechunk_stream(live, 5), tmp_path), key=lambda r: (r.stream_index, r.frame)):
+        got.setdefault(r.stream_index, []).append(list(r.samples))
+    for s, frames in got.items():
+        whole = [float(10 * k + i) for k in range(4) for i in range(7 + s)]
+        end = len(whole) if s == 1 else len(whole) // 5 * 5  # the second stream goes on
+        assert frames == [whole[at : at + 5] for at in range(0, end, 5)]
