@@ -158,8 +158,8 @@ def links(nodes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """nodes: node, all different. Links a, b that join all that are within distance (3 at most: one of two segments then holds a single differing bit at most)."""
     if not 1 <= distance <= 3:
         raise ValueError(f"two segments with a wildcard each find distances of 1 to 3, not {distance}")
-    # nodes are few bytes and many variants: dealt out evenly before they multiply
-    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    # nodes are few bytes and many variants: dealt out evenly before they multiply. None is null, and Spark should know: a test for it would part the plans that share an exchange
+    spread = nodes.select(F.coalesce("node", F.lit(0).cast("long")).alias("node")).repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     dealt = segment_variants(spread).repartition("i", "value")
     # least, which holds for every row, keeps node in what is counted, so that counting and joining share one exchange
     sizes = dealt.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
