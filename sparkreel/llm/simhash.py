@@ -284,8 +284,10 @@ def other_links(shared: DataFrame, first: DataFrame, sets: DataFrame, similarity
     main = rooted.filter("node = first").select("key", F.col("root").alias("main"))
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n")).filter("lo != hi and n > 2")
     # bands often bring the same nodes together: each such bucket once
-    once = split.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key")
-    members = saved(rooted.join(once, "key").join(main, "key").select("key", "node", "k", "root", (F.col("root") != F.col("main")).alias("minor")), "members")
+    once = split.groupBy("x", "y", "n").agg(F.min("key").alias("key"))
+    buckets = saved(once.join(main, "key").select("key", "n", "main"), "buckets")
+    met = joined_by(rooted.select("key", "node", "k", "root"), buckets, "key")
+    members = saved(met.select("key", "node", "k", "root", (F.col("root") != F.col("main")).alias("minor")), "members")
 
     def chunks(where: Column) -> Column:
         return F.greatest(F.ceil(F.sum(where.cast("long")) / block), F.ceil(F.sum(F.when(where, F.col("k")).otherwise(0)) / HASHES), F.lit(1)).cast("int")
