@@ -151,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str
     hit = worded(base.join(spots, base["doc_id"].eqNullSafe(spots["of"])).drop("of"), "text")
     cut = lambda s, c: F.slice(F.col(c), s["pos"] + 1, s["size"])
     met = hit.select("doc_id", F.inline(F.transform("spots", lambda s: F.struct(s["pos"].alias("pos"), s["h"].alias("h"), cut(s, "t0").alias("t0"), cut(s, "t1").alias("t1"), cut(s, "v").alias("v")))))
-    spotted = met.distinct()
+    spotted = saved(met.distinct(), "spotted")  # both kinds of windows are looked for in it
     alike = (F.col("words") == F.col("t0")) | (F.col("words") == F.col("t1"))
     free = spotted.join(side(bench.filter(~F.col("literal"))), "h").filter(alike)
     # joined on the values too: a window of numbers meets those with its own numbers, not every one
