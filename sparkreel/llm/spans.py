@@ -43,8 +43,9 @@ def repeated(windows: DataFrame) -> DataFrame:
     first = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1")
     met = joined_by(windows, saved(first, "repeats"), "key")
     later = met.filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
-    spans = F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1))
-    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("covered"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in"))
+    found = later.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size")).alias("runs"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in"))
+    units = F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["size"] - 1)))
+    return found.select("doc_id", F.array_sort(F.array_distinct(units)).alias("covered"), "kept_in")
 
 
 def report(docs: DataFrame, gone: DataFrame, units: Column, text: Column, doc_id: str, separator: str, own: str) -> DataFrame:
