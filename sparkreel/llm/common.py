@@ -102,16 +102,26 @@ def joined_by(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> Dat
 
 
 def is_plain_scan(df: DataFrame) -> bool:
-    """Whether df is a file relation itself, so that (file, row index) names a row."""
-    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and bool(df.inputFiles()) and "_metadata" not in df.columns
+    """Whether df is a file relation itself, so that (file, row index) names a row, and no column of its own hides them."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and bool(df.inputFiles()) and not hides_place(df)
+
+
+def hides_place(df: DataFrame) -> bool:
+    """Whether a column bears the name under which Spark gives a row's place."""
+    return "_metadata" in (c.lower() for c in df.columns)
 
 
 def located(df: DataFrame) -> DataFrame:
     """df with the columns __llm_file and __llm_row, which together name one row of stored content.
 
-    A frame that isn't a plain file scan is stored first: the place of a row must not change between passes.
+    A frame that isn't a plain file scan is stored first: the place of a row must not change between passes. So is one
+    with a column _metadata, which bears another name meanwhile.
     """
-    base = df if is_plain_scan(df) else saved(df, "content")
+    names = df.columns
+    own = [f"{OWN}own_{i}" if c.lower() == "_metadata" else c for i, c in enumerate(names)]
+    base = df if is_plain_scan(df) else saved(df.toDF(*own), "content")
     if not is_plain_scan(base):  # an empty table has no files
-        return base.withColumns({f"{OWN}file": F.lit(""), f"{OWN}row": F.lit(0).cast("long")})
-    return base.select("*", F.col("_metadata.file_path").alias(f"{OWN}file"), F.col("_metadata.row_index").alias(f"{OWN}row"))
+        placed = base.withColumns({f"{OWN}file": F.lit(""), f"{OWN}row": F.lit(0).cast("long")})
+    else:
+        placed = base.select("*", F.col("_metadata.file_path").alias(f"{OWN}file"), F.col("_metadata.row_index").alias(f"{OWN}row"))
+    return placed if own == names or base is df else placed.toDF(*names, f"{OWN}file", f"{OWN}row")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, line_dedup, quality, simhash, sp_codec, substring_dedup, token_counts, toxicity
+from . import decontam, exact_dedup, langid, line_dedup, minhash, quality, simhash, sp_codec, substring_dedup, token_counts, toxicity
 from .common import OWN, table
 
 
@@ -68,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -80,6 +84,7 @@ def queries() -> dict:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_counts": op10_token_counts,
+        "op12_minhash_near_dedup": op12_minhash_near_dedup,
     }
 
 
@@ -126,6 +131,20 @@ SELECT doc_id, item_id, CAST(sum(CASE WHEN good THEN n ELSE exact END) AS BIGINT
 FROM judged WHERE good OR exact > 0 GROUP BY doc_id, item_id
 """
 
+#: Different sets meet by the shingles they share; each set's smallest reachable one is carried along links until nothing changes.
+MINHASH = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) END AS s FROM w),
+k AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) = 0 THEN NULL ELSE sha256(array_to_string(s, chr(10))) END AS node, s FROM s),
+nodes AS MATERIALIZED (SELECT node, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM k WHERE node IS NOT NULL GROUP BY node),
+e AS (SELECT id, n, unnest(s) AS x FROM nodes),
+links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reached AS (SELECT id, id AS least FROM nodes UNION SELECT l.b, r.least FROM reached r JOIN links l ON l.a = r.id WHERE r.least < l.b),
+named AS (SELECT id, min(least) AS component_id FROM reached GROUP BY id)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(c.component_id, k.doc_id) AS component_id, k.doc_id = coalesce(c.component_id, k.doc_id) AS kept
+FROM k LEFT JOIN nodes ON nodes.node = k.node LEFT JOIN named c ON c.id = nodes.id
+"""
+
 SQL = {
     "op1_substring_dedup": r"""
 WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?。！？…؟۔।\n]+[.!?。！？…؟۔।\n]*|[.!?。！？…؟۔।\n]+') AS u FROM documents),
@@ -153,6 +172,7 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """,
     "op8_benchmark_decontamination": DECONTAMINATION,
+    "op12_minhash_near_dedup": MINHASH,
     "op9_line_dedup": """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), E'\\n') AS u FROM documents),
 starts AS (SELECT doc_id, u, unnest(range(len(u) - 2)) AS pos FROM s WHERE len(u) >= 3),
