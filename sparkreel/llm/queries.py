@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, line_dedup, minhash, quality, simhash, sp_codec, substring_dedup, token_counts, toxicity
+from . import decontam, exact_dedup, hard_negatives, langid, line_dedup, minhash, quality, simhash, sp_codec, substring_dedup, token_counts, toxicity
 from .common import OWN, table
 
 
@@ -72,6 +72,10 @@ def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classify(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op9_line_dedup": op9_line_dedup,
         "op10_token_counts": op10_token_counts,
         "op12_minhash_near_dedup": op12_minhash_near_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -173,6 +178,15 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """,
     "op8_benchmark_decontamination": DECONTAMINATION,
     "op12_minhash_near_dedup": MINHASH,
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) <= 3
+""",
     "op9_line_dedup": """
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), E'\\n') AS u FROM documents),
 starts AS (SELECT doc_id, u, unnest(range(len(u) - 2)) AS pos FROM s WHERE len(u) >= 3),
