@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, hard_negatives, langid, line_dedup, minhash, quality, simhash, sp_codec, substring_dedup, token_counts, toxicity
+from . import conversations, decontam, exact_dedup, hard_negatives, langid, line_dedup, minhash, quality, simhash, sp_codec, substring_dedup, token_counts, toxicity
 from .common import OWN, table
 
 
@@ -68,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.edits(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classify(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ def queries() -> dict:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_minhash_near_dedup": op12_minhash_near_dedup,
         "op13_hard_negatives": op13_hard_negatives,
     }
