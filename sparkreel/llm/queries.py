@@ -14,19 +14,19 @@ def digest_of(name: str):
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return removal_report(out, "n_sentences")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return removal_report(out, "n_lines")
 
 
 def removal_report(out: DataFrame, name: str) -> DataFrame:
-    """A row for each document that loses units."""
+    """A row for each document that loses units. kept_in names a first occurrence without a doc_id by "null"."""
     return out.filter(F.col(f"{OWN}covered").isNotNull()).select(
-        "doc_id", F.col(f"{OWN}units").alias(name), F.size(f"{OWN}covered").alias("n_removed"), F.array_join(f"{OWN}kept_in", ",").alias("kept_in"), digest_of(f"{OWN}clean").alias("clean_sha256")
+        "doc_id", F.col(f"{OWN}units").alias(name), F.size(f"{OWN}covered").alias("n_removed"), F.array_join(f"{OWN}kept_in", ",", "null").alias("kept_in"), digest_of(f"{OWN}clean").alias("clean_sha256")
     )
 
 

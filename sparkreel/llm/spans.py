@@ -1,9 +1,9 @@
 """Global removal of repeated runs of units (sentences, lines) inside documents by DataFrame operations.
 
 Each document becomes an array of units. Every run of consecutive units is hashed (128 bits), runs are grouped by hash
-with map-side combining, and each occurrence but the first, by (doc_id, position), marks its units as covered; the
-occurrences of a run that is very frequent are dealt out over many tasks. Covered positions are merged per document, so
-overlapping runs remove a unit once.
+with map-side combining, and each occurrence but the first, by (doc_id, place of the row, position), marks its units as
+covered; the occurrences of a run that is very frequent are dealt out over many tasks. Covered positions are merged for
+each row, so overlapping runs remove a unit once. Rows are told apart by where they are stored, never by doc_id.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, joined_by, saved
+from .common import OWN, joined_by, located, saved
 
 #: What ends a sentence, in the scripts that mark it.
 ENDS = ".!?。！？…؟۔।"
@@ -38,20 +38,33 @@ def runs(units: str, width: int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("size"), F.unhex(F.md5(F.array_join(F.slice(units, i + 1, width), "\n").cast("binary"))).alias("key")))
 
 
+#: What tells rows apart, whatever their doc_id: the file, as a number, and the row in it.
+PLACE = [f"{OWN}place", f"{OWN}row"]
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with PLACE."""
+    rows = located(docs)
+    return rows.withColumn(PLACE[0], F.xxhash64(f"{OWN}file")).drop(f"{OWN}file")
+
+
 def repeated(windows: DataFrame) -> DataFrame:
-    """windows: doc_id, pos, size, key (what runs of equal units share). Per document that loses units: covered (sorted positions), kept_in (documents of the first occurrences)."""
-    first = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1")
+    """windows: PLACE, doc_id, pos, size, key (what runs of equal units share). For each row that loses units: PLACE, covered (sorted positions), kept_in (documents of the first occurrences; a null among them last)."""
+    # a null doc_id comes first; rows of one doc_id go by place
+    rank = F.struct("doc_id", *PLACE, "pos")
+    first = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1")
     met = joined_by(windows, saved(first, "repeats"), "key")
-    later = met.filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
-    found = later.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size")).alias("runs"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in"))
+    later = met.filter(" or ".join(f"first.{c} != {c}" for c in [*PLACE, "pos"]))
+    found = later.groupBy(*PLACE).agg(F.collect_list(F.struct("pos", "size")).alias("runs"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in"), F.max(F.col("first.doc_id").isNull()).alias("no_id"))
     units = F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["size"] - 1)))
-    return found.select("doc_id", F.array_sort(F.array_distinct(units)).alias("covered"), "kept_in")
+    kept_in = F.when(F.col("no_id"), F.array_append("kept_in", F.lit(None))).otherwise(F.col("kept_in"))
+    return found.select(*PLACE, F.array_sort(F.array_distinct(units)).alias("covered"), kept_in.alias("kept_in"))
 
 
-def report(docs: DataFrame, gone: DataFrame, units: Column, text: Column, doc_id: str, separator: str, own: str) -> DataFrame:
-    """docs with the columns own + units (how many before), covered (removed positions or null), kept_in, clean (the text that is left)."""
-    gone = gone.select(F.col("doc_id").alias(f"{own}id"), F.col("covered").alias(f"{own}covered"), F.col("kept_in").alias(f"{own}kept_in"))
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone[f"{own}id"]), "left").drop(f"{own}id").withColumn(f"{own}text", text)
+def report(rows: DataFrame, gone: DataFrame, units: Column, text: Column, separator: str, own: str) -> DataFrame:
+    """rows (with PLACE) and the columns own + units (how many before), covered (removed positions or null), kept_in, clean (the text that is left)."""
+    gone = gone.select(*PLACE, F.col("covered").alias(f"{own}covered"), F.col("kept_in").alias(f"{own}kept_in"))
+    joined = rows.join(gone, PLACE, "left").drop(*PLACE).withColumn(f"{own}text", text)
     n = F.size(units)
     left = F.when(F.col(f"{own}covered").isNull(), F.lit(None)).otherwise(F.array_except(F.sequence(F.lit(0), n - 1), F.col(f"{own}covered")))
     cut = once(joined, **{f"{own}all": units, f"{own}left": left})

@@ -4,11 +4,12 @@ From every sentence on, the shortest run of two sentences or more that holds LEA
 shortest such run that ends with it: short sentences make long runs, so a repeated passage of LEAST bytes is found and
 covered whole, from its first sentence to its last, however its sentences are cut. Less than that (two stock phrases of
 a few words) isn't taken for a repeat. Spans are hashed over the trimmed sentences; every occurrence but the first by
-(doc_id, position) is removed, sentence by sentence.
+(doc_id, place of the row, position) is removed, sentence by sentence.
 
-Defined results: a null text counts as empty; a text of one sentence, or of fewer than LEAST bytes, stays; rows with
-equal doc_id count as one document (a null doc_id is a value of its own, and first); a span repeated inside one document
-stays once; an empty table gives an empty result; extra columns are carried along untouched.
+Defined results: a null text counts as empty; a text of one sentence, or of fewer than LEAST bytes, stays; rows that
+repeat a doc_id, or have none, are documents of their own, told apart by where they are stored, and a null doc_id comes
+first; a span repeated inside one document stays once; an empty table gives an empty result; extra columns are carried
+along untouched.
 """
 
 from __future__ import annotations
@@ -44,19 +45,20 @@ def sentence_runs(sentences: list[bytes], least: int) -> list[tuple[int, int]]:
 
 
 def windows(rows: DataFrame, least: int) -> DataFrame:
-    """rows: doc_id, sentences (trimmed). doc_id, pos, size, key of every span."""
+    """rows: spans.PLACE, doc_id, sentences (trimmed). The same but for the sentences, and pos, size, key, of every span."""
+    carried = [*spans.PLACE, "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, pos, size, keys = [], [], [], []
 
             def out() -> pa.RecordBatch:
-                made = [batch.column(0).take(pa.array(owner, pa.int32())), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.binary())]
+                made = [*(batch.column(c).take(pa.array(owner, pa.int32())) for c in carried), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.binary())]
                 for x in (owner, pos, size, keys):
                     x.clear()
-                return pa.RecordBatch.from_arrays(made, ["doc_id", "pos", "size", "key"])
+                return pa.RecordBatch.from_arrays(made, [*carried, "pos", "size", "key"])
 
-            for i, column in enumerate(batch.column(1)):
+            for i, column in enumerate(batch.column("sentences")):
                 sentences = [x.encode("utf-8", "surrogatepass") for x in column.as_py()]
                 for a, b in sentence_runs(sentences, least):
                     owner.append(i)
@@ -70,11 +72,13 @@ def windows(rows: DataFrame, least: int) -> DataFrame:
     return mapped(rows, run, rows.drop("sentences").schema.add("pos", "integer").add("size", "integer").add("key", "binary"))
 
 
-def covered_sentences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
+def covered_sentences(rows: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
+    """rows: with spans.PLACE."""
     sentences = F.transform(spans.sentences_of(text_of(text)), lambda s: F.btrim(s, F.lit(" \n")))
-    return spans.repeated(windows(docs.select(F.col(doc_id).alias("doc_id"), sentences.alias("sentences")), least))
+    return spans.repeated(windows(rows.select(*spans.PLACE, F.col(doc_id).alias("doc_id"), sentences.alias("sentences")), least))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """docs with __llm_units (sentences before), __llm_covered (removed positions or null), __llm_kept_in and __llm_clean (the text that is left)."""
-    return spans.report(docs, covered_sentences(docs, text, doc_id, least), spans.sentences_of(F.col(f"{OWN}text")), text_of(text), doc_id, "", OWN)
+    rows = spans.placed(docs)
+    return spans.report(rows, covered_sentences(rows, text, doc_id, least), spans.sentences_of(F.col(f"{OWN}text")), text_of(text), "", OWN)

@@ -137,3 +137,52 @@ def test_exact_dedup_of_a_hot_text(spark, most):
         sizes.setdefault(r.group_size, []).append(r)
     assert len(sizes[1000]) == 1000 and {r.keep_id for r in sizes[1000]} == {"1"} and sum(r.kept for r in sizes[1000]) == 1
     assert len(sizes[2]) == 500 and sum(r.kept for r in got) == 251
+
+
+def brute_rows(rows, units, size, join):
+    """rows: (doc_id, text), stored in this order. Sorted (doc_id, text that is left), with runs of size units."""
+    seen, out = {}, []
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
+    gone = {}
+    for i in order:
+        u = units(rows[i][1] or "")
+        gone[i] = set()
+        for p in range(len(u) - size + 1):
+            key = tuple(x.strip(" \n") if size == 2 else x for x in u[p : p + size])
+            if seen.setdefault(key, (i, p)) != (i, p):
+                gone[i] |= set(range(p, p + size))
+    for i, (doc, text) in enumerate(rows):
+        u = units(text or "")
+        out.append((doc, join.join(x for k, x in enumerate(u) if k not in gone[i]) if gone[i] else text or ""))
+    return sorted(out, key=str)
+
+
+SHARED = [(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "x\ny\nz\nw"), (5, "k\nl\nm\nn"), (5, "k\nl\nm\nn"), (None, "p\nq\nr"), (None, "s\nt\nu\nv"), (None, "p\nq\nr"), (7, "s\nt\nu"), (7, None), (7, "")]
+
+
+def test_rows_of_one_doc_id_or_none_are_told_apart(spark):
+    lines = [(r.doc_id, r["__llm_clean"]) for r in line_dedup.dedup(spark.createDataFrame(SHARED, "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(lines, key=str) == brute_rows(SHARED, lambda t: t.split("\n"), 3, "\n")
+    assert (2, "x\ny\nz\nw") in lines and (2, "") in lines
+    rows = [(d, t and t.replace("\n", ". ") + ".") for d, t in SHARED]
+    left = [(r.doc_id, r["__llm_clean"]) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), least=0).collect()]
+    assert sorted(left, key=str) == brute_rows(rows, sentence_units, 2, "")
+
+
+NAMED = [(i, t, "m") for i, t in enumerate(["a b c d e f g h. " * 8, "a b c d e f g h. " * 8, "i j k l m n o p q. " * 8])]
+
+
+@pytest.mark.parametrize("name", ["_metadata", "_Metadata", "file"])
+def test_a_column_named_like_the_place_of_a_row(spark, name, tmp_path):
+    from sparkreel.llm import minhash, simhash
+
+    made = spark.createDataFrame(NAMED, f"doc_id long, text string, `{name}` string").coalesce(1)
+    made.write.parquet(str(tmp_path / "t"))
+    for docs in (made, spark.read.parquet(str(tmp_path / "t"))):
+        assert sorted(r.kept for r in exact_dedup.classify(docs).collect()) == [False, True, True]
+        for dedup in (exact_dedup.dedup, simhash.near_dedup):
+            out = dedup(docs)
+            assert out.columns == docs.columns
+            assert sorted((r.doc_id, r[name]) for r in out.collect()) == [(0, "m"), (2, "m")]
+        assert sorted((r.doc_id, r.kept) for r in minhash.classify(docs).collect()) == [(0, True), (1, False), (2, True)]
+        assert {r[name] for r in line_dedup.dedup(docs).collect()} == {"m"}
