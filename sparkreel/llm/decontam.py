@@ -14,9 +14,9 @@ literal, found with its own values only. No item is too short to count.
 
 The benchmark's windows are broadcast only where their counted bytes are within MOST_BROADCAST, else the joins shuffle.
 
-Defined results: null texts count as empty and never match, nor do texts without words; rows with equal doc_id count as
-one document (a null doc_id is a value of its own); repeated items are reported each; an empty table on either side gives
-no matches; extra columns are carried along untouched.
+Defined results: null texts count as empty and never match, nor do texts without words; rows that repeat a doc_id, or
+have none, are documents of their own, told apart by where they are stored, each with its own matches; repeated items are
+reported each; an empty table on either side gives no matches; extra columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -135,22 +135,28 @@ def item_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]
     return saved(out, "windows"), sizes
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", most: int = MOST_BROADCAST) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, item_id, n_windows (places of the document that match), reparameterised (whether any slot's value differs)."""
+    return matches_placed(spans.placed(docs), benchmark, text=text, doc_id=doc_id, **options).drop(*spans.PLACE)
+
+
+def matches_placed(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", most: int = MOST_BROADCAST) -> DataFrame:
+    """docs: with spans.PLACE. The same, with each row's place."""
     bench, sizes = item_windows(benchmark, width)
+    own = [*spans.PLACE, "doc_id"]
     size = F.sum(F.octet_length(F.array_join("words", "  ")) + F.octet_length(F.array_join("values", "  ")) + 200)
     side = F.broadcast if (bench.agg(size.alias("n")).head().n or 0) <= most else lambda x: x
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(*spans.PLACE, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if not sizes:
-        return base.join(bench, F.lit(False)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(False).alias("reparameterised"))
-    template = spans.once(base, t=template_text(values_text(text_of("text")))).select("doc_id", "t")
+        return base.join(bench, F.lit(False)).select(*own, "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(False).alias("reparameterised"))
+    template = spans.once(base, t=template_text(values_text(text_of("text")))).select(*spans.PLACE, "t")
     each = hashed(template, words(unnamed(F.col("t"))), words(named(F.col("t"))), sizes)
-    hits = each.select("doc_id", "pos", "size", "h").join(side(bench.select("h", "size").distinct()), ["h", "size"])
+    hits = each.select(*spans.PLACE, "pos", "size", "h").join(side(bench.select("h", "size").distinct()), ["h", "size"])
     # back to the texts, a row a document: only those that matched are cut into words with their values
-    spots = hits.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size", "h")).alias("spots")).withColumnRenamed("doc_id", "of")
-    hit = worded(base.join(spots, base["doc_id"].eqNullSafe(spots["of"])).drop("of"), "text")
+    spots = hits.groupBy(*spans.PLACE).agg(F.collect_set(F.struct("pos", "size", "h")).alias("spots"))
+    hit = worded(base.join(spots, spans.PLACE), "text")
     cut = lambda s, c: F.slice(F.col(c), s["pos"] + 1, s["size"])
-    met = hit.select("doc_id", F.inline(F.transform("spots", lambda s: F.struct(s["pos"].alias("pos"), s["h"].alias("h"), cut(s, "t0").alias("t0"), cut(s, "t1").alias("t1"), cut(s, "v").alias("v")))))
+    met = hit.select(*own, F.inline(F.transform("spots", lambda s: F.struct(s["pos"].alias("pos"), s["h"].alias("h"), cut(s, "t0").alias("t0"), cut(s, "t1").alias("t1"), cut(s, "v").alias("v")))))
     spotted = saved(met.distinct(), "spotted")  # both kinds of windows are looked for in it
     alike = (F.col("words") == F.col("t0")) | (F.col("words") == F.col("t1"))
     free = spotted.join(side(bench.filter(~F.col("literal"))), "h").filter(alike)
@@ -158,8 +164,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str
     literal = spotted.join(side(bench.filter("literal").withColumnRenamed("values", "v")), ["h", "v"]).filter(alike)
     same = free.unionByName(literal.withColumn("values", F.col("v")))
     slot = F.filter(F.arrays_zip("words", "values", "v"), lambda s: s["words"].isin(NAME, NUMBER, UNIT))
-    aligned = same.select("doc_id", "item_id", "least", "pos", (F.col("pos") - F.col("at")).alias("shift"), slot.alias("slots"), (F.col("values") == F.col("v")).alias("own"))
-    byshift = aligned.groupBy("doc_id", "item_id", "least", "shift").agg(
+    aligned = same.select(*own, "item_id", "least", "pos", (F.col("pos") - F.col("at")).alias("shift"), slot.alias("slots"), (F.col("values") == F.col("v")).alias("own"))
+    byshift = aligned.groupBy(*own, "item_id", "least", "shift").agg(
         F.count_distinct("pos").alias("n"), F.count_distinct(F.when(F.col("own"), F.col("pos"))).alias("exact"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")
     )
 
@@ -167,11 +173,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str
         return F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["words"], s[side]))))
 
     consistent = (distinct("values") == F.size("slots")) & (distinct("v") == F.size("slots")) & (F.col("n") >= F.col("least"))
-    counted = byshift.select("doc_id", "item_id", F.when(consistent, F.col("n")).otherwise(F.col("exact")).alias("n"), (consistent & F.exists("slots", lambda s: s["values"] != s["v"])).alias("differ")).filter("n > 0")
-    return counted.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.max("differ").alias("reparameterised"))
+    counted = byshift.select(*own, "item_id", F.when(consistent, F.col("n")).otherwise(F.col("exact")).alias("n"), (consistent & F.exists("slots", lambda s: s["values"] != s["v"])).alias("differ")).filter("n > 0")
+    return counted.groupBy(*own, "item_id").agg(F.sum("n").alias("n_windows"), F.max("differ").alias("reparameterised"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that match no item."""
-    found = matches(docs, benchmark, text=text, doc_id=doc_id, **options).select(F.col("doc_id").alias(f"{OWN}id")).distinct()
-    return docs.join(found, docs[doc_id].eqNullSafe(found[f"{OWN}id"]), "left_anti")
+    rows = spans.placed(docs)
+    found = matches_placed(rows, benchmark, text=text, doc_id=doc_id, **options).select(*spans.PLACE).distinct()
+    return rows.join(found, spans.PLACE, "left_anti").select(*docs.columns)

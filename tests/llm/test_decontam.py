@@ -85,3 +85,13 @@ def test_long_text_clashing_columns_and_string_ids(spark):
     out = decontam.decontaminate(docs, bench)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == ["b"]
     assert [(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()] == [("a", "q")]
+
+
+def test_rows_of_one_doc_id_or_none_are_told_apart(spark):
+    item = "If Anna has 12 apples and gives 5 of them to Bob how many apples does she keep"
+    rows = [(1, f"So. {item}? Yes."), (1, "A clean text of the same number."), (None, item), (None, "Another clean text."), (2, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _metadata int")
+    benchmark = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted(r["_metadata"] for r in decontam.decontaminate(docs, benchmark).collect()) == [1, 3, 4]
+    assert sorted(((r.doc_id, r.item_id) for r in decontam.matches(docs, benchmark).collect()), key=str) == [(1, 9), (None, 9)]
+    assert decontam.decontaminate(docs, benchmark.limit(0)).count() == len(rows)
