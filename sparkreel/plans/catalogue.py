@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreel.functions import arrays, timebase
 from sparkreel.operators import audio, index, lookup, metadata, samplers, stats
 from sparkreel.plans import media
-from sparkreel.sources import mappings
+from sparkreel.sources import mappings, mp4
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -577,3 +577,33 @@ def range_read_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def bench_stats(spark: SparkSession, sf: str) -> DataFrame:
     out = stats.run_stats(media.table(spark, sf, "events"), "event_type", "value", frames=100)
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "p25", "p75", "iqr", "mean", "std")], "min", "max", F.round("fps", 6).alias("fps"))
+
+
+# Containers: events written as files and scanned again
+
+
+STORED = """stored AS (SELECT user_id // 8 AS container, user_id % 8 AS s, event_id, (epoch_us(ts) - 1704067200000000) // 1000 AS dts, (epoch_us(ts) - 1704067200000000) // 1000 + event_id % 4 * 40 AS pts, event_type = 'signup' AS is_key,
+  CAST(strlen(event_type) AS BIGINT) AS size, CASE WHEN user_id % 2 = 0 THEN 'video' ELSE 'audio' END AS media_type FROM events),
+  scanned AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY container ORDER BY s) - 1 AS INTEGER) AS stream_index, row_number() OVER w - 1 AS seq, coalesce(lead(dts) OVER w - dts, 40) AS duration FROM stored WINDOW w AS (PARTITION BY container, s ORDER BY dts, event_id))"""
+
+
+def container_of() -> Column:
+    return F.regexp_extract("source", r"(\d+)\.\w+$", 1).cast("long").alias("container")
+
+
+@query(f"WITH {STORED} SELECT container, stream_index, media_type, seq, pts, dts, duration, is_key, size FROM scanned")
+def mp4_packets(spark: SparkSession, sf: str) -> DataFrame:
+    found = mp4.packets(spark, media.container_files(spark, sf, "mp4"))
+    return index.scan(found).select(container_of(), "stream_index", "media_type", "seq", "pts", "dts", "duration", "is_key", "size")
+
+
+@query(f"WITH {STORED} SELECT container, stream_index, row_number() OVER w - 1 AS frame_index, pts, coalesce(lead(pts) OVER w, 9223372036854775807) AS next_pts, is_key FROM scanned WINDOW w AS (PARTITION BY container, stream_index ORDER BY pts, seq)")
+def mp4_frame_index(spark: SparkSession, sf: str) -> DataFrame:
+    found = mp4.packets(spark, media.container_files(spark, sf, "mp4"))
+    return index.frame_index(found, ("source", "stream_index")).select(container_of(), "stream_index", "frame_index", "pts", "next_pts", "is_key")
+
+
+@query(f"WITH {STORED} SELECT container, stream_index, any_value(media_type) AS media_type, count(*) AS num_frames_from_header, (max(dts + duration) - min(dts)) / 1000 AS duration_seconds_from_header FROM scanned GROUP BY 1, 2")
+def mp4_streams(spark: SparkSession, sf: str) -> DataFrame:
+    found = mp4.streams(spark, media.container_files(spark, sf, "mp4"))
+    return found.select(container_of(), "stream_index", "media_type", "num_frames_from_header", "duration_seconds_from_header")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreel.operators import index
+from sparkreel.sources import sink
+from sparkreel.workers import shared_dir
 
 #: Ticks are microseconds from here on.
 EPOCH = 1_704_067_200_000_000
@@ -85,3 +87,20 @@ def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.expr("vec_id div 10").alias("stream_index"), (F.col("vec_id") % 10 * 32000).alias("pts"), F.lit(32000).cast("long").alias("duration"), F.array(F.slice(e, 1, 32), F.slice(e, 33, 32)).alias("data"),
     )
+
+
+def container_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as packets of container files, eight users a file, in milliseconds: stored by time, shown a little later."""
+    e = table(spark, sf_dir, "events")
+    dts = F.expr(f"(unix_micros(cast(ts as timestamp)) - {EPOCH}) div 1000")
+    rows = e.select(F.expr("user_id div 8").cast("string").alias("source"), (F.col("user_id") % 8).cast("int").alias("stream_index"), F.when(F.col("user_id") % 2 == 0, "video").otherwise("audio").alias("media_type"),
+        F.col("event_id").alias("seq"), (dts + F.col("event_id") % 4 * 40).alias("pts"), dts.alias("dts"), F.lit(40).cast("long").alias("duration"), (F.col("event_type") == "signup").alias("is_key"), F.lit(False).alias("is_discard"),
+        F.lit(1).alias("tb_num"), F.lit(1000).alias("tb_den"), F.col("event_type").cast("binary").alias("data"))
+    return rows
+
+
+def container_files(spark: SparkSession, sf_dir: str, container: str) -> str:
+    """Where container_packets() stand as files."""
+    path = shared_dir(spark, container)
+    sink.write(container_packets(spark, sf_dir), path, container)
+    return path

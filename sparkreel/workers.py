@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +23,14 @@ def mapped(rows: DataFrame, run, schema) -> DataFrame:
     """rows.mapInArrow(run, schema), with this package at hand."""
     importable(rows.sparkSession)
     return rows.mapInArrow(run, schema)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, which spark.checkpoint.dir names. Where it is unset, in local mode alone, a temporary folder is taken."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sparkreel-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
