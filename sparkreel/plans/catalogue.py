@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkreel.functions import arrays, timebase
 from sparkreel.operators import audio, index, lookup, metadata, samplers, stats
 from sparkreel.plans import media
-from sparkreel.sources import mappings, mp4
+from sparkreel.sources import mappings, matroska, mp4
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -607,3 +607,20 @@ def mp4_frame_index(spark: SparkSession, sf: str) -> DataFrame:
 def mp4_streams(spark: SparkSession, sf: str) -> DataFrame:
     found = mp4.streams(spark, media.container_files(spark, sf, "mp4"))
     return found.select(container_of(), "stream_index", "media_type", "num_frames_from_header", "duration_seconds_from_header")
+
+
+@query(f"WITH {STORED} SELECT container, stream_index, media_type, pts, 40 AS duration, is_key, size FROM scanned")
+def matroska_packets(spark: SparkSession, sf: str) -> DataFrame:
+    found = matroska.packets(spark, media.container_files(spark, sf, "matroska"), split=1 << 16)
+    return index.scan(found).select(container_of(), "stream_index", "media_type", "pts", F.col("duration").cast("int").alias("duration"), "is_key", "size")
+
+
+@query(f"WITH {STORED} SELECT container, stream_index, pts, is_key FROM scanned WHERE pts >= 500000000 AND pts < 900000000")
+def matroska_packets_between(spark: SparkSession, sf: str) -> DataFrame:
+    found = matroska.packets(spark, media.container_files(spark, sf, "matroska"), between=(500_000.0, 900_000.0), split=1 << 16)
+    return found.select(container_of(), "stream_index", "pts", "is_key")
+
+
+@query(f"WITH {STORED} SELECT container, stream_index, pts FROM scanned WHERE is_key")
+def matroska_cues(spark: SparkSession, sf: str) -> DataFrame:
+    return matroska.cues(spark, media.container_files(spark, sf, "matroska")).select(container_of(), "stream_index", "pts")
