@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparkreel.functions import arrays, timebase
 from sparkreel.operators import audio, index, lookup, metadata, samplers, stats
 from sparkreel.plans import media
-from sparkreel.sources import mappings, matroska, mp4
+from sparkreel.sources import mappings, matroska, mp4, mpegts, sink
+from sparkreel.workers import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -624,3 +625,16 @@ def matroska_packets_between(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {STORED} SELECT container, stream_index, pts FROM scanned WHERE is_key")
 def matroska_cues(spark: SparkSession, sf: str) -> DataFrame:
     return matroska.cues(spark, media.container_files(spark, sf, "matroska")).select(container_of(), "stream_index", "pts")
+
+
+#: Ticks that bring the events' times to where 33 bits wrap.
+NEAR_WRAP = 2**33 - 10**9
+
+
+@query(f"WITH {STORED}, moved AS (SELECT *, dts + {NEAR_WRAP} AS d, pts + {NEAR_WRAP} AS p FROM scanned), begins AS (SELECT container, stream_index, min(d) // {2**33} * {2**33} AS epoch FROM moved GROUP BY 1, 2) SELECT container, stream_index, media_type, p - epoch AS pts, d - epoch AS dts, coalesce(lead(d) OVER (PARTITION BY container, stream_index ORDER BY d, event_id) - d, 0) AS duration, is_key OR media_type = 'audio' AS is_key FROM moved JOIN begins USING (container, stream_index)")
+def mpegts_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """A tick an event's millisecond, so that a month of them is no more than a few hours and wraps once."""
+    path, moved = shared_dir(spark, "mpegts"), {"pts": F.col("pts") + NEAR_WRAP, "dts": F.col("dts") + NEAR_WRAP, "tb_den": F.lit(90_000)}
+    sink.write(media.container_packets(spark, sf).withColumns(moved), path, "mpegts")
+    found = mpegts.packets(spark, path, split=100_000)
+    return index.scan(found).select(container_of(), "stream_index", "media_type", "pts", "dts", "duration", "is_key")
