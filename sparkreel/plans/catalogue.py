@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkreel.functions import arrays, timebase
 from sparkreel.operators import audio, index, lookup, metadata, samplers, stats
 from sparkreel.plans import media
-from sparkreel.sources import mappings, matroska, mp4, mpegts, sink
+from sparkreel.sources import elementary, mappings, matroska, mp4, mpegts, sink
 from sparkreel.workers import shared_dir
 
 QUERIES: dict = {}
@@ -638,3 +638,13 @@ def mpegts_packets(spark: SparkSession, sf: str) -> DataFrame:
     sink.write(media.container_packets(spark, sf).withColumns(moved), path, "mpegts")
     found = mpegts.packets(spark, path, split=100_000)
     return index.scan(found).select(container_of(), "stream_index", "media_type", "pts", "dts", "duration", "is_key")
+
+
+@query("SELECT user_id AS container, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 1024 AS pts, CAST(strlen(event_type) + 7 AS BIGINT) AS size FROM events")
+def adts_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """A bare stream for each user, a frame for each event; what tells its time is how many stand before it."""
+    path = shared_dir(spark, "adts")
+    frames = media.container_packets(spark, sf).withColumn("user", F.col("source").cast("long") * 8 + F.col("stream_index"))
+    sink.write(frames.withColumns({"source": F.col("user").cast("string"), "stream_index": F.lit(0), "tb_den": F.lit(48_000)}), path, "adts")
+    found = elementary.packets(spark, path, split=300)
+    return index.frame_index(found, ("source",)).select(container_of(), "frame_index", "pts", "size")

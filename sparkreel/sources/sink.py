@@ -22,7 +22,7 @@ from sparkreel.workers import importable
 
 #: By format: the suffix and the class that writes a file; the modules below add theirs.
 FORMATS: dict[str, tuple[str, type]] = {}
-MODULES = {"mp4": "mp4", "matroska": "matroska", "mpegts": "mpegts"}
+MODULES = {"mp4": "mp4", "matroska": "matroska", "mpegts": "mpegts", "adts": "elementary"}
 
 
 class OpenFile:
