@@ -6,10 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats 'wav', 'y4m' and 'rawframes' known to a session."""
-    from sparkreel.sources import raw, wav, y4m
+    """Makes the formats 'wav', 'y4m', 'rawframes' and 'packets' known to a session."""
+    from sparkreel.sources import raw, sink, wav, y4m
     from sparkreel.workers import importable
 
     importable(spark)
-    for source in (wav.WavSource, y4m.Y4mSource, raw.RawFramesSource):
+    for source in (wav.WavSource, y4m.Y4mSource, raw.RawFramesSource, sink.PacketSink):
         spark.dataSource.register(source)

@@ -7,9 +7,11 @@ knows takes an opener of its own by `register`.
 
 from __future__ import annotations
 
+import glob
 import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from fnmatch import fnmatch
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -58,6 +60,21 @@ def opening(path: str) -> Iterator:
         file.close()
 
 
+def matching(path: str, suffix: str = "") -> list[str]:
+    """Files that a path, folder (those with the suffix) or glob names, where no Spark session is at hand; globs in file names alone, in other stores."""
+    if is_local(path):
+        own = local(path)
+        return sorted(glob.glob(os.path.join(glob.escape(own), f"*{suffix}")) if os.path.isdir(own) else glob.glob(own))
+    scheme = urlparse(path).scheme
+    store, name = fs.FileSystem.from_uri(path.replace(scheme, SAME.get(scheme, scheme), 1))
+    folder, _, last = name.rpartition("/")
+    if store.get_file_info(name).type == fs.FileType.Directory:
+        folder, last = name, f"*{suffix}"
+    lead = path[: path.index(name)] if name in path else f"{scheme}://"
+    found = store.get_file_info(fs.FileSelector(folder)) if any(c in last for c in "*?[") else [store.get_file_info(name)]
+    return sorted(lead + x.path for x in found if x.type == fs.FileType.File and fnmatch(x.base_name, last))
+
+
 def length_of(file) -> int:
     file.seek(0, os.SEEK_END)
     return file.tell()

@@ -6,13 +6,16 @@
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sparkreel.schema import FRAMES
-from sparkreel.sources.wav import FileWriter, _local, _Written, part_path, read_exactly
+from sparkreel.sources import files
+from sparkreel.sources.files import local
+from sparkreel.sources.ranges import Ranged, cut
+from sparkreel.sources.spool import StreamWriter
+from sparkreel.sources.wav import read_exactly
 
 FRAMES_PER_TASK = 64
 
@@ -30,49 +33,43 @@ class _Span(InputPartition):
         self.path, self.first, self.count = path, first, count
 
 
-class RawReader(DataSourceReader):
+class RawReader(Ranged, DataSourceReader):
     """A task seeks to its own frames and reads them alone."""
 
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
+        super().__init__(options)
+        self.path = options["path"]
         self.width, self.height, self.pixel = int(options["width"]), int(options["height"]), options.get("pixel", "rgb24")
         self.fps, self.size = float(options.get("fps", 25)), frame_bytes(int(options["width"]), int(options["height"]), options.get("pixel", "rgb24"))
 
     def partitions(self):
-        paths = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
         spans = []
-        for p in paths:
-            n = os.path.getsize(p) // self.size
-            spans += [_Span(p, a, min(FRAMES_PER_TASK, n - a)) for a in range(0, n, FRAMES_PER_TASK)]
+        for p in files.matching(self.path):
+            if self.wanted(os.path.basename(p)):
+                with files.opening(p) as f:
+                    n = files.length_of(f) // self.size
+                own, timed = self.units(n, "frame_index", 1), self.units(n, "pts_seconds", 1 / self.fps, slack=1)
+                spans += [_Span(p, a, b - a) for a, b in cut(range(max(own.start, timed.start), min(own.stop, timed.stop)), FRAMES_PER_TASK)]
         return spans
 
     def read(self, span):
         shape = (self.height, self.width, 3 if self.pixel == "rgb24" else 1)
-        with open(span.path, "rb") as f:
+        with files.opening(span.path) as f:
             f.seek(span.first * self.size)
             for i in range(span.first, span.first + span.count):
                 yield os.path.basename(span.path), 0, i, i / self.fps, 1 / self.fps, shape, read_exactly(f, self.size)
 
 
-class RawWriter(FileWriter):
+class RawWriter(StreamWriter):
     """Each (source, stream) a task is dealt becomes one file, its frames in order."""
 
+    suffix = "raw"
+
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
-
-    def write(self, iterator):
-        streams: dict[tuple[str, int], list] = {}
-        for row in iterator:
-            streams.setdefault((row.source, row.stream_index), []).append((row.frame_index, bytes(row.data)))
-        os.makedirs(self.path, exist_ok=True)
-        made = []
-        for (source, stream), frames in streams.items():
-            path = os.path.join(self.path, f"{os.path.splitext(source)[0]}.{stream}.raw")
-            made.append((part_path(path), path))
-            with open(made[-1][0], "wb") as f:
-                for _, data in sorted(frames):
-                    f.write(data)
-        return _Written(made)
+        self.path = local(options["path"])
+
+    def frame(self, row) -> tuple[float, bytes]:
+        return row.frame_index, bytes(row.data)
 
 
 class RawFramesSource(DataSource):

@@ -7,7 +7,6 @@
 
 from __future__ import annotations
 
-import glob
 import io
 import os
 import struct
@@ -15,14 +14,14 @@ import uuid
 import wave
 from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from sparkreel.operators.payload import to_float
 from sparkreel.schema import AUDIO_FRAMES
-from sparkreel.sources import backends
+from sparkreel.sources import backends, files
+from sparkreel.sources.ranges import Ranged, cut
 
 #: Tags of the WAVE format.
 PCM, IEEE_FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
@@ -89,6 +88,17 @@ def metadata_of(source) -> dict:
     return header(source if hasattr(source, "seek") else io.BytesIO(open_any(source)))
 
 
+def pcm(samples: np.ndarray, bits: int) -> bytes:
+    """Samples (channels x samples, in [-1, 1]) as a file holds them."""
+    top = 2 ** (bits - 1)
+    whole = np.clip(np.rint(samples.T.astype(np.float64) * top), -top, top - 1).astype(np.int64)
+    if bits == 8:
+        return (whole + 128).astype(np.uint8).tobytes()
+    if bits == 24:
+        return np.ascontiguousarray(whole).astype("<i4", order="C").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return whole.astype({16: "<i2", 32: "<i4"}[bits]).tobytes()
+
+
 def build(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
     """A WAV file of samples (channels x samples, or one channel) in [-1, 1]."""
     samples = np.atleast_2d(np.asarray(samples))
@@ -100,16 +110,9 @@ def build(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
         raise ValueError(f"a sample rate of {rate} is none")
     if not 1 <= samples.shape[0] <= MOST_CHANNELS:
         raise ValueError(f"{samples.shape[0]} channels are not 1 to {MOST_CHANNELS}")
-    top = 2 ** (bits - 1)
-    whole = np.clip(np.rint(samples.T.astype(np.float64) * top), -top, top - 1).astype(np.int64)
-    if whole.size * bits // 8 > MOST_BYTES:
+    body = pcm(samples, bits)
+    if len(body) > MOST_BYTES:
         raise ValueError(f"the file would pass {MOST_BYTES} bytes")
-    if bits == 8:
-        body = (whole + 128).astype(np.uint8).tobytes()
-    elif bits == 24:
-        body = np.ascontiguousarray(whole).astype("<i4", order="C").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    else:
-        body = whole.astype({16: "<i2", 32: "<i4"}[bits]).tobytes()
     out = io.BytesIO()
     with wave.open(out, "wb") as f:
         f.setnchannels(samples.shape[0])
@@ -153,31 +156,30 @@ def open_any(source) -> bytes:
     raise TypeError(f"{type(source).__name__} is no source; a path, bytes, a uint8 array or an object with read and seek is")
 
 
-def _local(path: str) -> str:
-    return urlparse(path).path if path.startswith("file:") else path
-
-
 class _Part(InputPartition):
     def __init__(self, path: str, first: int, end: int):
         self.path, self.first, self.end = path, first, end
 
 
-class WavReader(DataSourceReader):
+class WavReader(Ranged, DataSourceReader):
     """A task reads the header and the samples of its own frames, by range."""
 
     def __init__(self, options: dict):
-        self.path, self.frame, self.task = _local(options["path"]), int(options.get("frame_samples", 1024)), int(options.get("frames_per_task", FRAMES_PER_TASK))
+        super().__init__(options)
+        self.path, self.frame, self.task = options["path"], int(options.get("frame_samples", 1024)), int(options.get("frames_per_task", FRAMES_PER_TASK))
 
     def partitions(self):
-        found = sorted(glob.glob(os.path.join(self.path, "*.wav"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
         parts = []
-        for p in found:
-            n = metadata_of(p)["num_samples"]
-            parts += [_Part(p, a, min(n, a + self.task * self.frame)) for a in range(0, n, self.task * self.frame)]
+        for p in files.matching(self.path, ".wav"):
+            if self.wanted(os.path.basename(p)):
+                with files.opening(p) as f:
+                    n = header(f)["num_samples"]
+                frames = self.units(-(-n // self.frame), "pts", self.frame)
+                parts += [_Part(p, a * self.frame, min(n, b * self.frame)) for a, b in cut(frames, self.task)]
         return parts
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        with files.opening(partition.path) as f:
             head = header(f)
             f.seek(head["offset"] + partition.first * head["align"])
             for at in range(partition.first, partition.end, self.frame):
@@ -217,28 +219,6 @@ class FileWriter(DataSourceWriter):
                 os.remove(own)
 
 
-class WavWriter(FileWriter):
-    """Each task writes the streams it is dealt: repartition by (source, stream_index) so that a stream has one file."""
-
-    def __init__(self, options: dict):
-        self.path, self.bits = _local(options["path"]), int(options.get("bits", 16))
-
-    def write(self, iterator):
-        streams: dict[tuple[str, int], list] = {}
-        for row in iterator:
-            streams.setdefault((row.source, row.stream_index), []).append((row.pts, row.sample_rate, row.data))
-        os.makedirs(self.path, exist_ok=True)
-        made = []
-        for (source, stream), parts in streams.items():
-            parts.sort(key=lambda p: p[0])
-            whole = np.concatenate([np.array(d, np.float32) for _, _, d in parts], 1)
-            path = os.path.join(self.path, f"{os.path.splitext(source)[0]}.{stream}.wav")
-            made.append((part_path(path), path))
-            with open(made[-1][0], "wb") as f:
-                f.write(build(whole, parts[0][1], self.bits))
-        return _Written(made)
-
-
 class WavSource(DataSource):
     @classmethod
     def name(cls):
@@ -251,6 +231,8 @@ class WavSource(DataSource):
         return WavReader(self.options)
 
     def writer(self, schema, overwrite):
+        from sparkreel.sources.wav_sink import WavWriter
+
         return WavWriter(self.options)
 
 

@@ -9,7 +9,6 @@ Every frame has the same size in bytes, so a task seeks to its own frames and re
 
 from __future__ import annotations
 
-import glob
 import os
 from fractions import Fraction
 
@@ -18,8 +17,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sparkreel.operators.payload import rgb_to_yuv420, yuv420_to_rgb
 from sparkreel.schema import FRAMES
-from sparkreel.sources import backends
-from sparkreel.sources.wav import FileWriter, _local, _Written, part_path, read_exactly
+from sparkreel.sources import backends, files
+from sparkreel.sources.files import local
+from sparkreel.sources.ranges import Ranged, cut
+from sparkreel.sources.spool import StreamWriter
+from sparkreel.sources.wav import read_exactly
 
 #: Words of the format.
 MAGIC, FRAME = b"YUV4MPEG2", b"FRAME\n"
@@ -69,20 +71,25 @@ class _Span(InputPartition):
         self.path, self.first, self.end = path, first, end
 
 
-class Y4mReader(DataSourceReader):
+class Y4mReader(Ranged, DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.standard = _local(options["path"]), options.get("standard", "bt601")
+        super().__init__(options)
+        self.path, self.standard = options["path"], options.get("standard", "bt601")
 
     def partitions(self):
         spans = []
-        for p in sorted(glob.glob(os.path.join(self.path, "*.y4m")) if os.path.isdir(self.path) else glob.glob(self.path)):
-            with open(p, "rb") as f:
-                n = header(f)["num_frames"]
-            spans += [_Span(p, a, min(n, a + FRAMES_PER_TASK)) for a in range(0, n, FRAMES_PER_TASK)]
+        for p in files.matching(self.path, ".y4m"):
+            if not self.wanted(os.path.basename(p)):
+                continue
+            with files.opening(p) as f:
+                head = header(f)
+            n = head["num_frames"]
+            own, timed = self.units(n, "frame_index", 1), self.units(n, "pts_seconds", float(1 / head["fps"]), slack=1)
+            spans += [_Span(p, a, b) for a, b in cut(range(max(own.start, timed.start), min(own.stop, timed.stop)), FRAMES_PER_TASK)]
         return spans
 
     def read(self, span):
-        with open(span.path, "rb") as f:
+        with files.opening(span.path) as f:
             head = header(f)
             w, h, step = head["width"], head["height"], 1 / head["fps"]
             f.seek(head["offset"] + span.first * head["size"])
@@ -91,25 +98,22 @@ class Y4mReader(DataSourceReader):
                 yield os.path.basename(span.path), 0, i, float(i * step), float(step), (h, w, 3), picture.tobytes()
 
 
-class Y4mWriter(FileWriter):
+class Y4mWriter(StreamWriter):
     """Each (source, stream) a task is dealt becomes one file, its frames in order."""
 
+    suffix = "y4m"
+
     def __init__(self, options: dict):
-        self.path, self.rate, self.standard = _local(options["path"]), Fraction(options.get("fps", "25")), options.get("standard", "bt601")
-
-    def write(self, iterator):
-        streams: dict[tuple[str, int], list] = {}
-        for row in iterator:
-            image = np.frombuffer(bytes(row.data), np.uint8).reshape(row.shape["h"], row.shape["w"], row.shape["c"])
-            streams.setdefault((row.source, row.stream_index), []).append((row.frame_index, image.transpose(2, 0, 1)))
-        os.makedirs(self.path, exist_ok=True)
-        made = []
-        for (source, stream), frames in streams.items():
-            path = os.path.join(self.path, f"{os.path.splitext(source)[0]}.{stream}.y4m")
-            made.append((part_path(path), path))
-            with open(made[-1][0], "wb") as f:
-                f.write(build(np.stack([x for _, x in sorted(frames, key=lambda r: r[0])]), self.rate, self.standard))
-        return _Written(made)
+        self.path, self.rate, self.standard = local(options["path"]), Fraction(options.get("fps", "25")), options.get("standard", "bt601")
+
+    def image(self, row) -> np.ndarray:
+        return np.frombuffer(bytes(row.data), np.uint8).reshape(row.shape["h"], row.shape["w"], row.shape["c"])
+
+    def head(self, row) -> bytes:
+        return build(self.image(row).transpose(2, 0, 1)[None][:0], self.rate, self.standard)
+
+    def frame(self, row) -> tuple[float, bytes]:
+        return row.frame_index, FRAME + rgb_to_yuv420(self.image(row), self.standard)
 
 
 class Y4mSource(DataSource):
