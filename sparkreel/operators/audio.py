@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -58,6 +58,32 @@ def samples_played_in_range(frames: DataFrame, start_seconds: float = 0.0, stop_
     return sliced.select(*keys, "pts_seconds", ((F.col("_e") - F.col("_b")) / F.lit(float(rate))).alias("duration_seconds"), out.alias("data"))
 
 
+def samples_in_chunks(frames: DataFrame, start_seconds: float = 0.0, stop_seconds: float | None = None, *, rate: int, ticks: int, num: int = 1, den: int = 1_000_000, chunk: int = 1 << 16, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The samples of samples_played_in_range() in rows of chunk samples: keys, chunk (from 0), pts_seconds, data. For streams of any length.
+
+    Where a frame's samples go is a sum over the frames before it: within buckets of ticks, and of whole buckets, a row each.
+    Nothing comes together by stream but that; a task makes a chunk of the frames that reach into it.
+    """
+    met = overlapping(frames, start_seconds, stop_seconds, num, den).withColumn("_n", F.coalesce(F.size(F.get("data", F.lit(0))), F.lit(0)).cast("long"))
+    own = met.select(*keys, "pts", "data", "_n", F.floor(F.col("pts") / F.lit(ticks)).alias("_bucket"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("pts").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("n"), F.min("pts").alias("first"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    moved = sums.select(*keys, "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"), F.sum("n").over(whole).alias("_all"), F.min("first").over(whole).alias("_first"))
+    begin, end, at = cut(start_seconds, stop_seconds, seconds_of(F.col("_first"), num, den), F.col("_all"), rate)
+    placed = own.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(moved, [*keys, "_bucket"])
+    spread = placed.select(*keys, "data", (F.col("_own") + F.col("_before")).alias("_at"), "_n", begin.alias("_b"), end.alias("_e"), at.alias("_pts"))
+    some = spread.filter("_n > 0 and _at < _e and _at + _n > _b").withColumns({"_lo": F.greatest(F.col("_at"), F.col("_b")), "_hi": F.least(F.col("_at") + F.col("_n"), F.col("_e"))})
+    dealt = some.withColumn("chunk", F.explode(F.expr(f"sequence((_lo - _b) div {chunk}, (_hi - 1 - _b) div {chunk})")))
+    low, high = F.greatest(F.col("_lo"), F.col("_b") + F.col("chunk") * chunk), F.least(F.col("_hi"), F.col("_b") + (F.col("chunk") + 1) * chunk)
+    part = F.transform("data", lambda c: F.slice(c, (low - F.col("_at") + 1).cast("int"), (high - low).cast("int")))
+    parts = dealt.select(*keys, "chunk", "_pts", F.struct(low.alias("at"), part.alias("data")).alias("part")).groupBy(*keys, "chunk").agg(F.first("_pts").alias("_pts"), F.array_sort(F.collect_list("part")).alias("parts"))
+    channels = F.size(F.get("parts", F.lit(0))["data"])
+    joined = F.transform(F.sequence(F.lit(0), channels - 1), lambda c: F.flatten(F.transform("parts", lambda p: F.get(p["data"], c))))
+    return parts.select(*keys, "chunk", (F.col("_pts") + F.col("chunk") * chunk / F.lit(float(rate))).alias("pts_seconds"), joined.alias("data"))
+
+
 def all_samples(frames: DataFrame, **options) -> DataFrame:
     return samples_played_in_range(frames, **options)
 

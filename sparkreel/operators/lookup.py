@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from sparkreel.functions.timebase import slice_bounds, wrapped_index
 
 KEYS = ("stream_index",)
+#: Frames of a block by which long ranges are fetched.
+BLOCK = 1 << 12
 
 
 class FrameIndexError(IndexError):
@@ -103,6 +105,34 @@ def played_at_by_bucket(index: DataFrame, requests: DataFrame, ticks: int, keys:
     return found.select(*keys, "request_id", F.col("at").alias("t"), "frame.*")
 
 
+def carried(line: DataFrame, value: str, order: tuple[str, ...], ticks: int, keys: tuple[str, ...] = KEYS, backwards: bool = False) -> DataFrame:
+    """line (keys, at, the columns of order and others) with value replaced by the last one that isn't null up to each row, by order; backwards: from the end.
+
+    For streams of any length: rows come together by bucket of ticks, and by stream only what each bucket hands on, a row each.
+    """
+    own = line.withColumn("_bucket", F.floor(F.col("at") / F.lit(ticks)))
+    by = [F.desc(c) if backwards else F.asc(c) for c in order]
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.struct(*order)
+    pick = F.min_by if backwards else F.max_by
+    held = F.col(value).isNotNull()
+    handed = own.groupBy(*keys, "_bucket").agg(pick(F.when(held, F.col(value)), F.when(held, rank)).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_bucket") if backwards else F.asc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    moved = handed.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    seen = own.withColumn(value, F.last(value, ignorenulls=True).over(inside))
+    return seen.join(moved, [*keys, "_bucket"]).withColumn(value, F.coalesce(F.col(value), F.col("_before"))).drop("_bucket", "_before")
+
+
+def highest(line: DataFrame, value: str, order: tuple[str, ...], ticks: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """line with _high: the greatest value before each row, by order; made of buckets as in carried()."""
+    own = line.withColumn("_bucket", F.floor(F.col("at") / F.lit(ticks)))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    handed = own.groupBy(*keys, "_bucket").agg(F.max(value).alias("_most"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    moved = handed.select(*keys, "_bucket", F.max("_most").over(before).alias("_before"))
+    return own.withColumn("_own", F.max(value).over(inside)).join(moved, [*keys, "_bucket"]).withColumn("_high", F.greatest("_own", "_before")).drop("_bucket", "_own", "_before")
+
+
 def played_at_join(index: DataFrame, requests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The same by an equality join with a range residual; the better plan for a few requests a stream."""
     return index.join(requests, list(keys)).filter((F.col("pts") <= F.col("t")) & (F.col("t") < F.col("next_pts")))
@@ -136,6 +166,71 @@ def played_at_by_duration(index: DataFrame, requests: DataFrame, keys: tuple[str
     return found.select(*keys, "request_id", "t", "frame.frame_index", "frame.pts")
 
 
+def played_at_by_duration_by_bucket(index: DataFrame, requests: DataFrame, ticks: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """played_at_by_duration for streams, and groups of pictures, of any length: every time line is cut into buckets of ticks."""
+    frame = F.struct("pts", "seq", "frame_index")
+    kind = index.select(frame.alias("f")).schema["f"].dataType
+    line = index.select(*keys, F.col("pts").alias("at"), "seq", "frame_index", (F.col("pts") + F.col("duration")).alias("end"), F.when(F.col("is_key"), F.col("pts")).alias("key_pts"))
+    any_key = line.groupBy(*keys).agg(F.max("key_pts").alias("any_key"))
+    # a key frame counts for all that begin when it does
+    keyed = carried(line.withColumn("_late", F.col("key_pts").isNull()), "key_pts", ("at", "_late", "seq"), ticks, keys)
+    known = keyed.join(any_key, list(keys)).filter("any_key is null or key_pts is not null")
+    # without a key frame the whole stream is one group
+    group = F.coalesce("key_pts", F.lit(-(2**63))).alias("key_pts")
+    parts = known.select(*keys, group, "at", "seq", "end", F.struct(F.col("at").alias("pts"), "seq", "frame_index").alias("frame"))
+    inner = (*keys, "key_pts")
+    latest = highest(parts, "end", ("at", "seq"), ticks, inner).filter("_high is null or end > _high")
+    held = F.struct("frame", "end").alias("held")
+    ends = latest.select(*inner, F.coalesce("_high", "frame.pts").alias("at"), F.lit(0).alias("kind"), F.col("frame.seq").alias("tie"), held, F.lit(None).cast("long").alias("request_id"))
+    asked = key_pts_by_bucket(index, requests, ticks, keys).withColumn("key_pts", F.coalesce("key_pts", F.lit(-(2**63))))
+    both = ends.unionByName(asked.select(*inner, F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast(ends.schema["tie"].dataType).alias("tie"), F.lit(None).cast(ends.schema["held"].dataType).alias("held"), F.col("request_id").cast("long").alias("request_id")))
+    here = carried(both, "held", ("at", "kind", "tie"), ticks, inner).filter("kind = 1")
+    shown = F.when((F.col("held.frame.pts") <= F.col("at")) & (F.col("at") < F.col("held.end")), F.col("held.frame").cast(kind))
+    begun = known.select(*keys, F.col("at").alias("pts"), "seq", "frame_index")
+    after = first_from_by_bucket(begun, here.select(*keys, "request_id", F.col("at").alias("t"), shown.alias("shown")), "t", ticks, keys, strict=True)
+    found = after.withColumn("frame", F.coalesce("shown", "frame")).filter("frame is not null")
+    return found.select(*keys, "request_id", "t", "frame.frame_index", "frame.pts")
+
+
+def first_from_by_bucket(index: DataFrame, requests: DataFrame, at: str, ticks: int, keys: tuple[str, ...], strict: bool) -> DataFrame:
+    """requests with frame, as _first_from() gives it, for streams of any length."""
+    frame, asked = F.struct("pts", "seq", "frame_index"), F.struct(*[c for c in requests.columns if c not in keys])
+    # read backwards: at one instant a request comes before (strict) or after the frames that begin there
+    kind = 1 if strict else -1
+    frames = index.select(*keys, F.col("pts").alias("at"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("tie"), frame.alias("frame"))
+    line = requests.select(*keys, F.col(at).alias("at"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast(frames.schema["frame"].dataType).alias("frame"), asked.alias("_asked"))
+    met = carried(frames.unionByName(line, allowMissingColumns=True), "frame", ("at", "kind", "tie"), ticks, keys, backwards=True)
+    return met.filter(f"kind = {kind}").select(*keys, "_asked.*", "frame")
+
+
+def key_pts_by_bucket(index: DataFrame, requests: DataFrame, ticks: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """requests with key_pts, as key_pts_at() gives it, for streams of any length."""
+    keyed = index.filter("is_key")
+    first = keyed.groupBy(*keys).agg(F.min("pts").alias("first_key"))
+    frames = keyed.select(*keys, F.col("pts").alias("at"), F.lit(0).alias("kind"), F.col("pts").alias("key_pts"), F.lit(None).cast("long").alias("request_id"))
+    line = frames.unionByName(requests.select(*keys, F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("key_pts"), F.col("request_id").cast("long").alias("request_id")))
+    met = carried(line, "key_pts", ("at", "kind"), ticks, keys).filter("kind = 1")
+    return met.join(first, list(keys), "left").select(*keys, "request_id", F.col("at").alias("t"), F.coalesce("key_pts", "first_key").alias("key_pts"))
+
+
+def next_frame_by_bucket(index: DataFrame, cursors: DataFrame, ticks: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """next_frame for streams of any length."""
+    met = first_from_by_bucket(index, cursors, "cursor", ticks, keys, strict=False).filter("frame is not null")
+    return met.select(*keys, "request_id", "cursor", "frame.frame_index", "frame.pts")
+
+
+def played_in_range_by_bucket(index: DataFrame, ranges: DataFrame, ticks: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """played_in_range for streams of any length, and ranges of any: the frames of a range are fetched by bucket, not from one list."""
+    some = ranges.filter("start < stop")
+    mark = lambda at, kind: some.select(*keys, F.col(at).alias("at"), F.lit(kind).alias("kind"), F.col("request_id").cast("long").alias("request_id"), "start", "stop")
+    frames = index.select(*keys, F.col("pts").alias("at"), F.lit(1).alias("kind"), "frame_index", F.col("frame_index").alias("tie"))
+    line = frames.unionByName(mark("stop", 0).unionByName(mark("start", 2)), allowMissingColumns=True).withColumn("tie", F.coalesce("tie", F.lit(0)))
+    seen = carried(line, "frame_index", ("at", "kind", "tie"), ticks, keys).filter("kind != 1")
+    ends = seen.groupBy(*keys, "request_id", "start", "stop").agg(F.coalesce(F.max(F.when(F.col("kind") == 2, F.col("frame_index"))), F.lit(0)).alias("first"), F.max(F.when(F.col("kind") == 0, F.col("frame_index"))).alias("last"))
+    blocks = ends.filter("first <= last").withColumn("_block", F.explode(F.expr(f"sequence(first div {BLOCK}, last div {BLOCK})")))
+    return index.withColumn("_block", F.expr(f"frame_index div {BLOCK}")).join(blocks, [*keys, "_block"]).filter("frame_index between first and last").drop("_block", "first", "last")
+
+
 def _first_from(index: DataFrame, requests: DataFrame, at: str, keys: tuple[str, ...], strict: bool) -> DataFrame:
     """requests with frame, struct(pts, seq, frame_index): the first frame at or after the column at (strict: after it), or null. One time line read backwards."""
     frame, asked = F.struct("pts", "seq", "frame_index"), F.struct(*[c for c in requests.columns if c not in keys])

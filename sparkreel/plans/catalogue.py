@@ -648,3 +648,42 @@ def adts_packets(spark: SparkSession, sf: str) -> DataFrame:
     sink.write(frames.withColumns({"source": F.col("user").cast("string"), "stream_index": F.lit(0), "tb_den": F.lit(48_000)}), path, "adts")
     found = elementary.packets(spark, path, split=300)
     return index.frame_index(found, ("source",)).select(container_of(), "frame_index", "pts", "size")
+
+
+# The same lookups for streams of any length
+
+DAY = 86_400_000_000
+
+
+def bucketed(name: str):
+    """A query that says the same as another one, by buckets."""
+
+    def add(f):
+        QUERIES[f.__name__], SQL[f.__name__] = f, SQL[name]
+        return f
+
+    return add
+
+
+@bucketed("frame_played_at")
+def frame_played_at_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    found = lookup.played_at_by_duration_by_bucket(media.frames(spark, sf), media.requests(spark, sf, beyond=1000), DAY)
+    return found.select("stream_index", "request_id", "t", "frame_index", "pts")
+
+
+@bucketed("frames_played_in_range")
+def frames_played_in_range_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    ranges = media.requests(spark, sf).select("stream_index", "request_id", F.col("t").alias("start"), (F.col("t") + F.lit(DAY) * F.col("request_id")).alias("stop"))
+    return lookup.played_in_range_by_bucket(media.frames(spark, sf), ranges, DAY).select("stream_index", "request_id", "frame_index", "pts")
+
+
+@bucketed("next_frame_after")
+def next_frame_after_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    cursors = media.requests(spark, sf, beyond=5).withColumnRenamed("t", "cursor")
+    return lookup.next_frame_by_bucket(media.frames(spark, sf), cursors, DAY).select("stream_index", "request_id", "cursor", "frame_index", "pts")
+
+
+@query(f"WITH {AUDIO}, o AS (SELECT stream_index, min(pts) AS first, flatten(list(l ORDER BY pts)) AS l FROM audio WHERE 45500 < pts + duration AND 150250 > pts GROUP BY 1), c AS (SELECT *, CASE WHEN first / 1e6 < 0.0455 THEN CAST(round_even((0.0455 - first / 1e6) * 1000, 0) AS BIGINT) ELSE 0 END AS b, CASE WHEN 0.15025 < first / 1e6 + len(l) / 1000.0 THEN len(l) - CAST(round_even((first / 1e6 + len(l) / 1000.0 - 0.15025) * 1000, 0) AS BIGINT) ELSE len(l) END AS e FROM o), s AS (SELECT stream_index, b, unnest(range(b, e)) AS i, unnest(l[b + 1 : e]) AS x FROM c) SELECT stream_index, (i - b) // 50 AS chunk, count(*) AS num_samples, arg_min(x, i) AS first_sample, arg_max(x, i) AS last_sample FROM s GROUP BY 1, 2")
+def audio_trim_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    out = audio.samples_in_chunks(media.audio(spark, sf), 0.0455, 0.15025, rate=1000, ticks=64_000, chunk=50).withColumn("l", F.get("data", F.lit(0)))
+    return out.select("stream_index", "chunk", F.size("l").cast("long").alias("num_samples"), F.get("l", F.lit(0)).alias("first_sample"), F.element_at("l", -1).alias("last_sample"))
