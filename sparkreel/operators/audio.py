@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from sparkreel.functions.timebase import closest_pts, sample_offset, seconds_of
-from sparkreel.operators import payload
+from sparkreel.operators import layouts, payload
 from sparkreel.workers import importable
 
 KEYS = ("stream_index",)
@@ -122,16 +122,40 @@ def resampled(frames: DataFrame, rate: int, wanted: int, position: str = "pts",
     return dealt.groupBy(*keys, "_chunk").applyInArrow(run, schema)
 
 
+def times(level: float):
+    return lambda x: x.cast("double") * level
+
+
+def weighted(data: str, row: tuple[float, ...]) -> Column:
+    """One channel: the sum of the channels, each as loud as the row tells."""
+    parts = [F.transform(F.get(data, F.lit(k)), times(c)) for k, c in enumerate(row) if c]
+    out = parts[0] if parts else F.transform(F.get(data, F.lit(0)), lambda x: x.cast("double") * 0)
+    for part in parts[1:]:
+        out = F.zip_with(out, part, lambda a, b: a + b)
+    return out
+
+
+def mixed(frames: DataFrame, source: str | int, target: str | int, data: str = "data") -> DataFrame:
+    """frames whose channels are those of the layout source, in the layout target; frames of another number of channels are an error."""
+    rows, n = layouts.matrix(source, target), len(layouts.speakers(source))
+    wrong = F.raise_error(F.concat(F.lit(f"{source} has {n} channels, not "), F.size(data).cast("string")))
+    made = F.array(*[weighted(data, row) for row in rows])
+    return frames.withColumn(data, F.when(F.size(data) == n, made).otherwise(F.when(F.col(data).isNotNull(), wrong.cast("array<array<double>>"))))
+
+
 def remixed(frames: DataFrame, wanted: int, data: str = "data") -> DataFrame:
-    """frames with as many channels as wanted: one is the mean, one is copied to many, else the first are kept and missing ones are silent."""
+    """frames with as many channels as wanted: one is the mean, one is copied to many, else the layouts that so many channels have are mixed."""
     if not 1 <= wanted <= 8:
         raise ValueError(f"1 to 8 channels can be made, not {wanted}")
     have, first = F.size(data), F.get(data, F.lit(0))
-    silent = F.transform(first, lambda x: x * 0)
     mean = F.transform(F.sequence(F.lit(0), F.size(first) - 1), lambda i: F.aggregate(data, F.lit(0.0), lambda s, c: s + F.get(c, i).cast("double")) / have)
     mean = F.when(F.size(first) > 0, F.array(mean)).otherwise(F.array(F.array().cast("array<double>")))
-    kept = F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda k: F.coalesce(F.get(data, k), silent))
-    made = F.when(have == wanted, F.col(data)).when(have == 1, F.array_repeat(first, wanted)).otherwise(mean if wanted == 1 else kept)
+    made = F.when(have == wanted, F.col(data)).when(have == 1, F.array_repeat(first, wanted))
+    if wanted == 1:
+        return frames.withColumn(data, made.otherwise(mean))
+    for n in range(2, 9):
+        if n != wanted:
+            made = made.when(have == n, F.array(*[weighted(data, row) for row in layouts.matrix(n, wanted)]))
     return frames.withColumn(data, made)
 
 

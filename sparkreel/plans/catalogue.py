@@ -687,3 +687,17 @@ def next_frame_after_bucketed(spark: SparkSession, sf: str) -> DataFrame:
 def audio_trim_chunks(spark: SparkSession, sf: str) -> DataFrame:
     out = audio.samples_in_chunks(media.audio(spark, sf), 0.0455, 0.15025, rate=1000, ticks=64_000, chunk=50).withColumn("l", F.get("data", F.lit(0)))
     return out.select("stream_index", "chunk", F.size("l").cast("long").alias("num_samples"), F.get("l", F.lit(0)).alias("first_sample"), F.element_at("l", -1).alias("last_sample"))
+
+
+SIX = "SELECT vec_id, " + ", ".join(f"list_transform(embedding[{10 * k + 1}:{10 * k + 10}], lambda x: x::DOUBLE) AS c{k}" for k in range(6)) + " FROM embeddings"
+#: Of 5.1 to stereo: all that could meet in a channel, at full scale.
+LOUDEST = "(1 + 2 * sqrt(0.5::DOUBLE))"
+
+
+@query(f"WITH six AS ({SIX}) SELECT vec_id, list_transform(range(1, 11), lambda i: round((c0[i] + (c2[i] + c4[i]) * sqrt(0.5::DOUBLE)) / {LOUDEST}, 6)) AS l, list_transform(range(1, 11), lambda i: round((c1[i] + (c2[i] + c5[i]) * sqrt(0.5::DOUBLE)) / {LOUDEST}, 6)) AS r FROM six")
+def audio_downmix(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as ten samples of six channels, mixed to two."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    six = media.table(spark, sf, "embeddings").select("vec_id", F.array(*[F.slice(e, 10 * k + 1, 10) for k in range(6)]).alias("data"))
+    side = lambda k: F.transform(F.get("data", F.lit(k)), lambda x: F.round(x, 6))
+    return audio.mixed(six, "5.1", "stereo").select("vec_id", side(0).alias("l"), side(1).alias("r"))
