@@ -56,6 +56,15 @@ def in_range(index: DataFrame, start: int, stop: int, step: int = 1) -> DataFram
     return index.filter((i >= start) & (i < stop) & ((i - start) % step == 0))
 
 
+def checked_range(index: DataFrame, start: int, stop: int, step: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """in_range, but a stream of fewer than stop frames fails the query."""
+    ends = index.groupBy(*keys).agg((F.max("frame_index") + 1).alias("_n"))
+    short = F.raise_error(F.concat(F.lit(f"no frames up to {stop}: a stream has "), F.col("_n").cast("string")))
+    # a filter may read this column alone, and so may a count: the check is part of what is kept
+    known = ends.filter(F.when(F.col("_n") < stop, short.cast("boolean")).otherwise(F.lit(True)))
+    return in_range(index, start, stop, step).join(known, list(keys)).drop("_n")
+
+
 def sliced(index: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """What index[start:stop:step] means for each stream."""
     if step <= 0:

@@ -46,6 +46,20 @@ def seek_counters(frames: DataFrame, keys: tuple[str, ...] = ("stream_index",))
     return frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames_asked"), once(~F.col("avoidable")).alias("seeks"), once(F.col("avoidable")).alias("seeks_avoided"))
 
 
+def request_counters(frames: DataFrame, index: DataFrame, order: str, keys: tuple[str, ...] = ("stream_index",)) -> DataFrame:
+    """frames asked for in order, with avoidable (index.seek_avoidable): a row for each request, whose counters begin at zero.
+
+    seeks_attempted, seeks_done, seeks_skipped, flushes (one a seek), packets_read, packets_sent and frames_received: on from the
+    frame before where no seek is needed, else from the key frame, or from the first frame where there is none before.
+    """
+    groups = index.groupBy(*keys, "gop_id").agg(F.min("frame_index").alias("_first"))
+    before = F.lag("frame_index").over(Window.partitionBy(*keys).orderBy(order))
+    known = frames.withColumn("_prev", before).join(groups, [*keys, "gop_id"])
+    n = F.when(F.col("avoidable"), F.col("frame_index") - F.col("_prev")).otherwise(F.col("frame_index") - F.col("_first") + 1)
+    sought = (~F.col("avoidable")).cast("long")
+    return known.select(*keys, order, F.lit(1).cast("long").alias("seeks_attempted"), sought.alias("seeks_done"), (1 - sought).alias("seeks_skipped"), sought.alias("flushes"), *(n.alias(c) for c in ("packets_read", "packets_sent", "frames_received")))
+
+
 def placed(table: DataFrame, by: list[str]) -> DataFrame:
     """A printed table's rows (few) in order, with their place from 1."""
     return table.withColumn("place", F.row_number().over(Window.orderBy(*by)).cast("long")).orderBy(*by)

@@ -701,3 +701,18 @@ def audio_downmix(spark: SparkSession, sf: str) -> DataFrame:
     six = media.table(spark, sf, "embeddings").select("vec_id", F.array(*[F.slice(e, 10 * k + 1, 10) for k in range(6)]).alias("data"))
     side = lambda k: F.transform(F.get("data", F.lit(k)), lambda x: F.round(x, 6))
     return audio.mixed(six, "5.1", "stereo").select("vec_id", side(0).alias("l"), side(1).alias("r"))
+
+
+@query(f"WITH {FRAMES}{IDX}, a AS (SELECT w.stream_index, pos, fi.frame_index, gop_id FROM wanted w JOIN fi USING (stream_index, frame_index)), s AS (SELECT *, lag(frame_index) OVER w AS prev, coalesce(lag(gop_id) OVER w = gop_id AND lag(frame_index) OVER w <= frame_index, false) AS skip FROM a WINDOW w AS (PARTITION BY stream_index ORDER BY pos)), g AS (SELECT stream_index, gop_id, min(frame_index) AS f FROM fi GROUP BY 1, 2) SELECT stream_index, pos, CAST(NOT skip AS BIGINT) AS seeks_done, CAST(skip AS BIGINT) AS seeks_skipped, CAST(NOT skip AS BIGINT) AS flushes, CASE WHEN skip THEN frame_index - prev ELSE frame_index - f + 1 END AS packets_read FROM s JOIN g USING (stream_index, gop_id)")
+def decode_request_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters that begin anew with each request."""
+    frames = media.frames(spark, sf)
+    found = index.seek_avoidable(lookup.at_indices(frames, media.index_requests(spark, sf)), "pos")
+    return stats.request_counters(found, frames, "pos").select("stream_index", "pos", "seeks_done", "seeks_skipped", "flushes", "packets_read")
+
+
+@query(f"WITH {FRAMES}, s AS (SELECT stream_index FROM fi GROUP BY 1 HAVING count(*) >= 5) SELECT stream_index, frame_index, pts FROM fi JOIN s USING (stream_index) WHERE frame_index >= 1 AND frame_index < 5 AND (frame_index - 1) % 2 = 0")
+def frames_in_checked_range(spark: SparkSession, sf: str) -> DataFrame:
+    frames = media.frames(spark, sf)
+    long = frames.groupBy("stream_index").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("stream_index")
+    return lookup.checked_range(frames.join(long, "stream_index", "left_semi"), 1, 5, 2).select("stream_index", "frame_index", "pts")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "struct<frames: array<struct<pts: long, pkt_pts: long, duration: long, pkt_duration: long, key_frame: int>>>"
+SCHEMA = "struct<frames: array<map<string, string>>>"
+WANTED = "in frame mappings each frame has pts or pkt_pts, duration or pkt_duration, and key_frame"
 
 
 def check(text: str | bytes) -> None:
@@ -18,14 +19,24 @@ def check(text: str | bytes) -> None:
     except (ValueError, TypeError, KeyError, IndexError) as e:
         raise ValueError("frame mappings are JSON with a list of frames, one at least") from e
     if not ({"pts", "pkt_pts"} & first.keys() and {"duration", "pkt_duration"} & first.keys() and "key_frame" in first):
-        raise ValueError("in frame mappings each frame has pts or pkt_pts, duration or pkt_duration, and key_frame")
+        raise ValueError(WANTED)
 
 
 def exploded(rows: DataFrame, column: str = "mapping") -> DataFrame:
-    """A row for each frame: the other columns, pos, pts, duration, is_key."""
+    """A row for each frame: the other columns, pos, pts, duration, is_key.
+
+    The names of a mapping's members are those of its first frame; a later one that lacks them fails the query.
+    """
     rest = [c for c in rows.columns if c != column]
-    each = rows.select(*rest, F.posexplode(F.from_json(column, SCHEMA)["frames"]).alias("pos", "f"))
-    return each.select(*rest, "pos", F.coalesce("f.pts", "f.pkt_pts").alias("pts"), F.coalesce("f.duration", "f.pkt_duration").alias("duration"), (F.col("f.key_frame") != 0).alias("is_key"))
+    parsed = rows.select(*rest, F.from_json(column, SCHEMA)["frames"].alias("_frames"))
+    first = F.get("_frames", F.lit(0))
+    named = parsed.select(*rest, *(F.when(F.map_contains_key(first, n), F.lit(n)).otherwise(F.lit(f"pkt_{n}")).alias(f"_{n}") for n in ("pts", "duration")), F.posexplode("_frames").alias("pos", "f"))
+
+    def member(name) -> Column:
+        return F.coalesce(F.try_element_at("f", name), F.raise_error(F.lit(WANTED)))
+
+    key = member(F.lit("key_frame"))
+    return named.select(*rest, "pos", member(F.col("_pts")).cast("long").alias("pts"), member(F.col("_duration")).cast("long").alias("duration"), ((F.lower(key) == "true") | F.coalesce(key.try_cast("int") != 0, F.lit(False))).alias("is_key"))
 
 
 def built(frames: DataFrame, keys: tuple[str, ...]) -> DataFrame:

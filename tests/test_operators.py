@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -235,3 +236,32 @@ def test_single_lookups_against_brute_force(spark):
     assert {key(r): r.frame_index for r in lookup.next_frame(index_, at.withColumnRenamed("t", "cursor")).collect()} == first
     found = lookup.played_in_range(index_, spark.createDataFrame(ranges, "stream_index int, request_id long, start long, stop long")).collect()
     assert sorted((*key(r), r.frame_index) for r in found) == sorted(between)
+
+
+def test_ranges_beyond_the_end_fail_where_they_are_checked(spark):
+    frames = spark.createDataFrame([(1, i, 10 * i) for i in range(6)], "stream_index int, frame_index long, pts long")
+    assert sorted(r.frame_index for r in lookup.checked_range(frames, 1, 6, 2).collect()) == [1, 3, 5]
+    with pytest.raises(Exception, match="no frames up to 7: a stream has 6"):
+        lookup.checked_range(frames, 1, 7).count()
+
+
+def test_mappings_go_by_their_first_frame(spark):
+    from sparkreel.sources import mappings
+
+    def pts(*frames):
+        return [(r.pts, r.duration, r.is_key) for r in mappings.exploded(spark.createDataFrame([(json.dumps({"frames": frames}),)], "mapping string")).orderBy("pos").collect()]
+
+    assert pts({"pts": 5, "pkt_pts": 6, "pkt_duration": 2, "key_frame": 1}, {"pts": 7, "pkt_duration": 3, "key_frame": 0}) == [(5, 2, True), (7, 3, False)]
+    for second in ({"pkt_pts": 7, "pkt_duration": 3, "key_frame": 0}, {"pts": 7, "duration": 3, "key_frame": 0}, {"pts": 7, "pkt_duration": 3}):
+        with pytest.raises(Exception, match="in frame mappings"):
+            pts({"pts": 5, "pkt_duration": 2, "key_frame": 1}, second)
+
+
+def test_counters_begin_anew_with_each_request(spark):
+    rows = [(1, i, 10 * i, 10 * i, 10, i in (2, 6), False) for i in range(9)]
+    frames = index.frame_index(spark.createDataFrame(rows, "stream_index int, seq long, pts long, dts long, duration long, is_key boolean, is_discard boolean"))
+    asked = spark.createDataFrame([(1, p, i) for p, i in enumerate([4, 5, 5, 3, 8, 1])], "stream_index int, pos int, idx long")
+    found = index.seek_avoidable(lookup.at_indices(frames, asked), "pos")
+    got = stats.request_counters(found, frames, "pos").orderBy("pos").collect()
+    assert [(r.seeks_done, r.seeks_skipped, r.packets_read) for r in got] == [(1, 0, 3), (0, 1, 1), (0, 1, 0), (1, 0, 2), (1, 0, 3), (1, 0, 2)]
+    assert all(r.seeks_attempted == 1 and r.flushes == r.seeks_done and r.packets_sent == r.frames_received == r.packets_read for r in got)
