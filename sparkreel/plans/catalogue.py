@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkreel.functions import arrays, timebase
 from sparkreel.operators import audio, index, lookup, metadata, samplers, stats
 from sparkreel.plans import media
-from sparkreel.sources import elementary, mappings, matroska, mp4, mpegts, sink
+from sparkreel.sources import containers, elementary, mappings, matroska, mp4, mpegts, sink
 from sparkreel.workers import shared_dir
 
 QUERIES: dict = {}
@@ -716,3 +716,24 @@ def frames_in_checked_range(spark: SparkSession, sf: str) -> DataFrame:
     frames = media.frames(spark, sf)
     long = frames.groupBy("stream_index").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").select("stream_index")
     return lookup.checked_range(frames.join(long, "stream_index", "left_semi"), 1, 5, 2).select("stream_index", "frame_index", "pts")
+
+
+@query(f"WITH {STORED}, n AS (SELECT container, stream_index, count(*) AS num_frames, CAST(sum(CASE WHEN is_key THEN 1 ELSE 0 END) AS BIGINT) AS keys, CAST(sum(CASE WHEN is_key OR media_type = 'audio' THEN 1 ELSE 0 END) AS BIGINT) AS marked FROM scanned GROUP BY 1, 2) SELECT kind, container, stream_index, num_frames, CASE WHEN kind = 'mpegts' THEN marked ELSE keys END AS num_keys FROM n, (VALUES ('mp4'), ('matroska'), ('mpegts')) k(kind)")
+def containers_scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same packets in files of three kinds in one folder. A transport stream marks no key frames of sound: all are."""
+    path = shared_dir(spark, "containers")
+    for container in ("mp4", "matroska", "mpegts"):
+        sink.write(media.container_packets(spark, sf), path, container)
+    found = index.scan(containers.packets(spark, path).filter("not is_discard"))
+    return found.groupBy("kind", container_of(), "stream_index").agg(F.count(F.lit(1)).alias("num_frames"), F.sum(F.col("is_key").cast("long")).alias("num_keys"))
+
+
+@query("SELECT 'mp4' AS kind, count(DISTINCT user_id // 8) AS files FROM events UNION ALL SELECT 'matroska', count(DISTINCT user_id // 8) FROM events UNION ALL SELECT 'audio', count(DISTINCT user_id) FROM events")
+def containers_probed(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_dir(spark, "containers")
+    rows = media.container_packets(spark, sf)
+    for container in ("mp4", "matroska"):
+        sink.write(rows, path, container)
+    user = (F.col("source").cast("long") * 8 + F.col("stream_index")).cast("string")
+    sink.write(rows.withColumns({"source": user, "stream_index": F.lit(0), "tb_den": F.lit(48_000)}), path, "adts")
+    return containers.probed(spark, path).groupBy("kind").agg(F.count(F.lit(1)).alias("files"))

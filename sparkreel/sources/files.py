@@ -81,7 +81,7 @@ def length_of(file) -> int:
 
 
 def listed(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """path, length of every file that a path, folder, glob or list of them names."""
+    """path, length of every file that a path, folder, glob or list of them names. Spark lists no empty ones."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return found.filter(" or ".join(f"endswith(lower(path), '{s.lower()}')" for s in suffixes)) if suffixes else found
 

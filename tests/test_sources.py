@@ -139,3 +139,19 @@ def test_frames_out_of_order_come_into_order(spark, tmp_path):
     assert (tmp_path / "rawframes" / "v.0.raw").read_bytes() == b"".join(bytes([i]) * 12 for i in range(3))
     assert [r.frame_index for r in spark.read.format("y4m").load(str(tmp_path / "y4m")).orderBy("frame_index").collect()] == [0, 1, 2]
     assert sorted(os.listdir(tmp_path / "y4m")) == ["v.0.y4m"]
+
+
+def test_files_are_known_by_their_first_bytes(spark, tmp_path):
+    from sparkreel.schema import PACKETS
+    from sparkreel.sources import containers, sink
+
+    rows = [("a", 0, "audio", i, i * 10, i * 10, 10, True, False, 1, 8000, b"x" * 200) for i in range(5)]
+    for kind in ("mp4", "matroska", "mpegts", "adts"):
+        sink.write(spark.createDataFrame(rows, PACKETS + ", data binary"), str(tmp_path), kind)
+    (tmp_path / "a.txt").write_bytes(b"no media")
+    (tmp_path / "a.flac").write_bytes(b"fLaC")
+    (tmp_path / "empty").write_bytes(b"")
+    got = {os.path.basename(r.source): r.kind for r in containers.probed(spark, str(tmp_path)).collect()}
+    assert got == {"a.mp4": "mp4", "a.mkv": "matroska", "a.ts": "mpegts", "a.aac": "audio", "a.txt": None, "a.flac": "audio"}  # Spark lists no empty files
+    found = containers.packets(spark, str(tmp_path)).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in found} == {"mp4": 5, "matroska": 5, "mpegts": 5, "audio": 5}
