@@ -119,8 +119,8 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
             for own in parts.get(name, []):
                 if k < len(own) and len(held) < KILOBYTES << 10:
                     held += bare(own[k])
-        if len(held) >= 8:
-            out[name] = bytes(held[: KILOBYTES << 10])
+        # the library takes no dictionary of under eight bytes
+        out[name] = bytes(held[: KILOBYTES << 10]).ljust(8)
     return out
 
 

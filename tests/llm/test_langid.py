@@ -100,3 +100,12 @@ def test_copies_of_one_row_count_once_and_names_that_clash(spark):
 
 def corpus_rows():
     return [(100 + i, t, lang) for i, (_, t, lang, _) in enumerate(corpus(20))]
+
+
+def test_a_language_of_a_few_letters_is_learned_too(spark):
+    kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(kept[0], "ab", "xx"), (kept[1], "?", "yy")] + [(i, "the quick brown fox jumps over the lazy dog and runs " * 3, "en") for i in kept[2:60]]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == {"en", "xx", "yy"} and all(len(x) >= 8 for x in learned.values())
+    got = langid.predict(spark.createDataFrame([("the quick brown fox runs over the dog",), (None,)], "text string"), learned).collect()
+    assert [r.lang_pred for r in got] == ["en", "und"]
