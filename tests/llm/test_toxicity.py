@@ -98,3 +98,43 @@ def test_string_ids_and_a_column_named_score(spark):
     # the query against the machine by hand, text by text
     by_hand = {f"d{i}": machine.score([t or ""])[0] for i, t, *_ in docs}
     assert all(abs(r.score - by_hand[r.doc_id]) < 1e-6 and r.predicted == (r.score >= 0.5) for r in got.collect())
+
+
+def score_by_hand(machine, text):
+    """A text's score from the machine's numbers, letter by letter and word by word."""
+    letters = lambda part: [ord(c) - 96 for c in part.lower() if "a" <= c <= "z"]
+    words = [w for w in map(letters, text.split()) if w]
+    joined = []
+    for i, w in enumerate(words):
+        if i and len(w) == 1 and len(words[i - 1]) == 1:
+            joined[-1] = joined[-1] + w
+        else:
+            joined.append(w)
+    values = []
+    for w in joined:
+        s, total = [0, *w, 0], 0.0
+        for i in range(len(s)):
+            for a, b, c in toxicity.STEPS:
+                if i + a + b + c < len(s):
+                    number = 0
+                    for k in (i, i + a, i + a + b, i + a + b + c):
+                        number = number * toxicity.SYMBOLS + s[k]
+                    total += toxicity.DECAY ** (a + b + c - 3) * float(machine.table[number])
+        values.append(total / float(toxicity.most(np.array([len(w)]))[0]) + machine.bias)
+    top = sorted(values, reverse=True)
+    first, third = (top[0] if top else toxicity.NOTHING), (top[2] if len(top) > 2 else toxicity.NOTHING)
+    a, b, c = machine.logistic
+    return 1 / (1 + np.exp(-min(30, max(-30, a * max(first, -3) + b * max(third, -3) + c))))
+
+
+def test_query_equals_scores_by_hand(spark):
+    docs, labels = corpus(160)
+    odd = ["", "x", "b l o r g u t now", "Blor-gut! skrim.zat 12 q q", "a b", "one two three", "i i i and i"]
+    frame, some = frames(spark, docs + [(1000 + i, t, "") for i, t in enumerate(odd)], labels)
+    machine = toxicity.train(*toxicity.training_rows(frame, some))
+    want = {i: score_by_hand(machine, t) for i, t, *_ in docs} | {1000 + i: score_by_hand(machine, t) for i, t in enumerate(odd)}
+    got = toxicity.classify(frame, some).collect()
+    assert len(got) == len(want) and len({round(r.score, 6) for r in got}) > 30
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-5 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
