@@ -50,11 +50,12 @@ def placed(docs: DataFrame) -> DataFrame:
 
 def repeated(windows: DataFrame) -> DataFrame:
     """windows: PLACE, doc_id, pos, size, key (what runs of equal units share). For each row that loses units: PLACE, covered (sorted positions), kept_in (documents of the first occurrences; a null among them last)."""
-    # a null doc_id comes first; rows of one doc_id go by place
-    rank = F.struct("doc_id", *PLACE, "pos")
-    first = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1")
-    met = joined_by(windows, saved(first, "repeats"), "key")
-    later = met.filter(" or ".join(f"first.{c} != {c}" for c in [*PLACE, "pos"]))
+    # counted and compared by plain columns, which needs no sort; a null doc_id comes first
+    counts = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none")).filter("n > 1")
+    met = saved(joined_by(windows, saved(counts, "repeats"), "key").withColumn("own", F.when(F.col("none"), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(F.col("least")))), "met")
+    # of the rows of the first doc_id, few but where it repeats, the first by place
+    first = met.filter("own").groupBy("key").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", *PLACE, "pos")).alias("first"))
+    later = joined_by(met.select("key", *PLACE, "pos", "size"), saved(first, "firsts"), "key").filter(" or ".join(f"first.{c} != {c}" for c in [*PLACE, "pos"]))
     found = later.groupBy(*PLACE).agg(F.collect_list(F.struct("pos", "size")).alias("runs"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in"), F.max(F.col("first.doc_id").isNull()).alias("no_id"))
     units = F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["size"] - 1)))
     kept_in = F.when(F.col("no_id"), F.array_append("kept_in", F.lit(None))).otherwise(F.col("kept_in"))

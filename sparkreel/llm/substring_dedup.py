@@ -14,6 +14,7 @@ along untouched.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .common import OWN, text_of
 LEAST = 100
 #: Runs handed on at once.
 HELD = 1 << 16
+#: spans.sentences_of() in Python: where runs are hashed, sentences are told apart, too.
+SENTENCE = re.compile(rf"[^{spans.ENDS}\n]+[{spans.ENDS}\n]*|[{spans.ENDS}\n]+")
 
 
 def sentence_runs(sentences: list[bytes], least: int) -> list[tuple[int, int]]:
@@ -45,7 +48,7 @@ def sentence_runs(sentences: list[bytes], least: int) -> list[tuple[int, int]]:
 
 
 def windows(rows: DataFrame, least: int) -> DataFrame:
-    """rows: spans.PLACE, doc_id, sentences (trimmed). The same but for the sentences, and pos, size, key, of every span."""
+    """rows: spans.PLACE, doc_id, text. The same but for the text, and pos, size, key, of every span."""
     carried = [*spans.PLACE, "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +61,8 @@ def windows(rows: DataFrame, least: int) -> DataFrame:
                     x.clear()
                 return pa.RecordBatch.from_arrays(made, [*carried, "pos", "size", "key"])
 
-            for i, column in enumerate(batch.column("sentences")):
-                sentences = [x.encode("utf-8", "surrogatepass") for x in column.as_py()]
+            for i, text in enumerate(batch.column("text")):
+                sentences = [x.strip(" \n").encode("utf-8", "surrogatepass") for x in SENTENCE.findall(text.as_py() or "")]
                 for a, b in sentence_runs(sentences, least):
                     owner.append(i)
                     pos.append(a)
@@ -69,13 +72,12 @@ def windows(rows: DataFrame, least: int) -> DataFrame:
                         yield out()
             yield out()
 
-    return mapped(rows, run, rows.drop("sentences").schema.add("pos", "integer").add("size", "integer").add("key", "binary"))
+    return mapped(rows, run, rows.drop("text").schema.add("pos", "integer").add("size", "integer").add("key", "binary"))
 
 
 def covered_sentences(rows: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """rows: with spans.PLACE."""
-    sentences = F.transform(spans.sentences_of(text_of(text)), lambda s: F.btrim(s, F.lit(" \n")))
-    return spans.repeated(windows(rows.select(*spans.PLACE, F.col(doc_id).alias("doc_id"), sentences.alias("sentences")), least))
+    return spans.repeated(windows(rows.select(*spans.PLACE, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), least))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
