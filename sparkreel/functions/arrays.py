@@ -28,6 +28,11 @@ def error(values: Column, size: int) -> Column:
 POLICIES: dict[str, Callable[[Column, int], Column]] = {"repeat_last": repeat_last, "wrap": wrap, "error": error}
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places as SQL engines round doubles: scaled, halves away from zero, the sign kept by a zero. F.round() goes by the shortest decimal and drops it."""
+    return F.signum(x) * F.round(F.abs(x) * 10.0**places) / 10.0**places
+
+
 def permute_hwc(values: Column, h: int, w: int, c: int) -> Column:
     """Values laid out row, column, channel as channel, row, column."""
     return F.transform(F.sequence(F.lit(0), F.lit(h * w * c - 1)), lambda i: F.get(values, (i % (h * w)) * c + F.floor(i / (h * w)).cast("int")))

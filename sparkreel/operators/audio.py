@@ -123,23 +123,34 @@ def resampled(frames: DataFrame, rate: int, wanted: int, position: str = "pts",
 
 
 def times(level: float):
-    return lambda x: x.cast("double") * level
+    return lambda x: x * level
 
 
-def weighted(data: str, row: tuple[float, ...]) -> Column:
-    """One channel: the sum of the channels, each as loud as the row tells."""
-    parts = [F.transform(F.get(data, F.lit(k)), times(c)) for k, c in enumerate(row) if c]
-    out = parts[0] if parts else F.transform(F.get(data, F.lit(0)), lambda x: x.cast("double") * 0)
+def summed(parts: list[Column]) -> Column:
+    out = parts[0]
     for part in parts[1:]:
         out = F.zip_with(out, part, lambda a, b: a + b)
     return out
 
 
+def weighted(data: str, row: tuple[float, ...], loudest: float) -> Column:
+    """One channel: the sum of the channels, each as loud as the row tells, by loudest. Channels of one level are added first and scaled once, and the sum is divided once: no level is rounded before."""
+    channel = lambda k: F.transform(F.get(data, F.lit(k)), lambda x: x.cast("double"))
+    alike: dict[float, list[Column]] = {}
+    for k, level in enumerate(row):
+        if level:
+            alike.setdefault(level, []).append(channel(k))
+    if not alike:
+        return F.transform(channel(0), times(0.0))
+    out = summed([summed(parts) if level == 1 else F.transform(summed(parts), times(level)) for level, parts in alike.items()])
+    return out if loudest == 1 else F.transform(out, lambda x: x / loudest)
+
+
 def mixed(frames: DataFrame, source: str | int, target: str | int, data: str = "data") -> DataFrame:
     """frames whose channels are those of the layout source, in the layout target; frames of another number of channels are an error."""
-    rows, n = layouts.matrix(source, target), len(layouts.speakers(source))
+    (rows, loudest), n = layouts.levels(source, target), len(layouts.speakers(source))
     wrong = F.raise_error(F.concat(F.lit(f"{source} has {n} channels, not "), F.size(data).cast("string")))
-    made = F.array(*[weighted(data, row) for row in rows])
+    made = F.array(*[weighted(data, row, loudest) for row in rows])
     return frames.withColumn(data, F.when(F.size(data) == n, made).otherwise(F.when(F.col(data).isNotNull(), wrong.cast("array<array<double>>"))))
 
 
@@ -155,7 +166,8 @@ def remixed(frames: DataFrame, wanted: int, data: str = "data") -> DataFrame:
         return frames.withColumn(data, made.otherwise(mean))
     for n in range(2, 9):
         if n != wanted:
-            made = made.when(have == n, F.array(*[weighted(data, row) for row in layouts.matrix(n, wanted)]))
+            rows, loudest = layouts.levels(n, wanted)
+            made = made.when(have == n, F.array(*[weighted(data, row, loudest) for row in rows]))
     return frames.withColumn(data, made)
 
 

@@ -46,8 +46,8 @@ def speakers(layout: str | int) -> list[int]:
 
 
 @cache
-def matrix(source: str | int, target: str | int) -> tuple[tuple[float, ...], ...]:
-    """For each target channel, how loud each source channel is in it."""
+def levels(source: str | int, target: str | int) -> tuple[tuple[tuple[float, ...], ...], float]:
+    """For each target channel, how loud each source channel would be in it, and what all are divided by so that none passes full scale."""
     have, want = speakers(source), speakers(target)
     rows = {t: dict.fromkeys(have, 0.0) for t in want}
     for s in have:
@@ -59,5 +59,12 @@ def matrix(source: str | int, target: str | int) -> tuple[tuple[float, ...], ...
                 for o in others:
                     rows[o][s] += level
                 break
-    loudest = max(1.0, *(sum(r.values()) for r in rows.values()))
-    return tuple(tuple(rows[t][s] / loudest for s in have) for t in want)
+    loudest = max(1.0, *(math.fsum(r.values()) for r in rows.values()))
+    return tuple(tuple(rows[t][s] for s in have) for t in want), loudest
+
+
+@cache
+def matrix(source: str | int, target: str | int) -> tuple[tuple[float, ...], ...]:
+    """For each target channel, how loud each source channel is in it."""
+    rows, loudest = levels(source, target)
+    return tuple(tuple(x / loudest for x in row) for row in rows)

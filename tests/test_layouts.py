@@ -1,8 +1,10 @@
 """Channel layouts, pixel formats and filters of scaling."""
 
+import duckdb
 import numpy as np
 import pytest
 from sparkreel.operators import audio, layouts, payload
+from sparkreel.plans import catalogue
 
 HALF = 0.5**0.5
 
@@ -39,6 +41,18 @@ def test_mixed_by_spark(spark):
     assert np.allclose(six, payload.remix(x, 2)) and not np.allclose(six, x[:2])
 
 
+def test_downmix_equals_its_sql_bit_for_bit(spark, tmp_path):
+    """Zeros keep their sign, ties round as the SQL's do, and short or missing vectors give ten nulls."""
+    h = float(np.float32(0.5))
+    tiny = [[-1e-7 if i % 2 else 2.5e-6 * i for i in range(64)], [h * 1e-6 * i for i in range(64)], [0.1] * 52, None, [None, *[0.25] * 63], [float("nan"), float("inf"), *[1.0] * 62]]
+    rows = [*tiny, *np.random.default_rng(3).normal(size=(3000, 64)).astype(np.float32).tolist()]
+    spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {k: repr((left, right)) for k, left, right in con.execute(catalogue.SQL["audio_downmix"]).fetchall()}
+    assert {r.vec_id: repr((r.l, r.r)) for r in catalogue.QUERIES["audio_downmix"](spark, str(tmp_path)).collect()} == want
+
+
 @pytest.mark.parametrize("size", [(4, 6), (5, 7)])
 @pytest.mark.parametrize("format", payload.FORMATS)
 def test_formats_round_trip(format, size):
