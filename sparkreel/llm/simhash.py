@@ -11,10 +11,12 @@ for every choice of `distance` bits left out: what shares such a variant differs
 distance without being compared, and a bucket holds 2 ** distance fingerprints at most. That makes C(64, distance) rows of
 a fingerprint (2,016 at 2), however many there are. Components are joined in `components`.
 
-At similarity 0.8 of five-word shingles fingerprints lie too far apart for segments. near_dedup() indexes the sets of
-shingles by bands of minima, whose chance to meet depends on the similarity alone, wherever the words differ: 0.9993 at
-0.8, more above. What meets is compared exactly, by its sets: first every node of a bucket with the bucket's first, then,
-where that leaves a bucket in several components, all that aren't joined yet.
+near_dedup() takes the same steps with the fingerprints of sets of five-word shingles: variants, join, distance, then the
+sets themselves compared exactly. At similarity 0.8 fingerprints lie about ten bits apart, too far for segments: what they
+leave apart is looked for once more by bands of minima over the sets, whose chance to meet depends on the similarity alone,
+wherever the words differ: 0.9993 at 0.8, more above. Of what meets there, all that fingerprints haven't joined is
+compared by its sets: first every node of a bucket with the bucket's first, then, where that leaves a bucket in several
+components, all that aren't joined yet.
 
 Defined results: a null or blank text has the fingerprint zero and is linked like any other; a text of fewer words than
 a shingle hashes its whole word sequence; a null identifier never names a component unless all its rows have none; an
@@ -23,7 +25,7 @@ empty table gives an empty result; extra columns are carried along untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -62,9 +64,14 @@ def shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(words: list[bytes], size: int) -> int:
+    """The fingerprint of all shingles, repeats included."""
+    return majority(shingle_hashes(words, size))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
     """A bit is 1 if it is set in over half the hashes."""
     ones, n = np.zeros(64, np.int64), 0
-    for part in shingle_hashes(words, size):
+    for part in parts:
         n += len(part)
         ones += np.concatenate([np.bincount(x, minlength=256) @ BIT for x in part.view(np.uint8).reshape(-1, 8).T])
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True) if n else 0
@@ -190,6 +197,8 @@ def classify(docs: DataFrame, shingle: int = 3, distance: int = 2, block: int =
 
 #: Of near_dedup(): words of a shingle; bands and the minima in each. A pair at 0.8 meets with a chance of 1 - (1 - 0.8 ** 6) ** 24 = 0.9993.
 SHINGLE, BANDS, MINIMA = 5, 24, 6
+#: Bits by which fingerprints differ that meet by their variants. Three would make 41,664 variants of a crowded one, two make 2,016.
+NEAR = 2
 MIXED = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * MINIMA), np.uint64)
 #: Shingles mixed at once; hashes of sets in a chunk of a bucket.
 MIX, HASHES = 1 << 10, 1 << 20
@@ -210,7 +219,7 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame, text: str) -> DataFrame:
-    """docs' other columns, node (the digest of the text's set of shingles), k (how many there are) and bands."""
+    """docs' other columns, node (the digest of the text's set of shingles), k (how many there are), print (the set's fingerprint) and bands."""
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,10 +227,11 @@ def with_bands(docs: DataFrame, text: str) -> DataFrame:
             sets = [shingle_set(x.as_py()) for x in batch.column(len(rest))]
             nodes = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             bands = pa.array([bands_of(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], nodes, pa.array([len(x) for x in sets], pa.int64()), bands], [*rest, "node", "k", "bands"])
+            sizes, prints = (pa.array([of(x) for x in sets], pa.int64()) for of in (len, lambda x: majority([x])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], nodes, sizes, prints, bands], [*rest, "node", "k", "print", "bands"])
 
     rows = docs.select(*rest, F.col(text).cast("string").alias(text))
-    return mapped(rows, run, rows.drop(text).schema.add("node", "binary").add("k", "long").add("bands", ArrayType(LongType())))
+    return mapped(rows, run, rows.drop(text).schema.add("node", "binary").add("k", "long").add("print", "long").add("bands", ArrayType(LongType())))
 
 
 def with_shingles(docs: DataFrame, text: str) -> DataFrame:
@@ -310,27 +320,51 @@ def other_links(shared: DataFrame, first: DataFrame, sets: DataFrame, similarity
     return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
+def print_pairs(nodes: DataFrame, distance: int, block: int) -> DataFrame:
+    """nodes: node, print. Pairs a, b of nodes whose fingerprints are the same or within distance: they join all such nodes."""
+    first = saved(nodes.groupBy("print").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    same = joined_by(nodes.select("node", "print"), first.filter("n > 1"), "print").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(first.select(F.col("print").alias("node")), distance, block).distinct()
+    ends = [first.select(F.col("print").alias(x), F.col("first").alias(f"n{x}")) for x in "ab"]
+    return same.unionByName(near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+
+
+def band_keys(nodes: DataFrame) -> DataFrame:
+    """node, k, key for every band of a node."""
+    return nodes.select("node", "k", F.posexplode("bands").alias("band", "v")).select("node", "k", F.xxhash64("band", "v").alias("key"))
+
+
+def apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs a, b that the components of (node, root) haven't joined."""
+    ends = [of.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("ra is null or rb is null or ra != rb").select("a", "b")
+
+
 def near_dedup(docs: DataFrame, similarity: float = 0.8, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that stay: of each group of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the smallest doc_id.
 
+    Fingerprints within NEAR bits meet first, bands bring together what lies farther apart; either way the sets decide.
     A text of fewer than five words is compared by its whole word sequence. Rows that repeat a doc_id are told apart by place.
     """
     rows = located(docs)
     place = [f"{OWN}file", f"{OWN}row"]
     prints = saved(with_bands(rows.select(*place, F.col(doc_id).alias(f"{OWN}id"), F.col(text).alias(f"{OWN}text")), f"{OWN}text"), "prints")
     rank = F.struct(F.col(f"{OWN}id").isNull(), F.col(f"{OWN}id"), *place)
-    nodes = saved(prints.groupBy("node").agg(F.min(rank).alias("least"), F.first("k").alias("k"), F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select("node", "k", F.posexplode("bands").alias("band", "v")).select("node", "k", F.xxhash64("band", "v").alias("key")).repartition("key")
+    nodes = saved(prints.groupBy("node").agg(F.min(rank).alias("least"), F.first("k").alias("k"), F.first("print").alias("print"), F.first("bands").alias("bands")), "nodes")
+    met = saved(print_pairs(nodes, NEAR, block), "met")
+    keyed = band_keys(nodes).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
     # as in links(): first, which is the least node, keeps counting and joining on one exchange
     shared = saved(keyed.join(sizes, "key").filter(F.col("node") >= F.col("first")), "shared")
-    met = shared.select("node").distinct().join(nodes, "node").select("node", *(F.col("least")[c].alias(c) for c in place))
-    sets = saved(with_shingles(rows.select(*place, F.col(text).alias(f"{OWN}text")).join(met, place), f"{OWN}text"), "sets")
+    wanted = shared.select("node").unionByName(met.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    held = wanted.join(nodes, "node").select("node", *(F.col("least")[c].alias(c) for c in place))
+    sets = saved(with_shingles(rows.select(*place, F.col(text).alias(f"{OWN}text")).join(held, place), f"{OWN}text"), "sets")
+    near = saved(verified(met, sets, similarity), "near")
     stars = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = saved(verified(stars, sets, similarity), "links")
-    first = connected_components(links)
-    more = other_links(shared, first, sets, similarity, block)
-    of = connected_components(saved(links.unionByName(more), "links"))
+    far = saved(verified(apart(stars, connected_components(near)), sets, similarity), "far")
+    joined = near.unionByName(far)
+    more = other_links(shared, connected_components(joined), sets, similarity, block)
+    of = connected_components(saved(joined.unionByName(more), "links"))
     root = nodes.join(of, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("best"))
     stays = root.select(*(F.col("best")[c].alias(c) for c in place))
     return rows.join(stays, place, "left_semi").select(*docs.columns)

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkreel.llm import simhash
 
@@ -183,3 +184,24 @@ def test_near_dedup_is_the_same_at_any_block(spark):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     for block in (4, simhash.BLOCK):
         assert {r.doc_id for r in simhash.near_dedup(frame, block=block).collect()} == set(root)
+
+
+def test_near_dedup_joins_by_fingerprints(spark, monkeypatch):
+    """Without bands, what lies within two bits and is alike goes, and nothing else: fingerprints and their variants do work of their own."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        w = [word() for _ in range(1500)]
+        for at in (None, 3, 700, 1499):
+            texts.append([x if i != at else word() for i, x in enumerate(w)])
+    sets = [shingles(w) for w in texts]
+    prints = [simhash.majority([simhash.shingle_set(" ".join(w))]) % (1 << 64) for w in texts]
+    met = [(i, j) for i, j in combinations(range(len(texts)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(met) >= 12
+    monkeypatch.setattr(simhash, "band_keys", lambda nodes: nodes.select("node", "k", F.lit(0).cast("long").alias("key")).limit(0))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_dedup(frame).collect()}
+    gone = set(range(len(texts))) - kept
+    assert gone and gone <= {j for _, j in met}
+    assert len(gone) >= len({j for _, j in met}) - 2  # a forest's link may lie just below the similarity
