@@ -86,11 +86,19 @@ def listed(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...]
     return found.filter(" or ".join(f"endswith(lower(path), '{s.lower()}')" for s in suffixes)) if suffixes else found
 
 
+def dealt(rows: DataFrame) -> int:
+    """Into how many partitions small rows go that stand for much work each."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def splits(files: DataFrame, size: int) -> DataFrame:
-    """files in ranges of size bytes, dealt out: path, length, start, end. An empty file has none."""
+    """files in ranges of size bytes, dealt out: path, length, start, end. An empty file has none.
+
+    The number of partitions is told: rows are a few bytes each, and where Spark may choose it brings them all to one task.
+    """
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))
     cut = files.filter("length > 0").select("path", "length", F.explode(starts).alias("start"))
-    return cut.withColumn("end", F.least(F.col("start") + size, F.col("length"))).repartition("path", "start")
+    return cut.withColumn("end", F.least(F.col("start") + size, F.col("length"))).repartition(dealt(files), "path", "start")
 
 
 def scanned(rows: DataFrame, each: Callable[..., Iterator[tuple]], schema: str, columns: tuple[str, ...], held: int = 4096) -> DataFrame:

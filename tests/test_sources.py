@@ -7,6 +7,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from sparkreel import sources
 from sparkreel.schema import AUDIO_FRAMES, FRAMES
 from sparkreel.sources import files, ranges, raw, wav, wav_sink, y4m
@@ -155,3 +156,12 @@ def test_files_are_known_by_their_first_bytes(spark, tmp_path):
     assert got == {"a.mp4": "mp4", "a.mkv": "matroska", "a.ts": "mpegts", "a.aac": "audio", "a.txt": None, "a.flac": "audio"}  # Spark lists no empty files
     found = containers.packets(spark, str(tmp_path)).groupBy("kind").count().collect()
     assert {r.kind: r["count"] for r in found} == {"mp4": 5, "matroska": 5, "mpegts": 5, "audio": 5}
+
+
+def test_splits_of_files_are_dealt_out(spark, tmp_path):
+    """Rows of a few bytes stand for a file's work each: Spark must not bring them all to one task."""
+    for i in range(40):
+        (tmp_path / f"{i}.bin").write_bytes(b"x" * 100)
+    ranges = files.splits(files.listed(spark, str(tmp_path)), 50)
+    met = ranges.select(F.spark_partition_id().alias("p")).collect()
+    assert len(met) == 80 and len({r.p for r in met}) > 1
